@@ -35,11 +35,6 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), "[^\\p{L}\\p{N}]+"), lambda x: x != "")
 
 
-def _split(text: Column) -> Column:
-    """As tokens(), for a text that begins and ends with a token."""
-    return F.split(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "^[^\\p{L}\\p{N}]+|[^\\p{L}\\p{N}]+$", ""), "[^\\p{L}\\p{N}]+")
-
-
 def _seed(words: Column, at: Column, mask: tuple[int, ...]) -> Column:
     return F.xxhash64(*[F.get(words, at + o) for o in mask])
 
@@ -70,8 +65,10 @@ def overlaps(documents: DataFrame, benchmark: DataFrame, min_tokens: int = 13, b
     seeds = seeds.select("item_id", "item", "q", F.posexplode(F.array(*[_seed(F.col("item"), F.col("q"), m) for m in MASKS])).alias("mask", "h"))
     few = seeds.count() <= broadcast_rows
 
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), _split(F.col("text").cast("string")).alias("doc")).where("doc_id is not null")
-    at = docs.where(F.size("doc") >= SPAN).select("doc_id", "doc", F.explode(F.sequence(F.lit(0), F.size("doc") - SPAN)).alias("p"))
+    # an empty token before the first or after the last one matches nothing
+    doc = F.split(F.lower(F.coalesce(F.col("text").cast("string"), F.lit(""))), "[^\\p{L}\\p{N}]+")
+    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), doc.alias("doc")).where("doc_id is not null")
+    at = docs.select("doc_id", "doc", F.explode(F.when(F.size("doc") >= SPAN, F.sequence(F.lit(0), F.size("doc") - SPAN))).alias("p"))
     hashed = at.select("doc_id", "doc", "p", F.posexplode(F.array(*[_seed(F.col("doc"), F.col("p"), m) for m in MASKS])).alias("mask", "h"))
     if few:
         hits = hashed.join(F.broadcast(seeds), ["mask", "h"])
@@ -89,8 +86,10 @@ def overlaps(documents: DataFrame, benchmark: DataFrame, min_tokens: int = 13, b
     hits = hits.select(
         "doc_id", "item_id", (p - F.col("l.best_n")).alias("doc_start"), (q - F.col("l.best_n")).alias("item_start"), (F.col("l.best_n") + F.col("r.best_n")).alias("n_tokens"),
         (F.col("l.best_m") + F.col("r.best_m")).alias("n_equal"), "n_item",
-    ).where(F.col("n_equal") >= F.least(F.lit(min_tokens), F.col("n_item")))
-    best = hits.groupBy("doc_id", "item_id").agg(F.max(F.struct("n_equal", -F.col("n_tokens"), -F.col("doc_start"), -F.col("item_start"))).alias("b"))
+    )
+    # the threshold stands behind the aggregate: before it, the optimiser would move the comparison into the join
+    best = hits.groupBy("doc_id", "item_id").agg(F.max(F.struct("n_equal", -F.col("n_tokens"), -F.col("doc_start"), -F.col("item_start"))).alias("b"), F.max("n_item").alias("n_item"))
+    best = best.where(F.col("b.n_equal") >= F.least(F.lit(min_tokens), F.col("n_item")))
     return best.select("doc_id", "item_id", (-F.col("b.col3")).alias("doc_start"), (-F.col("b.col4")).alias("item_start"), (-F.col("b.col2")).alias("n_tokens"), F.col("b.n_equal").alias("n_equal"))
 
 
