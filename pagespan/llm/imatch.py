@@ -6,8 +6,8 @@ slot's document frequency counts all documents; a term is kept when its inverse
 document frequency lies in [min_idf, max_idf]. A text's kept terms, distinct and
 sorted, are intersected with each of the randomised lexicon subsets, and each
 intersection is hashed; the fingerprint is the hashes side by side. Subsets take
-1/2, 1/4, 1/8 and 1/16 of the lexicon, so short and long texts both have subsets
-that a small edit leaves alone. A text without kept terms is hashed from all its
+1/8, 1/32, 1/128 and 1/512 of the lexicon, so that short and long texts have
+subsets that an edit leaves alone. A text without kept terms is hashed from all its
 terms, once for all subsets. Likeness of two fingerprints: the share of the
 subsets in which they agree, among those where either has a term.
 
@@ -23,7 +23,6 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,7 +30,9 @@ from pyspark.sql import functions as F
 from pagespan.llm._store import COUNTER_SCHEMA, COUNTERS, Counter, arrow_rows, summed, written
 from pagespan.llm._text import U64, Words, blocks, mix, words_of
 
-RATES = (1,) * 8 + (2,) * 8 + (3,) * 8 + (4,) * 8
+RATES = (3,) * 16 + (5,) * 16 + (7,) * 16 + (9,) * 16
+_SEEDS = mix(np.arange(1, len(RATES) + 1, dtype=U64), 211)[:, None]
+_SHIFT = (64 - np.array(RATES)).astype(U64)[:, None]
 NONE = "." * 8
 
 
@@ -49,10 +50,15 @@ class Lexicon:
         kept = terms[self.band[terms.astype(np.int64)]]
         if not len(kept):
             return hashlib.md5(terms.tobytes()).hexdigest()[:8] * len(RATES) if len(terms) else NONE * len(RATES)
-        out = []
-        for i, r in enumerate(RATES):
-            own = kept[(mix(kept, 211 + i) >> U64(64 - r)) == 0]
-            out.append(f"{xxhash.xxh32_intdigest(own.tobytes()):08x}" if len(own) else NONE)
+        subset, at = np.nonzero(mix(kept[None, :] ^ _SEEDS) >> _SHIFT == 0)
+        out = [NONE] * len(RATES)
+        if len(subset):
+            head = np.flatnonzero(np.append(True, subset[1:] != subset[:-1]))
+            place = np.arange(len(subset)) - np.repeat(head, np.diff(np.append(head, len(subset))))
+            with np.errstate(over="ignore"):
+                sums = np.add.reduceat(mix(kept[at] + mix(place.astype(U64), 5), 7), head)
+            for i, h in zip(subset[head].tolist(), (mix(sums) >> U64(32)).tolist(), strict=True):
+                out[i] = f"{h:08x}"
         return "".join(out)
 
 

@@ -3,8 +3,11 @@
 Every document of a source expects target / source_size copies. Documents are
 ordered within their source, the expected copies are prefix-summed, one random
 offset in [0, 1) is added, and a document is taken once per integer boundary
-that its interval crosses. The order is by chunk (a hash of the row), then size,
-so neighbours have like sizes and the words taken stay close to the target. The
+that its interval crosses. The order is by chunk (a hash of the row), then by size, so
+neighbours have like sizes and the words taken stay close to the target, or by
+one of three hashes; of these orders and 16 random offsets a source uses the pair
+whose words come nearest (one aggregation), which matters for sources of a few
+documents. The
 prefix sum is two-level (counts per chunk, then rows within a chunk): a source of
 any size is spread over its chunks, whose number follows the row count.
 
@@ -23,6 +26,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 CHUNK_ROWS = 20_000
+OFFSETS = 16
+ORDERS = 4
 
 
 def word_count(text: Column) -> Column:
@@ -64,17 +69,24 @@ def _copies(rows: DataFrame, seed: int, most: int, weights: tuple[int, ...]) ->
     rows = rows.withColumn("source_key", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n"))).withColumn("chunk", chunk)
     counts = rows.groupBy("source_key", "chunk").agg(F.count(F.lit(1)).alias("in_chunk"))
     base = counts.withColumn("base", F.coalesce(F.sum("in_chunk").over(Window.partitionBy("source_key").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    at = F.row_number().over(Window.partitionBy("source_key", "chunk").orderBy("size", "doc_id"))
-    ranked = rows.withColumn("at", at).join(base.select("source_key", "chunk", "base"), ["source_key", "chunk"])
-    t = targets.withColumn("source_key", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n"))).withColumn(
-        "offset", F.pmod(F.xxhash64(F.lit(seed), "source_key"), F.lit(1 << 53)) / F.lit(float(1 << 53))
-    )
+    own = Window.partitionBy("source_key", "chunk")
+    orders = [own.orderBy("size", "doc_id"), *[own.orderBy(F.xxhash64(F.lit(seed + j), "doc_id", "size"), "doc_id", "size") for j in range(1, ORDERS)]]
+    ranked = rows.select("*", *[F.row_number().over(w).alias(f"at{j}") for j, w in enumerate(orders)]).join(base.select("source_key", "chunk", "base"), ["source_key", "chunk"])
+    t = targets.withColumn("source_key", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")))
     t = t.withColumn("rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0)))
-    out = ranked.join(t.drop("source"), "source_key")
-    k = F.col("base") + F.col("at")
-    step = lambda i: F.floor(F.col("rate") * i + F.col("offset"))
-    copies = F.least(step(k) - step(k - 1), F.ceil(F.col("rate")))
-    return out.select("doc_id", "source", "size", "source_size", "target", copies.cast("long").alias("copies"))
+    out = written(ranked.join(t.drop("source"), "source_key").select("doc_id", "source", "source_key", "size", "source_size", "target", "rate", *[(F.col("base") + F.col(f"at{j}")).alias(f"k{j}") for j in range(ORDERS)]), "ranked")
+
+    def copies(k: Column, offset: Column) -> Column:
+        step = lambda i: F.floor(F.col("rate") * i + offset)
+        return F.least(step(k) - step(k - 1), F.ceil(F.col("rate"))).cast("long")
+
+    drawn = [(j, F.pmod(F.xxhash64(F.lit(seed), F.lit(i), "source_key"), F.lit(1 << 53)) / F.lit(float(1 << 53))) for j in range(ORDERS) for i in range(OFFSETS)]
+    words = [F.sum(copies(F.col(f"k{j}"), o) * F.col("size")).alias(f"w{n}") for n, (j, o) in enumerate(drawn)]
+    near = out.groupBy("source_key").agg(F.first("target").alias("t"), *words)
+    best = F.array_min(F.array(*[F.struct(F.abs(F.col(f"w{n}") - F.col("t")).alias("off"), F.lit(n).alias("n"), F.lit(j).alias("j"), o.alias("offset")) for n, (j, o) in enumerate(drawn)]))
+    near = near.select("source_key", best.alias("best"))
+    k = F.element_at(F.array(*[F.col(f"k{j}") for j in range(ORDERS)]), F.col("best.j") + 1)
+    return out.join(near, "source_key").select("doc_id", "source", "size", "source_size", "target", copies(k, F.col("best.offset")).alias("copies"))
 
 
 def mixed_documents(documents: DataFrame, seed: int = 17, most: int = 3, weights: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
