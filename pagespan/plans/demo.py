@@ -24,7 +24,7 @@ SELECT c, p, w, CAST(count(*) AS INT) AS n_rows,
   (p >= 1 AND c % 3 = 0) AS headerless,
   CAST(CASE WHEN p = 0 THEN 0 ELSE (c + p) % 5 END AS INT) AS v,
   CAST(CASE WHEN c % 19 = 0 THEN NULL WHEN (c + p) % 4 = 0 THEN 0.5 ELSE 0.1 END AS DOUBLE) AS top,
-  CAST(CASE WHEN c % 19 = 1 THEN NULL WHEN (c + p) % 3 = 0 THEN 0.5 ELSE 0.9 END AS DOUBLE) AS bottom,
+  CAST(CASE WHEN c % 19 = 1 THEN NULL WHEN (c + p) % 5 = 1 THEN 0.5 ELSE 0.9 END AS DOUBLE) AS bottom,
   CASE WHEN c % 29 = 0 THEN NULL WHEN c % 23 = 0 AND p = 1 THEN true ELSE false END AS content_before,
   (c % 31 IN (0, 5) AND p = 0) OR (c % 37 = 0 AND p = 1 AND c % 3 <> 0) AS header_orphan,
   (c % 31 = 0 AND p >= 1) OR (c % 37 = 0 AND p = 2) AS data_orphan,
