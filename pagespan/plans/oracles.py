@@ -60,8 +60,26 @@ tab AS (SELECT *, CAST(dense_rank() OVER (PARTITION BY c ORDER BY first) - 1 AS
 """
 
 
-def _of(base: str, select: str) -> str:
-    return base + select
+#: Members of the logical tables, with what the rebuild needs: spilled, orphan-built, header member, pages, widths.
+BUILT = DECIDED + """,
+mem AS (SELECT t.c, t.p, t.idx, t.page, t.li, t.rank, f.w, f.n_rows, f.header_orphan, f.has_cont, f.headerless, coalesce((SELECT d.reason = 'spillover' FROM dec d WHERE d.c = t.c AND d.pb = t.p), false) AS spilled FROM tab t JOIN f ON f.c = t.c AND f.p = t.p),
+hdr AS (SELECT c, li, min(rank) FILTER (WHERE header_orphan AND NOT spilled) AS hr, count(*) AS n_members FROM mem GROUP BY c, li),
+dat AS (SELECT m.*, h.hr, h.n_members FROM mem m JOIN hdr h USING (c, li) WHERE NOT m.spilled AND m.rank IS DISTINCT FROM h.hr),
+tot AS (SELECT c, li, sum(n_rows) AS total, max(rank) AS last_rank FROM dat GROUP BY c, li),
+pgs AS (SELECT DISTINCT m.c, m.li, m.page FROM mem m LEFT JOIN tot USING (c, li) WHERE m.page IS NOT NULL AND (NOT m.spilled OR tot.total > 0)),
+pgn AS (SELECT c, li, count(*) AS n_pages, string_agg(CAST(page AS VARCHAR), ',' ORDER BY page) AS pages FROM pgs GROUP BY c, li),
+fold AS (SELECT d.c, d.li, count(*) AS folds FROM dat d JOIN tot USING (c, li) JOIN pgn USING (c, li)
+  WHERE d.c % 5 = 0 AND d.n_rows = 4 AND d.w > 1 AND n_pages > 1 AND total > 1
+    AND NOT (d.rank = last_rank AND EXISTS (SELECT 1 FROM mem s WHERE s.c = d.c AND s.li = d.li AND s.spilled))
+    AND NOT (d.hr IS NOT NULL AND EXISTS (SELECT 1 FROM dat n WHERE n.c = d.c AND n.li = d.li AND n.has_cont AND n.rank = (SELECT min(z.rank) FROM dat z WHERE z.c = d.c AND z.li = d.li AND z.rank > d.rank)))
+  GROUP BY d.c, d.li),
+why AS (SELECT c, li, string_agg(reason, '+' ORDER BY pass_no, o1, o2) AS merge_reason FROM (
+    SELECT d.c, x.li, 1 AS pass_no, o.rn AS o1, 0 AS o2, reason FROM dec d JOIN tab x ON x.c = d.c AND x.p = d.pa JOIN tab y ON y.c = d.c AND y.p = d.pb AND y.li = x.li JOIN ord o ON o.c = d.c AND o.p = d.pb WHERE reason IN {merge}
+    UNION ALL SELECT e.c, x.li, 2, e.pa, e.pb, reason FROM edge e JOIN tab x ON x.c = e.c AND x.p = e.pa) z GROUP BY c, li)
+""".format(merge=_MERGE)
+
+_N_ROWS = "CAST(coalesce(total, 0) - coalesce(folds, 0) AS INT)"
+_TABLES = "(SELECT c, li, string_agg(CAST(idx AS VARCHAR), ',' ORDER BY rank) AS members, CAST(max(w) FILTER (WHERE NOT spilled) AS INT) AS n_columns, count(*) AS n FROM mem GROUP BY c, li) g LEFT JOIN tot USING (c, li) LEFT JOIN pgn USING (c, li) LEFT JOIN fold USING (c, li) LEFT JOIN why USING (c, li)"
 
 
 _DOC = "concat('c', c) AS doc_id"
@@ -74,7 +92,22 @@ _DATA = " OR ".join(f"regexp_matches(s, '(?i)^{p}')" for p in _PATTERNS)
 def oracle_sql() -> dict[str, str]:
     pair = f"SELECT {_DOC}, CAST(ia AS INT) AS left_idx, CAST(ib AS INT) AS right_idx"
     decisions = lambda gap, same: BASE + f", dec AS (SELECT *, {_reasons(gap, same)} AS reason FROM js) {pair}, reason IN {_MERGE} AS merged, reason FROM dec"
+    height = "CASE WHEN page IN (1, 2) THEN 800.0 ELSE 842.0 END"
+    at = lambda x: f"CASE WHEN page IS NOT NULL AND top IS NOT NULL AND bottom IS NOT NULL THEN round(1 - (1 - {x}) * 800 / {height}, 6) END"
+    whole = "2 + CASE WHEN headerless THEN 0 ELSE w END + n_rows * w"
     return {
+        "logical_tables": BUILT + f"SELECT {_DOC}, li AS logical_index, members, coalesce(pages, '') AS pages, coalesce(merge_reason, '') AS merge_reason, {_N_ROWS} AS n_rows, n_columns FROM {_TABLES}",
+        "run_metrics": BUILT + f"SELECT {_DOC}, CAST(sum(n) AS BIGINT) AS fragments, count(*) AS logical_tables, count(*) FILTER (WHERE n > 1) AS merged_tables, CAST(sum({_N_ROWS}) AS BIGINT) AS rows FROM {_TABLES} GROUP BY c",
+        "passthrough_cells": BUILT + f"SELECT {_DOC}, idx, CAST({whole} AS BIGINT) AS cells FROM mem JOIN hdr USING (c, li) WHERE n_members = 1",
+        "prov_merge": BUILT + f"""SELECT {_DOC}, idx, CASE WHEN rank > 0 THEN '' ELSE coalesce((SELECT string_agg(CAST(x.page AS VARCHAR), ',' ORDER BY x.rank) FROM mem x WHERE x.c = mem.c AND x.li = mem.li), '') END AS pages, rank > 0 AS cleared FROM mem""",
+        "overflow_warnings": BUILT + f"""SELECT {_DOC}, li AS logical_index, concat('Dropped ', w - b, ' trailing column(s) from fragment idx=', idx, ' page=', coalesce(CAST(page AS VARCHAR), 'None'), ' to fit canonical width ', b, '; dropped columns: [',
+            (SELECT string_agg(concat(chr(39), name, chr(39)), ', ' ORDER BY j) FROM names n WHERE n.c = x.c AND n.p = x.p AND j >= b), ']') AS warning
+            FROM (SELECT dat.*, first_value(w) OVER (PARTITION BY c, li ORDER BY rank) AS b FROM dat WHERE hr IS NULL) x WHERE w > b
+            UNION ALL SELECT concat('c', d.c), x.li, concat('unextracted table indices between pair: [', (SELECT string_agg(CAST(g AS VARCHAR), ', ' ORDER BY g) FROM (SELECT unnest(range(ia + 1, ib)) AS g) z WHERE g NOT IN (SELECT idx FROM f WHERE f.c = d.c)), ']')
+            FROM dec d JOIN tab x ON x.c = d.c AND x.p = d.pa JOIN tab y ON y.c = d.c AND y.p = d.pb AND y.li = x.li WHERE reason = 'unextracted_table_between'""",
+        "fragment_pages": BASE + f"SELECT {_DOC}, idx, page AS start_page, coalesce(CAST(page AS VARCHAR), '') AS pages, {at('top')} AS vert_top, {at('bottom')} AS vert_bottom FROM f",
+        "headerless_flags": BASE + f"SELECT {_DOC}, idx, headerless AS is_headerless, CAST(w AS INT) AS width, n_rows AS row_count, 0 AS n_continuation FROM f",
+        "header_orphans": BASE + f"SELECT {_DOC}, idx, false AS is_header_orphan, true AS is_data_orphan FROM f",
         "tokens_documents": """SELECT doc_id, CAST(len(t) AS INT) AS n_tokens, md5(array_to_string(list_sort(t), ' ')) AS digest
             FROM (SELECT doc_id, list_distinct(list_transform(regexp_extract_all(text, '\\p{L}+'), lambda x: lower(x))) AS t FROM documents)""",
         "tokens_headers": BASE + f"SELECT {_DOC}, idx, coalesce((SELECT string_agg(t, ' ' ORDER BY t) FROM htok h WHERE h.c = f.c AND h.p = f.p), '') AS tokens FROM f",
@@ -106,7 +139,7 @@ def oracle_sql() -> dict[str, str]:
             FROM (SELECT p_partkey, p_brand AS a, CASE WHEN p_partkey % 2 = 0 THEN upper(p_brand) ELSE p_type END AS b, p_brand || '.' || CASE WHEN p_partkey % 2 = 0 THEN upper(p_brand) ELSE p_type END AS whole FROM part)""",
         "numeric_colnames": """SELECT o_orderkey, (CASE WHEN o_custkey % 2 = 0 THEN 1 ELSE 0 END + CASE WHEN o_custkey % 3 = 0 THEN 1 ELSE 0 END + CASE WHEN o_custkey % 5 = 0 THEN 1 ELSE 0 END) / 3.0 >= 0.7 AS numeric_like,
             regexp_matches(o_orderpriority, '[0-9]') AS has_digit FROM orders""",
-        "header_contrast": "SELECT o_orderkey, true AS is_header FROM orders",
+        "header_contrast": "SELECT o_orderkey, o_orderkey % 2 = 0 AS is_header FROM orders",
         "content_before": """WITH o AS (SELECT CAST(conv_id AS VARCHAR) AS doc_id, CAST(turn AS INT) AS turn, turn % 4 = 0 AS t, turn % 4 <> 0 AND turn % 3 = 1 AND conv_id % 5 <> 0 AS blocks FROM conversations)
             SELECT doc_id, turn AS idx, turn > 0 AND EXISTS (SELECT 1 FROM o p WHERE p.doc_id = o.doc_id AND p.t AND p.turn < o.turn) AND EXISTS (SELECT 1 FROM o b WHERE b.doc_id = o.doc_id AND b.blocks AND b.turn < o.turn AND b.turn > o.turn - 4) AS content_before FROM o WHERE t""",
         "reading_order": """WITH n AS (SELECT CAST(conv_id AS VARCHAR) AS doc_id, CAST(turn AS INT) AS turn FROM conversations)
