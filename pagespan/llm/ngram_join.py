@@ -10,9 +10,12 @@ any function of the token gives a valid order, so a counter collision costs time
 at most.
 
 Texts with the same set form one class, and only classes are compared. Groups of
-near copies are not expanded into pairs: a first pass links each class to a few
-hubs (the smallest class of its collisions), and the second compares, exactly,
-every candidate pair whose classes the first pass left in different components.
+near copies are not expanded into pairs: a first round compares each class with a
+few of its candidates, those with the fewest tokens of their own, which joins
+groups; then every
+candidate pair whose classes still lie in different components is compared. A
+candidate's shared token must also stand early enough in both texts for enough
+tokens to follow it (positional filter).
 
 Defined results: null or empty text, or text of white space: no shingles, linked
 with nothing, its own component. Null doc_id: the row is left out. A doc_id that
@@ -25,14 +28,15 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagespan.llm._store import COUNTER_SCHEMA, COUNTERS, Counter, arrow_rows, components, summed, texts_of, written
 from pagespan.llm._text import U64, blocks, mix, shingles, words_of
 
 ORDERS = 3
-HUBS = 2
+ROUNDS = 2
+PARTNERS = 3
 _SUMMARY = "doc_id long, n int, cid long, text_hash long, " + COUNTER_SCHEMA
 
 
@@ -54,7 +58,18 @@ def prefix(s: np.ndarray, rank: np.ndarray, order: int, percent: int) -> np.ndar
     p = prefix_length(len(s), percent)
     tie = mix(s, 101 + order)
     key = (rank[(s >> U64(64 - COUNTERS)).astype(np.int64)].astype(U64) << U64(58)) | (tie >> U64(6))
-    return s[np.argpartition(key, p - 1)[:p]] if p < len(s) else s
+    if p < len(s):
+        at = np.argpartition(key, p - 1)[:p]
+        at = at[np.argsort(key[at])]
+    else:
+        at = np.argsort(key)
+    return s[at]
+
+
+def reach(n: np.ndarray, pos: np.ndarray, percent: int) -> np.ndarray:
+    """The largest partner that a token at place `pos` of n may be the first shared token with: then at most n - pos tokens
+    are shared, and a partner of m tokens needs percent / (100 + percent) * (n + m) of them."""
+    return (n - pos) * (100 + percent) // percent - n
 
 
 def _summaries(k: int):
@@ -93,7 +108,7 @@ def _postings(k: int, percent: int, ranks):
         seen: set[int] = set()  # bounded by the texts of this task
         for b in batches:
             for _, _, w in blocks(b.column("text")):
-                tok, cid, size = [], [], []
+                tok, cid, size, far = [], [], [], []
                 for s in shingles(w, k):
                     if len(s) and (c := _class_id(s)) not in seen:
                         seen.add(c)
@@ -101,50 +116,39 @@ def _postings(k: int, percent: int, ranks):
                         tok.append(p)
                         cid.append(np.full(len(p), c, np.int64))
                         size.append(np.full(len(p), len(s), np.int32))
+                        far.append(reach(len(s), np.arange(len(p)), percent).astype(np.int32))
                 if tok:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tok).view(np.int64)), pa.array(np.concatenate(cid)), pa.array(np.concatenate(size))], ["token", "cid", "n"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tok).view(np.int64)), *(pa.array(np.concatenate(x)) for x in (cid, size, far))], ["token", "cid", "n", "reach"])
 
     return run
 
 
-def size_class(n: np.ndarray, percent: int) -> np.ndarray:
-    return np.floor(np.log(n) / np.log(1 + (100 - percent) / 200)).astype(np.int64)
-
-
-def _collisions(percent: int):
-    """Rows sorted by token, n and cid: keeps those of tokens that two classes share, with the hub of their token and size class."""
+def _collisions():
+    """Rows sorted by token, n and cid: keeps those of tokens that two classes share, one per token and class."""
 
     def run(batches):
-        last = None  # token, size class, hub, cid, n of the last row; whether its token's rows are going out
+        last = None  # token, cid, n and reach of the last row, and whether its token's rows are going out
         for b in batches:
-            t, c, n = (b.column(x).to_numpy() for x in ("token", "cid", "n"))
+            t, c, n, far = (b.column(x).to_numpy() for x in ("token", "cid", "n", "reach"))
             if not len(t):
                 continue
             if last is not None:
-                t, c, n = np.append(last[0], t), np.append(last[3], c), np.append(last[4], n).astype(np.int32)
+                t, c, n, far = np.append(last[0], t), np.append(last[1], c), np.append(last[2], n).astype(np.int32), np.append(last[3], far).astype(np.int32)
             new = np.ones(len(t), bool)
             new[1:] = (t[1:] != t[:-1]) | (c[1:] != c[:-1])
-            t, c, n = t[new], c[new], n[new]
-            m = len(t)
-            sc = size_class(n, percent)
-            head = np.ones(m, bool)
+            t, c, n, far = t[new], c[new], n[new], far[new]
+            head = np.ones(len(t), bool)
             head[1:] = t[1:] != t[:-1]
-            sub = head.copy()
-            sub[1:] |= sc[1:] != sc[:-1]
-            hub = c[np.flatnonzero(sub)][np.cumsum(sub) - 1]
-            if last is not None:
-                same = np.cumsum(sub) == 1
-                hub[same] = last[2]
             run_of = np.cumsum(head) - 1
             many = np.bincount(run_of)[run_of] > 1
-            if last is not None and last[5]:
-                many |= run_of == 0
             out = many.copy()
-            if last is not None and last[5]:
+            if last is not None and last[4]:
+                many |= run_of == 0
+                out = many.copy()
                 out[0] = False
-            last = (t[-1], sc[-1], hub[-1], c[-1], n[-1], bool(many[-1]))
+            last = (t[-1], c[-1], n[-1], far[-1], bool(many[-1]))
             if out.any():
-                yield pa.RecordBatch.from_arrays([pa.array(x[out]) for x in (t, c, n, hub)], ["token", "cid", "n", "hub"])
+                yield pa.RecordBatch.from_arrays([pa.array(x[out]) for x in (t, c, n, far)], ["token", "cid", "n", "reach"])
 
     return run
 
@@ -182,6 +186,21 @@ def _verify(k: int, percent: int, ranks):
     return run
 
 
+def _neighbours(tagged: DataFrame, turn: int) -> DataFrame:
+    """At most PARTNERS pairs (a, b) per class, of different components. In the first round a row pairs with the row of its
+    token that comes earliest in its own text (a copy with few tokens of its own); in later ones, if ROUNDS asks for them,
+    with the next row in a random order. A class keeps those partners that it met most often."""
+    row = F.struct("cid", "n", "reach", "comp")
+    if turn == 0:
+        other = F.first(row).over(Window.partitionBy("token").orderBy((F.col("reach") / F.col("n")).desc(), "cid"))
+    else:
+        other = F.lead(row).over(Window.partitionBy("token").orderBy(F.xxhash64("cid", F.lit(turn))))
+    t = tagged.withColumn("o", other)
+    t = t.where("o.comp <> comp and o.n <= reach and n <= o.reach").groupBy(F.col("cid").alias("a"), F.col("o.cid").alias("b")).agg(F.count(F.lit(1)).alias("c"))
+    best = F.row_number().over(Window.partitionBy("a").orderBy(F.col("c").desc(), F.xxhash64("b", F.lit(turn))))
+    return t.withColumn("r", best).where(F.col("r") <= PARTNERS).select("a", "b")
+
+
 def ngram_jaccard_join(documents: DataFrame, k: int = 5, percent: int = 80) -> dict[str, DataFrame]:
     """members (doc_id, n_shingles, class_id), links (a, b: class ids that were found linked) and groups (class_id, component_id).
 
@@ -209,8 +228,8 @@ def ngram_jaccard_join(documents: DataFrame, k: int = 5, percent: int = 80) -> d
     reps = member.where("n > 0").groupBy("cid").agg(F.min("doc_id").alias("class_id"), F.min("n").alias("n"))
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sorted_ = docs.mapInArrow(_postings(k, percent, ranks), "token long, cid long, n int").repartition(parts, "token").sortWithinPartitions("token", "n", "cid")
-    coll = sorted_.mapInArrow(_collisions(percent), "token long, cid long, n int, hub long")
+    sorted_ = docs.mapInArrow(_postings(k, percent, ranks), "token long, cid long, n int, reach int").repartition(parts, "token").sortWithinPartitions("token", "n", "cid")
+    coll = sorted_.mapInArrow(_collisions(), "token long, cid long, n int, reach int")
     coll = written(coll, "collisions")
 
     def check(pairs: DataFrame) -> DataFrame:
@@ -223,25 +242,32 @@ def ngram_jaccard_join(documents: DataFrame, k: int = 5, percent: int = 80) -> d
         full = named.join(text.select(F.col("doc_id").alias("da"), F.col("text").alias("text_a")), "da").join(text.select(F.col("doc_id").alias("db"), F.col("text").alias("text_b")), "db")
         return full.select(F.col("da").alias("a"), F.col("db").alias("b"), "text_a", "text_b").mapInArrow(_verify(k, percent, ranks), "a long, b long")
 
-    shared = coll.where("cid <> hub").groupBy("cid", "hub").agg(F.count(F.lit(1)).alias("c"))
-    best = shared.groupBy("cid").agg(F.max_by("hub", F.struct("c", "hub")).alias("h1"), F.min_by("hub", F.struct(-F.col("c"), F.xxhash64("hub", "cid"))).alias("h2"))
-    pairs1 = best.select(F.col("cid").alias("a"), F.explode(F.array_distinct(F.array("h1", "h2"))).alias("b"))
-    links1 = written(check(pairs1), "links")
-    groups1 = written(components(links1), "groups")
-
-    cls = reps.join(groups1, reps.class_id == groups1.id, "left").select("cid", F.coalesce("root", "class_id").alias("comp"))
-    tagged = coll.select("token", "cid", "n").join(cls, "cid")
-    mixed = tagged.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token")
-    tagged = written(tagged.join(mixed, "token", "left_semi"), "tagged")
-    comps = tagged.select("token", "comp").distinct()
-    cross = comps.select("token", "comp").join(comps.select("token", F.col("comp").alias("comp2")), "token").where("comp < comp2")
-    left = tagged.select("token", "comp", F.col("cid").alias("a"), F.col("n").alias("na"))
-    right = tagged.select("token", F.col("comp").alias("comp2"), F.col("cid").alias("b"), F.col("n").alias("nb"))
-    pairs2 = cross.join(left, ["token", "comp"]).join(right, ["token", "comp2"]).where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)").select("a", "b").distinct()
-    links2 = written(check(pairs2), "links")
-    links = links1.unionByName(links2)
-    groups = components(links)
+    links = None
+    for turn in range(ROUNDS + 1):
+        if links is None:
+            tagged = written(coll.join(reps.select("cid", F.col("class_id").alias("comp")), "cid"), "tagged")
+        else:
+            found = written(components(links), "groups")
+            cls = reps.join(found, reps.class_id == found.id, "left").select("cid", F.coalesce("root", "class_id").alias("comp"))
+            tagged = coll.join(cls, "cid")
+            mixed = tagged.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token")
+            tagged = written(tagged.join(mixed, "token", "left_semi"), "tagged")
+        if turn < ROUNDS:
+            pairs = _neighbours(tagged, turn)
+        else:  # what is left is compared in full
+            left = tagged.select("token", F.col("comp").alias("ca"), F.col("cid").alias("a"), F.col("n").alias("na"), F.col("reach").alias("ra"))
+            right = tagged.select("token", F.col("comp").alias("cb"), F.col("cid").alias("b"), F.col("n").alias("nb"), F.col("reach").alias("rb"))
+            pairs = left.join(right, "token").where("ca < cb and nb <= ra and na <= rb").select("a", "b").distinct()
+        pairs = written(pairs, "pairs")
+        if not pairs.head(1):
+            if turn >= ROUNDS:
+                break
+            continue
+        new = written(check(pairs), "links")
+        links = new if links is None else links.unionByName(new)
+    groups = components(links if links is not None else spark.createDataFrame([], "a long, b long"))
     members = member.join(reps.select("cid", "class_id"), "cid", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"))
+    links = links if links is not None else spark.createDataFrame([], "a long, b long")
     return {"members": members, "links": links, "groups": groups.select(F.col("id").alias("class_id"), F.col("root").alias("component_id"))}
 
 
