@@ -159,34 +159,83 @@ def _shard(k1, shards: int):
     return F.pmod(F.shiftrightunsigned(k1, 7), F.lit(shards)).cast("int")
 
 
+
+
+def _counted(postings: DataFrame) -> DataFrame:
+    return postings.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("docs"), F.max("doc_id").alias("last"))
+
+
+def _change(old, new):
+    """One shard's filter (old: shard, filter) after its changed keys (new: shard, k1, gone)."""
+    import pandas as pd
+
+    shard = int((old if len(old) else new)["shard"].iloc[0])
+    c = Cuckoo(raw=bytes(old["filter"].iloc[0])) if len(old) else None
+    keys, gone = new["k1"].to_numpy(np.int64), new["gone"].to_numpy(bool)
+    if c is not None:
+        c.delete(keys[gone])
+    if c is None:
+        c = build_filter(keys[~gone])
+    elif not c.insert(keys[~gone]):
+        return pd.DataFrame({"shard": [shard], "filter": [None]})  # full: the caller builds it anew from the table
+    return pd.DataFrame({"shard": [shard], "filter": [c.bytes()]})
+
+
 class LineIndex:
-    """The dedup state of a corpus: tables in the shared folder. insert() and delete() return the next state; this one stays valid."""
+    """The dedup state of a corpus: tables in the shared folder. insert() and delete() return the next state; this one stays valid.
+
+    postings: (key, doc_id), the exact record. counts: documents and largest doc_id per key. filters: a cuckoo filter per shard
+    of the keys that at least min_docs documents hold. An insertion merges its own counts into the table; a deletion counts
+    the keys it touches anew; both change the filters by the keys that crossed min_docs.
+    """
 
-    def __init__(self, spark: SparkSession, postings: DataFrame | None = None, min_chars: int = 20, min_docs: int = 3):
+    def __init__(self, spark: SparkSession, min_chars: int = 20, min_docs: int = 3):
         self.spark, self.min_chars, self.min_docs = spark, min_chars, min_docs
-        self.postings = postings if postings is not None else spark.createDataFrame([], _POSTINGS)
-        counts = self.postings.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("docs"), F.max("doc_id").alias("last"))
-        self.repeated = written(counts.where(F.col("docs") >= min_docs), "repeated") if postings is not None else None
-        self.filters, self.shards = None, 1
-        if self.repeated is not None:
-            self.shards = 1 << max(0, (self.repeated.count() // SHARD_KEYS).bit_length())
-            keys = self.repeated.select(_shard(F.col("k1"), self.shards).alias("shard"), "k1")
-            self.filters = written(keys.repartition(self.shards, "shard").mapInArrow(_filters, "shard int, filter binary"), "filters")
-
-    def _rows(self, documents: DataFrame) -> DataFrame:
-        arrow_rows(self.spark)
-        docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-        return docs.where("doc_id is not null").mapInArrow(_postings(self.min_chars), _POSTINGS)
+        self.postings = self.counts = self.repeated = self.filters = None
+        self.shards = 1
+
+    def _next(self, postings: DataFrame, counts: DataFrame) -> LineIndex:
+        new = LineIndex(self.spark, self.min_chars, self.min_docs)
+        new.postings, new.counts = postings, counts
+        new.repeated = written(counts.where(F.col("docs") >= self.min_docs), "repeated")
+        new.shards = 1 << max(0, (new.repeated.count() // SHARD_KEYS).bit_length())
+        if self.filters is None or new.shards != self.shards:
+            new.filters = new._built(new.repeated)
+            return new
+        keys = lambda x: x.select("k1", "k2")
+        changed = keys(new.repeated).exceptAll(keys(self.repeated)).withColumn("gone", F.lit(False)).unionByName(keys(self.repeated).exceptAll(keys(new.repeated)).withColumn("gone", F.lit(True)))
+        changed = changed.select(_shard(F.col("k1"), new.shards).alias("shard"), "k1", "gone")
+        filters = written(self.filters.groupBy("shard").cogroup(changed.groupBy("shard")).applyInPandas(_change, "shard int, filter binary"), "filters")
+        full = filters.where("filter is null").select("shard")
+        if full.head(1):
+            again = new.repeated.withColumn("shard", _shard(F.col("k1"), new.shards)).join(full, "shard", "left_semi").select(*new.repeated.columns)
+            filters = written(filters.where("filter is not null").unionByName(new._built(again)), "filters")
+        new.filters = filters
+        return new
+
+    def _built(self, keys: DataFrame) -> DataFrame:
+        by_shard = keys.select(_shard(F.col("k1"), self.shards).alias("shard"), "k1")
+        return written(by_shard.repartition(self.shards, "shard").mapInArrow(_filters, "shard int, filter binary"), "filters")
 
     def insert(self, documents: DataFrame) -> LineIndex:
-        new = self._rows(documents)
-        both = new if self.repeated is None else self.postings.unionByName(new)
-        return LineIndex(self.spark, written(both, "postings"), self.min_chars, self.min_docs)
+        arrow_rows(self.spark)
+        docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+        new = written(docs.where("doc_id is not null").mapInArrow(_postings(self.min_chars), _POSTINGS), "postings")
+        counts = _counted(new)
+        if self.postings is None:
+            return self._next(new, written(counts, "counts"))
+        both = self.counts.unionByName(counts).groupBy("k1", "k2").agg(F.sum("docs").alias("docs"), F.max("last").alias("last"))
+        return self._next(self.postings.unionByName(new), written(both, "counts"))
 
     def delete(self, doc_ids: DataFrame) -> LineIndex:
         """Takes back every document with one of the doc_ids."""
-        rest = self.postings.join(doc_ids.select("doc_id").distinct(), "doc_id", "left_anti")
-        return LineIndex(self.spark, written(rest.select("k1", "k2", "doc_id"), "postings"), self.min_chars, self.min_docs)
+        if self.postings is None:
+            return self
+        ids = doc_ids.select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
+        rest = written(self.postings.join(ids, "doc_id", "left_anti").select("k1", "k2", "doc_id"), "postings")
+        touched = written(self.postings.join(ids, "doc_id", "left_semi").select("k1", "k2").distinct(), "touched")
+        counts = self.counts.join(touched, ["k1", "k2"], "left_anti").unionByName(_counted(rest.join(touched, ["k1", "k2"], "left_semi")))
+        return self._next(rest, written(counts, "counts"))
 
     def drops(self) -> DataFrame:
         """(doc_id, keys): the keys that a document loses."""
@@ -247,7 +296,7 @@ _OUT = "doc_id long, n_lines long, n_dropped long, kept_sha256 string, kept stri
 def dedup_lines(documents: DataFrame, min_chars: int = 20, min_docs: int = 3, texts: bool = True) -> DataFrame:
     """doc_id, n_lines, n_dropped, kept_sha256, kept (the remaining text; null without `texts`)."""
     spark = documents.sparkSession
-    lost = LineIndex(spark, None, min_chars, min_docs).insert(documents).drops()
+    lost = LineIndex(spark, min_chars, min_docs).insert(documents).drops()
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return docs.join(lost.hint("shuffle_hash"), "doc_id", "left").select("doc_id", "text", "keys").mapInArrow(_cut(texts), _OUT)
 
@@ -255,7 +304,7 @@ def dedup_lines(documents: DataFrame, min_chars: int = 20, min_docs: int = 3, te
 def dedup_documents(documents: DataFrame, min_chars: int = 20, min_docs: int = 3) -> DataFrame:
     """documents with the repeated lines cut out of text, and n_chars set anew; the columns stay."""
     arrow_rows(documents.sparkSession)
-    lost = LineIndex(documents.sparkSession, None, min_chars, min_docs).insert(documents).drops()
+    lost = LineIndex(documents.sparkSession, min_chars, min_docs).insert(documents).drops()
     cols = documents.columns
 
     def run(batches):
