@@ -35,7 +35,7 @@ def shared_dir(spark: SparkSession) -> str:
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a table in the shared folder, read back: cuts the lineage."""
     at = f"{shared_dir(df.sparkSession)}/pagespan/{uuid.uuid4().hex}/{name}"
-    df.write.parquet(at)
+    df.write.option("compression", "zstd").parquet(at)
     return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
@@ -96,14 +96,8 @@ def _id_hash(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (mix(x, 3) >> shift).astype(np.int64), (mix(x, 5) >> shift).astype(np.int64)
 
 
-def texts_of(documents: DataFrame, ids: DataFrame) -> DataFrame:
-    """(doc_id, text) of the ids (one bigint column doc_id, distinct), one row each; of rows that share a doc_id the smallest text.
-
-    A Bloom filter of 2**23 bits (1 MB, fixed) drops most other documents before
-    the exact join shuffles any text. If the ids fill the filter, more rows are
-    shuffled, none is lost.
-    """
-    spark = documents.sparkSession
+def _filter(ids: DataFrame):
+    """A Bloom filter of 2**FILTER_BITS bits (1 MB, fixed) over the ids (bigint column doc_id), broadcast."""
     bits = FILTER_BITS
 
     def fill(batches):
@@ -131,21 +125,46 @@ def texts_of(documents: DataFrame, ids: DataFrame) -> DataFrame:
     size = len(table) // BLOCKS
     for r in got:
         table[r.block * size : (r.block + 1) * size] |= np.frombuffer(bytes(r.counts), np.uint8)
-    shared = spark.sparkContext.broadcast(table.tobytes())
+    return ids.sparkSession.sparkContext.broadcast(table.tobytes())
 
-    def prune(batches):
+
+def _passing(documents: DataFrame, shared, hits: bool) -> DataFrame:
+    """The rows whose doc_id the filter has (or hasn't); null isn't in it."""
+
+    def run(batches):
         t = np.frombuffer(shared.value, np.uint8)
         for b in batches:
-            x = b.column("doc_id").fill_null(0).to_numpy(zero_copy_only=False)
-            i, j = _id_hash(x)
-            hit = (t[i >> 3] >> (7 - (i & 7)) & 1) & (t[j >> 3] >> (7 - (j & 7)) & 1)
-            if hit.any():
-                yield b.filter(pa.array(hit.astype(bool)))
+            ids = b.column("doc_id").cast(pa.int64())
+            i, j = _id_hash(ids.fill_null(0).to_numpy(zero_copy_only=False))
+            hit = ((t[i >> 3] >> (7 - (i & 7)) & 1) & (t[j >> 3] >> (7 - (j & 7)) & 1)).astype(bool)
+            hit &= ids.is_valid().to_numpy(zero_copy_only=False)
+            if (hit == hits).any():
+                yield b.filter(pa.array(hit == hits))
+
+    return documents.mapInArrow(run, documents.schema)
 
-    kept = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null").mapInArrow(prune, "doc_id long, text string")
+
+def texts_of(documents: DataFrame, ids: DataFrame) -> DataFrame:
+    """(doc_id, text) of the ids (one bigint column doc_id, distinct), one row each; of rows that share a doc_id the smallest text.
+
+    A Bloom filter drops most other documents before the exact join shuffles any
+    text. If the ids fill the filter, more rows are shuffled, none is lost.
+    """
+    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
+    kept = _passing(docs, _filter(ids), True)
     return kept.join(ids.select("doc_id"), "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
 
 
+def without(documents: DataFrame, ids: DataFrame) -> DataFrame:
+    """documents without the rows of the ids (one bigint column doc_id). Rows that the Bloom filter lacks pass as they are;
+    the others meet the ids in an exact join."""
+    arrow_rows(documents.sparkSession)
+    ids = written(ids.select("doc_id").distinct(), "gone")
+    shared = _filter(ids)
+    maybe = _passing(documents, shared, True)
+    return _passing(documents, shared, False).unionByName(maybe.join(ids.withColumnRenamed("doc_id", "gone_id"), F.col("doc_id") == F.col("gone_id"), "left_anti"))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(id, root) for every id in edges (a, b): root is the smallest id reachable.
 
@@ -159,7 +178,7 @@ def components(edges: DataFrame) -> DataFrame:
         # large star: every larger neighbour of u points to u's smallest neighbour (u itself counts)
         both = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         # small star: smaller neighbours of u and u itself point to the smallest of them
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))

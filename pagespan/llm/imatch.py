@@ -33,7 +33,7 @@ from pagespan.llm._text import U64, Words, blocks, mix, words_of
 RATES = (3,) * 16 + (5,) * 16 + (7,) * 16 + (9,) * 16
 _SEEDS = mix(np.arange(1, len(RATES) + 1, dtype=U64), 211)[:, None]
 _SHIFT = (64 - np.array(RATES)).astype(U64)[:, None]
-NONE = "." * 8
+NONE = "." * 4
 
 
 def _terms(w: Words) -> list[np.ndarray]:
@@ -49,7 +49,7 @@ class Lexicon:
     def fingerprint(self, terms: np.ndarray) -> str:
         kept = terms[self.band[terms.astype(np.int64)]]
         if not len(kept):
-            return hashlib.md5(terms.tobytes()).hexdigest()[:8] * len(RATES) if len(terms) else NONE * len(RATES)
+            return hashlib.md5(terms.tobytes()).hexdigest()[:4] * len(RATES) if len(terms) else NONE * len(RATES)
         subset, at = np.nonzero(mix(kept[None, :] ^ _SEEDS) >> _SHIFT == 0)
         out = [NONE] * len(RATES)
         if len(subset):
@@ -57,14 +57,14 @@ class Lexicon:
             place = np.arange(len(subset)) - np.repeat(head, np.diff(np.append(head, len(subset))))
             with np.errstate(over="ignore"):
                 sums = np.add.reduceat(mix(kept[at] + mix(place.astype(U64), 5), 7), head)
-            for i, h in zip(subset[head].tolist(), (mix(sums) >> U64(32)).tolist(), strict=True):
-                out[i] = f"{h:08x}"
+            for i, h in zip(subset[head].tolist(), (mix(sums) >> U64(48)).tolist(), strict=True):
+                out[i] = f"{h:04x}"
         return "".join(out)
 
 
 def likeness(a: str, b: str) -> float:
-    x = np.frombuffer(a.encode(), np.dtype("S8"))
-    y = np.frombuffer(b.encode(), np.dtype("S8"))
+    x = np.frombuffer(a.encode(), np.dtype("S4"))
+    y = np.frombuffer(b.encode(), np.dtype("S4"))
     none = NONE.encode()
     either = (x != none) | (y != none)
     return float((x == y)[either].mean()) if either.any() else 1.0

@@ -31,11 +31,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagespan.llm._store import COUNTER_SCHEMA, COUNTERS, Counter, arrow_rows, components, summed, texts_of, written
+from pagespan.llm._store import COUNTER_SCHEMA, COUNTERS, Counter, arrow_rows, components, summed, texts_of, without, written
 from pagespan.llm._text import U64, blocks, mix, shingles, words_of
 
 ORDERS = 3
-ROUNDS = 2
+ROUNDS = 1
 PARTNERS = 3
 _SUMMARY = "doc_id long, n int, cid long, text_hash long, " + COUNTER_SCHEMA
 
@@ -225,7 +225,7 @@ def ngram_jaccard_join(documents: DataFrame, k: int = 5, percent: int = 80) -> d
         rows = rows.join(again, "doc_id", "left").select("doc_id", F.coalesce("m2", "m").alias("m"))
         docs = texts_of(docs, rows.select("doc_id"))
     member = written(rows.select("doc_id", F.col("m.n").alias("n"), F.col("m.cid").alias("cid")), "members")
-    reps = member.where("n > 0").groupBy("cid").agg(F.min("doc_id").alias("class_id"), F.min("n").alias("n"))
+    reps = written(member.where("n > 0").groupBy("cid").agg(F.min("doc_id").alias("class_id")), "classes")
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     sorted_ = docs.mapInArrow(_postings(k, percent, ranks), "token long, cid long, n int, reach int").repartition(parts, "token").sortWithinPartitions("token", "n", "cid")
@@ -245,7 +245,7 @@ def ngram_jaccard_join(documents: DataFrame, k: int = 5, percent: int = 80) -> d
     links = None
     for turn in range(ROUNDS + 1):
         if links is None:
-            tagged = written(coll.join(reps.select("cid", F.col("class_id").alias("comp")), "cid"), "tagged")
+            tagged = coll.withColumn("comp", F.col("cid"))
         else:
             found = written(components(links), "groups")
             cls = reps.join(found, reps.class_id == found.id, "left").select("cid", F.coalesce("root", "class_id").alias("comp"))
@@ -283,5 +283,4 @@ def one_of_each(documents: DataFrame, k: int = 5, percent: int = 80) -> DataFram
     """documents without those that another of their group, with a smaller doc_id, stands for. Documents without words stay.
     Rows without doc_id stay; rows that share a doc_id stay or go together."""
     groups = near_duplicate_components(documents, k, percent)
-    gone = groups.where("component_id <> doc_id").select(F.col("doc_id").alias("gone_id"))
-    return documents.join(gone, F.col("doc_id") == F.col("gone_id"), "left_anti")
+    return without(documents, groups.where("component_id <> doc_id"))
