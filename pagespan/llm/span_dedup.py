@@ -2,10 +2,11 @@
 
 A sentence ends with a word that ends in . ! or ? (closing quotes and brackets
 may follow), at a line end, or after `max_words` words, so long sentences are cut
-at the same places wherever they occur. Every run of `run` consecutive sentences
-with `min_words` words or more is hashed; hashes are joined over the corpus; all
-sentences covered by an occurrence that isn't the first (smallest doc_id, then
-position) are removed.
+at the same places wherever they occur. From every sentence on, and back from
+every sentence, the shortest run of at least `run` sentences and `min_words` words
+within the text is hashed, so short sentences make longer runs; hashes are joined
+over the corpus; all sentences covered by an occurrence that isn't the first
+(smallest doc_id, then position) are removed.
 
 Defined results: null or empty text has no sentences; rows without doc_id are
 left out; of rows that share a doc_id, all are cut alike, positions in the one
@@ -58,19 +59,26 @@ def sentences(w: Words, max_words: int) -> tuple[np.ndarray, np.ndarray, np.ndar
 
 
 def spans(w: Words, run: int, min_words: int, max_words: int):
-    """text number, number of the first sentence within the text, and hash of every run."""
+    """text number, number of the first sentence within the text, sentences and hash of every run."""
     _, words, h, text = sentences(w, max_words)
     m = len(h)
     if m < run:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, U64)
-    with np.errstate(over="ignore"):
-        s = np.zeros(m - run + 1, U64)
-        for j in range(run):
-            s = mix(s + h[j : m - run + 1 + j], 47 + j)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, U64)
     total = np.concatenate([[0], np.cumsum(words)])
-    ok = (text[: m - run + 1] == text[run - 1 :]) & (total[run:] - total[:-run] >= min_words)
-    no = np.arange(m) - np.searchsorted(text, text, "left")
-    return text[: m - run + 1][ok], no[: m - run + 1][ok], s[ok]
+    no = np.arange(m)
+    # ahead from the first sentence, and back from the last one, so that no sentence at either end of a repeat is left out
+    ahead = np.maximum(np.searchsorted(total, total[:-1] + min_words), no + run)
+    back = np.minimum(np.searchsorted(total, total[1:] - min_words, "right") - 1, no + 1 - run)
+    ends = np.unique(np.concatenate([no * (m + 1) + np.minimum(ahead, m), np.maximum(back, 0) * (m + 1) + no + 1]))
+    at, end = ends // (m + 1), ends % (m + 1)
+    ok = (text[at] == text[end - 1]) & (end - at >= run) & (total[end] - total[at] >= min_words)
+    at, n = at[ok], (end - at)[ok]
+    s = np.zeros(len(at), U64)
+    with np.errstate(over="ignore"):
+        for j in range(int(n.max(initial=0))):
+            on = np.flatnonzero(n > j) if j >= run else slice(None)
+            s[on] = mix(s[on] + h[at[on] + j], 47 + j)
+    return text[at], at - np.searchsorted(text, text[at], "left"), n, s
 
 
 def _spans(run, min_words, max_words):
@@ -78,21 +86,22 @@ def _spans(run, min_words, max_words):
         for b in batches:
             ids = b.column("doc_id").to_numpy()
             for lo, _, w in blocks(b.column("text")):
-                t, no, h = spans(w, run, min_words, max_words)
+                t, no, n, h = spans(w, run, min_words, max_words)
                 if len(t):
-                    yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(ids[lo + t]), pa.array(no.astype(np.int32))], ["h", "doc_id", "pos"])
+                    cols = [pa.array(h.view(np.int64)), pa.array(ids[lo + t]), pa.array(no.astype(np.int32)), pa.array(n.astype(np.int32))]
+                    yield pa.RecordBatch.from_arrays(cols, ["h", "doc_id", "pos", "n"])
 
     return go
 
 
-def cut_sentences(text: str, starts: list[int], run: int, max_words: int) -> tuple[int, int, str]:
-    """(sentences, removed, text without the sentences that a run at one of the starts covers)."""
+def cut_sentences(text: str, runs: list[tuple[int, int]], max_words: int) -> tuple[int, int, str]:
+    """(sentences, removed, text without the sentences that one of the runs (first sentence, sentences) covers)."""
     raw = text.encode("utf-8", "surrogatepass")
     w = words_of([raw])
     at, _, h, _ = sentences(w, max_words)
     gone = np.zeros(len(h), bool)
-    for s in starts:
-        gone[s : s + run] = True
+    for s, n in runs:
+        gone[s : s + n] = True
     edge = np.append(w.start[at], len(raw))
     out = [raw[: edge[0]]] if len(at) else [raw]
     out += [raw[edge[i] : edge[i + 1]] for i in range(len(at)) if not gone[i]]
@@ -107,20 +116,20 @@ def dedup_spans(documents: DataFrame, run: int = 3, min_words: int = 12, max_wor
     for repeats inside it), n_sentences, n_removed, kept_sha256, text (what is left)."""
     arrow_rows(documents.sparkSession)
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
-    all_ = written(docs.mapInArrow(_spans(run, min_words, max_words), "h long, doc_id long, pos int"), "spans")
-    first = all_.groupBy("h").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("h", "first")
+    all_ = written(docs.mapInArrow(_spans(run, min_words, max_words), "h long, doc_id long, pos int, n int"), "spans")
+    first = all_.groupBy("h").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.count(F.lit(1)).alias("times")).where("times > 1").select("h", "first")
     again = all_.join(first, "h").where("doc_id <> first.doc_id or pos <> first.pos")
-    per = written(again.groupBy("doc_id").agg(F.collect_set(F.col("first.doc_id")).alias("first_doc_ids"), F.collect_set("pos").alias("starts")), "covered")
+    per = written(again.groupBy("doc_id").agg(F.collect_set(F.col("first.doc_id")).alias("first_doc_ids"), F.collect_set(F.struct("pos", "n")).alias("runs")), "covered")
 
     def cut(batches):
         for b in batches:
             rows = []
-            for doc, firsts, starts, text in zip(*(b.column(c).to_pylist() for c in ("doc_id", "first_doc_ids", "starts", "text")), strict=True):
-                n, gone, kept = cut_sentences(text, starts, run, max_words)
+            for doc, firsts, runs, text in zip(*(b.column(c).to_pylist() for c in ("doc_id", "first_doc_ids", "runs", "text")), strict=True):
+                n, gone, kept = cut_sentences(text, [(r["pos"], r["n"]) for r in runs], max_words)
                 rows.append((doc, sorted(firsts), n, gone, hashlib.sha256(kept.encode("utf-8", "surrogatepass")).hexdigest(), kept))
             types = [pa.int64(), pa.list_(pa.int64()), pa.int64(), pa.int64(), pa.string(), pa.string()]
             names = ["doc_id", "first_doc_ids", "n_sentences", "n_removed", "kept_sha256", "text"]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names)
 
     text = texts_of(docs, per.select("doc_id"))
-    return per.join(text, "doc_id").select("doc_id", "first_doc_ids", "starts", "text").mapInArrow(cut, _OUT)
+    return per.join(text, "doc_id").select("doc_id", "first_doc_ids", "runs", "text").mapInArrow(cut, _OUT)

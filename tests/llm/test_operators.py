@@ -180,6 +180,32 @@ def test_span_dedup(spark, docs, texts, none):
     assert {i: r.n_removed for i, r in got.items()} == {i: len(v) for i, v in want.items()}
 
 
+def test_span_dedup_short_sentences(spark):
+    r = np.random.default_rng(8)
+    end = {0: "!! ", 1: "\n", 2: ".\n"}
+    texts = {}
+    for i in range(30):
+        w = [f"w{i}x{j}" for j in range(40)] + [f"p{i // 3}x{j}" for j in range(60)] + [f"v{i}x{j}" for j in range(10)]
+        # one-word sentences, with a longer one now and then in the shared passage
+        r3 = np.random.default_rng(i // 3)
+        cut = np.concatenate([np.ones(40), r3.random(60) < 0.9, np.ones(10)])
+        cut[[39, 99]] = 1
+        texts[i] = "".join(x + (end[i // 3 % 3] if c else " ") for x, c in zip(w, cut, strict=True))
+    texts[40] = " ".join("No." for _ in range(5))
+    texts[41] = texts[40]
+    seen, repeated = {}, defaultdict(set)
+    for i, t in sorted(texts.items()):
+        w = words(t)
+        for j in range(len(w) - 49):
+            if seen.setdefault(tuple(w[j : j + 50]), i) != i:
+                repeated[i] |= set(range(j, j + 50))
+    order = [(i, x) for i, x in texts.items()]
+    got = by_id(span_dedup.dedup_spans(spark.createDataFrame([order[k] for k in r.permutation(len(order))], "doc_id long, text string")))
+    assert set(got) == set(repeated) == {i for i in range(30) if i % 3}
+    for i, at in repeated.items():
+        assert words(got[i].text) == [x for j, x in enumerate(words(texts[i])) if j not in at] and got[i].first_doc_ids == [i - i % 3]
+
+
 def test_imatch(docs, texts, none):
     got = by_id(imatch.fingerprint_chain(docs, min_idf=0.5))
     ids = sorted(texts)
