@@ -13,6 +13,10 @@ lower-case hex digits). Structural kinds are reported only when their bytes pars
   with a string `alg`, the second a JSON object, the third not shorter than the
   signature length that `alg` names.
 
+Base64 of `der` and `ssh` may stand in lines (as in PEM): its characters are read
+on over single line ends, written-out ones (\\n) and spaces, as many as the lengths
+inside it claim. Hex is read within one line only.
+
 Spans are code points, end exclusive. Structural spans are added and never
 replace base ones.
 
@@ -41,12 +45,18 @@ _ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x2
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{16,}")
 _ANYHEX = re.compile(r"(?<![0-9A-Za-z])(?:[0-9a-f]{48,}|[0-9A-F]{48,})(?![0-9A-Za-z])")
-_BASE64 = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{40,}={0,2}(?![A-Za-z0-9+/_=-])")
+_BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{40,}={0,2}(?![A-Za-z0-9+/_=-])")
 _LONG = re.compile(r"[A-Za-z0-9+/_-]{40}")
+#: Where base64 of a SEQUENCE, an SSH public key or an openssh-key-v1 header can begin, its characters, and what may stand between and behind them.
+_START = re.compile(r"(?:(?<![A-Za-z0-9+/_-])|(?<=\\n)|(?<=-----))(?:M[A-I]|AAAA[BCE]|b3BlbnNzaC1rZXktdjE)")
+_CHARS = re.compile(r"[A-Za-z0-9+/_-]+")
+_GAP = re.compile(r"[ \t]*(?:\r\n|\n|\r|(?:\\r)?\\n)[ \t]*|[ \t]")
+_STOP = re.compile(r"={0,2}(?:(?=----)|(?![A-Za-z0-9+/_=-]))")
 _TOKEN = re.compile(r"eyJ[A-Za-z0-9_-]{6,}\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+")
 
 # Names and sizes of the public key and token formats.
 _SSH = {b"ssh-rsa", b"ssh-dss", b"ssh-ed25519", b"ecdsa-sha2-nistp256", b"ecdsa-sha2-nistp384", b"ecdsa-sha2-nistp521"}
+_SSH_FIELDS = {b"ssh-rsa": 3, b"ssh-dss": 5, b"ssh-ed25519": 2, b"ecdsa-sha2-nistp256": 3, b"ecdsa-sha2-nistp384": 3, b"ecdsa-sha2-nistp521": 3}
 _SIGNATURE_BYTES = {"HS256": 32, "HS384": 48, "HS512": 64, "RS256": 128, "RS384": 128, "RS512": 128, "PS256": 128, "PS384": 128, "PS512": 128, "ES256": 64, "ES384": 96, "ES512": 132, "EdDSA": 64}
 
 
@@ -114,6 +124,90 @@ def is_ssh_key(data: bytes) -> bool:
     return at == len(data) and len(fields) >= 2 and fields[0] in _SSH
 
 
+class _Wrapped:
+    """Bytes of base64 that may be broken by gaps, from one character of a text on, decoded as far as they are asked for."""
+
+    def __init__(self, text: str, at: int):
+        self.text, self.end, self.parts, self.n = text, at, [], 0
+
+    def take(self, n_bytes: int) -> bytes | None:
+        """The first n_bytes; `end` is then behind their last character. None where the text has fewer."""
+        want = -(-n_bytes * 4 // 3)
+        if want - self.n > len(self.text) - self.end:
+            return None
+        while self.n < want:
+            at = self.end
+            if self.n and (gap := _GAP.match(self.text, at)):
+                at = gap.end()
+            m = _CHARS.match(self.text, at, at + want - self.n)
+            if m is None:
+                return None
+            self.parts.append(m[0])
+            self.n += len(m[0])
+            self.end = m.end()
+        data = _b64("".join(self.parts)[:want])
+        return None if data is None else data[:n_bytes]
+
+
+def _der_size(w: _Wrapped) -> int | None:
+    """Bytes that the SEQUENCE claims, when what it holds first is an INTEGER or a SEQUENCE."""
+    head = w.take(8)
+    if head is None or head[0] != 0x30:
+        return None
+    k = head[1] & 0x7F if head[1] & 0x80 else 0
+    if k > 4 or head[2 + k] not in (0x02, 0x30):
+        return None
+    return 2 + k + (int.from_bytes(head[2 : 2 + k], "big") if k else head[1])
+
+
+def _ssh_size(w: _Wrapped) -> int | None:
+    """Bytes of the fields that the key type or the openssh-key-v1 header calls for."""
+    magic = b"openssh-key-v1\0"
+    head = w.take(len(magic))
+    if head is None:
+        return None
+    private = head == magic
+    at, fields, left = len(magic) if private else 0, [], 3 if private else 1
+    while left:
+        size = w.take(at + 4)
+        if size is None:
+            return None
+        at += 4 + int.from_bytes(size[at:], "big")
+        data = w.take(at)
+        if data is None:
+            return None
+        fields.append(data[at - int.from_bytes(size[-4:], "big") :])
+        left -= 1
+        if not private and len(fields) == 1:
+            left = _SSH_FIELDS.get(fields[0], 1) - 1
+        if private and len(fields) == 3:
+            count = w.take(at + 4)
+            if count is None or int.from_bytes(count[at:], "big") != 1:
+                return None
+            left = 2
+            at += 4
+    # these ciphers put a tag of 16 bytes behind the last field
+    return at + 16 * (private and (b"gcm" in fields[0] or b"poly1305" in fields[0]))
+
+
+def wrapped_spans(text: str) -> list[tuple[int, int, str]]:
+    """Keys in base64 whose characters may be broken into lines; none begins inside another."""
+    out, behind = [], 0
+    for m in _START.finditer(text):
+        if m.start() < behind:
+            continue
+        w = _Wrapped(text, m.start())
+        kind = "der" if m[0][0] == "M" else "ssh"
+        size = (_der_size if kind == "der" else _ssh_size)(w)
+        if size is None or size < 30:
+            continue
+        data = w.take(size)
+        if data is not None and (is_der_key if kind == "der" else is_ssh_key)(data) and (stop := _STOP.match(text, w.end)):
+            behind = stop.end()
+            out.append((m.start(), behind, kind))
+    return out
+
+
 def is_signed_token(s: str) -> bool:
     head, body, sign = (_b64(x) for x in s.split("."))
     if head is None or body is None or sign is None:
@@ -136,12 +230,15 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 
 
 def confirmed_spans(text: str) -> list[tuple[int, int, str]]:
-    out = []
+    out = wrapped_spans(text)
+    inside = list(out)
     if _LONG.search(text):
         for m in _ANYHEX.finditer(text):
             if len(m[0]) % 2 == 0 and is_der_key(bytes.fromhex(m[0])):
                 out.append((m.start(), m.end(), "der"))
         for m in _BASE64.finditer(text):
+            if any(a < m.end() and m.start() < b for a, b, _ in inside):
+                continue
             if (data := _b64(m[0])) is not None:
                 if is_der_key(data):
                     out.append((m.start(), m.end(), "der"))

@@ -293,6 +293,33 @@ def test_secret_scan(spark, none):
     assert secret_scan.scan_secrets(none).count() == 0
 
 
+def test_secret_scan_wrapped_and_assigned_keys(spark):
+    import base64
+
+    field = lambda *x: b"".join(len(v).to_bytes(4, "big") + v for v in x)
+    integer = lambda n: bytes([2, 0x82]) + len(n).to_bytes(2, "big") + n
+    body = bytes([2, 1, 0]) + b"".join(integer(bytes([i + 1]) * 256) for i in range(8))
+    key = base64.b64encode(bytes([0x30, 0x82]) + len(body).to_bytes(2, "big") + body).decode()
+    own = base64.b64encode(b"openssh-key-v1\0" + field(b"none", b"none", b"") + (1).to_bytes(4, "big") + field(b"p" * 51, b"s" * 136)).decode()
+    rsa = base64.b64encode(field(b"ssh-rsa", b"\1\0\1", b"n" * 257)).decode()
+    wrap = lambda t, n, end="\n": end.join(t[i : i + n] for i in range(0, len(t), n))
+    cases = [("der", x) for x in (wrap(key, 64), wrap(key, 76, "\r\n"), wrap(key, 64, "\n    "), wrap(key, 64, "\\n"), wrap(key, 64, " "), wrap(key, 32), key)]
+    cases += [("ssh", x) for x in (wrap(own, 70), own, wrap(rsa, 70), rsa)]
+    around = [("é -----BEGIN PRIVATE KEY-----\n", "\n-----END PRIVATE KEY-----\n"), ("x\nKEY=", "\nNEXT=abc\n"), ("key: '", "'"), ("-----BEGIN KEY-----\\n", "\\n-----END KEY-----"), ("-----BEGIN KEY-----", "-----END KEY-----"), ("word\n", "\nword\nmore words")]
+    rows, want = [], []
+    for kind, x in cases:
+        for a, b in around:
+            want.append(f"{kind}:{len(a)}:{len(a) + len(x)}")
+            rows.append((len(rows), a + x + b))
+    n = len(rows)
+    bad = key[:100] + "A" + key[101:-8] + "\n\n" + key[-8:]
+    rows += [(n, wrap(key[:-64], 64)), (n + 1, bad), (n + 2, wrap(key, 64, "\n\n")), (n + 3, "MI" * 100_000), (n + 4, "MIIE " * 20_000)]
+    got = by_id(secret_scan.scan_secrets(spark.createDataFrame(rows, "doc_id long, text string")))
+    for i, w in enumerate(want):
+        assert [s for s in got[i].spans.split(",") if s.startswith(("der", "ssh"))] == [w] and got[i].n_confirmed == 1, rows[i]
+    assert not any(got[i].n_confirmed for i in range(n, n + 5))
+
+
 def test_decontamination(spark, none):
     item = prose(50, 500)
     w = item.split(" ")
