@@ -8,10 +8,15 @@ order's counts are joined with their context's totals and with the next lower
 order's probabilities, all joins hash-sharded by the packed key. The three
 discounts of an order come from its counts of counts.
 
-Scoring: a text's perplexity per character, all of the text. A language's
-threshold is a quantile of the perplexities of its trusted documents outside the
-sample; a language with fewer than `min_held_out` of them uses the quantile over
-all. Documents above the threshold are rejected, and those without a word.
+Scoring: a text's perplexity per character, all of the text. Short texts scatter
+more than long ones, so log perplexities are measured from the median of the
+language's trusted documents outside the sample, in units of the spread at the
+text's length (variance a + b / characters, fitted to those documents). A
+language's limit is a quantile of these; a language with fewer than
+`min_held_out` such documents uses median and quantile over all. `threshold` is
+the limit as a perplexity at the document's length. Documents above it are
+rejected, and those without a word. Perplexity can't catch a few bad words in
+otherwise ordinary text.
 
 Code points from 4095 on share a symbol. Defined results: null or empty text has
 no perplexity and is rejected; null lang is a language of its own; rows without
@@ -151,6 +156,8 @@ class Table:
         return hit, value
 
 
+#: Squared deviations of texts of length n weigh 1 / (_SPREAD + 1 / n) ** 2 in the fit of their spread.
+_SPREAD = 0.05
 _N = 60  # the order stands above the packed key
 
 
@@ -180,11 +187,11 @@ def has_text(text):
 
 
 def perplexities(documents: DataFrame, model: DataFrame) -> DataFrame:
-    """doc_id, lang, perplexity (null for empty text), has_text (a word at least)."""
+    """doc_id, lang, perplexity (null for empty text), has_text (a word at least), size (code points)."""
     arrow_rows(documents.sparkSession)
     rows = model.toArrow()
     if not rows.num_rows:
-        return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.lit(None).cast("double").alias("perplexity"), has_text(F.col("text")))
+        return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.lit(None).cast("double").alias("perplexity"), has_text(F.col("text")), F.lit(None).cast("long").alias("size"))
     key = rows.column("key").to_numpy() | (rows.column("n").to_numpy().astype(np.int64) << _N)
     value = rows.column("value").to_numpy().astype(np.float32)
     is_p = np.array(rows.column("kind").to_numpy(zero_copy_only=False) == "p")
@@ -194,28 +201,48 @@ def perplexities(documents: DataFrame, model: DataFrame) -> DataFrame:
         lm = Model(*shared.value)
         for b in batches:
             out: list[float | None] = []
+            size: list[int] = []
             for _, _, texts in _text_blocks(b.column("text").to_pylist()):
                 x, (start, end) = _symbols(texts)
                 s = np.concatenate([[0.0], np.cumsum(lm.scores(x), dtype=np.float64)])
                 with np.errstate(invalid="ignore", divide="ignore"):
                     out += [float(v) if n else None for v, n in zip(np.exp((s[start] - s[end]) / (end - start)), end - start, strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("lang"), pa.array(out, pa.float64()), b.column("has_text")], ["doc_id", "lang", "perplexity", "has_text"])
+                size += (end - start).tolist()
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("lang"), pa.array(out, pa.float64()), b.column("has_text"), pa.array(size, pa.int64())], ["doc_id", "lang", "perplexity", "has_text", "size"])
 
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"), has_text(F.col("text")))
-    return docs.mapInArrow(run, "doc_id long, lang string, perplexity double, has_text boolean")
+    return docs.mapInArrow(run, "doc_id long, lang string, perplexity double, has_text boolean, size long")
+
+
+def _variance(held: DataFrame) -> tuple[float, float]:
+    """a and b of the variance a + b / size of log perplexities (`log`) about `own`, by weighted least squares."""
+    x, y = 1 / F.col("size"), (F.col("log") - F.col("own")) ** 2
+    w = (_SPREAD + x) ** -2
+    r = held.agg(*[F.coalesce(F.sum(w * v), F.lit(0.0)).alias(c) for c, v in (("w", F.lit(1.0)), ("x", x), ("xx", x * x), ("y", y), ("xy", x * y))]).first()
+    a, b = np.linalg.lstsq(np.array([[r.w, r.x], [r.x, r.xx]]), np.array([r.y, r.xy]), rcond=None)[0].tolist()
+    if b < 0:
+        a, b = r.y / r.w, 0.0
+    elif a < 0:
+        a, b = 0.0, r.xy / r.xx
+    return max(a, 1e-9), b
 
 
 def classify(documents: DataFrame, labels: DataFrame, quantile: float = 0.99, max_docs: int = 3000, min_held_out: int = 50) -> DataFrame:
     """doc_id, lang, perplexity, threshold, keep."""
     score = score_parts(documents, labels, max_docs)
-    held = score["scores"].join(score["held_out"], "doc_id")
-    by = held.groupBy("lang").agg(F.percentile("perplexity", F.lit(quantile)).alias("own"), F.count("perplexity").alias("n"))
-    every = held.agg(F.percentile("perplexity", F.lit(quantile)).alias("pooled"))
-    limit = F.coalesce(F.when(F.col("n") >= min_held_out, F.col("own")), F.col("pooled"))
-    out = score["scores"].withColumn("lang_key", F.coalesce(F.concat(F.lit("l"), "lang"), F.lit("n")))
-    langs = by.select(F.coalesce(F.concat(F.lit("l"), "lang"), F.lit("n")).alias("lang_key"), "own", "n")
-    pooled = every.first()["pooled"]
-    out = out.join(F.broadcast(langs), "lang_key", "left").withColumn("pooled", F.lit(pooled).cast("double"))
+    key = F.coalesce(F.concat(F.lit("l"), "lang"), F.lit("n")).alias("lang_key")
+    log = F.log("perplexity")
+    held = written(score["scores"].join(score["held_out"], "doc_id").where("perplexity is not null").select(key, log.alias("log"), "size"), "held_out")
+    mid = held.agg(F.percentile("log", F.lit(0.5))).first()[0]
+    langs = held.groupBy("lang_key").agg(F.percentile("log", F.lit(0.5)).alias("mid"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_held_out)
+    held = held.join(langs, "lang_key", "left").withColumn("own", F.coalesce("mid", F.lit(mid).cast("double")))
+    a, b = _variance(held)
+    unit = F.sqrt(F.lit(a) + F.lit(b) / F.greatest("size", F.lit(1)))
+    by = held.groupBy("lang_key").agg(F.first("own").alias("mid"), F.percentile((F.col("log") - F.col("own")) / unit, F.lit(quantile)).alias("z"), F.count(F.lit(1)).alias("n"))
+    by = by.where(F.col("n") >= min_held_out).select("lang_key", "mid", "z")
+    pooled = held.agg(F.percentile((F.col("log") - F.lit(mid)) / unit, F.lit(quantile))).first()[0]
+    out = score["scores"].withColumn("lang_key", key).join(F.broadcast(by), "lang_key", "left")
+    limit = F.exp(F.coalesce("mid", F.lit(mid).cast("double")) + F.coalesce("z", F.lit(pooled).cast("double")) * unit)
     keep = F.col("has_text") & F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True))
     return out.withColumn("threshold", limit).select("doc_id", "lang", "perplexity", "threshold", keep.alias("keep"))
 

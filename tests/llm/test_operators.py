@@ -260,6 +260,19 @@ def test_quality(spark):
     assert kn_quality.classify(docs.limit(0), labels).count() == 0
 
 
+def test_quality_limit_follows_length(spark):
+    r = np.random.default_rng(6)
+    odd = ["".join(r.choice(list("klmnopqrst"), 6)) for _ in range(50)]
+    long = lambda share: " ".join(odd[r.integers(50)] if r.random() < share else w for w in r.choice(VOCAB, 300))
+    short = lambda: "".join(r.choice(list("abcdefghijklm "), 8)) + "a"
+    rows = [(i, long(0) if i % 10 else short()) for i in range(600)] + [(1000 + i, long(0.06)) for i in range(60)]
+    docs = spark.createDataFrame([(i, t, "en", None, 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    labels = spark.createDataFrame([(i, 1, int(i >= 1000)) for i, _ in rows], "doc_id long, quality int, toxic int")
+    got = by_id(kn_quality.classify(docs, labels, min_held_out=20))
+    assert sum(got[i].keep for i in range(600)) >= 585
+    assert sum(got[1000 + i].keep for i in range(60)) <= 6
+
+
 def test_model_probabilities_sum_to_one(spark):
     model = kn_quality.train(spark.createDataFrame([("abracadabra",), ("abra cad",)], "text string")).toPandas()
     p, g = model[model.kind == "p"], model[model.kind == "g"]
