@@ -7,8 +7,9 @@ document frequency lies in [min_idf, max_idf]. A text's kept terms, distinct and
 sorted, are intersected with each of the randomised lexicon subsets, and each
 intersection is hashed; the fingerprint is the hashes side by side. Subsets take
 1/8, 1/32, 1/128 and 1/512 of the lexicon, so that short and long texts have
-subsets that an edit leaves alone. A text without kept terms is hashed from all its
-terms, once for all subsets. Likeness of two fingerprints: the share of the
+subsets that an edit leaves alone. A text without kept terms, or with none in any
+subset, is hashed from the full hashes of all its terms, to other bits for every
+subset, so it agrees with texts of the same terms only. Likeness of two fingerprints: the share of the
 subsets in which they agree, among those where either has a term.
 
 Defined results: null is the empty text; equal texts get equal fingerprints; two
@@ -40,25 +41,32 @@ def _terms(w: Words) -> list[np.ndarray]:
     return [np.unique(w.hash[a:b] >> U64(64 - COUNTERS)) for a, b in zip(w.first[:-1], w.first[1:], strict=True)]
 
 
+def _distinct(w: Words) -> list[np.ndarray]:
+    return [np.unique(w.hash[a:b]) for a, b in zip(w.first[:-1], w.first[1:], strict=True)]
+
+
 class Lexicon:
     """The slots of the band, as a task uses them."""
 
     def __init__(self, band: bytes):
         self.band = np.unpackbits(np.frombuffer(band, np.uint8)).view(bool)
 
-    def fingerprint(self, terms: np.ndarray) -> str:
+    def fingerprint(self, words: np.ndarray) -> str:
+        """Of a text's distinct word hashes, sorted."""
+        if not len(words):
+            return NONE * len(RATES)
+        terms = np.unique(words >> U64(64 - COUNTERS))
         kept = terms[self.band[terms.astype(np.int64)]]
-        if not len(kept):
-            return hashlib.md5(terms.tobytes()).hexdigest()[:4] * len(RATES) if len(terms) else NONE * len(RATES)
         subset, at = np.nonzero(mix(kept[None, :] ^ _SEEDS) >> _SHIFT == 0)
+        if not len(subset):
+            return hashlib.shake_128(words.tobytes()).hexdigest(2 * len(RATES))
         out = [NONE] * len(RATES)
-        if len(subset):
-            head = np.flatnonzero(np.append(True, subset[1:] != subset[:-1]))
-            place = np.arange(len(subset)) - np.repeat(head, np.diff(np.append(head, len(subset))))
-            with np.errstate(over="ignore"):
-                sums = np.add.reduceat(mix(kept[at] + mix(place.astype(U64), 5), 7), head)
-            for i, h in zip(subset[head].tolist(), (mix(sums) >> U64(48)).tolist(), strict=True):
-                out[i] = f"{h:04x}"
+        head = np.flatnonzero(np.append(True, subset[1:] != subset[:-1]))
+        place = np.arange(len(subset)) - np.repeat(head, np.diff(np.append(head, len(subset))))
+        with np.errstate(over="ignore"):
+            sums = np.add.reduceat(mix(kept[at] + mix(place.astype(U64), 5), 7), head)
+        for i, h in zip(subset[head].tolist(), (mix(sums) >> U64(48)).tolist(), strict=True):
+            out[i] = f"{h:04x}"
         return "".join(out)
 
 
@@ -106,7 +114,7 @@ _TYPES = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.floa
 def _finished(lex: Lexicon, pairs: list[tuple[int, str, str]], prints: list[tuple[str, str]]) -> list[tuple]:
     """pairs: doc_id, text, next text; prints: of both texts."""
     new = [edited(t, u) for _, t, u in pairs]
-    of_new = [lex.fingerprint(t) for t in _terms(words_of(new))] if new else []
+    of_new = [lex.fingerprint(t) for t in _distinct(words_of(new))] if new else []
     return [
         (d, len(t), hashlib.sha256(e.encode("utf-8", "surrogatepass")).hexdigest(), f, g, likeness(f, g), likeness(f, h))
         for (d, t, _), e, g, (f, h) in zip(pairs, new, of_new, prints, strict=True)
@@ -137,7 +145,7 @@ def fingerprint_chain(documents: DataFrame, min_idf: float = 2.0, max_idf: float
             ids = b.column("doc_id").to_pylist()
             for lo, hi, w in blocks(b.column("text")):
                 texts = b.column("text").slice(lo, hi - lo).to_pylist()
-                prints = [lex.fingerprint(t) for t in _terms(w)]
+                prints = [lex.fingerprint(t) for t in _distinct(w)]
                 out = []
                 if held is None:
                     out.append((None,) * 7 + (place, 1, texts[0]))
@@ -164,7 +172,7 @@ def fingerprint_chain(documents: DataFrame, min_idf: float = 2.0, max_idf: float
         lex = Lexicon(band.value)
         for b in batches:
             for doc, text, nxt in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text", "after")), strict=True):
-                f, h = (lex.fingerprint(t) for t in _terms(words_of([text, nxt])))
+                f, h = (lex.fingerprint(t) for t in _distinct(words_of([text, nxt])))
                 yield _batch([_finished(lex, [(doc, text, nxt)], [(f, h)])[0] + (None, 0, None)]).select(_NAMES[:7])
 
     return done.unionByName(tails.select("doc_id", "text", "after").mapInArrow(finish, _ROW))
@@ -179,6 +187,6 @@ def fingerprints(documents: DataFrame, min_idf: float = 2.0, max_idf: float = 8.
         lex = Lexicon(band.value)
         for b in batches:
             for lo, hi, w in blocks(b.column("text")):
-                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(lo, hi - lo), pa.array([lex.fingerprint(t) for t in _terms(w)], pa.string())], ["doc_id", "fingerprint"])
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(lo, hi - lo), pa.array([lex.fingerprint(t) for t in _distinct(w)], pa.string())], ["doc_id", "fingerprint"])
 
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fingerprint string")

@@ -223,6 +223,16 @@ def test_imatch(docs, texts, none):
     assert len(one) == 1 and one[0].near_next == 1
 
 
+def test_imatch_tells_texts_without_subset_terms_apart(spark):
+    t = {i: f"word{i} " * (1 + i % 3) for i in range(3000)} | {5000: "", 5001: " \n", 5002: "word7"}
+    d = spark.createDataFrame(list(t.items()), "doc_id long, text string")
+    for how in ({"min_idf": 50.0, "max_idf": 60.0}, {}):
+        got = {i: r.fingerprint for i, r in by_id(imatch.fingerprints(d, **how)).items()}
+        assert len({got[i] for i in range(3000)}) == 3000 and got[5002] == got[7] and got[5000] == got[5001] and got[5000] not in {got[i] for i in range(3000)}
+    got = by_id(imatch.fingerprint_chain(d, min_idf=50.0, max_idf=60.0))
+    assert max(got[i].near_next for i in range(2999)) < 0.1 and got[5000].near_next == 1
+
+
 CONV = "conv_id long, turn long, role string, text string, block string, loss string"
 
 
