@@ -7,41 +7,92 @@ tasks it was running.
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-ARROW_ROWS = 1000
 COUNTERS = 22
 BLOCKS = 64
+PIECE_BYTES = 8 << 20
+_folders: dict[str, SparkSession] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's spark.checkpoint.dir; where it is unset (tests), a folder of our own becomes the checkpoint folder."""
+    """The cluster's spark.checkpoint.dir; where it is unset and the master is local (tests), a folder of our own becomes the
+    checkpoint folder. On a cluster a machine's own folder would lose rows, so there it must be set."""
     at = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not at:
         at = spark.conf.get("pagespan.checkpoint.dir", None)
         if not at:
+            if not spark.sparkContext.master.split("[")[0] == "local":
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             at = "file://" + tempfile.mkdtemp(prefix="pagespan-")
             spark.conf.set("pagespan.checkpoint.dir", at)
     return at.rstrip("/")
 
 
+def _delete(spark: SparkSession, at: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def _sweep() -> None:
+    for at, spark in _folders.items():
+        with contextlib.suppress(Exception):  # the JVM may be gone already
+            _delete(spark, at)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder, read back: cuts the lineage."""
-    at = f"{shared_dir(df.sparkSession)}/pagespan/{uuid.uuid4().hex}/{name}"
+    """df as a table in the shared folder, read back: cuts the lineage. The tables of an application go when its driver ends,
+    or with release()."""
+    spark = df.sparkSession
+    top = f"{shared_dir(spark)}/pagespan/{spark.sparkContext.applicationId}"
+    if not _folders:
+        atexit.register(_sweep)
+    _folders.setdefault(top, spark)
+    at = f"{top}/{uuid.uuid4().hex}/{name}"
     df.write.option("compression", "zstd").parquet(at)
-    return df.sparkSession.read.schema(df.schema).parquet(at)
+    out = spark.read.schema(df.schema).parquet(at)
+    out._pagespan_at = at
+    return out
+
 
+def release(*tables: DataFrame | None) -> None:
+    """Deletes written() tables that nothing will read again."""
+    for t in tables:
+        if t is not None and (at := getattr(t, "_pagespan_at", None)):
+            _delete(t.sparkSession, at)
 
-def arrow_rows(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
-    """Long texts: keeps Arrow batches small. The engine's default is 10,000 rows a batch."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+
+def fresh(name: str, columns) -> str:
+    """The name, or one with underscores behind it that no column has (names are compared without case)."""
+    used = {c.lower() for c in columns}
+    while name.lower() in used:
+        name += "_"
+    return name
+
+
+def pieces(batches, column: str = "text", most: int = PIECE_BYTES):
+    """Cuts Arrow batches so that the column's text in a piece is about `most` bytes, or one row. Spark itself bounds a batch by
+    spark.sql.execution.arrow.maxBytesPerBatch (64 MB), so no setting of the caller's session is touched."""
+    for b in batches:
+        if not b.num_rows:
+            continue
+        text = b.column(column)
+        size = np.concatenate([[0], np.cumsum(pa.compute.fill_null(pa.compute.binary_length(text), 0).to_numpy(zero_copy_only=False).astype(np.int64))])
+        lo = 0
+        while lo < b.num_rows:
+            hi = max(lo + 1, int(np.searchsorted(size, size[lo] + most, "right")) - 1)
+            yield b.slice(lo, hi - lo)
+            lo = hi
 
 
 COUNTER_SCHEMA = "block int, counts binary"
@@ -155,14 +206,23 @@ def texts_of(documents: DataFrame, ids: DataFrame) -> DataFrame:
     return kept.join(ids.select("doc_id"), "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
 
 
+def one_text(docs: DataFrame) -> DataFrame:
+    """docs (doc_id, text; doc_id not null) with one row per doc_id: of rows that share one the smallest text, null being empty.
+    Only rows of repeated ids are moved."""
+    repeated = written(docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id"), "repeated_ids")
+    if not repeated.head(1):
+        return docs
+    return without(docs, repeated).unionByName(texts_of(docs, repeated))
+
+
 def without(documents: DataFrame, ids: DataFrame) -> DataFrame:
     """documents without the rows of the ids (one bigint column doc_id). Rows that the Bloom filter lacks pass as they are;
-    the others meet the ids in an exact join."""
-    arrow_rows(documents.sparkSession)
-    ids = written(ids.select("doc_id").distinct(), "gone")
-    shared = _filter(ids)
+    the others meet the ids in an exact join. Columns of any name pass through."""
+    gone = fresh("gone", documents.columns)
+    ids = written(ids.select(F.col("doc_id").alias(gone)).distinct(), "gone")
+    shared = _filter(ids.withColumnRenamed(gone, "doc_id"))
     maybe = _passing(documents, shared, True)
-    return _passing(documents, shared, False).unionByName(maybe.join(ids.withColumnRenamed("doc_id", "gone_id"), F.col("doc_id") == F.col("gone_id"), "left_anti"))
+    return _passing(documents, shared, False).unionByName(maybe.join(ids, F.col("doc_id").cast("long") == F.col(gone), "left_anti"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -182,7 +242,8 @@ def components(edges: DataFrame) -> DataFrame:
         # small star: smaller neighbours of u and u itself point to the smallest of them
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
-        e = written(small.where("u <> v").distinct(), "edges")
+        before, e = e, written(small.where("u <> v").distinct(), "edges")
+        release(before)
         now = e.agg(F.count(F.lit(1)).alias("n"), F.sum(F.hash("u", "v").cast("long")).alias("h"), F.sum(F.xxhash64("u", "v") % 1000003).alias("x")).first()
         if now == mark:
             break

@@ -52,33 +52,60 @@ def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
 
 
 class Words:
-    """Words of a block: start and end bytes, hashes, and for text i the words first[i]:first[i+1]."""
+    """Words of a block: start and end bytes, hashes, and for text i the words first[i]:first[i+1].
+
+    A long text is read in pieces that end at white space, so that what is kept per word is all that grows with it."""
 
     __slots__ = ("data", "off", "start", "end", "hash", "first")
 
     def __init__(self, data: np.ndarray, off: np.ndarray):
         self.data, self.off = data, off
-        n = len(data)
-        space = IS_SPACE[data]
-        edge = np.zeros(n + 1, bool)
-        edge[off] = True
-        before = np.ones(n, bool)
-        before[1:] = space[:-1]
-        before |= edge[:n]
-        after = np.ones(n, bool)
-        after[:-1] = space[1:]
-        after |= edge[1:]
-        word = ~space
-        self.start = np.flatnonzero(word & before)
-        self.end = np.flatnonzero(word & after) + 1
-        p, inv = _powers(n + 1)
-        sums = np.zeros(n + 1, U64)
-        np.cumsum(BYTE_VALUE[data] * p[:n], out=sums[1:])
-        h = (sums[self.end] - sums[self.start]) * inv[self.start]
-        self.hash = mix(h ^ (self.end - self.start).astype(U64) * U64(0xA24BAED4963EE407))
+        if len(data) <= 2 * BLOCK_BYTES:
+            self.start, self.end, self.hash = _words(data, off)
+        else:
+            kind = np.int32 if len(data) < 1 << 31 else np.int64
+            parts = []
+            for a, b in _cuts(data):
+                own = off[np.searchsorted(off, a, "left") : np.searchsorted(off, b, "right")] - a
+                start, end, h = _words(data[a:b], np.concatenate([[0], own, [b - a]]))
+                parts.append(((start + a).astype(kind), (end + a).astype(kind), h))
+            self.start, self.end, self.hash = (np.concatenate(x) for x in zip(*parts, strict=True))
         self.first = np.searchsorted(self.start, off)
 
 
+def _cuts(data: np.ndarray):
+    """Bounds of pieces of about BLOCK_BYTES; each but the last ends behind white space."""
+    n, a = len(data), 0
+    while a < n:
+        b = min(a + BLOCK_BYTES, n)
+        while b < n and not IS_SPACE[data[b - 1]]:
+            ahead = np.flatnonzero(IS_SPACE[data[b : b + BLOCK_BYTES]])
+            b = b + int(ahead[0]) + 1 if len(ahead) else min(b + BLOCK_BYTES, n)
+        yield a, b
+        a = b
+
+
+def _words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    n = len(data)
+    space = IS_SPACE[data]
+    edge = np.zeros(n + 1, bool)
+    edge[off] = True
+    before = np.ones(n, bool)
+    before[1:] = space[:-1]
+    before |= edge[:n]
+    after = np.ones(n, bool)
+    after[:-1] = space[1:]
+    after |= edge[1:]
+    word = ~space
+    start = np.flatnonzero(word & before)
+    end = np.flatnonzero(word & after) + 1
+    p, inv = _powers(n + 1)
+    sums = np.zeros(n + 1, U64)
+    np.cumsum(BYTE_VALUE[data] * p[:n], out=sums[1:])
+    h = (sums[end] - sums[start]) * inv[start]
+    return start, end, mix(h ^ (end - start).astype(U64) * U64(0xA24BAED4963EE407))
+
+
 def words_of(texts: list[str | bytes | None]) -> Words:
     raw = [b"" if t is None else t.encode("utf-8", "surrogatepass") if isinstance(t, str) else t for t in texts]
     off = np.zeros(len(raw) + 1, np.int64)

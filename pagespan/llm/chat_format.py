@@ -16,7 +16,8 @@ ranges of the segment that hold assistant text, escaped, and nothing else.
 
 Defined results: null text and null role are empty; rows follow turn (null
 first), then role and text; rows that repeat are turns of their own; conv_id null
-is a conversation; an empty table gives no rows; other columns are ignored.
+is a conversation; an empty table gives no rows; other columns are ignored. A text
+whose escaped form passes 2 GiB (the limit of a string column) fails.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagespan.llm._store import arrow_rows, written
+from pagespan.llm._store import pieces, written
 
 SEGMENT_TURNS = 128
 PARTS = {"user": (b"[INST] ", b" [/INST]"), "assistant": (b" ", b" </s>"), "system": (b"<<SYS>>\n", b"\n<</SYS>>\n")}
@@ -53,11 +54,21 @@ def unescape(text: str) -> str:
     return _ESCAPED.sub(r"\1", text)
 
 
+_LONG = 1 << 16
+_SLICE = 1 << 20
+
+
 def _scatter(out: np.ndarray, to: np.ndarray, data: np.ndarray, start: np.ndarray, size: np.ndarray) -> None:
-    """out[to[i] : to[i] + size[i]] = data[start[i] : start[i] + size[i]] for all i, in one indexed copy."""
-    if total := int(size.sum()):
-        within = np.arange(total) - np.repeat(np.cumsum(size) - size, size)
-        out[within + np.repeat(to, size)] = data[within + np.repeat(start, size)]
+    """out[to[i] : to[i] + size[i]] = data[start[i] : start[i] + size[i]] for all i: indexed copies of about _SLICE bytes each, so
+    the index arrays stay small; long segments are copied as they are."""
+    for i in np.flatnonzero(size > _LONG).tolist():
+        out[to[i] : to[i] + size[i]] = data[start[i] : start[i] + size[i]]
+    short = np.flatnonzero((size > 0) & (size <= _LONG))
+    part = np.cumsum(size[short]) // _SLICE
+    for own in np.split(short, np.flatnonzero(np.diff(part)) + 1):
+        n = size[own]
+        within = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        out[within + np.repeat(to[own], n)] = data[within + np.repeat(start[own], n)]
 
 
 def assemble(roles: list[str | None], texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -88,10 +99,8 @@ _SEGMENTS = "conv_id long, block long, part int, formatted string, loss array<st
 def _format(batches):
     seen: tuple = ()
     part = 0
-    for b in batches:
+    for b in pieces(batches):
         n = b.num_rows
-        if not n:
-            continue
         conv, block, roles = b.column("conv_id").to_pylist(), b.column("block").to_pylist(), b.column("role").to_pylist()
         out, turn, start, end = assemble(roles, b.column("text"))
         first = [i for i in range(n) if i == 0 or conv[i] != conv[i - 1] or block[i] != block[i - 1]]
@@ -107,9 +116,12 @@ def _format(batches):
         base = turn[bounds[:-1]][seg]
         spans = pa.StructArray.from_arrays([pa.array((start[at] - base).astype(np.int32)), pa.array((end[at] - base).astype(np.int32))], ["start", "end"])
         offsets = np.searchsorted(seg, np.arange(len(first) + 1)).astype(np.int32)
-        text = pa.LargeStringArray.from_buffers(len(first), pa.py_buffer(turn[bounds].astype(np.int64).tobytes()), pa.py_buffer(out.tobytes()))
+        if len(out) >= 1 << 31:
+            raise ValueError("a formatted text of 2 GiB or more is no string column's value")
+        # the buffer itself becomes the column: nothing is copied again
+        text = pa.StringArray.from_buffers(len(first), pa.py_buffer(turn[bounds].astype(np.int32)), pa.py_buffer(out))
         yield pa.RecordBatch.from_arrays(
-            [pa.array([conv[i] for i in first], pa.int64()), pa.array([block[i] for i in first], pa.int64()), pa.array(no, pa.int32()), text.cast(pa.string()), pa.ListArray.from_arrays(pa.array(offsets), spans)],
+            [pa.array([conv[i] for i in first], pa.int64()), pa.array([block[i] for i in first], pa.int64()), pa.array(no, pa.int32()), text, pa.ListArray.from_arrays(pa.array(offsets), spans)],
             ["conv_id", "block", "part", "formatted", "loss"],
         )
 
@@ -117,7 +129,6 @@ def _format(batches):
 def format_chat(conversations: DataFrame) -> DataFrame:
     """conv_id, block, part, formatted, loss: the segments, to be read in the order of block and part."""
     spark = conversations.sparkSession
-    arrow_rows(spark)
     rows = conversations.select(
         F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text")
     ).withColumn("block", F.expr(f"coalesce(floor(turn / {SEGMENT_TURNS}), -9223372036854775807)").cast("long"))
@@ -150,7 +161,7 @@ _DIGEST = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, los
 
 def _read_back(batches):
     state = None
-    for b in batches:
+    for b in pieces(batches, "formatted"):
         done = []
         for conv, formatted, loss in zip(*(b.column(c).to_pylist() for c in ("conv_id", "formatted", "loss")), strict=True):
             if state is None or state[0] != conv:
@@ -183,5 +194,4 @@ def chat_digests(conversations: DataFrame) -> DataFrame:
     one task in order, one batch in memory at a time."""
     seg = written(format_chat(conversations), "segments")
     parts = int(conversations.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    arrow_rows(conversations.sparkSession, 100)
     return seg.repartition(parts, "conv_id").sortWithinPartitions("conv_id", "block", "part").mapInArrow(_read_back, _DIGEST)

@@ -1,9 +1,12 @@
 """I-Match document fingerprints over randomised lexicons.
 
-Terms are lower-cased words, addressed by the top 22 bits of their hash (the
-lexicon has 4 Mi slots, so it is 512 KB as a bit set whatever the corpus). A
-slot's document frequency counts all documents; a term is kept when its inverse
-document frequency lies in [min_idf, max_idf]. A text's kept terms, distinct and
+Terms are lower-cased words, known by their 64-bit hashes. Their document
+frequencies are counted exactly over all documents; a term is kept when its inverse
+document frequency, log(documents / frequency), lies in [min_idf, max_idf]. The
+lexicon so bounded is broadcast: a kept term stands in at least exp(-max_idf) of the
+documents, so there are at most exp(max_idf) times as many as a document has
+distinct terms on average, whatever the number of documents (8 bytes each; at
+max_idf 8 and 1,000 terms a text, 24 MB). A text's kept terms, distinct and
 sorted, are intersected with each of the randomised lexicon subsets, and each
 intersection is hashed; the fingerprint is the hashes side by side. Subsets take
 1/8, 1/32, 1/128 and 1/512 of the lexicon, so that short and long texts have
@@ -28,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagespan.llm._store import COUNTER_SCHEMA, COUNTERS, Counter, arrow_rows, summed, written
+from pagespan.llm._store import pieces, release, written
 from pagespan.llm._text import U64, Words, blocks, mix, words_of
 
 RATES = (3,) * 16 + (5,) * 16 + (7,) * 16 + (9,) * 16
@@ -37,26 +40,31 @@ _SHIFT = (64 - np.array(RATES)).astype(U64)[:, None]
 NONE = "." * 4
 
 
-def _terms(w: Words) -> list[np.ndarray]:
-    return [np.unique(w.hash[a:b] >> U64(64 - COUNTERS)) for a, b in zip(w.first[:-1], w.first[1:], strict=True)]
-
-
 def _distinct(w: Words) -> list[np.ndarray]:
     return [np.unique(w.hash[a:b]) for a, b in zip(w.first[:-1], w.first[1:], strict=True)]
 
 
 class Lexicon:
-    """The slots of the band, as a task uses them."""
+    """The terms of the band, as a task uses them: a bit set over their top bits, and the sorted terms for what passes it."""
 
-    def __init__(self, band: bytes):
-        self.band = np.unpackbits(np.frombuffer(band, np.uint8)).view(bool)
+    BITS = 22
+
+    def __init__(self, terms: bytes):
+        self.terms = np.frombuffer(terms, U64)
+        self.seen = np.zeros(1 << self.BITS, bool)
+        self.seen[(self.terms >> U64(64 - self.BITS)).astype(np.int64)] = True
+
+    def kept(self, words: np.ndarray) -> np.ndarray:
+        words = words[self.seen[(words >> U64(64 - self.BITS)).astype(np.int64)]]
+        if not len(words):
+            return words
+        return words[self.terms[np.minimum(np.searchsorted(self.terms, words), len(self.terms) - 1)] == words]
 
     def fingerprint(self, words: np.ndarray) -> str:
         """Of a text's distinct word hashes, sorted."""
         if not len(words):
             return NONE * len(RATES)
-        terms = np.unique(words >> U64(64 - COUNTERS))
-        kept = terms[self.band[terms.astype(np.int64)]]
+        kept = self.kept(words)
         subset, at = np.nonzero(mix(kept[None, :] ^ _SEEDS) >> _SHIFT == 0)
         if not len(subset):
             return hashlib.shake_128(words.tobytes()).hexdigest(2 * len(RATES))
@@ -78,25 +86,50 @@ def likeness(a: str, b: str) -> float:
     return float((x == y)[either].mean()) if either.any() else 1.0
 
 
-def lexicon_band(documents: DataFrame, min_idf: float = 2.0, max_idf: float = 8.0) -> bytes:
-    """The bit set of slots whose idf lies in the band, counted over all documents."""
+_KEPT_COUNTS = 1 << 20
+LEXICON_BYTES = 1 << 30
 
-    def count(batches):
-        c = Counter()
-        n = 0
-        for b in batches:
-            n += b.num_rows
-            for _, _, w in blocks(b.column("text")):
-                for t in _terms(w):
-                    c.add(t << U64(64 - COUNTERS))
-        rows = c.rows()
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["block", "counts"])
-
-    df = summed(documents.select(F.col("text").cast("string").alias("text")).mapInArrow(count, COUNTER_SCHEMA))
+
+def _counts(batches):
+    """(term, df) of the documents of a task; sums are handed on before they outgrow _KEPT_COUNTS."""
+
+    def rows(t, n):
+        return pa.RecordBatch.from_arrays([pa.array(t.view(np.int64)), pa.array(n)], ["term", "df"])
+
+    def merged(parts):
+        t, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.argsort(t, kind="stable")
+        t, n = t[order], n[order]
+        head = np.flatnonzero(np.append(True, t[1:] != t[:-1])) if len(t) else np.zeros(0, np.int64)
+        return t[head], np.add.reduceat(n, head) if len(t) else n
+
+    parts, size = [], 0
+    for b in batches:
+        for _, _, w in blocks(b.column("text")):
+            t, n = np.unique(np.concatenate([np.zeros(0, U64), *_distinct(w)]), return_counts=True)
+            parts.append((t, n))
+            size += len(t)
+            if size > 2 * _KEPT_COUNTS:
+                parts = [merged(parts)]
+                size = len(parts[0][0])
+                if size > _KEPT_COUNTS:
+                    yield rows(*parts[0])
+                    parts, size = [], 0
+    if parts:
+        yield rows(*merged(parts))
+
+
+def lexicon(documents: DataFrame, min_idf: float = 2.0, max_idf: float = 8.0) -> bytes:
+    """The sorted hashes of the terms whose idf lies in the band, counted over all documents (null text has none)."""
     n = documents.count()
-    with np.errstate(divide="ignore"):
-        idf = np.log(max(n, 1) / df.astype(np.float64))
-    return np.packbits((df > 0) & (idf >= min_idf) & (idf <= max_idf)).tobytes()
+    counts = documents.select(F.col("text").cast("string").alias("text")).mapInArrow(_counts, "term long, df long").groupBy("term").agg(F.sum("df").alias("df"))
+    idf = F.log(F.lit(float(max(n, 1))) / F.col("df"))
+    band = written(counts.where(idf.between(min_idf, max_idf)).select("term"), "lexicon")
+    if 8 * band.count() > LEXICON_BYTES:
+        raise ValueError("the lexicon outgrows its bound: lower max_idf, or cut texts that hold whole libraries")
+    terms = np.sort(band.toArrow().column("term").to_numpy().view(U64)).tobytes()
+    release(band)
+    return terms
 
 
 def edited(text: str, after: str) -> str:
@@ -133,8 +166,7 @@ def fingerprint_chain(documents: DataFrame, min_idf: float = 2.0, max_idf: float
     text per partition is then joined to the next partition's first.
     """
     spark = documents.sparkSession
-    arrow_rows(spark, 500)
-    band = spark.sparkContext.broadcast(lexicon_band(documents, min_idf, max_idf))
+    band = spark.sparkContext.broadcast(lexicon(documents, min_idf, max_idf))
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
     def run(batches):
@@ -170,7 +202,7 @@ def fingerprint_chain(documents: DataFrame, min_idf: float = 2.0, max_idf: float
 
     def finish(batches):
         lex = Lexicon(band.value)
-        for b in batches:
+        for b in pieces(batches):
             for doc, text, nxt in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text", "after")), strict=True):
                 f, h = (lex.fingerprint(t) for t in _distinct(words_of([text, nxt])))
                 yield _batch([_finished(lex, [(doc, text, nxt)], [(f, h)])[0] + (None, 0, None)]).select(_NAMES[:7])
@@ -180,8 +212,7 @@ def fingerprint_chain(documents: DataFrame, min_idf: float = 2.0, max_idf: float
 
 def fingerprints(documents: DataFrame, min_idf: float = 2.0, max_idf: float = 8.0) -> DataFrame:
     """doc_id, fingerprint: the plain form, without any exchange of texts."""
-    arrow_rows(documents.sparkSession, 500)
-    band = documents.sparkSession.sparkContext.broadcast(lexicon_band(documents, min_idf, max_idf))
+    band = documents.sparkSession.sparkContext.broadcast(lexicon(documents, min_idf, max_idf))
 
     def run(batches):
         lex = Lexicon(band.value)

@@ -4,17 +4,20 @@ A line's key is the line without [\\x20\\x09-\\x0D] at both ends, A-Z lower-case
 Keys of at least `min_chars` code points held by at least `min_docs` documents
 lose all their lines except in the largest doc_id that holds them.
 
-The exact state is a table of postings (key, doc_id), from which the reference
+The exact state is a table of postings (key, doc_id, row), from which the reference
 counts (key -> documents, largest doc_id) are aggregated. Keys that reached
 `min_docs` go to cuckoo filters, one per key shard; postings probe the filters
 first, and only those that pass meet the exact table. A filter's false positives
-are refuted there; it has no false negatives. Inserting or deleting documents
+are refuted there; it has no false negatives. Filters are broadcast while all of
+them take FILTER_MB at most; beyond that each stays with its shard and the
+postings go there, salted, so that a line that stands everywhere has several tasks. Inserting or deleting documents
 adds to or takes from both, so a deleted document leaves no trace.
 
 Defined results: null or empty text is one empty line; rows without doc_id pass
-unchanged and hold nothing; each row is one document, rows that share a doc_id
-count each and all keep the line if their doc_id is the largest; an empty table
-gives no rows; other columns are ignored.
+unchanged and hold nothing; rows that share a doc_id are one document that is
+counted once, each has its own result, and all keep the line if their doc_id is
+the largest; an empty table gives no rows; columns of any other name are ignored,
+or pass through `dedup_documents`.
 """
 
 from __future__ import annotations
@@ -27,13 +30,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagespan.llm._store import arrow_rows, written
+from pagespan.llm._store import fresh, pieces, release, written
 from pagespan.llm._text import U64, mix
 
 SHARD_KEYS = 200_000
 FILTER_MB = 64
 _SPACE = b" \t\n\x0b\x0c\r"
-_POSTINGS = "k1 long, k2 long, doc_id long"
+_POSTINGS = "k1 long, k2 long, doc_id long, row long"
+SALTS = 8
 
 
 def line_key(line: bytes) -> bytes:
@@ -51,16 +55,16 @@ def key_hash(key: bytes) -> bytes:
 
 def _postings(min_chars: int):
     def run(batches):
-        for b in batches:
-            keys, ids = [], []
-            for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
-                if text:
-                    own = {key_hash(k) for x in text.encode("utf-8", "surrogatepass").split(b"\n") if _long_enough(k := line_key(x), min_chars)}
-                    keys.extend(own)
-                    ids.extend([doc] * len(own))
+        for b in pieces(batches):
+            keys, n = [], []
+            for text in b.column("text").to_pylist():
+                own = {key_hash(k) for x in text.encode("utf-8", "surrogatepass").split(b"\n") if _long_enough(k := line_key(x), min_chars)} if text else ()
+                keys.extend(own)
+                n.append(len(own))
             if keys:
                 k = np.frombuffer(b"".join(keys), np.int64).reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays([pa.array(k[:, 0]), pa.array(k[:, 1]), pa.array(ids, pa.int64())], ["k1", "k2", "doc_id"])
+                ids, rows = (np.repeat(b.column(c).to_numpy(), n) for c in ("doc_id", "row"))
+                yield pa.RecordBatch.from_arrays([pa.array(k[:, 0]), pa.array(k[:, 1]), pa.array(ids), pa.array(rows)], ["k1", "k2", "doc_id", "row"])
 
     return run
 
@@ -159,10 +163,30 @@ def _shard(k1, shards: int):
     return F.pmod(F.shiftrightunsigned(k1, 7), F.lit(shards)).cast("int")
 
 
+def _row(text):
+    """Tells rows that share a doc_id apart."""
+    return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
 
 
 def _counted(postings: DataFrame) -> DataFrame:
-    return postings.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("docs"), F.max("doc_id").alias("last"))
+    return postings.groupBy("k1", "k2").agg(F.count_distinct("doc_id").alias("docs"), F.max("doc_id").alias("last"))
+
+
+def _probe_streamed(batches):
+    """Rows sorted by shard, salt and kind: a shard's filter (kind 0), then its postings, of which those that it has go out."""
+    shard, c = None, None
+    for b in batches:
+        s, kind = b.column("shard").to_numpy(), b.column("kind").to_numpy()
+        place = s.astype(np.int64) * SALTS + b.column("salt").to_numpy()
+        edges = np.flatnonzero(np.append(True, (place[1:] != place[:-1]) | (kind[1:] != kind[:-1]))).tolist()
+        for lo, hi in zip(edges, [*edges[1:], b.num_rows], strict=True):
+            if kind[lo] == 0:
+                shard, c = place[lo], Cuckoo(raw=b.column("filter")[lo].as_py())
+            elif shard == place[lo]:  # else no key of the shard is repeated
+                own = b.slice(lo, hi - lo)
+                hit = c.contains(own.column("k1").to_numpy())
+                if hit.any():
+                    yield own.select(["k1", "k2", "doc_id", "row"]).filter(pa.array(hit))
 
 
 def _change(old, new):
@@ -218,56 +242,65 @@ class LineIndex:
         return written(by_shard.repartition(self.shards, "shard").mapInArrow(_filters, "shard int, filter binary"), "filters")
 
     def insert(self, documents: DataFrame) -> LineIndex:
-        arrow_rows(self.spark)
-        docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+        docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), _row(F.col("text")).alias("row"), F.col("text").cast("string").alias("text"))
         new = written(docs.where("doc_id is not null").mapInArrow(_postings(self.min_chars), _POSTINGS), "postings")
-        counts = _counted(new)
         if self.postings is None:
-            return self._next(new, written(counts, "counts"))
-        both = self.counts.unionByName(counts).groupBy("k1", "k2").agg(F.sum("docs").alias("docs"), F.max("last").alias("last"))
-        return self._next(self.postings.unionByName(new), written(both, "counts"))
+            return self._next(new, written(_counted(new), "counts"))
+        both = self.postings.unionByName(new)
+        if new.join(self.postings, "doc_id", "left_semi").head(1):  # more rows of documents that are there: their keys are counted anew
+            touched = written(new.select("k1", "k2").distinct(), "touched")
+            counts = self.counts.join(touched, ["k1", "k2"], "left_anti").unionByName(_counted(both.join(touched, ["k1", "k2"], "left_semi")))
+        else:
+            counts = self.counts.unionByName(_counted(new)).groupBy("k1", "k2").agg(F.sum("docs").alias("docs"), F.max("last").alias("last"))
+        return self._next(both, written(counts, "counts"))
 
     def delete(self, doc_ids: DataFrame) -> LineIndex:
         """Takes back every document with one of the doc_ids."""
         if self.postings is None:
             return self
         ids = doc_ids.select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
-        rest = written(self.postings.join(ids, "doc_id", "left_anti").select("k1", "k2", "doc_id"), "postings")
+        rest = written(self.postings.join(ids, "doc_id", "left_anti").select("k1", "k2", "doc_id", "row"), "postings")
         touched = written(self.postings.join(ids, "doc_id", "left_semi").select("k1", "k2").distinct(), "touched")
         counts = self.counts.join(touched, ["k1", "k2"], "left_anti").unionByName(_counted(rest.join(touched, ["k1", "k2"], "left_semi")))
         return self._next(rest, written(counts, "counts"))
 
-    def drops(self) -> DataFrame:
-        """(doc_id, keys): the keys that a document loses."""
-        if self.repeated is None:
-            return self.spark.createDataFrame([], "doc_id long, keys array<binary>")
-        hits = self.postings
+    def _probed(self, filter_mb: int) -> DataFrame:
+        """The postings whose key a filter has."""
         size = self.filters.agg(F.sum(F.octet_length("filter"))).first()[0] or 0
-        if size <= FILTER_MB << 20:  # beyond that the exact join below gets all postings
-            shards = self.shards
-            tables = self.spark.sparkContext.broadcast({r.shard: bytes(r.filter) for r in self.filters.collect()})
-
-            def probe(batches):
-                own = {s: Cuckoo(raw=raw) for s, raw in tables.value.items()}
-                for b in batches:
-                    k = b.column("k1").to_numpy()
-                    s = ((k.view(np.uint64) >> U64(7)) % U64(shards)).astype(np.int64)
-                    hit = np.zeros(len(k), bool)
-                    for x in np.unique(s):
-                        if x in own:
-                            at = s == x
-                            hit[at] = own[x].contains(k[at])
-                    if hit.any():
-                        yield b.filter(pa.array(hit))
-
-            hits = hits.mapInArrow(probe, _POSTINGS)
-        lost = hits.join(self.repeated, ["k1", "k2"]).where("doc_id <> last")
-        return lost.distinct().groupBy("doc_id").agg(F.collect_list(F.struct("k1", "k2")).alias("keys"))
+        shards = self.shards
+        if size > filter_mb << 20:
+            own = self.filters.select("shard", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"), F.lit(0).alias("kind"), "filter", *[F.lit(None).cast("long").alias(c) for c in ("k1", "k2", "doc_id", "row")])
+            asked = self.postings.select(_shard(F.col("k1"), shards).alias("shard"), F.pmod(F.xxhash64("doc_id", "row"), F.lit(SALTS)).cast("int").alias("salt"), F.lit(1).alias("kind"), F.lit(None).cast("binary").alias("filter"), "k1", "k2", "doc_id", "row")
+            parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+            return own.unionByName(asked).repartition(parts, "shard", "salt").sortWithinPartitions("shard", "salt", "kind").mapInArrow(_probe_streamed, _POSTINGS)
+        tables = self.spark.sparkContext.broadcast({r.shard: bytes(r.filter) for r in self.filters.collect()})
+
+        def probe(batches):
+            own = {s: Cuckoo(raw=raw) for s, raw in tables.value.items()}
+            for b in batches:
+                k = b.column("k1").to_numpy()
+                s = ((k.view(np.uint64) >> U64(7)) % U64(shards)).astype(np.int64)
+                hit = np.zeros(len(k), bool)
+                for x in np.unique(s):
+                    if x in own:
+                        at = s == x
+                        hit[at] = own[x].contains(k[at])
+                if hit.any():
+                    yield b.filter(pa.array(hit))
+
+        return self.postings.mapInArrow(probe, _POSTINGS)
+
+    def drops(self, filter_mb: int = FILTER_MB) -> DataFrame:
+        """(doc_id, row, keys): the keys that a row loses, row being the hash of its text."""
+        if self.repeated is None:
+            return self.spark.createDataFrame([], "doc_id long, row long, keys array<struct<k1:bigint,k2:bigint>>")
+        lost = self._probed(filter_mb).join(self.repeated, ["k1", "k2"]).where("doc_id <> last")
+        return lost.groupBy("doc_id", "row").agg(F.collect_set(F.struct("k1", "k2")).alias("keys"))
 
 
 def _cut(texts: bool):
     def run(batches):
-        for b in batches:
+        for b in pieces(batches):
             ids = b.column("doc_id").to_pylist()
             n_lines, n_dropped, sha, kept_text = [], [], [], []
             for text, keys in zip(b.column("text").to_pylist(), b.column("keys").to_pylist(), strict=True):
@@ -297,20 +330,20 @@ def dedup_lines(documents: DataFrame, min_chars: int = 20, min_docs: int = 3, te
     """doc_id, n_lines, n_dropped, kept_sha256, kept (the remaining text; null without `texts`)."""
     spark = documents.sparkSession
     lost = LineIndex(spark, min_chars, min_docs).insert(documents).drops()
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return docs.join(lost.hint("shuffle_hash"), "doc_id", "left").select("doc_id", "text", "keys").mapInArrow(_cut(texts), _OUT)
+    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), _row(F.col("text")).alias("row"), F.col("text").cast("string").alias("text"))
+    return docs.join(lost.hint("shuffle_hash"), ["doc_id", "row"], "left").select("doc_id", "text", "keys").mapInArrow(_cut(texts), _OUT)
 
 
 def dedup_documents(documents: DataFrame, min_chars: int = 20, min_docs: int = 3) -> DataFrame:
     """documents with the repeated lines cut out of text, and n_chars set anew; the columns stay."""
-    arrow_rows(documents.sparkSession)
     lost = LineIndex(documents.sparkSession, min_chars, min_docs).insert(documents).drops()
     cols = documents.columns
+    own_id, own_row, own_keys = (fresh(c, cols) for c in ("drop_id", "drop_row", "drop_keys"))
 
     def run(batches):
-        for b in batches:
+        for b in pieces(batches):
             text, n = [], []
-            for t, keys in zip(b.column("text").to_pylist(), b.column("drop_keys").to_pylist(), strict=True):
+            for t, keys in zip(b.column("text").to_pylist(), b.column(own_keys).to_pylist(), strict=True):
                 if keys:
                     bad = {np.array([k["k1"], k["k2"]], np.int64).tobytes() for k in keys}
                     t = b"\n".join(x for x in t.encode("utf-8", "surrogatepass").split(b"\n") if key_hash(line_key(x)) not in bad).decode("utf-8", "surrogatepass")
@@ -319,8 +352,9 @@ def dedup_documents(documents: DataFrame, min_chars: int = 20, min_docs: int = 3
             out = b.select(cols)
             out = out.set_column(cols.index("text"), "text", pa.array(text, pa.string()))
             if "n_chars" in cols:
-                out = out.set_column(cols.index("n_chars"), "n_chars", pa.array(n, pa.int64()))
+                out = out.set_column(cols.index("n_chars"), "n_chars", pa.array(n, b.column("n_chars").type))
             yield out
 
-    lost = lost.select(F.col("doc_id").alias("drop_id"), F.col("keys").alias("drop_keys")).hint("shuffle_hash")
-    return documents.join(lost, F.col("doc_id") == F.col("drop_id"), "left").select(*cols, "drop_keys").mapInArrow(run, documents.schema)
+    lost = lost.toDF(own_id, own_row, own_keys).hint("shuffle_hash")
+    same = (F.col("doc_id").cast("long") == F.col(own_id)) & (_row(F.col("text")) == F.col(own_row))
+    return documents.join(lost, same, "left").select(*cols, own_keys).mapInArrow(run, documents.schema)

@@ -1,23 +1,24 @@
 """Mixing sources to target weights by systematic sampling.
 
 Every document of a source expects target / source_size copies. Documents are
-ordered within their source, the expected copies are prefix-summed, one random
-offset in [0, 1) is added, and a document is taken once per integer boundary
-that its interval crosses. The order is by chunk (a hash of the row), then by size, so
-neighbours have like sizes and the words taken stay close to the target, or by
-one of three hashes; of these orders and 16 random offsets a source uses the pair
-whose words come nearest (one aggregation), which matters for sources of a few
-documents. The
-prefix sum is two-level (counts per chunk, then rows within a chunk): a source of
-any size is spread over its chunks, whose number follows the row count.
+ordered within their source by size, those of one size by a hash; the expected
+copies are prefix-summed, one random offset in [0, 1) is drawn for the source, and a
+document is taken once per integer boundary that its interval crosses. So every
+document's mean number of copies over the offsets is what it expects, and as
+neighbours have like sizes, the words taken miss the target by little more than
+the source's largest document. The prefix sum is two-level: counts per (size,
+part), a part being at most about CHUNK_ROWS documents of one size, then rows
+within a part, so a source of any size is spread over its parts.
 
 Targets: sources by code point, null last, weigh 1, 2, 3, repeating, and share
 100% of all sizes; a target stops at `most` times its source's size and the
-excess is shared anew by weight until none is above.
+excess is shared anew by weight until none is above. The table of sources (one
+row each) is broadcast up to BROADCAST_ROWS of them.
 
 Defined results: null text has size 0; null doc_id is kept and takes part; rows
-that repeat are separate documents (equal rows are told apart by nothing, so any
-of them may be taken); an empty table gives no rows; other columns pass through.
+that repeat are separate documents (of rows that are equal in doc_id, source and
+size any may be taken); a source of size 0 has target 0; an empty table gives no
+rows; other columns are ignored, or pass through `mixed_documents`.
 """
 
 from __future__ import annotations
@@ -25,9 +26,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pagespan.llm._store import fresh, written
+
 CHUNK_ROWS = 20_000
-OFFSETS = 16
-ORDERS = 4
+BROADCAST_ROWS = 200_000
 
 
 def word_count(text: Column) -> Column:
@@ -56,48 +58,55 @@ def source_targets(sizes: DataFrame, most: int = 3, weights: tuple[int, ...] = (
 def mix_sources(documents: DataFrame, seed: int = 17, most: int = 3, weights: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
     """doc_id, size, source, source_size, target, copies for every document."""
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text").cast("string")).alias("size"))
-    return _copies(rows, seed, most, weights)
-
-
-def _copies(rows: DataFrame, seed: int, most: int, weights: tuple[int, ...]) -> DataFrame:
-    from pagespan.llm._store import written
-
-    rows = written(rows, "sizes")  # 30 bytes a document; the texts are read once
-    targets = source_targets(rows.select("source", F.col("size").alias("n")), most, weights)
-    chunks = max(1, -(-rows.count() // CHUNK_ROWS))
-    chunk = F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("source")), F.lit(chunks))
-    rows = rows.withColumn("source_key", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n"))).withColumn("chunk", chunk)
-    counts = rows.groupBy("source_key", "chunk").agg(F.count(F.lit(1)).alias("in_chunk"))
-    base = counts.withColumn("base", F.coalesce(F.sum("in_chunk").over(Window.partitionBy("source_key").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    own = Window.partitionBy("source_key", "chunk")
-    orders = [own.orderBy("size", "doc_id"), *[own.orderBy(F.xxhash64(F.lit(seed + j), "doc_id", "size"), "doc_id", "size") for j in range(1, ORDERS)]]
-    ranked = rows.select("*", *[F.row_number().over(w).alias(f"at{j}") for j, w in enumerate(orders)]).join(base.select("source_key", "chunk", "base"), ["source_key", "chunk"])
-    t = targets.withColumn("source_key", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")))
-    t = t.withColumn("rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0)))
-    out = written(ranked.join(t.drop("source"), "source_key").select("doc_id", "source", "source_key", "size", "source_size", "target", "rate", *[(F.col("base") + F.col(f"at{j}")).alias(f"k{j}") for j in range(ORDERS)]), "ranked")
-
-    def copies(k: Column, offset: Column) -> Column:
-        step = lambda i: F.floor(F.col("rate") * i + offset)
-        return F.least(step(k) - step(k - 1), F.ceil(F.col("rate"))).cast("long")
-
-    drawn = [(j, F.pmod(F.xxhash64(F.lit(seed), F.lit(i), "source_key"), F.lit(1 << 53)) / F.lit(float(1 << 53))) for j in range(ORDERS) for i in range(OFFSETS)]
-    words = [F.sum(copies(F.col(f"k{j}"), o) * F.col("size")).alias(f"w{n}") for n, (j, o) in enumerate(drawn)]
-    near = out.groupBy("source_key").agg(F.first("target").alias("t"), *words)
-    best = F.array_min(F.array(*[F.struct(F.abs(F.col(f"w{n}") - F.col("t")).alias("off"), F.lit(n).alias("n"), F.lit(j).alias("j"), o.alias("offset")) for n, (j, o) in enumerate(drawn)]))
-    near = near.select("source_key", best.alias("best"))
-    k = F.element_at(F.array(*[F.col(f"k{j}") for j in range(ORDERS)]), F.col("best.j") + 1)
-    return out.join(near, "source_key").select("doc_id", "source", "size", "source_size", "target", copies(k, F.col("best.offset")).alias("copies"))
+    return _copies(rows, ["doc_id"], seed, most, weights)
+
+
+def _source_key(source: str = "source") -> Column:
+    return F.coalesce(F.concat(F.lit("s"), source), F.lit("n"))
+
+
+def _copies(rows: DataFrame, id_columns: list[str], seed: int, most: int, weights: tuple[int, ...]) -> DataFrame:
+    """rows (id columns, source, size) -> id columns, source, size, source_size, target, copies, a row for each row."""
+    rows = written(rows.withColumn("source_key", _source_key()), "sizes")  # some 30 bytes a document; the texts are read once
+    small = lambda df: F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    per_size = written(rows.groupBy("source_key", "source", "size").agg(F.count(F.lit(1)).alias("n")), "per_size")
+    targets = written(source_targets(per_size.select("source", (F.col("size") * F.col("n")).alias("n")), most, weights).withColumn("of", _source_key()).drop("source"), "targets")
+    # sizes of many documents are dealt to parts; there are at most (documents / CHUNK_ROWS) such sizes
+    parts = written(per_size.where(F.col("n") > CHUNK_ROWS).select(F.col("source_key").alias("of"), F.col("size").alias("of_size"), F.ceil(F.col("n") / CHUNK_ROWS).alias("parts")), "parts")
+
+    # rows that nothing tells apart are one row with a number: a doc_id that repeats without end stays small
+    own = rows.groupBy("source_key", "source", "size", *id_columns).agg(F.count(F.lit(1)).alias("times"))
+    own = own.withColumn("draw", F.xxhash64(F.lit(seed), "size", *id_columns, *[F.col(c).isNull() for c in id_columns]))
+    own = own.join(small(parts), (F.col("source_key") == F.col("of")) & (F.col("size") == F.col("of_size")), "left").withColumn("part", F.pmod("draw", F.coalesce("parts", F.lit(1)))).drop("of", "of_size", "parts")
+    own = written(own, "dealt")
+    counts = own.groupBy("source_key", "size", "part").agg(F.sum("times").alias("in_part"))
+    before = Window.partitionBy("source_key").orderBy("size", "part").rowsBetween(Window.unboundedPreceding, -1)
+    base = counts.select("source_key", "size", "part", F.coalesce(F.sum("in_part").over(before), F.lit(0)).alias("base"))
+    within = Window.partitionBy("source_key", "size", "part").orderBy("draw", *id_columns).rowsBetween(Window.unboundedPreceding, -1)
+    ranked = own.withColumn("k", F.coalesce(F.sum("times").over(within), F.lit(0))).join(base, ["source_key", "size", "part"])
+
+    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
+    offset = F.pmod(F.xxhash64(F.lit(seed), "source_key"), F.lit(1 << 53)) / F.lit(float(1 << 53))
+    ranked = ranked.join(small(targets), F.col("source_key") == F.col("of")).withColumn("rate", rate).withColumn("offset", offset)
+    ranked = ranked.withColumn("at", F.explode(F.sequence(F.col("base") + F.col("k") + 1, F.col("base") + F.col("k") + F.col("times"))))
+    crossed = lambda i: F.floor(F.col("rate") * i + F.col("offset"))
+    # rounding of products can't take a document past `most`
+    copies = F.least(crossed(F.col("at")) - crossed(F.col("at") - 1), F.ceil(F.col("rate"))).cast("long")
+    return ranked.select(*id_columns, "source", "size", "source_size", "target", copies.alias("copies"))
 
 
 def mixed_documents(documents: DataFrame, seed: int = 17, most: int = 3, weights: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
-    """The mix itself: documents' columns, each taken row as often as it is taken, with `copy` from 1."""
-    from pagespan.llm._store import written
-
-    docs = documents.withColumn("mix_key", F.xxhash64("doc_id", "source", "text"))
-    rows = docs.select("mix_key", F.col("mix_key").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text").cast("string")).alias("size"))
-    taken = _copies(rows.select("doc_id", "source", "size"), seed, most, weights).where("copies > 0")
-    taken = written(taken.groupBy(F.col("doc_id").alias("mix_key")).agg(F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("rows")), "copies")
-    one = docs.join(taken, "mix_key")
-    if taken.where("rows > 1").head(1):  # rows that repeat wholly are one row that is taken as often as all of them
-        one = one.dropDuplicates(["mix_key"])
-    return one.select(*documents.columns, F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"))
+    """The mix itself: documents' columns, each taken row as often as it is taken, with `copy` from 1 (under a name with
+    underscores if documents has such a column). Rows are told apart by 128 bits over doc_id, source and text, nulls included;
+    rows equal in these are one row, any of them, that is taken as often as all of them."""
+    cols = documents.columns
+    parts = [F.col("doc_id").isNull(), F.col("doc_id"), F.col("source").isNull(), F.col("source"), F.col("text").isNull(), F.col("text")]
+    k1, k2, times, whole = (fresh(c, cols) for c in ("mix_a", "mix_b", "mix_copies", "mix_rows"))
+    docs = documents.withColumns({k1: F.xxhash64(F.lit(1), *parts), k2: F.xxhash64(F.lit(2), *reversed(parts))})
+    rows = docs.select(F.col(k1).alias("a"), F.col(k2).alias("b"), F.col("source").cast("string").alias("source"), word_count(F.col("text").cast("string")).alias("size"))
+    taken = _copies(rows, ["a", "b"], seed, most, weights).groupBy("a", "b").agg(F.sum("copies").cast("int").alias("copies"), F.count(F.lit(1)).alias("rows"))
+    taken = written(taken.where("copies > 0"), "copies")
+    one = docs.join(taken.toDF(k1, k2, times, whole), [k1, k2])
+    if taken.where("rows > 1").head(1):
+        one = one.dropDuplicates([k1, k2])
+    return one.select(*cols, F.explode(F.sequence(F.lit(1), F.col(times))).alias(fresh("copy", cols)))

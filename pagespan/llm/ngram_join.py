@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagespan.llm._store import COUNTER_SCHEMA, COUNTERS, Counter, arrow_rows, components, summed, texts_of, without, written
+from pagespan.llm._store import COUNTER_SCHEMA, COUNTERS, Counter, components, summed, texts_of, without, written
 from pagespan.llm._text import U64, blocks, mix, shingles, words_of
 
 ORDERS = 3
@@ -209,7 +209,6 @@ def ngram_jaccard_join(documents: DataFrame, k: int = 5, percent: int = 80) -> d
     not compared.
     """
     spark = documents.sparkSession
-    arrow_rows(spark)
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
 
     first = written(docs.mapInArrow(_summaries(k), _SUMMARY), "summaries")

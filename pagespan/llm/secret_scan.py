@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagespan.llm._store import arrow_rows
+from pagespan.llm._store import pieces
 
 KINDS = ("assign", "access", "hex", "der", "ssh", "token")
 _RANK = {k: i for i, k in enumerate(KINDS)}
@@ -110,9 +110,31 @@ def is_der_key(data: bytes) -> bool:
     return algorithm(kids[0]) and kids[1][0] in (0x03, 0x04)
 
 
+def _is_openssh(data: bytes) -> bool:
+    """Cipher, key derivation and its options, one key, the public key (itself length-prefixed fields, the first a known
+    type), the private part, and the cipher's tag: the lengths must consume the bytes."""
+    at, fields = len(b"openssh-key-v1\0"), []
+    for i in range(6):
+        if at + 4 > len(data):
+            return False
+        n = int.from_bytes(data[at : at + 4], "big")
+        at += 4
+        if i == 3:  # the number of keys, not a length
+            if n != 1:
+                return False
+            continue
+        if at + n > len(data):
+            return False
+        fields.append(data[at : at + n])
+        at += n
+    cipher, public, private = fields[0], fields[3], fields[4]
+    tag = 16 if b"gcm" in cipher or b"poly1305" in cipher else 0
+    return bool(cipher) and at + tag == len(data) and bool(private) and is_ssh_key(public)
+
+
 def is_ssh_key(data: bytes) -> bool:
     if data.startswith(b"openssh-key-v1\0"):
-        return True
+        return _is_openssh(data)
     at, fields = 0, []
     while at + 4 <= len(data):
         n = int.from_bytes(data[at : at + 4], "big")
@@ -257,7 +279,7 @@ _OUT = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 strin
 
 
 def _scan(batches):
-    for b in batches:
+    for b in pieces(batches):
         cols = [[] for _ in range(7)]
         for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
             text = text or ""
@@ -272,5 +294,4 @@ def _scan(batches):
 
 def scan_secrets(documents: DataFrame) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_confirmed. One pass, no exchange."""
-    arrow_rows(documents.sparkSession)
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_scan, _OUT)

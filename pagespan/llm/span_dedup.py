@@ -9,8 +9,8 @@ over the corpus; all sentences covered by an occurrence that isn't the first
 (smallest doc_id, then position) are removed.
 
 Defined results: null or empty text has no sentences; rows without doc_id are
-left out; of rows that share a doc_id, all are cut alike, positions in the one
-with the smallest text counting as the document's; an empty table gives no rows;
+left out; of rows that share a doc_id only the one with the smallest text (null is
+empty) is a document; an empty table gives no rows;
 other columns are ignored. Repeats inside one document count too.
 """
 
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagespan.llm._store import arrow_rows, texts_of, written
+from pagespan.llm._store import one_text, pieces, release, texts_of, written
 from pagespan.llm._text import U64, Words, blocks, mix, words_of
 
 _END = np.zeros(256, bool)
@@ -114,15 +114,16 @@ _OUT = "doc_id long, first_doc_ids array<long>, n_sentences long, n_removed long
 def dedup_spans(documents: DataFrame, run: int = 3, min_words: int = 12, max_words: int = 12) -> DataFrame:
     """One row per document that loses sentences: doc_id, first_doc_ids (where its repeated spans stand first, itself included
     for repeats inside it), n_sentences, n_removed, kept_sha256, text (what is left)."""
-    arrow_rows(documents.sparkSession)
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
+    docs = one_text(documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null"))
     all_ = written(docs.mapInArrow(_spans(run, min_words, max_words), "h long, doc_id long, pos int, n int"), "spans")
-    first = all_.groupBy("h").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.count(F.lit(1)).alias("times")).where("times > 1").select("h", "first")
+    # written, so that both sides of the join below are plain exchanges and a hash that stands everywhere is split among tasks
+    first = written(all_.groupBy("h").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.count(F.lit(1)).alias("times")).where("times > 1").select("h", "first"), "repeated")
     again = all_.join(first, "h").where("doc_id <> first.doc_id or pos <> first.pos")
     per = written(again.groupBy("doc_id").agg(F.collect_set(F.col("first.doc_id")).alias("first_doc_ids"), F.collect_set(F.struct("pos", "n")).alias("runs")), "covered")
+    release(all_, first)
 
     def cut(batches):
-        for b in batches:
+        for b in pieces(batches):
             rows = []
             for doc, firsts, runs, text in zip(*(b.column(c).to_pylist() for c in ("doc_id", "first_doc_ids", "runs", "text")), strict=True):
                 n, gone, kept = cut_sentences(text, [(r["pos"], r["n"]) for r in runs], max_words)
