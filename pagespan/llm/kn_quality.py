@@ -124,8 +124,8 @@ def train(texts: DataFrame) -> dict[str, list[DataFrame]]:
         d = F.when(F.col("c") == 1, d1).when(F.col("c") == 2, d2).otherwise(d3)
         c = order[n].withColumn("ctx", F.shiftright("key", BITS)).withColumn("d", d)
         ctx = c.groupBy("ctx").agg(F.sum("c").alias("total"), (F.sum("d") / F.sum("c")).alias("gamma"))
-        ctx = written(ctx, "contexts")
-        p = c.join(ctx, "ctx")
+        ctx = written(ctx.select("ctx", "total", "gamma", F.log("gamma").alias("value")), "contexts")
+        p = c.join(ctx.drop("value"), "ctx")
         if lower is None:
             p = p.withColumn("low", F.lit(1.0 / (TOP + 1)))
         else:
@@ -133,17 +133,17 @@ def train(texts: DataFrame) -> dict[str, list[DataFrame]]:
         value = F.greatest(F.col("c") - F.col("d"), F.lit(0.0)) / F.col("total") + F.col("gamma") * F.col("low")
         lower = written(p.select("key", F.log(value).alias("value")), "order")
         out["p"].append(lower)
-        out["g"].append(written(ctx.select(F.col("ctx").alias("key"), F.log("gamma").alias("value")), "back_off"))
-        release(ctx)
+        out["g"].append(ctx.withColumnRenamed("ctx", "key"))
     release(*order.values())
     return out
 
 
 def log_probabilities(grams: DataFrame, model: dict[str, list[DataFrame]]) -> DataFrame:
-    """grams (key: distinct packed n-grams of ORDER symbols) -> key, value: the log probability of the last symbol. One join per
+    """grams (key: distinct packed n-grams of ORDER symbols) with value: the log probability of the last symbol. One join per
     table; a gram falls back to the next lower order, with the context's weight, as far as it must."""
     mask = lambda n: F.lit((1 << BITS * n) - 1)
     value = F.lit(-float(np.log(TOP + 1)))
+    own_columns = grams.columns
     for n in range(1, ORDER + 1):
         own = F.col("key").bitwiseAND(mask(n))
         for kind, key in (("p", own), ("g", F.shiftright(own, BITS))):
@@ -152,7 +152,7 @@ def log_probabilities(grams: DataFrame, model: dict[str, list[DataFrame]]) -> Da
                 t = F.broadcast(t)
             grams = grams.withColumn("at", key).join(t, F.col("at") == F.col("k"), "left").drop("at", "k")
         value = F.coalesce(f"p{n}", F.coalesce(f"g{n}", F.lit(0.0)) + value)
-    return grams.select("key", value.alias("value"))
+    return grams.select(*own_columns, value.alias("value"))
 
 
 class Table:
@@ -288,8 +288,9 @@ def perplexities(documents: DataFrame, model: dict[str, list[DataFrame]]) -> Dat
     # both exchanges are read twice and written once
     blocks = docs.mapInArrow(_pack, "block long, payload binary").repartition(parts, "block")
     asked = blocks.mapInArrow(_distinct, "block long, key long").repartition(parts, "key")
-    known = log_probabilities(asked.select("key").distinct(), model)
-    answered = asked.join(known, "key").select("block", "key", F.col("value").cast("float").alias("value"))
+    # the least block of a key is carried along, and used, so that both reads of `asked` have the same columns and share one exchange
+    known = log_probabilities(asked.groupBy("key").agg(F.min("block").alias("least")), model)
+    answered = asked.join(known, "key").where("block >= least").select("block", "key", F.col("value").cast("float").alias("value"))
     schema = "doc_id long, lang string, perplexity double, has_text boolean, size long"
     return answered.groupBy("block").cogroup(blocks.groupBy("block")).applyInArrow(_score, schema)
 
