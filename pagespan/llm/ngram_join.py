@@ -3,9 +3,11 @@
 Two texts link when 100 * |A & B| >= 80 * |A | B| over their distinct 5-word
 shingles. Linked texts share a token within the first n - ceil(0.8 n) + 1 tokens
 of each text, whatever the order of the tokens, as long as it is the same for
-all texts. Candidates come from the collisions in the first order (rare tokens
-first); a candidate must also share a prefix token in every further order before
-its sets are compared. "Rare" is judged by fixed-size counters over all texts:
+all texts. Three unlike orders are used: rare tokens first, and two by unrelated
+hashes. Candidates come from the collisions of prefix tokens in the first order; a
+candidate must also share a prefix token in every further order, and these
+filters are intersected on the prefixes alone, before any text of a pair is
+moved for verification. "Rare" is judged by fixed-size counters over all texts:
 any function of the token gives a valid order, so a counter collision costs time
 at most.
 
@@ -15,7 +17,11 @@ few of its candidates, those with the fewest tokens of their own, which joins
 groups; then every
 candidate pair whose classes still lie in different components is compared. A
 candidate's shared token must also stand early enough in both texts for enough
-tokens to follow it (positional filter).
+tokens to follow it (positional filter): in the text with the smaller set it
+must leave room for a set as large as its own, so a token that stands late
+everywhere (a passage that many documents close with) makes no pair at all, and
+sets meet only within their size bands. A class with very many candidates is
+compared by several tasks, its set being sent once to each.
 
 Defined results: null or empty text, or text of white space: no shingles, linked
 with nothing, its own component. Null doc_id: the row is left out. A doc_id that
@@ -31,12 +37,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagespan.llm._store import COUNTER_SCHEMA, COUNTERS, Counter, components, summed, texts_of, without, written
+from pagespan.llm._store import COUNTER_SCHEMA, COUNTERS, Counter, components, pieces, release, summed, texts_of, without, written
 from pagespan.llm._text import U64, blocks, mix, shingles, words_of
 
 ORDERS = 3
 ROUNDS = 1
 PARTNERS = 3
+#: Candidates of a class that one task compares.
+HUB_PAIRS = 2_000
 _SUMMARY = "doc_id long, n int, cid long, text_hash long, " + COUNTER_SCHEMA
 
 
@@ -54,10 +62,12 @@ def prefix_length(n: int, percent: int) -> int:
 
 
 def prefix(s: np.ndarray, rank: np.ndarray, order: int, percent: int) -> np.ndarray:
-    """The first tokens of a set in one global order: by rank of their counter, then by a hash of the order's own."""
+    """The first tokens of a set in one global order: order 0 by the rank of their counter, then by a hash; the others by hashes
+    of their own."""
     p = prefix_length(len(s), percent)
-    tie = mix(s, 101 + order)
-    key = (rank[(s >> U64(64 - COUNTERS)).astype(np.int64)].astype(U64) << U64(58)) | (tie >> U64(6))
+    key = mix(s, 101 + order)
+    if order == 0:
+        key = (rank[(s >> U64(64 - COUNTERS)).astype(np.int64)].astype(U64) << U64(58)) | (key >> U64(6))
     if p < len(s):
         at = np.argpartition(key, p - 1)[:p]
         at = at[np.argsort(key[at])]
@@ -153,54 +163,79 @@ def _collisions():
     return run
 
 
-def _verify(k: int, percent: int, ranks):
-    """(a, b, text_a, text_b) -> the linked (a, b): prefixes must meet in every order, then the sets decide."""
+def _signatures(k: int, percent: int):
+    """doc_id, text -> doc_id and, for the second and later orders, the prefix tokens cut to 32 bits (a clash passes a pair on)."""
 
     def run(batches):
-        rank = np.frombuffer(ranks.value, np.uint8)
-        known: dict[int, np.ndarray] = {}
-        for batch in batches:
-            a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
-            ta, tb = batch.column("text_a"), batch.column("text_b")
+        for b in pieces(batches):
+            ids = b.column("doc_id").to_numpy()
+            for lo, hi, w in blocks(b.column("text")):
+                sets = shingles(w, k)
+                lists = []
+                for o in range(1, ORDERS):
+                    cut = [(prefix(s, None, o, percent) >> U64(32)).astype(np.uint32).view(np.int32) for s in sets]
+                    offsets = np.concatenate([[0], np.cumsum([len(x) for x in cut])]).astype(np.int32)
+                    lists.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(cut))))
+                yield pa.RecordBatch.from_arrays([pa.array(ids[lo:hi]), *lists], ["doc_id", *[f"p{o}" for o in range(1, ORDERS)]])
+
+    return run
+
+
+def _verify(k: int, percent: int):
+    """Rows sorted by hub, salt and kind: the hub's text (other is null), then its partners' -> the linked (a, b)."""
+
+    def run(batches):
+        hub, x = None, None
+        for b in pieces(batches):
+            hubs, others = b.column("hub").to_pylist(), b.column("other").to_pylist()
             keep_a, keep_b = [], []
-            for i in range(len(a)):
-                sets = []
-                for key, col in ((a[i], ta), (b[i], tb)):
-                    if key not in known:
-                        if len(known) > 64:
-                            known.clear()
-                        known[key] = shingles(words_of([col[i].as_py()]), k)[0]
-                    sets.append(known[key])
-                x, y = sets
-                if not len(x) or not len(y) or 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
-                    continue
-                if any(not len(np.intersect1d(prefix(x, rank, o, percent), prefix(y, rank, o, percent), True)) for o in range(1, ORDERS)):
-                    continue
-                both = len(np.intersect1d(x, y, True))
-                if 100 * both >= percent * (len(x) + len(y) - both):
-                    keep_a.append(a[i])
-                    keep_b.append(b[i])
+            for lo, hi, w in blocks(b.column("text")):
+                for i, y in zip(range(lo, hi), shingles(w, k), strict=True):
+                    if others[i] is None:
+                        hub, x = hubs[i], y
+                        continue
+                    if hub != hubs[i]:
+                        raise ValueError("a partner came without its hub")
+                    if not len(x) or not len(y) or 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
+                        continue
+                    both = len(np.intersect1d(x, y, True))
+                    if 100 * both >= percent * (len(x) + len(y) - both):
+                        keep_a.append(hub)
+                        keep_b.append(others[i])
             if keep_a:
                 yield pa.RecordBatch.from_arrays([pa.array(keep_a, pa.int64()), pa.array(keep_b, pa.int64())], ["a", "b"])
 
     return run
 
 
-def _neighbours(tagged: DataFrame, turn: int) -> DataFrame:
-    """At most PARTNERS pairs (a, b) per class, of different components. In the first round a row pairs with the row of its
-    token that comes earliest in its own text (a copy with few tokens of its own); in later ones, if ROUNDS asks for them,
-    with the next row in a random order. A class keeps those partners that it met most often."""
-    row = F.struct("cid", "n", "reach", "comp")
-    if turn == 0:
-        other = F.first(row).over(Window.partitionBy("token").orderBy((F.col("reach") / F.col("n")).desc(), "cid"))
-    else:
-        other = F.lead(row).over(Window.partitionBy("token").orderBy(F.xxhash64("cid", F.lit(turn))))
-    t = tagged.withColumn("o", other)
+def _neighbours(tagged: DataFrame) -> DataFrame:
+    """At most PARTNERS pairs (a, b) per class, of different components: a row pairs with the row of its token that comes
+    earliest in its own text (a copy with few tokens of its own). A class keeps those partners that it met most often."""
+    row = F.struct((-F.col("reach") / F.col("n")).alias("late"), "cid", "n", "reach", "comp")
+    # one row per token, found by a partial aggregate and written: a token that stands everywhere is split among tasks
+    first = written(tagged.groupBy("token").agg(F.min(row).alias("o"), F.count(F.lit(1)).alias("c")).where("c > 1").select("token", "o"), "firsts")
+    t = tagged.join(first, "token")
     t = t.where("o.comp <> comp and o.n <= reach and n <= o.reach").groupBy(F.col("cid").alias("a"), F.col("o.cid").alias("b")).agg(F.count(F.lit(1)).alias("c"))
-    best = F.row_number().over(Window.partitionBy("a").orderBy(F.col("c").desc(), F.xxhash64("b", F.lit(turn))))
+    best = F.row_number().over(Window.partitionBy("a").orderBy(F.col("c").desc(), F.xxhash64("b")))
     return t.withColumn("r", best).where(F.col("r") <= PARTNERS).select("a", "b")
 
 
+def _band(n):
+    """Sets that can link differ by a quarter of the smaller at most, so by one band at most."""
+    return F.floor(F.log(n) / F.log(F.lit(1.25))).cast("int")
+
+
+def _meeting(tagged: DataFrame, percent: int) -> DataFrame:
+    """All candidate pairs (a, b) of classes of different components. The smaller set's token must leave room for a set of its
+    own size (n <= reach), which few tokens of a hot group do; the larger one's is then sought in the bands up to its reach."""
+    wide = F.floor(F.log(F.lit(100.0 / percent)) / F.log(F.lit(1.25))).cast("int") + 2
+    small = tagged.where("n <= reach").select("token", F.col("comp").alias("ca"), F.col("cid").alias("a"), F.col("n").alias("na"), F.col("reach").alias("ra"), F.explode(F.sequence(_band(F.col("n")), _band(F.col("n")) + wide)).alias("band"))
+    large = tagged.select("token", F.col("comp").alias("cb"), F.col("cid").alias("b"), F.col("n").alias("nb"), F.col("reach").alias("rb"), _band(F.col("n")).alias("band"))
+    small = small.where(F.col("band") <= _band(F.col("ra")))
+    met = small.join(large, ["token", "band"]).where("ca <> cb and na <= nb and nb <= ra and na <= rb")
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def ngram_jaccard_join(documents: DataFrame, k: int = 5, percent: int = 80) -> dict[str, DataFrame]:
     """members (doc_id, n_shingles, class_id), links (a, b: class ids that were found linked) and groups (class_id, component_id).
 
@@ -238,8 +273,24 @@ def ngram_jaccard_join(documents: DataFrame, k: int = 5, percent: int = 80) -> d
             "pairs",
         )
         text = written(texts_of(docs, named.select(F.col("da").alias("doc_id")).union(named.select("db")).distinct()), "texts")
-        full = named.join(text.select(F.col("doc_id").alias("da"), F.col("text").alias("text_a")), "da").join(text.select(F.col("doc_id").alias("db"), F.col("text").alias("text_b")), "db")
-        return full.select(F.col("da").alias("a"), F.col("db").alias("b"), "text_a", "text_b").mapInArrow(_verify(k, percent, ranks), "a long, b long")
+        orders = [f"p{o}" for o in range(1, ORDERS)]
+        sign = written(text.mapInArrow(_signatures(k, percent), "doc_id long, " + ", ".join(f"{c} array<int>" for c in orders)), "prefixes")
+        side = lambda e: sign.select(F.col("doc_id").alias(f"d{e}"), *[F.col(c).alias(f"{c}{e}") for c in orders])
+        kept = named.join(side("a"), "da").join(side("b"), "db")
+        for c in orders:
+            kept = kept.where(F.arrays_overlap(f"{c}a", f"{c}b"))
+        kept = written(kept.select("da", "db"), "candidates")
+
+        # of a pair the class with more pairs is the hub: its text is sent once to each of its tasks, its partners' to one
+        degree = kept.select(F.col("da").alias("id")).union(kept.select("db")).groupBy("id").agg(F.count(F.lit(1)).alias("n"))
+        deg = lambda e: degree.select(F.col("id").alias(f"d{e}"), F.col("n").alias(f"n{e}"))
+        turned = kept.join(deg("a"), "da").join(deg("b"), "db").select(
+            F.when(F.col("na") >= F.col("nb"), F.col("da")).otherwise(F.col("db")).alias("hub"), F.when(F.col("na") >= F.col("nb"), F.col("db")).otherwise(F.col("da")).alias("other"), F.ceil(F.greatest("na", "nb") / HUB_PAIRS).alias("salts")
+        )
+        turned = written(turned.withColumn("salt", F.pmod(F.xxhash64("other"), "salts")), "turned")
+        own = turned.select("hub", "salt").distinct().select("hub", "salt", F.lit(None).cast("long").alias("other"), F.col("hub").alias("doc_id"))
+        rows = own.unionByName(turned.select("hub", "salt", "other", F.col("other").alias("doc_id"))).join(text, "doc_id").drop("doc_id")
+        return rows.repartition(parts, "hub", "salt").sortWithinPartitions("hub", "salt", F.col("other").asc_nulls_first()).mapInArrow(_verify(k, percent), "a long, b long")
 
     links = None
     for turn in range(ROUNDS + 1):
@@ -251,19 +302,12 @@ def ngram_jaccard_join(documents: DataFrame, k: int = 5, percent: int = 80) -> d
             tagged = coll.join(cls, "cid")
             mixed = tagged.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token")
             tagged = written(tagged.join(mixed, "token", "left_semi"), "tagged")
-        if turn < ROUNDS:
-            pairs = _neighbours(tagged, turn)
-        else:  # what is left is compared in full
-            left = tagged.select("token", F.col("comp").alias("ca"), F.col("cid").alias("a"), F.col("n").alias("na"), F.col("reach").alias("ra"))
-            right = tagged.select("token", F.col("comp").alias("cb"), F.col("cid").alias("b"), F.col("n").alias("nb"), F.col("reach").alias("rb"))
-            pairs = left.join(right, "token").where("ca < cb and nb <= ra and na <= rb").select("a", "b").distinct()
-        pairs = written(pairs, "pairs")
+        pairs = written(_neighbours(tagged) if turn < ROUNDS else _meeting(tagged, percent), "pairs")
         if not pairs.head(1):
-            if turn >= ROUNDS:
-                break
             continue
         new = written(check(pairs), "links")
         links = new if links is None else links.unionByName(new)
+    release(coll)
     groups = components(links if links is not None else spark.createDataFrame([], "a long, b long"))
     members = member.join(reps.select("cid", "class_id"), "cid", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"))
     links = links if links is not None else spark.createDataFrame([], "a long, b long")

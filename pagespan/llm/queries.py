@@ -82,9 +82,9 @@ WITH p AS (
          CAST(length(coalesce(html, '')) AS VARCHAR) AS size, regexp_extract(url, '^([A-Za-z]+://[^/?#]*)', 1) AS site,
          CAST(page_id // 100 AS VARCHAR) AS day, '"r' || CAST(page_id // 500 AS VARCHAR) || '"' AS robots FROM pages),
 plain AS (SELECT page_id, regexp_replace(url, '#.*$', '') AS u FROM p),
-part AS (SELECT page_id, regexp_replace(lower(regexp_extract(u, '^[A-Za-z]+://([^/?]*)', 1)), ':(80|443)$', '') AS host,
+part AS (SELECT page_id, CASE WHEN lower(u) LIKE 'http://%' THEN regexp_replace(h, ':80$', '') WHEN lower(u) LIKE 'https://%' THEN regexp_replace(h, ':443$', '') ELSE h END AS host,
                 regexp_replace(regexp_extract(u, '^[A-Za-z]+://[^/?]*([^?]*)', 1), '/+$', '') AS path,
-                list_sort(list_filter(string_split(regexp_extract(u, '[?](.*)$', 1), '&'), lambda x: x <> '' AND NOT regexp_matches(x, '^(utm_[^=]*|ref|gclid|fbclid)(=|$)'))) AS q FROM plain),
+                list_sort(list_filter(string_split(regexp_extract(u, '[?](.*)$', 1), '&'), lambda x: x <> '' AND NOT regexp_matches(x, '^(utm_[^=]*|ref|gclid|fbclid)(=|$)'))) AS q FROM (SELECT *, lower(regexp_extract(u, '^[A-Za-z]+://([^/?]*)', 1)) AS h FROM plain) z),
 canon AS (SELECT page_id, host, host || path || CASE WHEN len(q) > 0 THEN '?' || array_to_string(q, '&') ELSE '' END AS c FROM part),
 resp AS (
   SELECT page_id * 4 AS id, c AS k, page_id * 60 AS ts, etag, day AS lm, size, page_id FROM p JOIN canon USING (page_id)

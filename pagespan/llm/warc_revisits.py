@@ -2,27 +2,35 @@
 
 A capture log has one row per record: record_id, url, kind ('response' or
 'revisit'), ts (seconds), headers (map of lower-case names). URLs are compared in
-canonical form: no scheme, host in lower case without a default port, no
+canonical form: no scheme, host in lower case without its scheme's default port, no
 fragment, no closing slash, query parameters sorted and without tracking ones.
+The scheme may be missing (`//host/path`, or `host/path` where the host has a dot);
+what has no host is no URL and has no canonical form.
 A revisit takes the response of its URL with the largest ts before its own (of
 equal ones the largest record_id), if the validators agree: entity tags, compared
 weakly, where both have one; else Last-Modified where both have one. Headers of
 the revisit replace stored ones, but for hop-by-hop fields, the fields that its
 Connection names, and those that describe the stored body.
 
-The as-of join is two-level: within (URL, time bucket), then over one summary row
-per URL and bucket, so a URL with any share of the rows is spread over its
-buckets.
-
-Defined results: null url or ts: outcome 'no-response'; null headers are empty;
-kinds other than the two are left out; records that repeat are resolved each; an
-empty log gives no rows; other columns are ignored.
+The as-of join is pre-aggregated and two-level: one row per URL and second, the
+latest response before it within (URL, time bucket), then over one summary row per
+URL and bucket. A URL with any share of the rows has at most as many rows in a
+task as a bucket has seconds, or as the log has buckets.
+
+Defined results: null ts, or null or other url without canonical form: outcome
+'no-response'; null headers are empty; kinds other than the two are left out; a
+response without record_id can't be referred to and is left out, a revisit without
+one is resolved like any other; records that repeat are resolved each; of
+responses that share record_id, URL and ts the one whose headers come first as
+text counts; an empty log gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import contextlib
 import gzip
 import io
+import zlib
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -33,24 +41,32 @@ NOT_UPDATED = ("connection", "keep-alive", "proxy-authenticate", "proxy-authenti
 TRACKING = "^(utm_[^=]*|ref|gclid|fbclid)(=|$)"
 
 
+_SCHEME = "^(?:([A-Za-z][A-Za-z0-9+.-]*):)?//"
+_BARE_HOST = "^[A-Za-z0-9-]+(\\.[A-Za-z0-9-]+)+(:[0-9]+)?$"
+
+
 def canonical_url(url: Column) -> Column:
     bare = F.regexp_replace(url, "#.*$", "")
-    host = F.regexp_replace(F.lower(F.regexp_extract(bare, "^[A-Za-z]+://([^/?]*)", 1)), ":(80|443)$", "")
-    path = F.regexp_replace(F.regexp_extract(bare, "^[A-Za-z]+://[^/?]*([^?]*)", 1), "/+$", "")
-    kept = F.array_sort(F.filter(F.split(F.regexp_extract(bare, "\\?(.*)$", 1), "&"), lambda p: (p != "") & ~p.rlike(TRACKING)))
-    return F.concat(host, path, F.when(F.size(kept) > 0, F.concat(F.lit("?"), F.array_join(kept, "&"))).otherwise(""))
+    marked = bare.rlike(_SCHEME)
+    scheme = F.lower(F.regexp_extract(bare, _SCHEME, 1))
+    rest = F.regexp_replace(bare, _SCHEME, "")
+    host = F.lower(F.regexp_extract(rest, "^([^/?]*)", 1))
+    port = F.when(scheme == "http", ":80$").when(scheme == "https", ":443$").otherwise("(?!)")
+    path = F.regexp_replace(F.regexp_extract(rest, "^[^/?]*([^?]*)", 1), "/+$", "")
+    kept = F.array_sort(F.filter(F.split(F.regexp_extract(rest, "\\?(.*)$", 1), "&"), lambda p: (p != "") & ~p.rlike(TRACKING)))
+    whole = F.concat(F.regexp_replace(host, port, F.lit("")), path, F.when(F.size(kept) > 0, F.concat(F.lit("?"), F.array_join(kept, "&"))).otherwise(""))
+    return F.when(F.when(marked, host.rlike("[^:]")).otherwise(host.rlike(_BARE_HOST)), whole)
 
 
 def latest_before(rows: DataFrame, bucket_seconds: int) -> DataFrame:
-    """rows (key, ts, record_id, full) -> found (ts, record_id of the latest full row of the key before ts) for rows that aren't full."""
-    rows = rows.withColumn("bucket", F.floor(F.col("ts") / bucket_seconds))
-    mark = F.when(F.col("full"), F.struct("ts", "record_id"))
-    near = F.max(mark).over(Window.partitionBy("key", "bucket").orderBy("ts").rangeBetween(Window.unboundedPreceding, -1))
-    per = rows.where("full").groupBy("key", "bucket").agg(F.max(F.struct("ts", "record_id")).alias("top"))
-    stops = per.unionByName(rows.where("not full").select("key", "bucket").distinct().withColumn("top", F.lit(None).cast("struct<ts:bigint,record_id:bigint>"))).groupBy("key", "bucket").agg(F.max("top").alias("top"))
-    far = stops.select("key", "bucket", F.max("top").over(Window.partitionBy("key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)).alias("far"))
-    out = rows.withColumn("near", near).where("not full")
-    return out.join(far, ["key", "bucket"], "left").select("key", "ts", "record_id", F.coalesce("near", "far").alias("found"))
+    """rows (key, ts, record_id, full) -> key, ts (each once), found (ts, record_id of the latest full row of the key before ts)."""
+    at = rows.groupBy("key", "ts").agg(F.max(F.when(F.col("full"), F.col("record_id"))).alias("record_id")).withColumn("bucket", F.floor(F.col("ts") / bucket_seconds))
+    mark = F.when(F.col("record_id").isNotNull(), F.struct("ts", "record_id"))
+    near = F.max(mark).over(Window.partitionBy("key", "bucket").orderBy("ts").rowsBetween(Window.unboundedPreceding, -1))
+    at = at.withColumn("near", near).withColumn("own", mark)
+    top = at.groupBy("key", "bucket").agg(F.max("own").alias("top"))
+    far = top.select("key", "bucket", F.max("top").over(Window.partitionBy("key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)).alias("far"))
+    return at.join(far, ["key", "bucket"]).select("key", "ts", F.coalesce("near", "far").alias("found"))
 
 
 def _opaque(tag: Column) -> Column:
@@ -62,12 +78,12 @@ def resolve_revisits(captures: DataFrame, bucket_seconds: int = 86_400) -> DataF
     c = captures.select(
         F.col("record_id").cast("long").alias("record_id"), canonical_url(F.col("url")).alias("key"), "kind", F.col("ts").cast("long").alias("ts"), F.coalesce("headers", F.create_map().cast("map<string,string>")).alias("headers")
     ).where("kind in ('response', 'revisit')")
-    keys = c.select("key", "ts", "record_id", (F.col("kind") == "response").alias("full")).where("key is not null and ts is not null")
-    found = latest_before(keys, bucket_seconds).select("record_id", "ts", "key", F.col("found.record_id").alias("response_id")).dropDuplicates(["record_id", "ts", "key"])
-    revisits = c.where("kind = 'revisit'").withColumnRenamed("headers", "new")
-    got = revisits.join(found, ["record_id", "ts", "key"], "left")
-    stored = c.where("kind = 'response'").groupBy(F.col("record_id").alias("response_id"), F.col("key").alias("of")).agg(F.any_value("headers").alias("old"))
-    got = got.join(stored, (got.response_id == stored.response_id) & (got.key == stored.of), "left").drop(stored.response_id)
+    full = F.col("kind") == "response"
+    keys = c.where("key is not null and ts is not null and (record_id is not null or kind = 'revisit')").select("key", "ts", "record_id", full.alias("full"))
+    found = latest_before(keys, bucket_seconds).where("found is not null").select("key", "ts", F.col("found.ts").alias("response_ts"), F.col("found.record_id").alias("response_id"))
+    got = c.where("kind = 'revisit'").withColumnRenamed("headers", "new").join(found, ["key", "ts"], "left")
+    stored = c.where(full & F.col("record_id").isNotNull()).groupBy(F.col("record_id").alias("response_id"), F.col("key").alias("of"), F.col("ts").alias("response_ts")).agg(F.min_by("headers", header_text(F.col("headers"))).alias("old"))
+    got = got.join(stored, (got.response_id == stored.response_id) & (got.key == stored.of) & (got.response_ts == stored.response_ts), "left").drop(stored.response_id, stored.response_ts)
     old, new = F.col("old"), F.col("new")
     tags = old["etag"].isNotNull() & new["etag"].isNotNull()
     dates = old["last-modified"].isNotNull() & new["last-modified"].isNotNull()
@@ -137,29 +153,33 @@ def _fields(lines: list[bytes]) -> dict[str, str]:
 
 
 def read_records(data: bytes):
-    """The records of a WARC file, gzip or plain; a record that is cut short ends the file."""
-    f = io.BytesIO(gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data)
-    while line := f.readline():
-        if not line.strip():
-            continue
-        if not line.startswith(b"WARC/"):
-            return
-        lines = []
-        while (line := f.readline().rstrip(b"\r\n")) != b"":
-            lines.append(line)
-        head = _fields(lines)
-        n = int(head.get("content-length", "0"))
-        payload = f.read(n)
-        if len(payload) < n:
-            return
-        status, headers, body = None, {}, payload
-        if head.get("content-type", "").startswith("application/http"):
-            top, _, body = payload.partition(b"\r\n\r\n")
-            first, *rest = top.split(b"\r\n")
-            parts = first.split()
-            status = int(parts[1]) if len(parts) > 1 and parts[1].isdigit() else None
-            headers = _fields(rest)
-        yield head.get("warc-type"), head.get("warc-target-uri"), head.get("warc-date"), status, headers, body
+    """The records of a WARC file, gzip or plain, inflated as they are read; a record or gzip member that is cut short or
+    damaged, or has no number for a length, ends the file."""
+    f = gzip.GzipFile(fileobj=io.BytesIO(data)) if data[:2] == b"\x1f\x8b" else io.BytesIO(data)
+    with contextlib.suppress(EOFError, OSError, zlib.error):  # a member that is cut short or damaged
+        while line := f.readline():
+            if not line.strip():
+                continue
+            if not line.startswith(b"WARC/"):
+                return
+            lines = []
+            while (line := f.readline()).strip():
+                lines.append(line.rstrip(b"\r\n"))
+            head = _fields(lines)
+            size = head.get("content-length", "0")
+            if not line or not size.isascii() or not size.isdigit():
+                return
+            payload = f.read(int(size))
+            if len(payload) < int(size):
+                return
+            status, headers, body = None, {}, payload
+            if head.get("content-type", "").startswith("application/http"):
+                top, _, body = payload.partition(b"\r\n\r\n")
+                first, *rest = top.split(b"\r\n")
+                parts = first.split()
+                status = int(parts[1]) if len(parts) > 1 and parts[1].isascii() and parts[1].isdigit() else None
+                headers = _fields(rest)
+            yield head.get("warc-type"), head.get("warc-target-uri"), head.get("warc-date"), status, headers, body
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:

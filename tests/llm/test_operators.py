@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pagespan.llm import chat_format, decontam, imatch, kn_quality, line_dedup, mixing, ngram_join, secret_scan, span_dedup, warc_revisits
+from pagespan.llm import _store, _text, chat_format, decontam, imatch, kn_quality, line_dedup, mixing, ngram_join, secret_scan, span_dedup, warc_revisits
 from pagespan.llm._text import words_of
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, cid long, token string, keys string"
@@ -98,7 +98,10 @@ def test_ngram_join_repeated_doc_id(spark):
     assert {(r.doc_id, r.component_id) for r in ngram_join.near_duplicate_components(d).collect()} == {(1, 1), (2, 1)}
 
 
-def test_ngram_join_large_group_of_near_copies(spark):
+@pytest.mark.parametrize(("rounds", "hub_pairs"), [(1, 2000), (0, 7)])
+def test_ngram_join_large_group_of_near_copies(spark, rounds, hub_pairs, monkeypatch):
+    monkeypatch.setattr(ngram_join, "ROUNDS", rounds)
+    monkeypatch.setattr(ngram_join, "HUB_PAIRS", hub_pairs)
     base = prose(200, 1).split(" ")
     r = np.random.default_rng(2)
     t = {}
@@ -107,6 +110,9 @@ def test_ngram_join_large_group_of_near_copies(spark):
         for at in r.choice(200, int(r.integers(0, 6)), replace=False):
             w[at] = f"x{i}y{at}"
         t[i] = " ".join(w)
+    # texts of very unlike sizes that share one passage, and short ones about the limit
+    for i in range(60, 100):
+        t[i] = prose(int(r.integers(1, 120)), i) + " " + prose(40, 7) if i < 80 else " ".join(prose(30, 8).split(" ")[: 20 + i % 11] + [f"e{i}x{j}" for j in range(i % 4)])
     sets = {i: shingle_set(x) for i, x in t.items()}
     root = {i: i for i in sets}
     for i in sets:
@@ -142,6 +148,8 @@ def test_line_dedup_and_its_reversal(spark, docs, texts, none):
     assert cut[8].n_chars == len(cut[8].text) < len(texts[8]) and cut[30].text is None
 
     as_set = lambda index: {(r.doc_id, frozenset(tuple(k) for k in r["keys"])) for r in index.drops().collect()}
+    index = line_dedup.LineIndex(spark).insert(docs)
+    assert {(r.doc_id, frozenset(tuple(k) for k in r["keys"])) for r in index.drops(filter_mb=0).collect()} == as_set(index) != set()
     half = line_dedup.LineIndex(spark).insert(docs.where("doc_id <= 9"))
     before = as_set(half)
     both = half.insert(docs.where("doc_id > 9"))
@@ -149,6 +157,21 @@ def test_line_dedup_and_its_reversal(spark, docs, texts, none):
     assert as_set(both.delete(docs.where("doc_id > 9"))) == before
 
 
+def test_line_dedup_repeated_ids_and_clashing_columns(spark):
+    line = "a line that is long enough to count"
+    rows = [(1, f"{line}\nx"), (1, f"{line}\ny"), (2, line), (3, f"z\n{line}"), (3, line), (None, line), (4, "other text that only these hold"), (4, "other text that only these hold"), (5, "other text that only these hold")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for c in ("drop_id", "drop_keys", "drop_row", "keys", "row", "n_chars", "kept", "K1"):
+        df = df.withColumn(c, F.lit(3))
+    got = sorted((r.doc_id or 0, r.n_lines, r.n_dropped) for r in line_dedup.dedup_lines(df).collect())
+    assert got == [(0, 1, 0), (1, 2, 1), (1, 2, 1), (2, 1, 1), (3, 1, 0), (3, 2, 0), (4, 1, 0), (4, 1, 0), (5, 1, 0)]
+    out = line_dedup.dedup_documents(df)
+    assert out.columns == df.columns and sorted((r.doc_id or 0, r.text) for r in out.collect()) == [(0, line), (1, "x"), (1, "y"), (2, ""), (3, line), (3, f"z\n{line}"), (4, rows[6][1]), (4, rows[6][1]), (5, rows[6][1])]
+    # a later row of a document that is there already isn't counted twice
+    index = line_dedup.LineIndex(spark).insert(df.where("doc_id in (1, 2)")).insert(df.where("doc_id = 1"))
+    assert index.drops().count() == 0 and index.insert(df.where("doc_id = 3")).drops().count() == 3
+
+
 def test_cuckoo_filter():
     keys = np.random.default_rng(1).integers(-(2**62), 2**62, 20_000)
     c = line_dedup.build_filter(keys)
@@ -206,6 +229,61 @@ def test_span_dedup_short_sentences(spark):
         assert words(got[i].text) == [x for j, x in enumerate(words(texts[i])) if j not in at] and got[i].first_doc_ids == [i - i % 3]
 
 
+def test_span_dedup_takes_one_row_of_a_repeated_id(spark):
+    a, b = prose(90, 601), prose(90, 602)
+    rows = [(1, a), (1, b), (1, None), (2, a), (3, b), (None, a)]
+    df = spark.createDataFrame([x for x in rows if x[1] is not None], "doc_id long, text string")
+    got = by_id(span_dedup.dedup_spans(df))
+    first = min(a, b)
+    assert set(got) == {2 if first == a else 3}
+    assert span_dedup.dedup_spans(spark.createDataFrame(rows, "doc_id long, text string")).count() == 0  # the null text is document 1
+
+
+def test_rows_without_ids_whatever_the_columns(spark):
+    df = spark.createDataFrame([(1, "a"), (2, "b"), (2, "c"), (None, "d")], "doc_id long, text string").withColumn("gone", F.lit(1)).withColumn("GONE_", F.lit(1)).withColumn("gone_id", F.lit(2))
+    kept = _store.without(df, spark.createDataFrame([(2,), (9,)], "doc_id long"))
+    assert kept.columns == df.columns and sorted(r.text for r in kept.collect()) == ["a", "d"]
+
+
+def test_long_texts_are_read_in_pieces(monkeypatch):
+    r = np.random.default_rng(3)
+    texts = ["".join(r.choice(list("ab \n"), 5000)), "", "x" * 3000, " " * 2000 + "é" * 1500, "a b"]
+    whole = words_of(texts)
+    monkeypatch.setattr(_text, "BLOCK_BYTES", 100)
+    cut = words_of(texts)
+    for x in ("start", "end", "hash", "first"):
+        assert (getattr(whole, x) == getattr(cut, x)).all()
+
+
+def brute_imatch(texts, min_idf, max_idf):
+    """Kept terms of every text, by plain counting."""
+    df = Counter(w for t in texts.values() for w in set(words(t)))
+    n = len(texts)
+    kept = {w for w, c in df.items() if min_idf <= np.log(n / c) <= max_idf}
+    return {i: set(words(t)) & kept for i, t in texts.items()}
+
+
+@pytest.mark.parametrize(("lo", "hi"), [(0.5, 2.5), (2.0, 8.0)])
+def test_imatch_equals_brute_force(spark, texts, lo, hi):
+    rows = [(i, t, "x") for i, t in texts.items()]
+    got = {r.doc_id: r.fingerprint for r in imatch.fingerprints(spark.createDataFrame(rows, "doc_id long, text string, term string").repartition(3), lo, hi).collect()}
+    kept = brute_imatch(texts, lo, hi)
+    hashes = {w: int(words_of([w.decode()]).hash[0]) for t in texts.values() for w in words(t)}
+    subset = lambda w, i: int(_text.mix(np.array([hashes[w]], np.uint64) ^ imatch._SEEDS[i], 0)[0]) >> int(imatch._SHIFT[i, 0]) == 0
+    ids = list(texts)
+    inside = {w: [subset(w, i) for i in range(len(imatch.RATES))] for w in set().union(*kept.values())}
+    print_of = {}
+    for d in ids:
+        own = [frozenset(w for w in kept[d] if inside[w][i]) for i in range(len(imatch.RATES))]
+        # no term in any subset: all terms count
+        print_of[d] = own if any(own) or not words(texts[d]) else [("all", frozenset(words(texts[d])))] * len(own)
+    for a in ids:
+        for b in ids:
+            x = [got[a][4 * i : 4 * i + 4] == got[b][4 * i : 4 * i + 4] for i in range(len(imatch.RATES))]
+            y = [p == q for p, q in zip(print_of[a], print_of[b], strict=True)]
+            assert sum(p != q for p, q in zip(x, y, strict=True)) <= 1 and (not all(y) or all(x)), (a, b)  # 16 bits a subset: a chance of 2**-16 each
+
+
 def test_imatch(docs, texts, none):
     got = by_id(imatch.fingerprint_chain(docs, min_idf=0.5))
     ids = sorted(texts)
@@ -586,6 +664,49 @@ def test_revisits(spark):
     assert warc_revisits.resolve_revisits(df.limit(0)).count() == 0
 
 
+def test_canonical_urls(spark):
+    same = [
+        ("example.com/a", "http://example.com/a"), ("//h/x", "https://H/x/"), ("http://h:80/", "http://h"), ("https://h:443/?b=2&a=1", "//h?a=1&b=2&gclid=7#z"), ("HTTP://Example.org:80", "example.org"), ("ftp://h/x", "//h/x"),
+        ("sub.example.com:8080/a?", "http://sub.example.com:8080/a"), ("http://h/a%20b?ref=1", "http://h/a%20b"),
+    ]
+    apart = [("https://h:80/a", "http://h/a"), ("http://h:443/a", "https://h/a"), ("other.org/b", "example.com/b"), ("http://h/a?x=1", "http://h/a?x=2"), ("http://h/A", "http://h/a"), ("//h:80/a", "http://h/a"), ("http://h?x", "http://h/x")]
+    none = [None, "", "no url", "/path/only", "mailto:a@b.example", "word", "#f", "?q=1", "http://", "http:///x", "a b.example/c", "http://:80/"]
+    df = spark.createDataFrame([(i, u) for i, u in enumerate([u for p in same + apart for u in p] + none)], "i int, u string")
+    got = [r.c for r in df.select("i", warc_revisits.canonical_url(F.col("u")).alias("c")).orderBy("i").collect()]
+    for i, (a, b) in enumerate(same + apart):
+        assert None not in got[2 * i : 2 * i + 2] and (got[2 * i] == got[2 * i + 1]) == (i < len(same)), (a, b, got[2 * i : 2 * i + 2])
+    assert got[-len(none) :] == [None] * len(none)
+
+
+def test_revisits_of_awkward_rows(spark):
+    m = lambda **k: {a.replace("_", "-"): b for a, b in k.items()}
+    rows = [
+        (1, "example.com/a", "response", 10, m(etag='"1"')), (2, "other.org/b", "revisit", 20, m(etag='"1"')), (3, "//h/x", "revisit", 20, m(etag='"1"')), (4, "example.com/a", "revisit", 20, m(etag='"1"')),
+        (None, "http://n.example/", "response", 10, m(etag='"1"')), (5, "http://n.example/", "revisit", 20, m(etag='"1"')), (None, "example.com/a", "revisit", 30, m(etag='"1"')), (6, "bad url", "response", 1, m(etag='"1"')), (7, "bad url", "revisit", 2, m(etag='"1"')),
+        (8, "http://d.example/", "response", 10, m(etag='"b"')), (8, "http://d.example/", "response", 10, m(etag='"a"')), (8, "http://d.example/", "response", 5, m(etag='"c"')), (9, "http://d.example/", "revisit", 11, m(etag='"a"')), (9, "http://d.example/", "revisit", 11, m(etag='"a"')),
+        (10, "http://d.example/", "revisit", 7, m(etag='"c"')), (11, "http://d.example/", "revisit", None, m(etag='"c"')), (12, "http://d.example/", "revisit", -5, m(etag='"c"')),
+    ]
+    rows += [(100 + i, "http://hot.example/", "response" if i < 200 else "revisit", 86_400 * 3 + 5, m(etag='"1"')) for i in range(400)] + [(600, "http://hot.example/", "revisit", 86_400 * 3 + 6, m(etag='"1"'))]
+    df = spark.createDataFrame(rows, "record_id long, url string, kind string, ts long, headers map<string,string>")
+    for c in ("found", "old", "new", "key", "of", "bucket", "response_ts", "near"):
+        df = df.withColumn(c, F.lit(1))
+    out = sorted(((r.record_id or 0, r.response_id, r.outcome) for r in warc_revisits.resolve_revisits(df).collect() if not 300 <= (r.record_id or 0) < 500), key=str)
+    no = "no-response"
+    assert out == sorted([(0, 1, "resolved"), (2, None, no), (3, None, no), (4, 1, "resolved"), (5, None, no), (7, None, no), (9, 8, "resolved"), (9, 8, "resolved"), (10, 8, "resolved"), (11, None, no), (12, None, no), (600, 299, "resolved")], key=str)
+    assert {r.outcome for r in warc_revisits.resolve_revisits(df.where("record_id between 300 and 499 or record_id between 100 and 299")).collect()} == {no}
+
+
+def test_warc_files_cut_short(spark, tmp_path):
+    one = lambda i: warc_revisits.write_record("response", f"http://h/{i}", "2024-01-01T00:00:00Z", 200, {}, b"x" * 5000)
+    (tmp_path / "a.warc.gz").write_bytes(one(1) + one(2)[:-30])
+    (tmp_path / "b.warc.gz").write_bytes(one(3) + b"\x1f\x8bgarbage")
+    (tmp_path / "c.warc").write_bytes(b"WARC/1.1\r\nContent-Length: ten\r\n\r\nbody")
+    (tmp_path / "d.warc").write_bytes(b"WARC/1.1\r\nContent-Length: 10")
+    (tmp_path / "e.warc").write_bytes(b"not a record")
+    got = [(r.url, len(r.body)) for r in warc_revisits.read_warc(spark, f"file://{tmp_path}").collect()]
+    assert sorted(got) == [("http://h/1", 5000), ("http://h/3", 5000)]
+
+
 def test_warc_files(spark, tmp_path):
     data = b"".join(warc_revisits.write_record("response", f"http://h/{i}", "2024-01-01T00:00:00Z", 200, {"ETag": f'"{i}"'}, bytes([i]) * i) for i in range(5))
     (tmp_path / "a.warc.gz").write_bytes(data)
