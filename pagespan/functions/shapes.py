@@ -25,6 +25,7 @@ DATA_PATTERNS = (
     r"\d+\.?\d*\s*[xX×]\s*10",
 )
 _DATA = "(?iU)^(?:" + "|".join(DATA_PATTERNS) + ")"
+# Names that a parser makes up, placeholder cells, and the longest label.
 AUTO_NAME = r"(?iU)^(column|unnamed)[_:]?\s*\d+$"
 PLACEHOLDERS = ("DATA", "N/A", "NA", "NULL", "-", "0", "TBD", "NONE", "YES", "NO")
 HEADER_CHARS = 30

@@ -40,9 +40,23 @@ def is_spillover(a: Column, b: Column, cfg: StitchConfig) -> Column:
     return F.coalesce(shape, F.lit(False))
 
 
-def missing_between(lo: Column, hi: Column, known: Column) -> Column:
-    """Table numbers strictly between lo and hi that weren't extracted."""
-    return F.when(hi - lo > 1, F.array_except(F.sequence(lo + 1, hi - 1), known)).otherwise(F.array().cast("array<int>"))
+def placed(fragments: DataFrame) -> DataFrame:
+    """fragments with `place`, the number of the document's extracted tables with a smaller idx."""
+    return fragments.withColumn("place", F.row_number().over(Window.partitionBy("doc_id").orderBy("idx")) - 1)
+
+
+def any_missing(a: Column, b: Column) -> Column:
+    """Whether a table number strictly between those of two placed fragments wasn't extracted. No list of a document's numbers
+    is attached to its fragments: fewer places than numbers lie between."""
+    return F.abs(b["idx"] - a["idx"]) > F.abs(b["place"] - a["place"])
+
+
+def missing_numbers(fragments: DataFrame, pairs: DataFrame) -> DataFrame:
+    """pairs (doc_id, seq, left_idx, right_idx; left below right) -> doc_id, seq, missing: the numbers between that weren't
+    extracted, ascending. Each gap in a document's numbers is one row."""
+    gaps = fragments.select("doc_id", F.lag("idx").over(Window.partitionBy("doc_id").orderBy("idx")).alias("lo"), F.col("idx").alias("hi")).where("hi - lo > 1")
+    hit = pairs.join(gaps, "doc_id").where("lo >= left_idx and hi <= right_idx")
+    return hit.groupBy("doc_id", "seq").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("lo", "hi"))), lambda g: F.sequence(g["lo"] + 1, g["hi"] - 1))).alias("missing"))
 
 
 def signals(a: Column, b: Column, cfg: StitchConfig) -> Column:
@@ -57,7 +71,7 @@ def signals(a: Column, b: Column, cfg: StitchConfig) -> Column:
     return F.struct(*[cols[n].alias(n) for n in names])
 
 
-def reason(a: Column, b: Column, missing: Column, cfg: StitchConfig) -> Column:
+def reason(a: Column, b: Column, cfg: StitchConfig) -> Column:
     """The first rule that applies; later ones aren't evaluated."""
     gap = b["start_page"] - a["start_page"]
     wd = F.abs(a["width"] - b["width"])
@@ -66,7 +80,7 @@ def reason(a: Column, b: Column, missing: Column, cfg: StitchConfig) -> Column:
     rows = text.jaccard(a["first_row_tokens"], b["first_row_tokens"])
     yes = lambda c: F.coalesce(c, F.lit(False))
     headerless, strict = yes(b["is_headerless"]), header >= F.lit(float(cfg.header_sim_strict))
-    case = F.when(F.size(missing) > 0, "unextracted_table_between").when(gap.isNull(), "missing_page")
+    case = F.when((b["idx"] > a["idx"]) & any_missing(a, b), "unextracted_table_between").when(gap.isNull(), "missing_page")
     case = case.when((gap < 1) | (gap > cfg.max_page_gap), "page_gap_out_of_range")
     if cfg.block_on_intervening_content:
         case = case.when(yes(b["content_before"]), "content_between_tables")
@@ -88,22 +102,22 @@ def reason(a: Column, b: Column, missing: Column, cfg: StitchConfig) -> Column:
 
 
 def neighbours(fragments: DataFrame) -> DataFrame:
-    """Each fragment (b) with its predecessor in document order (a), and all table numbers of the document (known)."""
+    """Each fragment (b) with its predecessor in document order (a), both placed."""
     order = Window.partitionBy("doc_id").orderBy(*document_order())
-    every = Window.partitionBy("doc_id")
-    f = fragments.select("doc_id", F.struct(*[c for c in fragments.columns if c != "doc_id"]).alias("b"), "start_page", "idx")
-    f = f.withColumn("a", F.lag("b").over(order)).withColumn("seq", F.row_number().over(order) - 1).withColumn("known", F.collect_set("idx").over(every))
-    return f.select("doc_id", "seq", "a", "b", "known")
+    f = placed(fragments)
+    f = f.select("doc_id", F.struct(*[c for c in f.columns if c != "doc_id"]).alias("b"), "start_page", "idx")
+    return f.withColumn("a", F.lag("b").over(order)).withColumn("seq", F.row_number().over(order) - 1).select("doc_id", "seq", "a", "b")
 
 
 def decide_pairs(fragments: DataFrame, cfg: StitchConfig) -> DataFrame:
     """doc_id, pass_no 1, seq, left_idx, right_idx, merged, reason, signals, warnings: a row per neighbouring pair."""
     a, b = F.col("a"), F.col("b")
-    p = neighbours(fragments).where("a is not null").withColumn("missing", F.array_sort(missing_between(a["idx"], b["idx"], F.col("known"))))
-    p = p.withColumn("reason", reason(a, b, F.col("missing"), cfg))
+    p = neighbours(fragments).where("a is not null").withColumn("reason", reason(a, b, cfg))
+    p = p.select("doc_id", "seq", a["idx"].alias("left_idx"), b["idx"].alias("right_idx"), "reason", signals(a, b, cfg).alias("signals"))
+    listed = missing_numbers(fragments, p.where("reason = 'unextracted_table_between'").select("doc_id", "seq", "left_idx", "right_idx"))
     said = F.concat(F.lit("unextracted table indices between pair: ["), F.array_join(F.col("missing").cast("array<string>"), ", "), F.lit("]"))
-    warned = F.when(F.col("reason") == "unextracted_table_between", F.array(said)).otherwise(F.array().cast("array<string>"))
-    return p.select("doc_id", F.lit(1).alias("pass_no"), "seq", a["idx"].alias("left_idx"), b["idx"].alias("right_idx"), F.col("reason").isin(*MERGING).alias("merged"), "reason", signals(a, b, cfg).alias("signals"), warned.alias("warnings"))
+    warned = F.when(F.col("missing").isNotNull(), F.array(said)).otherwise(F.array().cast("array<string>"))
+    return p.join(listed, ["doc_id", "seq"], "left").select("doc_id", F.lit(1).alias("pass_no"), "seq", "left_idx", "right_idx", F.col("reason").isin(*MERGING).alias("merged"), "reason", "signals", warned.alias("warnings"))
 
 
 def islands(fragments: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -117,18 +131,16 @@ def islands(fragments: DataFrame, pairs: DataFrame) -> DataFrame:
 def orphan_edges(fragments: DataFrame, member: DataFrame, cfg: StitchConfig) -> DataFrame:
     """Candidate repairs: a header orphan and a data orphan up to max_page_gap pages later, in different islands. Both sides
     are filtered to orphans before the join."""
-    f = fragments.join(member, ["doc_id", "idx"])
-    known = fragments.groupBy("doc_id").agg(F.collect_set("idx").alias("known"))
+    f = placed(fragments).join(member, ["doc_id", "idx"])
     pages = fragments.where("start_page is not null").groupBy("doc_id", F.col("start_page").alias("page")).agg(F.min("pos").alias("page_pos"))
-    keep = ["doc_id", "idx", "pos", "start_page", "width", "vert_bottom", "vert_top", "is_headerless", "is_header_orphan", "is_data_orphan", "header_tokens", "first_row_tokens", "content_before", "island"]
+    keep = ["doc_id", "idx", "place", "pos", "start_page", "width", "vert_bottom", "vert_top", "is_headerless", "is_header_orphan", "is_data_orphan", "header_tokens", "first_row_tokens", "content_before", "island"]
     side = lambda name, flag: f.where(f"{flag} and start_page is not null").select("doc_id", F.struct(*keep[1:]).alias(name))
     a, b = F.col("a"), F.col("b")
     e = side("a", "is_header_orphan").join(side("b", "is_data_orphan"), "doc_id")
     e = e.where((b["start_page"] - a["start_page"]).between(1, cfg.max_page_gap) & (F.abs(a["width"] - b["width"]) <= cfg.max_width_difference) & (a["island"] != b["island"]))
     if cfg.block_on_intervening_content:
         e = e.where(~F.coalesce(b["content_before"], F.lit(False)))
-    lo, hi = F.least(a["idx"], b["idx"]), F.greatest(a["idx"], b["idx"])
-    e = e.join(known, "doc_id").where(F.size(missing_between(lo, hi, F.col("known"))) == 0)
+    e = e.where(~any_missing(a, b))
     e = e.withColumn("page", a["start_page"]).join(pages, ["doc_id", "page"])
     why = F.when(layout_continues(a, b, cfg), "orphans+layout").otherwise("orphans")
     return e.select("doc_id", "page_pos", (b["start_page"] - a["start_page"]).alias("off"), a["pos"].alias("left_pos"), b["pos"].alias("right_pos"), a["idx"].alias("left_idx"), b["idx"].alias("right_idx"), a["island"].alias("left_island"), b["island"].alias("right_island"), why.alias("reason"), signals(a, b, cfg).alias("signals"))

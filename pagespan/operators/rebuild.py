@@ -1,7 +1,10 @@
 """Logical tables and their rows from grouped fragments.
 
-Fragments carry the decisions; the rows join them once, by (doc_id, idx), and are
-then ordered within (doc_id, logical_index). Cells stay positional arrays.
+Fragments carry the decisions: where a fragment's rows begin in its table, what is
+appended to its last row, whether rows may fold. The rows join them once, by
+(doc_id, idx), and are numbered from there, so no window runs over the rows of a
+whole logical table, only over those of one fragment. Cells stay positional arrays;
+row_pos counts a fragment's rows from 0.
 """
 
 from __future__ import annotations
@@ -123,20 +126,18 @@ def _fold(cells: Column, items: Column, join) -> Column:
     return F.transform(cells, lambda c, i: F.aggregate(F.filter(items, lambda x: x["col_idx"] == i), c, lambda acc, x: join(acc, x["value"])))
 
 
-def aligned(planned: DataFrame, rows: DataFrame, head: DataFrame, cfg: StitchConfig) -> DataFrame:
-    """The rows of all data members under their table's columns: key, rank, row_pos, cells."""
+def aligned(cfg: StitchConfig) -> Column:
+    """The cells of a row (cells, w, build) under its table's w columns."""
     sep = F.lit(cfg.stitch_separator)
-    r = planned.where("role = 'data'").select(*KEY, "idx", "rank", "build", "base_width")
-    r = r.join(rows, ["doc_id", "idx"]).join(head.select(*KEY, F.size("columns").alias("w")), KEY)
     clean = F.transform("cells", lambda c: F.coalesce(c, F.lit("")))
     cut = F.slice(pad(clean, F.col("w")), 1, F.col("w"))
-    if cfg.width_overflow_policy == "merge_tail":
-        tail = F.transform(F.filter(F.slice(clean, F.col("w") + 1, F.greatest(F.size("cells") - F.col("w"), F.lit(0))), lambda c: ~text.is_empty(c)), text.strip)
-        all_ = F.array_join(tail, cfg.stitch_separator)
-        last = F.get(cut, F.col("w") - 1)
-        merged = F.when(text.is_empty(last), all_).otherwise(F.concat(text.rstrip(last), sep, all_))
-        cut = F.when((F.col("build") == "generic") & (F.size(tail) > 0) & (F.col("w") > 0), F.transform(cut, lambda c, i: F.when(i == F.col("w") - 1, merged).otherwise(c))).otherwise(cut)
-    return r.select(*KEY, "rank", "row_pos", "build", cut.alias("cells"))
+    if cfg.width_overflow_policy != "merge_tail":
+        return cut
+    tail = F.transform(F.filter(F.slice(clean, F.col("w") + 1, F.greatest(F.size("cells") - F.col("w"), F.lit(0))), lambda c: ~text.is_empty(c)), text.strip)
+    all_ = F.array_join(tail, cfg.stitch_separator)
+    last = F.get(cut, F.col("w") - 1)
+    merged = F.when(text.is_empty(last), all_).otherwise(F.concat(text.rstrip(last), sep, all_))
+    return F.when((F.col("build") == "generic") & (F.size(tail) > 0) & (F.col("w") > 0), F.transform(cut, lambda c, i: F.when(i == F.col("w") - 1, merged).otherwise(c))).otherwise(cut)
 
 
 def spill_text(member: DataFrame, rows: DataFrame, cfg: StitchConfig) -> DataFrame:
@@ -154,24 +155,30 @@ def url_column(columns: Column) -> Column:
 
 
 def fold_split_cells(rows: DataFrame, cfg: StitchConfig) -> DataFrame:
-    """rows (key, n, cells, columns, may_fold): a row whose only filled cell isn't the first joins the row above.
+    """rows (key, doc_id, idx, rank, n, cells, url_col, may_fold) -> key, row_pos, cells: a row whose only filled cell isn't the
+    first joins the row above.
 
-    Whether a row continues depends on that row alone, so the heads cut the table into islands.
+    Whether a row continues depends on that row alone, so the others cut the table into islands. They are counted within
+    fragments, and the counts are summed over the fragments of a table.
     """
     cells = F.col("cells")
     full = F.filter(F.transform(cells, lambda c, i: F.when(~text.is_empty(c), i)), lambda i: i.isNotNull())
     at = F.get(full, F.lit(0))
-    goes = F.col("may_fold") & (F.col("n") > 0) & (F.size(full) == 1) & (at > 0)
+    goes = F.coalesce(F.col("may_fold") & (F.col("n") > 0) & (F.size(full) == 1) & (at > 0), F.lit(False))
     value = text.strip(F.get(cells, at))
     url = value.contains("://") | F.lower(value).startswith("http")
-    target = F.when(url, url_column(F.col("columns"))).otherwise(at)
-    r = rows.withColumn("goes", F.coalesce(goes, F.lit(False)))
-    r = r.withColumn("item", F.when(F.col("goes"), F.struct("n", target.cast("int").alias("col_idx"), value.alias("value"))))
-    r = r.withColumn("head", F.sum(F.when(F.col("goes"), 0).otherwise(1)).over(Window.partitionBy(*KEY).orderBy("n")))
-    g = r.groupBy(*KEY, "head").agg(F.min(F.when(~F.col("goes"), F.struct("n", "cells"))).alias("h"), F.sort_array(F.collect_list("item")).alias("items"))
+    item = F.struct("n", F.when(url, F.col("url_col")).otherwise(at).cast("int").alias("col_idx"), value.alias("value"))
+    r = rows.withColumn("item", F.when(goes, item))
+    start = F.col("item").isNull().cast("int")
+    r = r.withColumn("local", F.sum(start).over(Window.partitionBy("doc_id", "idx").orderBy("n")))
+    r = written(r.select(*KEY, "idx", "rank", "n", "cells", "item", "local"), "aligned")
+    before = Window.partitionBy(*KEY).orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)
+    heads = r.groupBy(*KEY, "idx", "rank").agg(F.sum(start).alias("heads")).select("doc_id", "idx", F.coalesce(F.sum("heads").over(before), F.lit(0)).alias("above"))
+    r = r.join(heads, ["doc_id", "idx"]).withColumn("row_pos", (F.col("above") + F.col("local") - 1).cast("int"))
+    items = r.where("item is not null").groupBy(*KEY, "row_pos").agg(F.sort_array(F.collect_list("item")).alias("items"))
     sep = F.lit(cfg.stitch_separator)
-    folded = _fold(F.col("h.cells"), F.col("items"), lambda acc, v: F.when(text.is_empty(acc), v).otherwise(F.concat(text.rstrip(acc), sep, v)))
-    return g.select(*KEY, (F.col("head") - 1).cast("int").alias("row_pos"), F.when(F.size("items") > 0, folded).otherwise(F.col("h.cells")).alias("cells"))
+    folded = _fold(cells, F.col("items"), lambda acc, v: F.when(text.is_empty(acc), v).otherwise(F.concat(text.rstrip(acc), sep, v)))
+    return r.where("item is null").join(items, [*KEY, "row_pos"], "left").select(*KEY, "row_pos", F.when(F.col("items").isNotNull(), folded).otherwise(cells).alias("cells"))
 
 
 def rebuild(fragments: DataFrame, rows: DataFrame, grouped: DataFrame, pairs: DataFrame, cfg: StitchConfig) -> tuple[DataFrame, DataFrame]:
@@ -185,23 +192,29 @@ def rebuild(fragments: DataFrame, rows: DataFrame, grouped: DataFrame, pairs: Da
     named = _fold(F.col("columns"), F.col("labels"), lambda acc, v: F.concat(acc, F.lit(" "), v))
     head = head.withColumn("columns", F.when(F.col("labels").isNotNull(), named).otherwise(F.col("columns"))).drop("labels")
 
-    r = aligned(planned, rows, head, cfg)
-    last = F.max("row_pos").over(Window.partitionBy(*KEY, "rank"))
-    r = r.withColumn("target_rank", F.when(F.col("row_pos") == last, F.col("rank"))).join(conts, [*KEY, "target_rank"], "left").drop("target_rank")
-    generic = _fold(F.col("cells"), F.col("items"), lambda acc, v: F.when(text.is_empty(acc), acc).otherwise(F.concat(acc, sep, v)))
-    orphan = _fold(F.col("cells"), F.col("items"), lambda acc, v: F.concat(acc, F.lit("\n"), v))
-    r = r.withColumn("cells", F.when(F.col("items").isNull(), F.col("cells")).when(F.col("build") == "orphan", orphan).otherwise(generic)).drop("items")
+    head = written(head, "named")
 
     spill = written(spill_text(member, rows, cfg), "spills")
-    order = Window.partitionBy(*KEY).orderBy("rank", "row_pos")
-    r = r.withColumn("n", F.row_number().over(order) - 1).withColumn("total", F.count(F.lit(1)).over(Window.partitionBy(*KEY)))
-    r = r.join(head.select(*KEY, "columns", "pages"), KEY).join(spill, KEY, "left")
+    # fragments: where their rows begin, and what is appended to their last row
+    table, before = Window.partitionBy(*KEY), Window.partitionBy(*KEY).orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = rows.groupBy("doc_id", "idx").agg(F.count(F.lit(1)).alias("n_rows"), F.max("row_pos").alias("last_pos"))
+    frag = planned.where("role = 'data'").select(*KEY, "idx", "rank", "build").join(sizes, ["doc_id", "idx"])
+    frag = frag.withColumn("base", F.coalesce(F.sum(F.col("last_pos") + 1).over(before), F.lit(0))).withColumn("total", F.sum("n_rows").over(table)).withColumn("last_rank", F.max("rank").over(table))
+    frag = frag.join(conts.withColumnRenamed("target_rank", "rank"), [*KEY, "rank"], "left")
+    pages = F.array_distinct(F.concat("pages", F.coalesce("spill_pages", F.array().cast("array<int>"))))
+    whole = head.join(spill, KEY, "left").select(*KEY, F.size("columns").alias("w"), url_column(F.col("columns")).alias("url_col"), (F.size(pages) > 1).alias("on_pages"), "spills")
+    frag = frag.join(whole, KEY).withColumn("spills", F.when(F.col("rank") == F.col("last_rank"), F.col("spills"))).withColumn("may_fold", F.col("on_pages") & (F.col("total") > 1))
+    frag = written(frag.select(*KEY, "idx", "rank", "build", "last_pos", "base", "items", "w", "url_col", "spills", "may_fold"), "placed")
+
+    r = rows.join(frag, ["doc_id", "idx"]).withColumn("cells", aligned(cfg))
+    is_last = F.col("row_pos") == F.col("last_pos")
+    generic = _fold(F.col("cells"), F.col("items"), lambda acc, v: F.when(text.is_empty(acc), acc).otherwise(F.concat(acc, sep, v)))
+    orphan = _fold(F.col("cells"), F.col("items"), lambda acc, v: F.concat(acc, F.lit("\n"), v))
+    r = r.withColumn("cells", F.when(~is_last | F.col("items").isNull(), F.col("cells")).when(F.col("build") == "orphan", orphan).otherwise(generic))
     joined = lambda c: F.aggregate("spills", c, lambda acc, t: F.when(text.strip(acc) != "", F.concat(text.strip(acc), sep, t)).otherwise(t))
     spilled = F.transform("cells", lambda c, i: F.when(i == F.size("cells") - 1, joined(c)).otherwise(c))
-    r = r.withColumn("cells", F.when(F.col("spills").isNotNull() & (F.col("n") == F.col("total") - 1), spilled).otherwise(F.col("cells")))
-    pages = lambda: F.array_sort(F.array_distinct(F.concat("pages", F.coalesce("spill_pages", F.array().cast("array<int>")))))
-    r = r.withColumn("may_fold", (F.size(pages()) > 1) & (F.col("total") > 1))
-    out = written(fold_split_cells(r.select(*KEY, "n", "cells", "columns", "may_fold"), cfg), "rows")
+    r = r.withColumn("cells", F.when(is_last & F.col("spills").isNotNull(), spilled).otherwise(F.col("cells"))).withColumn("n", F.col("base") + F.col("row_pos"))
+    out = written(fold_split_cells(r.select(*KEY, "idx", "rank", "n", "cells", "url_col", "may_fold"), cfg), "rows")
 
     counts = out.groupBy(*KEY).agg(F.count(F.lit(1)).cast("int").alias("n_rows"))
     who = member.groupBy(*KEY).agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "idx"))), lambda x: x["idx"]).alias("members"))

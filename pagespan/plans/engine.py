@@ -5,6 +5,7 @@ from __future__ import annotations
 import logging
 from collections.abc import Callable
 from dataclasses import dataclass
+from typing import Any, Protocol, runtime_checkable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -75,12 +76,31 @@ def merge_fragments(fragments: DataFrame, rows: DataFrame, config: StitchConfig
     return Stitched(fragments, rows, pairs, grouped, written(rebuild.attach_traces(tables, grouped, pairs), "tables"), out)
 
 
+@runtime_checkable
+class Adapter(Protocol):
+    """What a parser's plug-in has; isinstance() tells whether an object has both methods."""
+
+    def extract(self, documents: Any, config: StitchConfig) -> DataFrame | tuple[DataFrame, DataFrame]:
+        """The documents' tables as RAW_TABLES, or as (fragments, rows)."""
+        ...
+
+    def inject(self, documents: Any, stitched: Stitched) -> Any:
+        """The documents with the stitched tables; tables of one member are in it too."""
+        ...
+
+
 class Stitcher:
-    """extract: from the caller's documents to RAW_TABLES (or to (fragments, rows)); inject: from (documents, Stitched) to
-    the caller's result. Both may be left out."""
+    """adapter: an Adapter. Or by functions: extract, from the caller's documents to RAW_TABLES (or to (fragments, rows)), and
+    inject, from (documents, Stitched) to the caller's result, either of which may be left out."""
 
-    def __init__(self, config: StitchConfig | None = None, extract: Callable | None = None, inject: Callable | None = None):
+    def __init__(self, config: StitchConfig | None = None, extract: Callable | None = None, inject: Callable | None = None, adapter: Adapter | None = None):
         self.config = (config or StitchConfig()).validate()
+        if adapter is not None:
+            if not isinstance(adapter, Adapter):
+                raise TypeError(f"{type(adapter).__name__} is no adapter: it needs the methods extract and inject")
+            if extract or inject:
+                raise TypeError("give an adapter or functions, not both")
+            extract, inject = (lambda documents: adapter.extract(documents, self.config)), adapter.inject
         self.extract, self.inject = extract, inject
 
     def stitch(self, documents, raise_on_error: bool = False):
@@ -120,9 +140,11 @@ def stitch_documents(raw_tables: DataFrame, config: StitchConfig | None = None,
 
 
 def stitch_snapshots(docs: DataFrame, config: StitchConfig | None = None) -> dict[str, DataFrame]:
-    """Snapshots in (sources.snapshot), their cells, provenance and reading order after stitching out."""
+    """Snapshots in (sources.snapshot), their cells, provenance and reading order after stitching out, with errors (tables and
+    documents that couldn't be read) and coverage (how many of a document's tables were)."""
     from pagespan.sources import snapshot
 
     fragments, rows = extract_fragments(snapshot.raw_tables(docs), (config or StitchConfig()).validate())
     out = merge_fragments(fragments, rows, config)
-    return write_back.inject(snapshot.cells(docs), snapshot.provenance(docs), snapshot.body_order(docs), out.tables, out.rows)
+    back = write_back.inject(snapshot.cells(docs), snapshot.provenance(docs), snapshot.body_order(docs), out.tables, out.rows)
+    return back | {"errors": snapshot.extract_errors(docs), "coverage": snapshot.coverage(docs)}

@@ -82,6 +82,52 @@ _N_ROWS = "CAST(coalesce(total, 0) - coalesce(folds, 0) AS INT)"
 _TABLES = "(SELECT c, li, string_agg(CAST(idx AS VARCHAR), ',' ORDER BY rank) AS members, CAST(max(w) FILTER (WHERE NOT spilled) AS INT) AS n_columns, count(*) AS n FROM mem GROUP BY c, li) g LEFT JOIN tot USING (c, li) LEFT JOIN pgn USING (c, li) LEFT JOIN fold USING (c, li) LEFT JOIN why USING (c, li)"
 
 
+#: The rebuilt tables cell by cell: (c, li, pos, j, v) in `out`, column names in `named`. Long tables of cells throughout.
+_CELLS = BUILT + """,
+nrm AS (SELECT *, min(rank) OVER (PARTITION BY c, li) AS lead_rank FROM mem WHERE NOT spilled),
+wid AS (SELECT n.c, n.li, any_value(h.hr) AS hr, max(n.w) AS widest, max(n.w) FILTER (WHERE n.rank = n.lead_rank) AS base FROM nrm n JOIN hdr h USING (c, li) GROUP BY n.c, n.li),
+wd AS (SELECT *, CASE WHEN hr IS NOT NULL OR {widens} THEN widest ELSE base END AS w FROM wid),
+cell1 AS (SELECT d.c, d.li, d.rank, x.i, x.j, x.cell, d.w AS own_w, wd.w, wd.hr FROM dat d JOIN wd USING (c, li) JOIN cells x ON x.c = d.c AND x.p = d.p),
+tail AS (SELECT c, li, rank, i, string_agg(trim(cell), ' ' ORDER BY j) AS t FROM cell1 WHERE {tails} AND hr IS NULL AND j >= w AND trim(cell) <> '' GROUP BY c, li, rank, i),
+slot AS (SELECT d.c, d.li, d.rank, r.i, g.j, wd.w, wd.hr FROM dat d JOIN wd USING (c, li) JOIN r ON r.c = d.c AND r.p = d.p JOIN (SELECT unnest(range(0, 10)) AS j) g ON g.j < wd.w),
+cell2 AS (SELECT s.*, CASE WHEN t.t IS NULL OR s.j <> s.w - 1 THEN coalesce(x.cell, '') WHEN trim(coalesce(x.cell, '')) = '' THEN t.t ELSE rtrim(x.cell) || ' ' || t.t END AS v
+          FROM slot s LEFT JOIN cell1 x ON x.c = s.c AND x.li = s.li AND x.rank = s.rank AND x.i = s.i AND x.j = s.j LEFT JOIN tail t ON t.c = s.c AND t.li = s.li AND t.rank = s.rank AND t.i = s.i),
+nums AS (SELECT c, li, rank, i, row_number() OVER (PARTITION BY c, li ORDER BY rank, i) - 1 AS n FROM (SELECT DISTINCT c, li, rank, i FROM slot) z),
+size AS (SELECT c, li, max(n) + 1 AS total FROM nums GROUP BY c, li),
+cont AS (SELECT d.c, d.li, q.rank AS to_rank, q.n_rows - 1 AS to_i, g.j, g.t, d.hr,
+           (SELECT {grown} FROM nrm z WHERE z.c = d.c AND z.li = d.li AND z.rank < d.rank) AS w_then, coalesce(d.page, 0) - coalesce(q.page, 0) AS gap
+         FROM dat d JOIN dat q ON q.c = d.c AND q.li = d.li AND q.rank = (SELECT max(z.rank) FROM dat z WHERE z.c = d.c AND z.li = d.li AND z.rank < d.rank) JOIN (SELECT 0 AS j, 'cont' AS t UNION ALL SELECT 2, 'more') g ON true WHERE d.has_cont),
+cell3 AS (SELECT x.c, x.li, x.rank, x.i, x.j, x.w, CASE WHEN k.t IS NULL THEN v WHEN x.hr IS NOT NULL THEN v || chr(10) || k.t WHEN trim(v) <> '' AND k.gap <= 1 AND k.j < k.w_then THEN v || ' ' || k.t ELSE v END AS v
+          FROM cell2 x LEFT JOIN cont k ON k.c = x.c AND k.li = x.li AND k.to_rank = x.rank AND k.to_i = x.i AND k.j = x.j),
+spl AS (SELECT m.c, m.li, string_agg(x.cell, ' ' ORDER BY m.rank, x.i) AS t FROM mem m JOIN cells x ON x.c = m.c AND x.p = m.p AND x.j = 0 WHERE m.spilled AND trim(x.cell) <> '' GROUP BY m.c, m.li),
+cell4 AS (SELECT c, li, n, j, w, CASE WHEN s.t IS NULL OR j <> w - 1 OR n <> total - 1 THEN v WHEN trim(v) <> '' THEN trim(v) || ' ' || s.t ELSE s.t END AS v
+          FROM cell3 JOIN nums USING (c, li, rank, i) JOIN size USING (c, li) LEFT JOIN spl s USING (c, li)),
+lbl AS (SELECT wd.c, wd.li, wd.w, g.j, x.name AS own FROM wd JOIN (SELECT unnest(range(0, 10)) AS j) g ON g.j < wd.w JOIN nrm n ON n.c = wd.c AND n.li = wd.li AND n.rank = n.lead_rank LEFT JOIN names x ON x.c = n.c AND x.p = n.p AND x.j = g.j WHERE wd.hr IS NULL),
+ext AS (SELECT n.c, n.li, n.rank, x.j, x.name, (SELECT max(z.w) FROM nrm z WHERE z.c = n.c AND z.li = n.li AND z.rank < n.rank) AS w_then FROM nrm n JOIN names x ON x.c = n.c AND x.p = n.p),
+raw AS (
+  SELECT l.c, l.li, l.j, coalesce(l.own, (SELECT concat('_extra_', CAST(e.j - e.w_then AS VARCHAR), '_', trim(e.name)) FROM ext e WHERE e.c = l.c AND e.li = l.li AND e.j = l.j AND e.j >= e.w_then ORDER BY e.rank LIMIT 1)) AS name FROM lbl l
+  UNION ALL
+  SELECT wd.c, wd.li, g.j, CASE WHEN g.j >= h.w THEN concat('col_', CAST(g.j AS VARCHAR))
+      WHEN EXISTS (SELECT 1 FROM dat d WHERE d.c = wd.c AND d.li = wd.li AND d.has_cont AND d.rank = (SELECT min(z.rank) FROM dat z WHERE z.c = wd.c AND z.li = wd.li)) AND g.j IN (0, 2) THEN x.cell || CASE WHEN g.j = 0 THEN ' cont' ELSE ' more' END ELSE x.cell END
+  FROM wd JOIN mem h ON h.c = wd.c AND h.li = wd.li AND h.rank = wd.hr JOIN (SELECT unnest(range(0, 10)) AS j) g ON g.j < wd.w LEFT JOIN cells x ON x.c = h.c AND x.p = h.p AND x.i = 0 AND x.j = g.j),
+named AS (SELECT c, li, j, name, CASE WHEN len(string_split(trim(name), '.')) = 2 AND lower(trim(string_split(trim(name), '.')[1])) = lower(trim(string_split(trim(name), '.')[2])) THEN trim(string_split(trim(name), '.')[1]) ELSE trim(name) END AS shown FROM raw),
+lnk AS (SELECT c, li, coalesce(max(j) FILTER (WHERE regexp_matches(lower(name), 'content|ref|desc|link|url')), max(j)) AS j FROM raw GROUP BY c, li),
+kind AS (SELECT c, li, n, count(*) FILTER (WHERE trim(v) <> '') AS filled, max(j) FILTER (WHERE trim(v) <> '') AS spot, max(trim(v)) AS said FROM cell4 GROUP BY c, li, n),
+goes AS (SELECT k.c, k.li, k.n, n > 0 AND n_pages > 1 AND total > 1 AND filled = 1 AND spot > 0 AS g, CASE WHEN contains(said, '://') OR lower(said) LIKE 'http%' THEN lnk.j ELSE spot END AS j, said FROM kind k JOIN size USING (c, li) JOIN lnk USING (c, li) LEFT JOIN pgn USING (c, li)),
+head AS (SELECT c, li, n, row_number() OVER (PARTITION BY c, li ORDER BY n) - 1 AS pos, lead(n, 1, 1000000) OVER (PARTITION BY c, li ORDER BY n) AS nxt FROM goes WHERE g IS NOT TRUE),
+add AS (SELECT h.c, h.li, h.n, x.j, string_agg(x.said, ' ' ORDER BY x.n) AS t FROM head h JOIN goes x ON x.c = h.c AND x.li = h.li AND x.n > h.n AND x.n < h.nxt GROUP BY h.c, h.li, h.n, x.j),
+out AS (SELECT h.c, h.li, h.pos, x.j, CASE WHEN a.t IS NULL THEN x.v WHEN trim(x.v) = '' THEN a.t ELSE rtrim(x.v) || ' ' || a.t END AS v
+        FROM head h JOIN cell4 x ON x.c = h.c AND x.li = h.li AND x.n = h.n LEFT JOIN add a ON a.c = h.c AND a.li = h.li AND a.n = h.n AND a.j = x.j)
+"""
+
+
+def _cells(policy: str) -> str:
+    keeps = policy == "preserve_extra"
+    return _CELLS.format(widens="true" if keeps else "false", tails="true" if policy == "merge_tail" else "false", grown="max(z.w)" if keeps else "max(z.w) FILTER (WHERE z.rank = z.lead_rank)")
+
+
+_ROWS = "SELECT concat('c', c) AS doc_id, li AS logical_index, CAST(pos AS INT) AS row_pos, CAST(j AS INT) AS col_pos, v AS cell FROM out"
+
 _DOC = "concat('c', c) AS doc_id"
 
 _TRIM = "regexp_replace(regexp_replace(cell, '^\\s+', ''), '\\s+$', '')"
@@ -95,7 +141,22 @@ def oracle_sql() -> dict[str, str]:
     height = "CASE WHEN page IN (1, 2) THEN 800.0 ELSE 842.0 END"
     at = lambda x: f"CASE WHEN page IS NOT NULL AND top IS NOT NULL AND bottom IS NOT NULL THEN round(1 - (1 - {x}) * 800 / {height}, 6) END"
     whole = "2 + CASE WHEN headerless THEN 0 ELSE w END + n_rows * w"
+    first_cell = "(SELECT cell FROM cells x WHERE x.c = js.c AND x.p = js.pb AND x.i = 0 AND x.j = 0)"
+    said = f"""(SELECT CASE WHEN one NOT SIMILAR TO '.*[0-5]' THEN one WHEN js.pb % 2 = 0 THEN 'see AB-' || one WHEN f.n_rows % 2 = 0 THEN 'HTTP ' || one ELSE 'ab-' || one END FROM (SELECT {first_cell} AS one) z, f WHERE f.c = js.c AND f.p = js.pb)"""
     return {
+        "merged_rows_preserve": _cells("preserve_extra") + _ROWS,
+        "merged_rows_warn_drop": _cells("warn_drop") + _ROWS,
+        "merged_rows_merge_tail": _cells("merge_tail") + _ROWS,
+        "logical_columns": _cells("preserve_extra") + f"SELECT {_DOC}, li AS logical_index, string_agg(shown, '|' ORDER BY j) AS columns FROM named GROUP BY c, li",
+        "orphan_tables": _cells("preserve_extra") + f"""SELECT {_DOC}, li AS logical_index, CAST((SELECT count(*) FROM head h WHERE h.c = n.c AND h.li = n.li) AS INT) AS n_rows, string_agg(shown, '|' ORDER BY j) AS columns
+            FROM named n JOIN hdr USING (c, li) WHERE hr IS NOT NULL GROUP BY c, li""",
+        "anchor_grid": _cells("preserve_extra") + f""", anchor AS (SELECT m.c, m.li, m.p, m.idx, m.w, m.headerless, m.n_rows FROM mem m JOIN hdr USING (c, li) WHERE n_members > 1 AND m.rank = 0),
+            grid AS (SELECT c, idx, 0 AS row_pos, j, t FROM anchor, (SELECT 0 AS j, ' ' AS t UNION ALL SELECT 1, '') b
+              UNION ALL SELECT a.c, a.idx, 1, x.j, x.name FROM anchor a JOIN names x ON x.c = a.c AND x.p = a.p WHERE NOT a.headerless
+              UNION ALL SELECT a.c, a.idx, 1, x.j, x.cell FROM anchor a JOIN cells x ON x.c = a.c AND x.p = a.p AND x.i = 0 WHERE a.headerless)
+            SELECT {_DOC}, idx, row_pos, CAST(j AS INT) AS col_pos, t AS text, true AS column_header, j = 0 AS row_header FROM grid
+            UNION ALL SELECT concat('c', a.c), a.idx, CAST(o.pos + 2 AS INT), CAST(o.j AS INT), o.v, false, o.j = 0 AND (NOT a.headerless OR a.n_rows > 1) FROM anchor a JOIN out o ON o.c = a.c AND o.li = a.li""",
+        "spillover_pairs_by_content": BASE + f"""{pair} FROM js WHERE hb AND wb = 1 AND wa > 1 AND gb - ga = 1 AND (contains(lower({said}), 'http') OR regexp_matches({said}, '[A-Z]+-[0-9]+') OR (SELECT n_rows FROM f y WHERE y.c = js.c AND y.p = js.pb) <= 2)""",
         "logical_tables": BUILT + f"SELECT {_DOC}, li AS logical_index, members, coalesce(pages, '') AS pages, coalesce(merge_reason, '') AS merge_reason, {_N_ROWS} AS n_rows, n_columns FROM {_TABLES}",
         "run_metrics": BUILT + f"SELECT {_DOC}, CAST(sum(n) AS BIGINT) AS fragments, count(*) AS logical_tables, count(*) FILTER (WHERE n > 1) AS merged_tables, CAST(sum({_N_ROWS}) AS BIGINT) AS rows FROM {_TABLES} GROUP BY c",
         "passthrough_cells": BUILT + f"SELECT {_DOC}, idx, CAST({whole} AS BIGINT) AS cells FROM mem JOIN hdr USING (c, li) WHERE n_members = 1",
@@ -144,7 +205,7 @@ def oracle_sql() -> dict[str, str]:
             SELECT doc_id, turn AS idx, turn > 0 AND EXISTS (SELECT 1 FROM o p WHERE p.doc_id = o.doc_id AND p.t AND p.turn < o.turn) AND EXISTS (SELECT 1 FROM o b WHERE b.doc_id = o.doc_id AND b.blocks AND b.turn < o.turn AND b.turn > o.turn - 4) AS content_before FROM o WHERE t""",
         "reading_order": """WITH n AS (SELECT CAST(conv_id AS VARCHAR) AS doc_id, CAST(turn AS INT) AS turn FROM conversations)
             SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY turn // 4, CASE WHEN turn % 4 = 2 THEN 1 ELSE 0 END, turn) - 1 AS INT) AS ord, 'texts' AS kind, turn AS item FROM n WHERE turn % 4 <> 0""",
-        "running_furniture": """WITH t AS (SELECT lang, doc_id, doc_id % 50 AS page, list_distinct(list_transform(regexp_extract_all(string_split(text, chr(10))[1], '\\p{L}+'), lambda x: lower(x))) AS k FROM documents),
+        "running_furniture": """WITH t AS (SELECT lang, doc_id, doc_id % 50 AS page, list_distinct(list_transform(regexp_extract_all(text, '\\p{L}+'), lambda x: lower(x))) AS k FROM documents),
             w AS (SELECT lang, doc_id, page, len(k) AS n, unnest(k) AS t FROM t),
             m AS (SELECT a.lang, a.doc_id, a.n AS na, b.n AS nb, b.doc_id AS other, count(*) AS s FROM w a JOIN w b ON a.lang = b.lang AND a.t = b.t AND a.page <> b.page GROUP BY ALL)
             SELECT DISTINCT lang AS doc_id, CAST(doc_id AS INT) AS item FROM m WHERE CAST(s AS DOUBLE) / (na + nb - s) >= 0.8""",

@@ -5,27 +5,37 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from pagespan.schema import RAW_TABLES
+from pagespan.sources.store import written
 
+_PARSED = RAW_TABLES + ", error string"
 
-def from_parser(spark: SparkSession, path: str, parse: Callable[[str, bytes], Iterable[dict]]) -> DataFrame:
-    """RAW_TABLES of the files at `path`. parse(name, content) yields dicts with idx, grid, prov, heights, content_before; a
-    document whose parse raises has no tables."""
+
+def from_parser(spark: SparkSession, path: str, parse: Callable[[str, bytes], Iterable[dict]]) -> tuple[DataFrame, DataFrame]:
+    """(RAW_TABLES, errors) of the files at `path`. parse(name, content) yields dicts with idx, grid, prov, heights,
+    content_before.
+
+    A table for which it yields {"idx": i, "error": text} is missing and its number stays free, so nothing is merged across it.
+    A document whose parse raises keeps the tables it gave before that. Both are rows of errors: doc_id, idx (null for the
+    document itself), error. Parsing runs once, into a table.
+    """
 
     def run(batches):
         import pandas as pd
 
-        names = ["doc_id", "idx", "grid", "prov", "heights", "content_before"]
+        names = ["doc_id", "idx", "grid", "prov", "heights", "content_before", "error"]
         for pdf in batches:
             rows = []
             for name, data in zip(pdf["path"], pdf["content"], strict=True):
                 doc = name.rsplit("/", 1)[-1]
                 try:
-                    rows += [{"doc_id": doc, **r} for r in parse(doc, bytes(data))]
-                except Exception:
-                    continue
-            yield pd.DataFrame(rows, columns=names)
-
-    return spark.read.format("binaryFile").load(path).select(F.col("path"), "content").mapInPandas(run, RAW_TABLES)
+                    for r in parse(doc, bytes(data)):
+                        rows.append({"doc_id": doc, **r})
+                except Exception as why:  # any parser's own
+                    rows.append({"doc_id": doc, "error": f"{type(why).__name__}: {why}"})
+            yield pd.DataFrame(rows, columns=names, dtype=object)
+
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    got = written(files.mapInPandas(run, _PARSED), "parsed")
+    return got.where("error is null").drop("error"), got.where("error is not null").select("doc_id", "idx", "error")

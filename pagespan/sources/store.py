@@ -6,23 +6,42 @@ once, and losing an executor costs only the tasks that ran on it.
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_folders: dict[str, SparkSession] = {}
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; where it is unset (tests), a temporary folder of this session."""
-    at = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("pagespan.checkpoint.dir", None)
+    """spark.checkpoint.dir; where it is unset and the master is local (tests), a temporary folder of this session. On a cluster
+    a machine's own folder would lose rows, so there it must be set."""
+    at = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("pagespan.checkpoint.dir", None)
     if not at:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="pagespan-")
         spark.conf.set("pagespan.checkpoint.dir", at)
     return at.rstrip("/")
 
 
+def _sweep() -> None:
+    for at, spark in _folders.items():
+        with contextlib.suppress(Exception):  # the JVM may be gone already
+            path = spark._jvm.org.apache.hadoop.fs.Path(at)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder, read back."""
-    at = f"{shared_dir(df.sparkSession)}/pagespan/{uuid.uuid4().hex}/{name}"
+    """df as a table in the shared folder, read back. The tables of an application go when its driver ends."""
+    spark = df.sparkSession
+    top = f"{shared_dir(spark)}/pagespan-tables/{spark.sparkContext.applicationId}"
+    if not _folders:
+        atexit.register(_sweep)
+    _folders.setdefault(top, spark)
+    at = f"{top}/{uuid.uuid4().hex}/{name}"
     df.write.parquet(at)
-    return df.sparkSession.read.schema(df.schema).parquet(at)
+    return spark.read.schema(df.schema).parquet(at)

@@ -4,9 +4,10 @@ import json
 
 import pytest
 
-from pagespan import extract_fragments, merge_fragments, stitch_documents
+from pagespan import Adapter, StitchConfig, StitchError, Stitcher, extract_fragments, merge_fragments, stitch_documents
 from pagespan.operators import order
 from pagespan.plans.engine import stitch_snapshots
+from pagespan.schema import RAW_TABLES
 from pagespan.sources import export, foreign, snapshot
 
 
@@ -39,7 +40,7 @@ def test_snapshot_to_documents(docs):
     assert got == [("tables", 0), ("texts", 0), ("tables", 1), ("texts", 2), ("tables", 2)]
     assert [(r.item) for r in order.blocking_headings(snapshot.texts(docs)).collect()] == [2]
     assert {r.idx: r.content_before for r in snapshot.raw_tables(docs).collect()} == {0: False, 1: False, 2: True}
-    assert [r.idx for r in snapshot.extract_errors(docs).collect()] == [3]
+    assert [(r.idx, r.error) for r in snapshot.extract_errors(docs).collect()] == [(3, "the table has no data")]
     out = stitch_snapshots(docs)
     cells = {}
     for r in out["cells"].orderBy("idx", "row_pos", "col_pos").collect():
@@ -59,16 +60,89 @@ def test_export(spark, docs, tmp_path):
     assert {tuple(map(tuple, x.rows)) for x in spark.read.json(f"file://{tmp_path}/out").collect()} == {(("a", "1"), ("b", "2")), (("c", "3"),)}
 
 
+def test_unreadable_documents_and_coverage(spark, docs, tmp_path):
+    (tmp_path / "bad.json").write_text("{not json")
+    (tmp_path / "other.json").write_text('{"a": 1}')
+    (tmp_path / "empty.json").write_text('{"name": "e", "tables": [], "texts": [], "body": {"children": []}}')
+    read = snapshot.read_snapshots(spark, f"file://{tmp_path}/*.json")
+    assert {(r.doc_id, r.idx) for r in snapshot.extract_errors(read).collect()} == {("d.json", 3), ("bad.json", None), ("other.json", None)}
+    got = {r.doc_id: (r.extracted, r.found, r.skipped, r.message.split(" (")[0]) for r in snapshot.coverage(read).collect()}
+    assert got == {"d.json": (3, 4, 1, "extracted 3 of 4 tables"), "bad.json": (0, 0, 0, "extracted 0 of 0 tables"), "other.json": (0, 0, 0, "extracted 0 of 0 tables"), "empty.json": (0, 0, 0, "extracted 0 of 0 tables")}
+    out = stitch_snapshots(read)
+    assert out["errors"].count() == 3 and {r.doc_id for r in out["cells"].collect()} == {"d.json"}
+
+
+def test_adapters(spark):
+    raw = spark.createDataFrame([("d", 0, [["n", "v"], ["a", "1"]], [(1, None)], None, None), ("d", 1, [["n", "v"], ["b", "2"]], [(2, None)], None, None)], RAW_TABLES)
+
+    class Both:
+        def extract(self, documents, config):
+            return documents
+
+        def inject(self, documents, stitched):
+            return [r.members for r in stitched.tables.collect()]
+
+    class Half:
+        def extract(self, documents, config):
+            return documents
+
+    assert isinstance(Both(), Adapter) and not isinstance(Half(), Adapter)
+    assert Stitcher(adapter=Both()).stitch(raw, raise_on_error=True) == [[0, 1]]
+    with pytest.raises(TypeError, match="Half is no adapter"):
+        Stitcher(adapter=Half())
+    with pytest.raises(TypeError):
+        Stitcher(adapter=Both(), extract=lambda d: d)
+    assert Stitcher(adapter=Both()).stitch(raw.where("idx = 0")).count() == 1  # no table on two pages: the documents as they were
+
+    class Broken(Both):
+        def inject(self, documents, stitched):
+            raise RuntimeError("half written")
+
+    before = raw.collect()
+    assert Stitcher(adapter=Broken()).stitch(raw).collect() == before  # a failing write-back leaves the documents alone
+    with pytest.raises(StitchError, match="half written"):
+        Stitcher(adapter=Broken()).stitch(raw, raise_on_error=True)
+
+
+def test_public_names():
+    import pagespan
+
+    assert pagespan.__all__ == ["Adapter", "StitchConfig", "StitchError", "Stitched", "Stitcher", "extract_fragments", "merge_fragments", "stitch_documents"]
+    assert all(hasattr(pagespan, n) for n in pagespan.__all__)
+
+
+def test_shared_folder(spark, monkeypatch):
+    from pagespan.sources import store
+
+    class Cluster:
+        class sparkContext:
+            master = "spark://host:7077"
+            getConf = staticmethod(dict)
+
+        conf = type("C", (), {"get": staticmethod(lambda key, default=None: default)})
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        store.shared_dir(Cluster())
+
+
 def test_foreign_parser(spark, tmp_path):
     (tmp_path / "x.txt").write_text("n,v\na,1\n\nn,v\nb,2")
     (tmp_path / "y.txt").write_text("broken")
+    (tmp_path / "z.txt").write_text("n,v\na,1\n\n?\n\nn,v\nb,2")
+    (tmp_path / "w.txt").write_text("n,v\na,1\n\nbroken")
 
     def parse(name, data):
-        if data == b"broken":
-            raise ValueError(name)
         for i, part in enumerate(data.decode().split("\n\n")):
+            if part == "broken":
+                raise ValueError(name)
+            if part == "?":
+                yield {"idx": i, "error": "no grid"}
+                continue
             yield {"idx": i, "grid": [line.split(",") for line in part.split("\n")], "prov": [{"page_no": i + 1, "bbox": None}], "heights": None, "content_before": None}
 
-    fragments, rows = extract_fragments(foreign.from_parser(spark, f"file://{tmp_path}/*.txt", parse))
-    out = merge_fragments(fragments, rows)
-    assert [(t.doc_id, t.members) for t in out.tables.collect()] == [("x.txt", [0, 1])] and out.rows.count() == 2
+    raw, errors = foreign.from_parser(spark, f"file://{tmp_path}/*.txt", parse)
+    assert sorted(((r.doc_id, r.idx, r.error) for r in errors.collect()), key=str) == [("w.txt", None, "ValueError: w.txt"), ("y.txt", None, "ValueError: y.txt"), ("z.txt", 1, "no grid")]
+    out = merge_fragments(*extract_fragments(raw), StitchConfig(max_page_gap=3))
+    # nothing is merged across the table that is missing
+    assert sorted((t.doc_id, t.members) for t in out.tables.collect()) == [("w.txt", [0]), ("x.txt", [0, 1]), ("z.txt", [0]), ("z.txt", [2])]
+    assert [(p.reason, p.warnings) for p in out.pairs.where("doc_id = 'z.txt'").collect()] == [("unextracted_table_between", ["unextracted table indices between pair: [1]"])]
