@@ -5,15 +5,19 @@ more characters), `access` (AKIA and more, 18 or more in all), `hex` (16 or more
 lower-case hex digits). Structural kinds are reported only when their bytes parse:
 
 - `der`: base64 or hex whose bytes are one ASN.1 SEQUENCE that holds nested
-  elements whose lengths fit exactly, and starts like a private or public key
-  (an INTEGER version, or an algorithm SEQUENCE with an OBJECT IDENTIFIER);
-- `ssh`: base64 of length-prefixed fields whose first names a known key type and
-  whose lengths consume the bytes, or the openssh-key-v1 header;
+  elements whose lengths fit exactly, and starts like a private key (an INTEGER
+  version, or an algorithm SEQUENCE with an OBJECT IDENTIFIER and encrypted bytes);
+- `der_public`: likewise, but a public key (an algorithm and a BIT STRING, or two INTEGERs);
+- `ssh`: base64 of an openssh-key-v1 header, its fields and one key, whose lengths
+  consume the bytes;
+- `ssh_public`: base64 of length-prefixed fields whose first names a known key type
+  and whose lengths consume the bytes;
 - `token`: three base64url parts joined by dots whose first is a JSON object
   with a string `alg`, the second a JSON object, the third not shorter than the
   signature length that `alg` names.
 
-Base64 of `der` and `ssh` may stand in lines (as in PEM): its characters are read
+Public keys are no secrets; their kinds tell them apart. No key has fewer than 30
+bytes. Base64 of keys may stand in lines (as in PEM): its characters are read
 on over single line ends, written-out ones (\\n) and spaces, as many as the lengths
 inside it claim. Hex is read within one line only.
 
@@ -38,7 +42,7 @@ from pyspark.sql import functions as F
 
 from pagespan.llm._store import pieces
 
-KINDS = ("assign", "access", "hex", "der", "ssh", "token")
+KINDS = ("assign", "access", "hex", "der", "ssh", "token", "der_public", "ssh_public")
 _RANK = {k: i for i, k in enumerate(KINDS)}
 _WORD = re.compile(r"password|passwd|secret|token|api_?key", re.I | re.A)
 _ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.I | re.A)
@@ -85,18 +89,19 @@ def _element(data: bytes, at: int, end: int) -> tuple[int, int, int] | None:
     return (tag, at, at + n) if at + n <= end else None
 
 
-def is_der_key(data: bytes) -> bool:
+def der_kind(data: bytes) -> str | None:
+    """der, der_public, or None for bytes that are no key."""
     top = _element(data, 0, len(data))
     if top is None or top[0] != 0x30 or top[2] != len(data):
-        return False
+        return None
     kids, at = [], top[1]
     while at < top[2]:
         if (e := _element(data, at, top[2])) is None:
-            return False
+            return None
         kids.append(e)
         at = e[2]
     if len(kids) < 2:
-        return False
+        return None
 
     def algorithm(e):
         inner = _element(data, e[1], e[2]) if e[0] == 0x30 else None
@@ -105,9 +110,11 @@ def is_der_key(data: bytes) -> bool:
     if kids[0][0] == 0x02:
         version = kids[0][2] - kids[0][1] == 1 and data[kids[0][1]] <= 1
         if not version:
-            return len(kids) == 2 and kids[1][0] == 0x02  # RSA public key: modulus and exponent
-        return algorithm(kids[1]) or all(k[0] == 0x02 for k in kids) and len(kids) >= 6 or kids[1][0] == 0x04
-    return algorithm(kids[0]) and kids[1][0] in (0x03, 0x04)
+            return "der_public" if len(kids) == 2 and kids[1][0] == 0x02 else None  # modulus and exponent
+        return "der" if algorithm(kids[1]) or all(k[0] == 0x02 for k in kids) and len(kids) >= 6 or kids[1][0] == 0x04 else None
+    if algorithm(kids[0]):
+        return {0x03: "der_public", 0x04: "der"}.get(kids[1][0])
+    return None
 
 
 def _is_openssh(data: bytes) -> bool:
@@ -129,21 +136,22 @@ def _is_openssh(data: bytes) -> bool:
         at += n
     cipher, public, private = fields[0], fields[3], fields[4]
     tag = 16 if b"gcm" in cipher or b"poly1305" in cipher else 0
-    return bool(cipher) and at + tag == len(data) and bool(private) and is_ssh_key(public)
+    return bool(cipher) and at + tag == len(data) and bool(private) and ssh_kind(public) == "ssh_public"
 
 
-def is_ssh_key(data: bytes) -> bool:
+def ssh_kind(data: bytes) -> str | None:
+    """ssh, ssh_public, or None for bytes that are no key."""
     if data.startswith(b"openssh-key-v1\0"):
-        return _is_openssh(data)
+        return "ssh" if _is_openssh(data) else None
     at, fields = 0, []
     while at + 4 <= len(data):
         n = int.from_bytes(data[at : at + 4], "big")
         at += 4
         if at + n > len(data):
-            return False
+            return None
         fields.append(data[at : at + n])
         at += n
-    return at == len(data) and len(fields) >= 2 and fields[0] in _SSH
+    return "ssh_public" if at == len(data) and len(fields) >= 2 and fields[0] in _SSH else None
 
 
 class _Wrapped:
@@ -219,12 +227,12 @@ def wrapped_spans(text: str) -> list[tuple[int, int, str]]:
         if m.start() < behind:
             continue
         w = _Wrapped(text, m.start())
-        kind = "der" if m[0][0] == "M" else "ssh"
-        size = (_der_size if kind == "der" else _ssh_size)(w)
+        sized, kind_of = (_der_size, der_kind) if m[0][0] == "M" else (_ssh_size, ssh_kind)
+        size = sized(w)
         if size is None or size < 30:
             continue
         data = w.take(size)
-        if data is not None and (is_der_key if kind == "der" else is_ssh_key)(data) and (stop := _STOP.match(text, w.end)):
+        if data is not None and (kind := kind_of(data)) and (stop := _STOP.match(text, w.end)):
             behind = stop.end()
             out.append((m.start(), behind, kind))
     return out
@@ -256,16 +264,13 @@ def confirmed_spans(text: str) -> list[tuple[int, int, str]]:
     inside = list(out)
     if _LONG.search(text):
         for m in _ANYHEX.finditer(text):
-            if len(m[0]) % 2 == 0 and is_der_key(bytes.fromhex(m[0])):
-                out.append((m.start(), m.end(), "der"))
+            if len(m[0]) % 2 == 0 and (kind := der_kind(bytes.fromhex(m[0]))):
+                out.append((m.start(), m.end(), kind))
         for m in _BASE64.finditer(text):
             if any(a < m.end() and m.start() < b for a, b, _ in inside):
                 continue
-            if (data := _b64(m[0])) is not None:
-                if is_der_key(data):
-                    out.append((m.start(), m.end(), "der"))
-                elif is_ssh_key(data):
-                    out.append((m.start(), m.end(), "ssh"))
+            if (data := _b64(m[0])) is not None and (kind := der_kind(data) or ssh_kind(data)):
+                out.append((m.start(), m.end(), kind))
     if "eyJ" in text:
         out += [(m.start(), m.end(), "token") for m in _TOKEN.finditer(text) if is_signed_token(m[0])]
     return out

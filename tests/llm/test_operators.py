@@ -440,7 +440,7 @@ def test_secret_scan(spark, none):
     rows = [(1, long), (2, None), (3, ""), (4, "secret=short token= deadbeefdeadbeef0 \u017fecret=abcdefghijklmnop"), (None, "x"), (5, "to" * 200_000)]
     got = by_id(secret_scan.scan_secrets(spark.createDataFrame(rows, "doc_id long, text string")))
     kinds = Counter(s.split(":")[0] for s in got[1].spans.split(","))
-    assert kinds["der"] == 2 and kinds["ssh"] == 1 and kinds["token"] == 1 and kinds["access"] == 1 and kinds["assign"] == got[1].n_assign == 2
+    assert kinds["der"] == 2 and kinds["ssh_public"] == 1 and kinds["token"] == 1 and kinds["access"] == 1 and kinds["assign"] == got[1].n_assign == 2
     a, b = (int(x) for x in next(s for s in got[1].spans.split(",") if s.startswith("assign")).split(":")[1:])
     assert long[a:b] == "Password: 'hunter2hunter2"
     assert (got[4].n_assign, got[4].n_hex) == (1, 1) and got[2].spans == "" and got[3].base_sha256 == hashlib.sha256(b"").hexdigest() and got[None].n_hex == 0
@@ -454,11 +454,15 @@ def test_secret_scan_wrapped_and_assigned_keys(spark):
     integer = lambda n: bytes([2, 0x82]) + len(n).to_bytes(2, "big") + n
     body = bytes([2, 1, 0]) + b"".join(integer(bytes([i + 1]) * 256) for i in range(8))
     key = base64.b64encode(bytes([0x30, 0x82]) + len(body).to_bytes(2, "big") + body).decode()
-    own = base64.b64encode(b"openssh-key-v1\0" + field(b"none", b"none", b"") + (1).to_bytes(4, "big") + field(b"p" * 51, b"s" * 136)).decode()
+    public = field(b"ssh-ed25519", bytes(32))
+    own = base64.b64encode(b"openssh-key-v1\0" + field(b"none", b"none", b"") + (1).to_bytes(4, "big") + field(public, b"s" * 136)).decode()
+    garbage = [base64.b64encode(x).decode() for x in (b"openssh-key-v1\0" + bytes(range(60)), b"openssh-key-v1\0" + field(b"none", b"none", b"") + (1).to_bytes(4, "big") + field(b"p" * 51, b"s" * 136), b"openssh-key-v1\0" + field(b"none", b"none", b"") + (2).to_bytes(4, "big") + field(public, b"s" * 136))]
+    spki = base64.b64encode(bytes.fromhex("302a300506032b6570032100") + bytes(32)).decode()
+    pkcs8 = base64.b64encode(bytes.fromhex("302e020100300506032b657004220420") + bytes(32)).decode()
     rsa = base64.b64encode(field(b"ssh-rsa", b"\1\0\1", b"n" * 257)).decode()
     wrap = lambda t, n, end="\n": end.join(t[i : i + n] for i in range(0, len(t), n))
     cases = [("der", x) for x in (wrap(key, 64), wrap(key, 76, "\r\n"), wrap(key, 64, "\n    "), wrap(key, 64, "\\n"), wrap(key, 64, " "), wrap(key, 32), key)]
-    cases += [("ssh", x) for x in (wrap(own, 70), own, wrap(rsa, 70), rsa)]
+    cases += [("ssh", wrap(own, 70)), ("ssh", own), ("ssh_public", wrap(rsa, 70)), ("ssh_public", rsa), ("der_public", spki), ("der", pkcs8), ("der", wrap(pkcs8, 32))]
     around = [("é -----BEGIN PRIVATE KEY-----\n", "\n-----END PRIVATE KEY-----\n"), ("x\nKEY=", "\nNEXT=abc\n"), ("key: '", "'"), ("-----BEGIN KEY-----\\n", "\\n-----END KEY-----"), ("-----BEGIN KEY-----", "-----END KEY-----"), ("word\n", "\nword\nmore words")]
     rows, want = [], []
     for kind, x in cases:
@@ -467,11 +471,67 @@ def test_secret_scan_wrapped_and_assigned_keys(spark):
             rows.append((len(rows), a + x + b))
     n = len(rows)
     bad = key[:100] + "A" + key[101:-8] + "\n\n" + key[-8:]
-    rows += [(n, wrap(key[:-64], 64)), (n + 1, bad), (n + 2, wrap(key, 64, "\n\n")), (n + 3, "MI" * 100_000), (n + 4, "MIIE " * 20_000)]
+    rows += [(n, wrap(key[:-64], 64)), (n + 1, bad), (n + 2, wrap(key, 64, "\n\n")), (n + 3, "MI" * 100_000), (n + 4, "MIIE " * 20_000)] + [(n + 5 + i, x) for i, x in enumerate(garbage)]
     got = by_id(secret_scan.scan_secrets(spark.createDataFrame(rows, "doc_id long, text string")))
     for i, w in enumerate(want):
         assert [s for s in got[i].spans.split(",") if s.startswith(("der", "ssh"))] == [w] and got[i].n_confirmed == 1, rows[i]
-    assert not any(got[i].n_confirmed for i in range(n, n + 5))
+    assert not any(got[i].n_confirmed for i in range(n, n + 5 + len(garbage)))
+
+
+def brute_base_spans(text):
+    """The base patterns read character by character."""
+    word = lambda c: c.isascii() and (c.isalnum() or c in "+/_.=-")
+    out, at = [], 0
+    while at < len(text):
+        found = None
+        for name in ("password", "passwd", "secret", "token", "api_key", "apikey"):
+            if text[at : at + len(name)].isascii() and text[at : at + len(name)].lower() == name:
+                i = at + len(name)
+                i += text[i : i + 1] in ('"', "'") and i < len(text)
+                while text[i : i + 1] == " ":
+                    i += 1
+                if text[i : i + 1] in (":", "="):
+                    i += 1
+                    while text[i : i + 1] == " ":
+                        i += 1
+                    i += text[i : i + 1] in ('"', "'") and i < len(text)
+                    j = i
+                    while j < len(text) and word(text[j]):
+                        j += 1
+                    if j > i:
+                        found = (i, j)
+                break
+        if found:
+            if found[1] - found[0] >= 12:
+                out.append((at, found[1], "assign"))
+            at = found[1]
+        else:
+            at += 1
+    for kind, head, ok, least in (("access", "AKIA", lambda c: c.isascii() and (c.isupper() or c.isdigit()), 18), ("hex", "", lambda c: c in "0123456789abcdef", 16)):
+        at = 0
+        while at < len(text):
+            j = at + len(head)
+            if text.startswith(head, at):
+                while j < len(text) and ok(text[j]):
+                    j += 1
+                if j > at + len(head):
+                    if j - at >= least:
+                        out.append((at, j, kind))
+                    at = j
+                    continue
+            at += 1
+    return ",".join(f"{k}:{a}:{b}" for a, b, k in sorted(out, key=lambda x: (x[0], ("assign", "access", "hex").index(x[2]))))
+
+
+def test_secret_scan_base_spans_equal_brute_force(spark):
+    r = np.random.default_rng(21)
+    bits = ["password", "PassWd", "secret", "ToKen", "api_key", "apikey", '"', "'", " ", "=", ":", "AKIA", "AKIA", "1234567890AB", "abcdef0123456789", "x.y-z+/_", "deadbeef", "\n", "\u017f", "é", "==", "k", "\U0001f600"]
+    texts = ["".join(r.choice(bits, int(r.integers(0, 60)))) for _ in range(600)]
+    got = by_id(secret_scan.scan_secrets(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
+    for i, t in enumerate(texts):
+        want = brute_base_spans(t)
+        assert got[i].base_sha256 == hashlib.sha256(want.encode()).hexdigest(), (t, want, got[i].spans)
+        assert [got[i].n_assign, got[i].n_access, got[i].n_hex] == [want.count(k) for k in ("assign", "access", "hex")]
 
 
 def test_decontamination(spark, none):
