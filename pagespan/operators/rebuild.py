@@ -185,7 +185,7 @@ def rebuild(fragments: DataFrame, rows: DataFrame, grouped: DataFrame, pairs: Da
     """(tables, rows): tables has key, members, pages, build, columns, n_rows, build_warnings."""
     member = written(members(fragments, grouped, pairs), "members")
     planned = written(plan(member, cfg), "planned")
-    head = written(headers(planned, rows, cfg), "headers")
+    head = headers(planned, rows, cfg)
     conts, labels = continuations(planned, cfg)
     sep = F.lit(cfg.stitch_separator)
     head = head.join(labels, KEY, "left")
