@@ -106,7 +106,8 @@ class Counter:
         self.counts = np.zeros(1 << bits, np.uint32)
 
     def add(self, hashes: np.ndarray) -> None:
-        np.add.at(self.counts, (hashes >> np.uint64(64 - self.bits)).astype(np.int64), 1)
+        for at in range(0, len(hashes), PIECE_BYTES):
+            np.add.at(self.counts, (hashes[at : at + PIECE_BYTES] >> np.uint64(64 - self.bits)).astype(np.int64), 1)
 
     def rows(self) -> list[tuple[int, bytes]]:
         parts = np.split(self.counts, BLOCKS)

@@ -51,6 +51,24 @@ def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
     return x
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """The distinct values, sorted. By sorting: for long arrays of mostly distinct values that is several times faster than the
+    hash table behind np.unique, and needs half of its memory."""
+    x = np.sort(x)
+    if len(x) > 1:
+        new = np.empty(len(x), bool)
+        new[0] = True
+        np.not_equal(x[1:], x[:-1], out=new[1:])
+        if not new.all():
+            x = x[new]
+    return x
+
+
+def slices(n: int, size: int = 1 << 20) -> Iterator[slice]:
+    """Cuts 0..n, so that the temporary arrays of a long text's arithmetic stay small."""
+    return (slice(a, min(a + size, n)) for a in range(0, n, size))
+
+
 class Words:
     """Words of a block: start and end bytes, hashes, and for text i the words first[i]:first[i+1].
 
@@ -137,19 +155,18 @@ def shingles(w: Words, k: int = 5) -> list[np.ndarray]:
     """Per text the sorted distinct hashes of its k-word shingles; fewer words: the whole sequence as one; none: empty."""
     h, first = w.hash, w.first
     m = len(h)
-    if m >= k:
-        s = np.zeros(m - k + 1, U64)
+    s = np.empty(max(m - k + 1, 0), U64)
+    for part in slices(len(s)):
+        x = np.zeros(part.stop - part.start, U64)
         for j in range(k):
-            s += h[j : m - k + 1 + j] * U64(int(_C[j % 5]) * (2 * (j // 5) + 1) & (2**64 - 1))
-        s = mix(s)
-    else:
-        s = np.zeros(0, U64)
+            x += h[part.start + j : part.stop + j] * U64(int(_C[j % 5]) * (2 * (j // 5) + 1) & (2**64 - 1))
+        s[part] = mix(x)
     out = []
     for i in range(len(first) - 1):
         a, b = first[i], first[i + 1]
         n = b - a
         if n >= k:
-            out.append(np.unique(s[a : b - k + 1]))
+            out.append(distinct(s[a : b - k + 1]))
         elif n:
             x = U64(n)
             with np.errstate(over="ignore"):

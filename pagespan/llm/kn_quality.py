@@ -45,14 +45,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagespan.llm._store import pieces, release, without, written
+from pagespan.llm._text import distinct
 
 ORDER = 5
 BITS = 12
 TOP = (1 << BITS) - 1
-BLOCK_BYTES = 24 << 20
+BLOCK_BYTES = 32 << 20
 ACCURACY = 20_000
-#: Tables of the lowest orders and lists of labelled ids are broadcast up to so many rows of at most 24 bytes.
-BROADCAST_ROWS = 1_000_000
+#: Model tables and lists of labelled ids are broadcast up to so many rows of at most 24 bytes; beyond that their joins are shuffled.
+BROADCAST_ROWS = 200_000
 _BLOCK_CHARS = 1 << 18
 
 
@@ -141,18 +142,17 @@ def train(texts: DataFrame) -> dict[str, list[DataFrame]]:
 def log_probabilities(grams: DataFrame, model: dict[str, list[DataFrame]]) -> DataFrame:
     """grams (key: distinct packed n-grams of ORDER symbols) with value: the log probability of the last symbol. One join per
     table; a gram falls back to the next lower order, with the context's weight, as far as it must."""
-    mask = lambda n: F.lit((1 << BITS * n) - 1)
-    value = F.lit(-float(np.log(TOP + 1)))
-    own_columns = grams.columns
+    columns = grams.columns
+    grams = grams.withColumn("value", F.lit(-float(np.log(TOP + 1))))
     for n in range(1, ORDER + 1):
-        own = F.col("key").bitwiseAND(mask(n))
-        for kind, key in (("p", own), ("g", F.shiftright(own, BITS))):
-            t = model[kind][n - 1].select(F.col("key").alias("k"), F.col("value").alias(f"{kind}{n}"))
-            if (n <= 2 or (kind, n) == ("g", 3)) and t.count() <= BROADCAST_ROWS:
+        own = F.col("key").bitwiseAND(F.lit((1 << BITS * n) - 1))
+        for kind, at in (("p", own), ("g", F.shiftright(own, BITS))):
+            t = model[kind][n - 1].select(F.col("key").alias("k"), F.col("value").alias(kind))
+            if t.count() <= BROADCAST_ROWS:
                 t = F.broadcast(t)
-            grams = grams.withColumn("at", key).join(t, F.col("at") == F.col("k"), "left").drop("at", "k")
-        value = F.coalesce(f"p{n}", F.coalesce(f"g{n}", F.lit(0.0)) + value)
-    return grams.select(*own_columns, value.alias("value"))
+            grams = grams.withColumn("at", at).join(t, F.col("at") == F.col("k"), "left").drop("at", "k")
+        grams = grams.select(*columns, F.coalesce("p", F.coalesce("g", F.lit(0.0)) + F.col("value")).alias("value"))
+    return grams
 
 
 class Table:
@@ -213,14 +213,14 @@ def _pack(batches):
 
     def packed(parts):
         sink = pa.BufferOutputStream()
-        with pa.ipc.new_stream(sink, _BLOCK, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        with pa.ipc.new_stream(sink, _BLOCK, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=6))) as out:
             for x in parts:
                 out.write_batch(x)
         raw = sink.getvalue().to_pybytes()
         return pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_64_intdigest(raw, next(made)) - (1 << 63)], pa.int64()), pa.array([raw], pa.binary())], ["block", "payload"])
 
     held, size = [], 0
-    for b in pieces(batches, most=BLOCK_BYTES):
+    for b in pieces(batches, most=BLOCK_BYTES >> 3):
         b = pa.RecordBatch.from_arrays([b.column(c).cast(_BLOCK.field(c).type) for c in _BLOCK.names], schema=_BLOCK)
         n = pa.compute.sum(pa.compute.binary_length(b.column("text"))).as_py() or 0
         if held and size + n > BLOCK_BYTES:
@@ -244,11 +244,11 @@ def _distinct(batches):
             seen, new, n = np.zeros(0, np.int64), [], 0
             for rows in _unpack(raw.as_buffer()):
                 for _, _, texts in _text_blocks(rows.column("text").to_pylist()):
-                    new.append(np.unique(_grams(texts)))
+                    new.append(distinct(_grams(texts)))
                     n += len(new[-1])
                     if n > 2_000_000:
-                        seen, new, n = np.unique(np.concatenate([seen, *new])), [], 0
-            seen = np.unique(np.concatenate([seen, *new]))
+                        seen, new, n = distinct(np.concatenate([seen, *new])), [], 0
+            seen = distinct(np.concatenate([seen, *new]))
             for at in range(0, len(seen), 1 << 18):
                 k = seen[at : at + (1 << 18)]
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), block, np.int64)), pa.array(k)], ["block", "key"])
@@ -287,8 +287,8 @@ def perplexities(documents: DataFrame, model: dict[str, list[DataFrame]]) -> Dat
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     # both exchanges are read twice and written once
     blocks = docs.mapInArrow(_pack, "block long, payload binary").repartition(parts, "block")
-    asked = blocks.mapInArrow(_distinct, "block long, key long").repartition(parts, "key")
-    # the least block of a key is carried along, and used, so that both reads of `asked` have the same columns and share one exchange
+    asked = blocks.mapInArrow(_distinct, "block long, key long").where("block is not null and key is not null").repartition(parts, "key")
+    # the least block of a key is carried along, and used, so that both reads of `asked` have the same columns and filters and share one exchange
     known = log_probabilities(asked.groupBy("key").agg(F.min("block").alias("least")), model)
     answered = asked.join(known, "key").where("block >= least").select("block", "key", F.col("value").cast("float").alias("value"))
     schema = "doc_id long, lang string, perplexity double, has_text boolean, size long"
