@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagespan.llm._store import pieces, release, written
-from pagespan.llm._text import U64, Words, blocks, mix, words_of
+from pagespan.llm._text import U64, Words, blocks, distinct, mix, words_of
 
 RATES = (3,) * 16 + (5,) * 16 + (7,) * 16 + (9,) * 16
 _SEEDS = mix(np.arange(1, len(RATES) + 1, dtype=U64), 211)[:, None]
@@ -41,7 +41,7 @@ NONE = "." * 4
 
 
 def _distinct(w: Words) -> list[np.ndarray]:
-    return [np.unique(w.hash[a:b]) for a, b in zip(w.first[:-1], w.first[1:], strict=True)]
+    return [distinct(w.hash[a:b]) for a, b in zip(w.first[:-1], w.first[1:], strict=True)]
 
 
 class Lexicon:

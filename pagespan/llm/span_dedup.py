@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagespan.llm._store import one_text, pieces, release, texts_of, written
-from pagespan.llm._text import U64, Words, blocks, mix, words_of
+from pagespan.llm._text import U64, Words, blocks, distinct, mix, slices, words_of
 
 _END = np.zeros(256, bool)
 _END[list(b".!?")] = True
@@ -41,23 +41,34 @@ def sentences(w: Words, max_words: int) -> tuple[np.ndarray, np.ndarray, np.ndar
     last = w.data[w.end - 1]
     closing = _CLOSE[last] & (w.end - w.start > 1)
     stop = _END[last] | closing & _END[w.data[np.maximum(w.end - 2, 0)]]
-    lines = np.concatenate([[0], np.cumsum(w.data == 10)])
-    stop[:-1] |= lines[w.start[1:]] > lines[w.end[:-1]]
+    breaks = np.flatnonzero(w.data == 10)
+    stop[:-1] |= np.searchsorted(breaks, w.start[1:]) > np.searchsorted(breaks, w.end[:-1])
     ends = w.first[1:][np.diff(w.first) > 0] - 1
     stop[ends] = True
     head = np.ones(m, bool)
     head[1:] = stop[:-1]
     at = np.flatnonzero(head)
-    no = np.arange(m) - at[np.cumsum(head) - 1]
-    head |= no % max_words == 0
+    for a, n in _long(at, m, max_words):
+        head[a : a + n : max_words] = True
     at = np.flatnonzero(head)
     words = np.diff(np.append(at, m))
-    place = np.arange(m) - np.repeat(at, words)
-    with np.errstate(over="ignore"):
-        h = np.add.reduceat(mix(w.hash + mix(place.astype(U64), 41), 43), at)
+    h = np.empty(len(at), U64)
+    for part in slices(len(at), 1 << 17):
+        own, n = at[part], words[part]
+        lo, hi = own[0], own[-1] + n[-1]
+        place = np.arange(lo, hi) - np.repeat(own, n)
+        with np.errstate(over="ignore"):
+            h[part] = np.add.reduceat(mix(w.hash[lo:hi] + mix(place.astype(U64), 41), 43), own - lo)
     return at, words, mix(h ^ words.astype(U64)), np.searchsorted(w.first, at, "right") - 1
 
 
+def _long(at: np.ndarray, m: int, max_words: int):
+    """(first word, words) of the sentences that have to be cut."""
+    n = np.diff(np.append(at, m))
+    over = np.flatnonzero(n > max_words)
+    return zip(at[over].tolist(), n[over].tolist(), strict=True)
+
+
 def spans(w: Words, run: int, min_words: int, max_words: int):
     """text number, number of the first sentence within the text, sentences and hash of every run."""
     _, words, h, text = sentences(w, max_words)
@@ -69,7 +80,7 @@ def spans(w: Words, run: int, min_words: int, max_words: int):
     # ahead from the first sentence, and back from the last one, so that no sentence at either end of a repeat is left out
     ahead = np.maximum(np.searchsorted(total, total[:-1] + min_words), no + run)
     back = np.minimum(np.searchsorted(total, total[1:] - min_words, "right") - 1, no + 1 - run)
-    ends = np.unique(np.concatenate([no * (m + 1) + np.minimum(ahead, m), np.maximum(back, 0) * (m + 1) + no + 1]))
+    ends = distinct(np.concatenate([no * (m + 1) + np.minimum(ahead, m), np.maximum(back, 0) * (m + 1) + no + 1]))
     at, end = ends // (m + 1), ends % (m + 1)
     ok = (text[at] == text[end - 1]) & (end - at >= run) & (total[end] - total[at] >= min_words)
     at, n = at[ok], (end - at)[ok]
