@@ -17,7 +17,7 @@ subsets in which they agree, among those where either has a term.
 
 Defined results: null is the empty text; equal texts get equal fingerprints; two
 texts without any term are alike (1). In the chained form (edited texts), rows
-follow doc_id, then text; null doc_id comes first; one row is its own next; an
+follow doc_id, then a hash of the text; null doc_id comes first; one row is its own next; an
 empty table gives no rows; other columns are ignored.
 """
 
@@ -161,13 +161,13 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 def fingerprint_chain(documents: DataFrame, min_idf: float = 2.0, max_idf: float = 8.0) -> DataFrame:
     """Fingerprints every text, its edited text (end replaced by the next document's start) and compares neighbours.
 
-    Rows are range-partitioned by doc_id once and streamed in order, one row held
-    back. A partition's first and last texts come out as extra rows; at most one
+    Rows are range-partitioned by doc_id and hash once, so that rows without or with the same doc_id are split too, and
+    streamed in order, one row held back. A partition's first and last texts come out as extra rows; at most one
     text per partition is then joined to the next partition's first.
     """
     spark = documents.sparkSession
     band = spark.sparkContext.broadcast(lexicon(documents, min_idf, max_idf))
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
 
     def run(batches):
         lex = Lexicon(band.value)
@@ -192,7 +192,7 @@ def fingerprint_chain(documents: DataFrame, min_idf: float = 2.0, max_idf: float
             yield _batch([(held[0],) + (None,) * 6 + (place, 2, held[1])])
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    got = written(docs.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(run, _PART), "chain")
+    got = written(docs.repartitionByRange(parts, "doc_id", "h").sortWithinPartitions("doc_id", "h", "text").mapInArrow(run, _PART), "chain")
     done = got.where("kind = 0").select(*_NAMES[:7])
     places = sorted(r.place for r in got.where("kind = 1").select("place").collect())  # a number per partition
     if not places:
