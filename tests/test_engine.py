@@ -73,6 +73,38 @@ def test_decisions_and_reasons(spark):
     assert {r.doc_id: r.merged_tables for r in out.metrics().collect()}["same"] == 1
 
 
+def test_missing_numbers_when_pages_and_numbers_disagree(spark):
+    docs = {"d": [fragment(i, A, [["a", "1", "x"]], page) for page, i in enumerate((0, 7, 3, 10, 11), 1)]}
+    _, _, out = run(spark, docs)
+    got = [(p.left_idx, p.right_idx, p.reason, p.warnings) for p in out.pairs.orderBy("seq").collect()]
+    say = lambda *n: [f"unextracted table indices between pair: {list(n)}"]
+    assert got == [
+        (0, 7, "unextracted_table_between", say(1, 2, 4, 5, 6)), (7, 3, "header_similarity_strict", []), (3, 10, "unextracted_table_between", say(4, 5, 6, 8, 9)), (10, 11, "header_similarity_strict", []),
+    ]
+
+
+def test_rows_fold_across_fragments_as_a_plain_loop_does(spark):
+    import random
+
+    rnd = random.Random(4)
+    docs, want = {}, {}
+    for d in range(25):
+        rows = [[[rnd.choice(["", "", " x ", "http://u", "word"]) for _ in range(3)] for _ in range(rnd.randint(1, 4))] for _ in range(rnd.randint(2, 5))]
+        docs[f"d{d:02}"] = [fragment(p, A, r, p + 1) for p, r in enumerate(rows)]
+        out = []
+        for r in [r for page in rows for r in page]:
+            full = [i for i, c in enumerate(r) if c.strip()]
+            if out and len(full) == 1 and full[0] > 0:
+                v = r[full[0]].strip()
+                at = 2 if v.startswith("http") else full[0]
+                out[-1][at] = out[-1][at].rstrip() + "\n" + v if out[-1][at].strip() else v
+            else:
+                out.append(list(r))
+        want[f"d{d:02}", 0] = out
+    tables, rows, _ = run(spark, docs)
+    assert rows == want and all(len(t) == 1 for t in tables.values())
+
+
 def test_overflow_policies(spark):
     docs = {"d": [fragment(0, ["a", "b"], [["1", "x"]], 1, bottom=0.9), fragment(1, ["c0", "c1", "c2"], [["2", "y ", " z "], ["3", "", "w"]], 2, headerless=True, top=0.1)]}
     tables, rows, _ = run(spark, docs, width_overflow_policy="warn_drop")
