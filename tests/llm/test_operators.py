@@ -98,7 +98,7 @@ def test_ngram_join_repeated_doc_id(spark):
     assert {(r.doc_id, r.component_id) for r in ngram_join.near_duplicate_components(d).collect()} == {(1, 1), (2, 1)}
 
 
-@pytest.mark.parametrize(("rounds", "hub_pairs"), [(1, 2000), (0, 7)])
+@pytest.mark.parametrize(("rounds", "hub_pairs"), [(1, 200), (0, 7)])
 def test_ngram_join_large_group_of_near_copies(spark, rounds, hub_pairs, monkeypatch):
     monkeypatch.setattr(ngram_join, "ROUNDS", rounds)
     monkeypatch.setattr(ngram_join, "HUB_PAIRS", hub_pairs)
