@@ -55,7 +55,7 @@ def canonical_url(url: Column) -> Column:
     path = F.regexp_replace(F.regexp_extract(rest, "^[^/?]*([^?]*)", 1), "/+$", "")
     kept = F.array_sort(F.filter(F.split(F.regexp_extract(rest, "\\?(.*)$", 1), "&"), lambda p: (p != "") & ~p.rlike(TRACKING)))
     whole = F.concat(F.regexp_replace(host, port, F.lit("")), path, F.when(F.size(kept) > 0, F.concat(F.lit("?"), F.array_join(kept, "&"))).otherwise(""))
-    return F.when(F.when(marked, host.rlike("[^:]")).otherwise(host.rlike(_BARE_HOST)), whole)
+    return F.when(F.when(marked, host.rlike("^[^:]")).otherwise(host.rlike(_BARE_HOST)), whole)
 
 
 def latest_before(rows: DataFrame, bucket_seconds: int) -> DataFrame:
