@@ -38,13 +38,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagespan.llm._store import COUNTER_SCHEMA, COUNTERS, Counter, components, pieces, release, summed, texts_of, without, written
-from pagespan.llm._text import U64, blocks, mix, shingles, words_of
+from pagespan.llm._text import U64, blocks, mix, shingles, slices
 
 ORDERS = 3
+#: 1: groups are joined through a few partners of each class first; 0 (tests): all candidates are compared at once.
 ROUNDS = 1
 PARTNERS = 3
 #: Candidates of a class that one task compares.
-HUB_PAIRS = 2_000
+HUB_PAIRS = 200
 _SUMMARY = "doc_id long, n int, cid long, text_hash long, " + COUNTER_SCHEMA
 
 
@@ -53,7 +54,8 @@ def _class_id(s: np.ndarray) -> int:
     if not len(s):
         return 0
     with np.errstate(over="ignore"):
-        x = mix(s, 11).sum(dtype=U64) ^ mix(s, 13).sum(dtype=U64) * U64(0x9E3779B97F4A7C15)
+        a, b = (sum((mix(s[part], seed).sum(dtype=U64) for part in slices(len(s))), start=U64(0)) for seed in (11, 13))
+        x = a ^ b * U64(0x9E3779B97F4A7C15)
     return int(mix(np.array([x ^ U64(len(s))], U64), 17).view(np.int64)[0])
 
 
@@ -65,15 +67,15 @@ def prefix(s: np.ndarray, rank: np.ndarray, order: int, percent: int) -> np.ndar
     """The first tokens of a set in one global order: order 0 by the rank of their counter, then by a hash; the others by hashes
     of their own."""
     p = prefix_length(len(s), percent)
-    key = mix(s, 101 + order)
-    if order == 0:
-        key = (rank[(s >> U64(64 - COUNTERS)).astype(np.int64)].astype(U64) << U64(58)) | (key >> U64(6))
+    key = np.empty(len(s), U64)
+    for part in slices(len(s)):
+        x = s[part]
+        own = mix(x, 101 + order)
+        key[part] = own if order else (rank[(x >> U64(64 - COUNTERS)).astype(np.int64)].astype(U64) << U64(58)) | (own >> U64(6))
     if p < len(s):
-        at = np.argpartition(key, p - 1)[:p]
-        at = at[np.argsort(key[at])]
-    else:
-        at = np.argsort(key)
-    return s[at]
+        at = np.flatnonzero(key <= np.partition(key, p - 1)[p - 1])
+        return s[at[np.argsort(key[at])]]
+    return s[np.argsort(key)]
 
 
 def reach(n: np.ndarray, pos: np.ndarray, percent: int) -> np.ndarray:
@@ -89,6 +91,7 @@ def _summaries(k: int):
             ids = b.column("doc_id").to_numpy(zero_copy_only=False)
             for lo, hi, w in blocks(b.column("text")):
                 sets = shingles(w, k)
+                del w
                 for s in sets:
                     counter.add(s)
                 yield pa.RecordBatch.from_arrays(
@@ -119,7 +122,9 @@ def _postings(k: int, percent: int, ranks):
         for b in batches:
             for _, _, w in blocks(b.column("text")):
                 tok, cid, size, far = [], [], [], []
-                for s in shingles(w, k):
+                sets = shingles(w, k)
+                del w
+                for s in sets:
                     if len(s) and (c := _class_id(s)) not in seen:
                         seen.add(c)
                         p = prefix(s, rank, 0, percent)
@@ -133,32 +138,44 @@ def _postings(k: int, percent: int, ranks):
     return run
 
 
+_COLL = "token long, cid long, n int, reach int, first_cid long, first_n int, first_reach int"
+
+
 def _collisions():
-    """Rows sorted by token, n and cid: keeps those of tokens that two classes share, one per token and class."""
+    """Rows sorted by token, lateness and cid: keeps one per token and class, of tokens that two classes share, and tells each
+    the first row of its token (the class in which the token comes earliest). A token that leaves no class room for a set of
+    its own size (reach < n throughout, so in the first row) can't be the first shared token of a linked pair, and goes."""
 
     def run(batches):
-        last = None  # token, cid, n and reach of the last row, and whether its token's rows are going out
+        last = None  # the last row, whether its token's rows are going out, and the token's first row
         for b in batches:
             t, c, n, far = (b.column(x).to_numpy() for x in ("token", "cid", "n", "reach"))
             if not len(t):
                 continue
             if last is not None:
-                t, c, n, far = np.append(last[0], t), np.append(last[1], c), np.append(last[2], n).astype(np.int32), np.append(last[3], far).astype(np.int32)
+                t, c, n, far = (np.concatenate([[v], x]).astype(x.dtype) for v, x in zip(last[0], (t, c, n, far), strict=True))
             new = np.ones(len(t), bool)
             new[1:] = (t[1:] != t[:-1]) | (c[1:] != c[:-1])
             t, c, n, far = t[new], c[new], n[new], far[new]
             head = np.ones(len(t), bool)
             head[1:] = t[1:] != t[:-1]
             run_of = np.cumsum(head) - 1
+            first = np.stack([x[head].astype(np.int64) for x in (c, n, far)])
             many = np.bincount(run_of)[run_of] > 1
+            if last is not None:
+                first[:, 0] = last[2]
+                if last[1]:
+                    many |= run_of == 0
+            many &= (first[2] >= first[1])[run_of]
+            going = bool(many[-1])
             out = many.copy()
-            if last is not None and last[4]:
-                many |= run_of == 0
-                out = many.copy()
-                out[0] = False
-            last = (t[-1], c[-1], n[-1], far[-1], bool(many[-1]))
+            if last is not None and last[1]:
+                out[0] = False  # it has gone out already
+            last = ((t[-1], c[-1], n[-1], far[-1]), going, first[:, -1].copy())
             if out.any():
-                yield pa.RecordBatch.from_arrays([pa.array(x[out]) for x in (t, c, n, far)], ["token", "cid", "n", "reach"])
+                fc, fn, fr = first[:, run_of[out]]
+                cols = [pa.array(x[out]) for x in (t, c, n, far)] + [pa.array(fc), pa.array(fn.astype(np.int32)), pa.array(fr.astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(cols, [x.split()[0] for x in _COLL.split(", ")])
 
     return run
 
@@ -208,14 +225,10 @@ def _verify(k: int, percent: int):
     return run
 
 
-def _neighbours(tagged: DataFrame) -> DataFrame:
-    """At most PARTNERS pairs (a, b) per class, of different components: a row pairs with the row of its token that comes
-    earliest in its own text (a copy with few tokens of its own). A class keeps those partners that it met most often."""
-    row = F.struct((-F.col("reach") / F.col("n")).alias("late"), "cid", "n", "reach", "comp")
-    # one row per token, found by a partial aggregate and written: a token that stands everywhere is split among tasks
-    first = written(tagged.groupBy("token").agg(F.min(row).alias("o"), F.count(F.lit(1)).alias("c")).where("c > 1").select("token", "o"), "firsts")
-    t = tagged.join(first, "token")
-    t = t.where("o.comp <> comp and o.n <= reach and n <= o.reach").groupBy(F.col("cid").alias("a"), F.col("o.cid").alias("b")).agg(F.count(F.lit(1)).alias("c"))
+def _neighbours(coll: DataFrame) -> DataFrame:
+    """At most PARTNERS pairs (a, b) per class: a row pairs with the row of its token that comes earliest in its own text (a copy
+    with few tokens of its own). A class keeps those partners that it met most often."""
+    t = coll.where("first_cid <> cid and first_n <= reach and n <= first_reach").groupBy(F.col("cid").alias("a"), F.col("first_cid").alias("b")).agg(F.count(F.lit(1)).alias("c"))
     best = F.row_number().over(Window.partitionBy("a").orderBy(F.col("c").desc(), F.xxhash64("b")))
     return t.withColumn("r", best).where(F.col("r") <= PARTNERS).select("a", "b")
 
@@ -262,9 +275,8 @@ def ngram_jaccard_join(documents: DataFrame, k: int = 5, percent: int = 80) -> d
     reps = written(member.where("n > 0").groupBy("cid").agg(F.min("doc_id").alias("class_id")), "classes")
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sorted_ = docs.mapInArrow(_postings(k, percent, ranks), "token long, cid long, n int, reach int").repartition(parts, "token").sortWithinPartitions("token", "n", "cid")
-    coll = sorted_.mapInArrow(_collisions(), "token long, cid long, n int, reach int")
-    coll = written(coll, "collisions")
+    sorted_ = docs.mapInArrow(_postings(k, percent, ranks), "token long, cid long, n int, reach int").repartition(parts, "token").sortWithinPartitions("token", (-F.col("reach") / F.col("n")), "cid")
+    coll = written(sorted_.mapInArrow(_collisions(), _COLL), "collisions")
 
     def check(pairs: DataFrame) -> DataFrame:
         """pairs (a, b) of classes -> (a, b) of class ids that link."""
@@ -294,15 +306,16 @@ def ngram_jaccard_join(documents: DataFrame, k: int = 5, percent: int = 80) -> d
 
     links = None
     for turn in range(ROUNDS + 1):
+        tagged = coll.select("token", "cid", "n", "reach")
         if links is None:
-            tagged = coll.withColumn("comp", F.col("cid"))
+            tagged = tagged.withColumn("comp", F.col("cid"))
         else:
             found = written(components(links), "groups")
             cls = reps.join(found, reps.class_id == found.id, "left").select("cid", F.coalesce("root", "class_id").alias("comp"))
-            tagged = coll.join(cls, "cid")
+            tagged = tagged.join(cls, "cid")
             mixed = tagged.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token")
             tagged = written(tagged.join(mixed, "token", "left_semi"), "tagged")
-        pairs = written(_neighbours(tagged) if turn < ROUNDS else _meeting(tagged, percent), "pairs")
+        pairs = written(_neighbours(coll) if turn < ROUNDS else _meeting(tagged, percent), "pairs")
         if not pairs.head(1):
             continue
         new = written(check(pairs), "links")
