@@ -24,7 +24,9 @@ the limit as a perplexity at the document's length. Documents above it are
 rejected, and those without a word. Perplexity can't catch a few bad words in
 otherwise ordinary text.
 
-Code points from 4095 on share a symbol. Defined results: null or empty text has
+Symbols have 12 bits. Code points up to DIRECT are symbols of their own; a later one is
+two, a lead and a trail, so that every text has n-grams of its own; its probability
+is the product of both, and perplexity stays per code point. Defined results: null or empty text has
 no perplexity and is rejected; null lang is a language of its own; rows without
 doc_id are scored and can't be labelled; rows that share a doc_id are scored each,
 and train each; of several labels of a document, one
@@ -50,6 +52,8 @@ from pagespan.llm._text import distinct
 ORDER = 5
 BITS = 12
 TOP = (1 << BITS) - 1
+#: Later code points take a lead from DIRECT on (272 of them reach the last code point) and a trail of 12 bits.
+DIRECT = 3823
 BLOCK_BYTES = 32 << 20
 ACCURACY = 20_000
 #: Model tables and lists of labelled ids are broadcast up to so many rows of at most 24 bytes; beyond that their joins are shuffled.
@@ -58,12 +62,22 @@ _BLOCK_CHARS = 1 << 18
 
 
 def _symbols(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Symbols of all texts, each led by ORDER - 1 pads (symbol 0), and where each text's characters begin and end."""
+    """Symbols of all texts, each led by ORDER - 1 pads (symbol 0), and where each text's symbols begin and end."""
     size = np.array([len(t) for t in texts], np.int64)
     end = np.cumsum(size + ORDER - 1)
     pad = "\0" * (ORDER - 1)
-    x = np.frombuffer((pad + pad.join(texts)).encode("utf-32-le", "surrogatepass"), np.uint32)
-    return np.minimum(x, TOP).astype(np.int64), np.stack([end - size, end])
+    x = np.frombuffer((pad + pad.join(texts)).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    bounds = np.stack([end - size, end])
+    far = x >= DIRECT
+    if not far.any():
+        return x, bounds
+    at = np.concatenate([[0], np.cumsum(far)])  # symbols more than code points, before each place
+    out = np.empty(len(x) + at[-1], np.int64)
+    place = np.arange(len(x)) + at[:-1]
+    over = x - DIRECT
+    out[place] = np.where(far, DIRECT + (over >> BITS), x)
+    out[place[far] + 1] = over[far] & TOP
+    return out, bounds + at[bounds]
 
 
 def _keys(x: np.ndarray) -> np.ndarray:
@@ -271,9 +285,10 @@ def _score(grams: pa.Table, blocks: pa.Table) -> pa.Table:
                 missed = np.concatenate([[0], np.cumsum(~hit)])
                 if (missed[end] != missed[start]).any():
                     raise ValueError("an n-gram of a block has no probability: the rows changed between two reads")
+                chars = np.array([len(t) for t in texts], np.int64)
                 with np.errstate(invalid="ignore", divide="ignore"):
-                    value += [float(p) if n else None for p, n in zip(np.exp((s[start] - s[end]) / (end - start)), end - start, strict=True)]
-                size += (end - start).tolist()
+                    value += [float(p) if n else None for p, n in zip(np.exp((s[start] - s[end]) / chars), chars, strict=True)]
+                size += chars.tolist()
             out.append(pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("lang"), pa.array(value, pa.float64()), rows.column("has_text"), pa.array(size, pa.int64())], schema=_SCORES))
     return pa.Table.from_batches(out, _SCORES)
 
