@@ -17,9 +17,15 @@ lower-case hex digits). Structural kinds are reported only when their bytes pars
   signature length that `alg` names.
 
 Public keys are no secrets; their kinds tell them apart. No key has fewer than 30
-bytes. Base64 of keys may stand in lines (as in PEM): its characters are read
-on over single line ends, written-out ones (\\n) and spaces, as many as the lengths
-inside it claim. Hex is read within one line only.
+bytes or more than MOST_PARTS elements. Base64 of keys may stand in lines (as in
+PEM): its characters are read on over single line ends, written-out ones (\\n) and
+spaces, as many as the lengths inside it claim. Hex is read within one line only.
+
+Every pass is linear in the text, whatever it claims: a run of base64 is joined
+once and decoded at most four times (once for each place in a group of four), all
+keys that may begin inside it share these bytes, and a claimed structure is
+followed from length to length, at most MOST_PARTS of them, without reading what
+lies between.
 
 Spans are code points, end exclusive. Structural spans are added and never
 replace base ones.
@@ -32,6 +38,7 @@ from __future__ import annotations
 
 import base64
 import binascii
+import bisect
 import hashlib
 import json
 import re
@@ -56,11 +63,15 @@ _START = re.compile(r"(?:(?<![A-Za-z0-9+/_-])|(?<=\\n)|(?<=-----))(?:M[A-I]|AAAA
 _CHARS = re.compile(r"[A-Za-z0-9+/_-]+")
 _GAP = re.compile(r"[ \t]*(?:\r\n|\n|\r|(?:\\r)?\\n)[ \t]*|[ \t]")
 _STOP = re.compile(r"={0,2}(?:(?=----)|(?![A-Za-z0-9+/_=-]))")
-_TOKEN = re.compile(r"eyJ[A-Za-z0-9_-]{6,}\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+")
+_DOTTED = re.compile(r"[A-Za-z0-9_-]+(?:\.[A-Za-z0-9_-]+)*")
+_HEAD = re.compile(r"eyJ[A-Za-z0-9_-]{6,}")
 
 # Names and sizes of the public key and token formats.
+_MAGIC = b"openssh-key-v1\0"
 _SSH = {b"ssh-rsa", b"ssh-dss", b"ssh-ed25519", b"ecdsa-sha2-nistp256", b"ecdsa-sha2-nistp384", b"ecdsa-sha2-nistp521"}
 _SSH_FIELDS = {b"ssh-rsa": 3, b"ssh-dss": 5, b"ssh-ed25519": 2, b"ecdsa-sha2-nistp256": 3, b"ecdsa-sha2-nistp384": 3, b"ecdsa-sha2-nistp521": 3}
+#: RSAPrivateKey has the most elements: nine, and one for further primes.
+MOST_PARTS = 10
 _SIGNATURE_BYTES = {"HS256": 32, "HS384": 48, "HS512": 64, "RS256": 128, "RS384": 128, "RS512": 128, "PS256": 128, "PS384": 128, "PS512": 128, "ES256": 64, "ES384": 96, "ES512": 132, "EdDSA": 64}
 
 
@@ -89,14 +100,15 @@ def _element(data: bytes, at: int, end: int) -> tuple[int, int, int] | None:
     return (tag, at, at + n) if at + n <= end else None
 
 
-def der_kind(data: bytes) -> str | None:
-    """der, der_public, or None for bytes that are no key."""
-    top = _element(data, 0, len(data))
-    if top is None or top[0] != 0x30 or top[2] != len(data):
+def der_kind(data: bytes, at: int = 0, end: int | None = None) -> str | None:
+    """der, der_public, or None for bytes (those of data from at to end) that are no key."""
+    end = len(data) if end is None else end
+    top = _element(data, at, end)
+    if top is None or top[0] != 0x30 or top[2] != end:
         return None
     kids, at = [], top[1]
-    while at < top[2]:
-        if (e := _element(data, at, top[2])) is None:
+    while at < end:
+        if len(kids) == MOST_PARTS or (e := _element(data, at, end)) is None:
             return None
         kids.append(e)
         at = e[2]
@@ -117,124 +129,131 @@ def der_kind(data: bytes) -> str | None:
     return None
 
 
-def _is_openssh(data: bytes) -> bool:
-    """Cipher, key derivation and its options, one key, the public key (itself length-prefixed fields, the first a known
-    type), the private part, and the cipher's tag: the lengths must consume the bytes."""
-    at, fields = len(b"openssh-key-v1\0"), []
+def _field(data: bytes, at: int, end: int) -> tuple[int, int] | None:
+    """Where the length-prefixed field at `at` begins and ends, inside `end`."""
+    if at + 4 > end:
+        return None
+    stop = at + 4 + int.from_bytes(data[at : at + 4], "big")
+    return (at + 4, stop) if stop <= end else None
+
+
+def _name(data: bytes, at: tuple[int, int]) -> bytes:
+    """A field that is a name; the formats' names are short."""
+    return data[at[0] : min(at[1], at[0] + 64)]
+
+
+def _openssh_end(data: bytes, at: int, end: int) -> int | None:
+    """Where an openssh-key-v1 structure ends: cipher, key derivation and its options, one key, the public key (itself
+    length-prefixed fields, the first a known type), the private part, and the tag of ciphers that have one."""
+    at, fields = at + len(_MAGIC), []
     for i in range(6):
-        if at + 4 > len(data):
-            return False
-        n = int.from_bytes(data[at : at + 4], "big")
-        at += 4
         if i == 3:  # the number of keys, not a length
-            if n != 1:
-                return False
+            if data[at : at + 4] != b"\0\0\0\1" or at + 4 > end:
+                return None
+            at += 4
             continue
-        if at + n > len(data):
-            return False
-        fields.append(data[at : at + n])
-        at += n
-    cipher, public, private = fields[0], fields[3], fields[4]
-    tag = 16 if b"gcm" in cipher or b"poly1305" in cipher else 0
-    return bool(cipher) and at + tag == len(data) and bool(private) and ssh_kind(public) == "ssh_public"
-
-
-def ssh_kind(data: bytes) -> str | None:
-    """ssh, ssh_public, or None for bytes that are no key."""
-    if data.startswith(b"openssh-key-v1\0"):
-        return "ssh" if _is_openssh(data) else None
-    at, fields = 0, []
-    while at + 4 <= len(data):
-        n = int.from_bytes(data[at : at + 4], "big")
-        at += 4
-        if at + n > len(data):
+        if (f := _field(data, at, end)) is None:
+            return None
+        fields.append(f)
+        at = f[1]
+    cipher, public, private = _name(data, fields[0]), fields[3], fields[4]
+    at += 16 * (b"gcm" in cipher or b"poly1305" in cipher)
+    known = cipher and private[1] > private[0] and ssh_kind(data, *public) == "ssh_public"
+    return at if known and at <= end else None
+
+
+def ssh_kind(data: bytes, at: int = 0, end: int | None = None) -> str | None:
+    """ssh, ssh_public, or None for bytes (those of data from at to end) that are no key."""
+    end = len(data) if end is None else end
+    if data.startswith(_MAGIC, at, end):
+        return "ssh" if _openssh_end(data, at, end) == end else None
+    fields: list[tuple[int, int]] = []
+    while at + 4 <= end:
+        if len(fields) == MOST_PARTS or (f := _field(data, at, end)) is None:
             return None
-        fields.append(data[at : at + n])
-        at += n
-    return "ssh_public" if at == len(data) and len(fields) >= 2 and fields[0] in _SSH else None
+        fields.append(f)
+        at = f[1]
+    return "ssh_public" if at == end and len(fields) >= 2 and _name(data, fields[0]) in _SSH else None
 
 
-class _Wrapped:
-    """Bytes of base64 that may be broken by gaps, from one character of a text on, decoded as far as they are asked for."""
+class _Run:
+    """Base64 from one character of a text on, as far as it goes over gaps. Keys that may begin anywhere inside share it."""
 
     def __init__(self, text: str, at: int):
-        self.text, self.end, self.parts, self.n = text, at, [], 0
-
-    def take(self, n_bytes: int) -> bytes | None:
-        """The first n_bytes; `end` is then behind their last character. None where the text has fewer."""
-        want = -(-n_bytes * 4 // 3)
-        if want - self.n > len(self.text) - self.end:
-            return None
-        while self.n < want:
+        parts: list[str] = []
+        self.clean, self.where, self.n, self.end = [], [], 0, at
+        while True:
             at = self.end
-            if self.n and (gap := _GAP.match(self.text, at)):
+            if parts and (gap := _GAP.match(text, at)):
                 at = gap.end()
-            m = _CHARS.match(self.text, at, at + want - self.n)
-            if m is None:
-                return None
-            self.parts.append(m[0])
+            if (m := _CHARS.match(text, at)) is None:
+                break
+            parts.append(m[0])
+            self.clean.append(self.n)
+            self.where.append(at)
             self.n += len(m[0])
             self.end = m.end()
-        data = _b64("".join(self.parts)[:want])
-        return None if data is None else data[:n_bytes]
-
-
-def _der_size(w: _Wrapped) -> int | None:
-    """Bytes that the SEQUENCE claims, when what it holds first is an INTEGER or a SEQUENCE."""
-    head = w.take(8)
-    if head is None or head[0] != 0x30:
+        self.chars = "".join(parts).replace("-", "+").replace("_", "/")
+        self.decoded: dict[int, bytes] = {}
+
+    def bytes_from(self, at: int) -> tuple[bytes, int, int]:
+        """For a character of the text: the run's bytes in its phase, its place in them, and its number in the run."""
+        i = bisect.bisect_right(self.where, at) - 1
+        c = self.clean[i] + at - self.where[i]
+        if (data := self.decoded.get(c % 4)) is None:
+            own = self.chars[c % 4 :]
+            own = own[: len(own) - (len(own) % 4 == 1)]
+            data = self.decoded[c % 4] = base64.b64decode(own + "=" * (-len(own) % 4))
+        return data, c // 4 * 3, c
+
+    def behind(self, c: int) -> int:
+        """The place in the text behind the run's first c characters."""
+        i = bisect.bisect_left(self.clean, c) - 1
+        return self.where[i] + c - self.clean[i]
+
+
+def _der_end(data: bytes, at: int) -> int | None:
+    """Where the SEQUENCE claims to end, when what it holds first is an INTEGER or a SEQUENCE."""
+    head = data[at : at + 8]
+    if len(head) < 8 or head[0] != 0x30:
         return None
     k = head[1] & 0x7F if head[1] & 0x80 else 0
     if k > 4 or head[2 + k] not in (0x02, 0x30):
         return None
-    return 2 + k + (int.from_bytes(head[2 : 2 + k], "big") if k else head[1])
+    return at + 2 + k + (int.from_bytes(head[2 : 2 + k], "big") if k else head[1])
 
 
-def _ssh_size(w: _Wrapped) -> int | None:
-    """Bytes of the fields that the key type or the openssh-key-v1 header calls for."""
-    magic = b"openssh-key-v1\0"
-    head = w.take(len(magic))
-    if head is None:
-        return None
-    private = head == magic
-    at, fields, left = len(magic) if private else 0, [], 3 if private else 1
-    while left:
-        size = w.take(at + 4)
-        if size is None:
+def _ssh_end(data: bytes, at: int) -> int | None:
+    """Where the fields that the key type or the openssh-key-v1 header calls for end."""
+    if data.startswith(_MAGIC, at):
+        return _openssh_end(data, at, len(data))
+    left = None
+    while left != 0:
+        if (f := _field(data, at, len(data))) is None:
             return None
-        at += 4 + int.from_bytes(size[at:], "big")
-        data = w.take(at)
-        if data is None:
-            return None
-        fields.append(data[at - int.from_bytes(size[-4:], "big") :])
-        left -= 1
-        if not private and len(fields) == 1:
-            left = _SSH_FIELDS.get(fields[0], 1) - 1
-        if private and len(fields) == 3:
-            count = w.take(at + 4)
-            if count is None or int.from_bytes(count[at:], "big") != 1:
-                return None
-            left = 2
-            at += 4
-    # these ciphers put a tag of 16 bytes behind the last field
-    return at + 16 * (private and (b"gcm" in fields[0] or b"poly1305" in fields[0]))
+        left = _SSH_FIELDS.get(_name(data, f), 1) - 1 if left is None else left - 1
+        at = f[1]
+    return at
 
 
 def wrapped_spans(text: str) -> list[tuple[int, int, str]]:
     """Keys in base64 whose characters may be broken into lines; none begins inside another."""
-    out, behind = [], 0
+    out, behind, run = [], 0, None
     for m in _START.finditer(text):
         if m.start() < behind:
             continue
-        w = _Wrapped(text, m.start())
-        sized, kind_of = (_der_size, der_kind) if m[0][0] == "M" else (_ssh_size, ssh_kind)
-        size = sized(w)
-        if size is None or size < 30:
+        if run is None or m.start() >= run.end:
+            run = _Run(text, m.start())
+        data, at, c = run.bytes_from(m.start())
+        ends, kind_of = (_der_end, der_kind) if m[0][0] == "M" else (_ssh_end, ssh_kind)
+        end = ends(data, at)
+        if end is None or end - at < 30 or end > len(data):
             continue
-        data = w.take(size)
-        if data is not None and (kind := kind_of(data)) and (stop := _STOP.match(text, w.end)):
-            behind = stop.end()
-            out.append((m.start(), behind, kind))
+        if kind := kind_of(data, at, end):
+            at_end = run.behind(c - (-(end - at) * 4 // 3))
+            if stop := _STOP.match(text, at_end):
+                behind = stop.end()
+                out.append((m.start(), behind, kind))
     return out
 
 
@@ -249,6 +268,24 @@ def is_signed_token(s: str) -> bool:
     return isinstance(h, dict) and isinstance(b, dict) and isinstance(h.get("alg"), str) and len(sign) >= _SIGNATURE_BYTES.get(h["alg"], 1 << 30)
 
 
+def token_spans(text: str) -> list[tuple[int, int, str]]:
+    """Three parts joined by dots, from the leftmost place of a part where a JSON object can begin; none begins inside another."""
+    out = []
+    for chain in _DOTTED.finditer(text):
+        if chain[0].count(".") < 2:
+            continue
+        parts, at, i = chain[0].split("."), chain.start(), 0
+        while i + 2 < len(parts):
+            used = 1
+            if m := _HEAD.search(parts[i]):
+                used, token = 3, f"{parts[i][m.start() :]}.{parts[i + 1]}.{parts[i + 2]}"
+                if is_signed_token(token):
+                    out.append((at + m.start(), at + m.start() + len(token), "token"))
+            at += sum(len(x) + 1 for x in parts[i : i + used])
+            i += used
+    return out
+
+
 def base_spans(text: str) -> list[tuple[int, int, str]]:
     out = []
     if _WORD.search(text):
@@ -261,18 +298,20 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 
 def confirmed_spans(text: str) -> list[tuple[int, int, str]]:
     out = wrapped_spans(text)
-    inside = list(out)
+    inside, k = list(out), 0  # in the text's order, none inside another
     if _LONG.search(text):
         for m in _ANYHEX.finditer(text):
             if len(m[0]) % 2 == 0 and (kind := der_kind(bytes.fromhex(m[0]))):
                 out.append((m.start(), m.end(), kind))
         for m in _BASE64.finditer(text):
-            if any(a < m.end() and m.start() < b for a, b, _ in inside):
+            while k < len(inside) and inside[k][1] <= m.start():
+                k += 1
+            if k < len(inside) and inside[k][0] < m.end():
                 continue
             if (data := _b64(m[0])) is not None and (kind := der_kind(data) or ssh_kind(data)):
                 out.append((m.start(), m.end(), kind))
     if "eyJ" in text:
-        out += [(m.start(), m.end(), "token") for m in _TOKEN.finditer(text) if is_signed_token(m[0])]
+        out += token_spans(text)
     return out
 
 
