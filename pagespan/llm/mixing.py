@@ -65,8 +65,18 @@ def _source_key(source: str = "source") -> Column:
     return F.coalesce(F.concat(F.lit("s"), source), F.lit("n"))
 
 
-def _copies(rows: DataFrame, id_columns: list[str], seed: int, most: int, weights: tuple[int, ...]) -> DataFrame:
-    """rows (id columns, source, size) -> id columns, source, size, source_size, target, copies, a row for each row."""
+def _each(grouped: DataFrame) -> DataFrame:
+    """grouped (..., times) -> a row for each of the `times` equal rows, numbered by `nth` from 0. However many there are, no
+    array holds more than CHUNK_ROWS numbers: many are first dealt to chunks, and the chunks to tasks."""
+    few = grouped.where(F.col("times") <= CHUNK_ROWS).withColumn("nth", F.explode(F.sequence(F.lit(0).cast("long"), F.col("times") - 1)))
+    many = grouped.where(F.col("times") > CHUNK_ROWS).withColumn("from", F.explode(F.sequence(F.lit(0).cast("long"), F.col("times") - 1, F.lit(CHUNK_ROWS).cast("long"))))
+    many = many.repartition("from", *[c for c in grouped.columns if c != "times"])
+    return few.unionByName(many.withColumn("nth", F.explode(F.sequence(F.col("from"), F.least(F.col("from") + CHUNK_ROWS, F.col("times")) - 1))).drop("from"))
+
+
+def _copies(rows: DataFrame, id_columns: list[str], seed: int, most: int, weights: tuple[int, ...], each: bool = True) -> DataFrame:
+    """rows (id columns, source, size) -> id columns, source, size, source_size, target, copies, a row for each row; without
+    `each` a row for each distinct one, with the copies of all of them and their number `times`."""
     rows = written(rows.withColumn("source_key", _source_key()), "sizes")  # some 30 bytes a document; the texts are read once
     small = lambda df: F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
     per_size = written(rows.groupBy("source_key", "source", "size").agg(F.count(F.lit(1)).alias("n")), "per_size")
@@ -88,11 +98,15 @@ def _copies(rows: DataFrame, id_columns: list[str], seed: int, most: int, weight
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     offset = F.pmod(F.xxhash64(F.lit(seed), "source_key"), F.lit(1 << 53)) / F.lit(float(1 << 53))
     ranked = ranked.join(small(targets), F.col("source_key") == F.col("of")).withColumn("rate", rate).withColumn("offset", offset)
-    ranked = ranked.withColumn("at", F.explode(F.sequence(F.col("base") + F.col("k") + 1, F.col("base") + F.col("k") + F.col("times"))))
     crossed = lambda i: F.floor(F.col("rate") * i + F.col("offset"))
     # rounding of products can't take a document past `most`
-    copies = F.least(crossed(F.col("at")) - crossed(F.col("at") - 1), F.ceil(F.col("rate"))).cast("long")
-    return ranked.select(*id_columns, "source", "size", "source_size", "target", copies.alias("copies"))
+    if each:
+        at = F.col("base") + F.col("k") + F.col("nth")
+        copies = F.least(crossed(at + 1) - crossed(at), F.ceil(F.col("rate"))).cast("long")
+        return _each(ranked).select(*id_columns, "source", "size", "source_size", "target", copies.alias("copies"))
+    at = F.col("base") + F.col("k")
+    copies = F.least(crossed(at + F.col("times")) - crossed(at), F.col("times") * F.ceil(F.col("rate"))).cast("long")
+    return ranked.select(*id_columns, "source", "size", "source_size", "target", copies.alias("copies"), "times")
 
 
 def mixed_documents(documents: DataFrame, seed: int = 17, most: int = 3, weights: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
@@ -104,9 +118,15 @@ def mixed_documents(documents: DataFrame, seed: int = 17, most: int = 3, weights
     k1, k2, times, whole = (fresh(c, cols) for c in ("mix_a", "mix_b", "mix_copies", "mix_rows"))
     docs = documents.withColumns({k1: F.xxhash64(F.lit(1), *parts), k2: F.xxhash64(F.lit(2), *reversed(parts))})
     rows = docs.select(F.col(k1).alias("a"), F.col(k2).alias("b"), F.col("source").cast("string").alias("source"), word_count(F.col("text").cast("string")).alias("size"))
-    taken = _copies(rows, ["a", "b"], seed, most, weights).groupBy("a", "b").agg(F.sum("copies").cast("int").alias("copies"), F.count(F.lit(1)).alias("rows"))
-    taken = written(taken.where("copies > 0"), "copies")
+    taken = _copies(rows, ["a", "b"], seed, most, weights, each=False).select("a", "b", F.col("copies").alias("times"), F.col("times").alias("rows"))
+    taken = written(taken.where("times > 0"), "copies")
     one = docs.join(taken.toDF(k1, k2, times, whole), [k1, k2])
     if taken.where("rows > 1").head(1):
         one = one.dropDuplicates([k1, k2])
-    return one.select(*cols, F.explode(F.sequence(F.lit(1), F.col(times))).alias(fresh("copy", cols)))
+    nth = fresh("copy", cols)
+    few = one.where(F.col(times) <= CHUNK_ROWS).select(*cols, F.explode(F.sequence(F.lit(1), F.col(times).cast("int"))).alias(nth))
+    # a row that is taken very often: its numbers are cut likewise
+    start = fresh("mix_from", [*cols, nth])
+    many = one.where(F.col(times) > CHUNK_ROWS).select(*cols, times, F.explode(F.sequence(F.lit(1).cast("long"), F.col(times), F.lit(CHUNK_ROWS).cast("long"))).alias(start))
+    numbers = F.sequence(F.col(start), F.least(F.col(start) + CHUNK_ROWS - 1, F.col(times)))
+    return few.unionByName(many.select(*cols, F.explode(F.transform(numbers, lambda k: k.cast("int"))).alias(nth)))
