@@ -392,6 +392,22 @@ def brute_kneser_ney(texts):
     return p
 
 
+def coded(text):
+    """Code points from DIRECT on as a lead and a trail, one at a time."""
+    first, far = kn_quality.DIRECT, 1 << kn_quality.BITS
+    return "".join(c if ord(c) < first else chr(first + (ord(c) - first) // far) + chr((ord(c) - first) % far) for c in text)
+
+
+def test_quality_tells_all_code_points_apart():
+    every = "".join(map(chr, [*range(1, 0xD800), *range(0xE000, 0x110000)]))
+    assert len({coded(c) for c in every}) == len(every) and max(map(ord, coded(every))) < 1 << kn_quality.BITS
+    texts = ["\u7684\u4e00\u662f\u4e0d", "\u4e00\u7684\u662f\u4e0d", "", "abc", "\U0001f600", "\U0001f601x"]
+    x, (start, end) = kn_quality._symbols(texts)
+    assert ["".join(map(chr, x[a:b])) for a, b in zip(start, end, strict=True)] == [coded(t) for t in texts]
+    grams = [set(kn_quality._grams([t]).tolist()) for t in texts if t]
+    assert all(a != b for i, a in enumerate(grams) for b in grams[:i])
+
+
 def test_quality_equals_brute_force_kneser_ney(spark):
     train = ["abracadabra", "abra cad", "a bad cab, a dab", None, "", "abracadabra"]
     p = brute_kneser_ney([t or "" for t in train])
@@ -399,8 +415,10 @@ def test_quality_equals_brute_force_kneser_ney(spark):
         alphabet = set("abcdr, z")
         rest = (kn_quality.TOP + 1 - len(alphabet)) * p(context, "\u0416")
         assert abs(sum(p(context, x) for x in alphabet) + rest - 1) < 1e-6
+    train += ["\u7684\u4e00\u662f\u4e0d\u4e86\u7684\u4e00\u662f", "\u4e00\u662f\u7684\u3002\u4e0d\u4e86", "\uc774\ub2e4 \u0e01\u0e02 \U0001f600\U0001f601"]
+    p = brute_kneser_ney([coded(t or "") for t in train])
     model = kn_quality.train(spark.createDataFrame([(t,) for t in train], "text string"))
-    texts = ["abracadabra", "zzz", "a cab", "dab\u0416\U0001f600", "x", "bad " * 50, "abracadabra", None, ""]
+    texts = ["abracadabra", "zzz", "a cab", "dab\u0416\U0001f600", "x", "bad " * 50, "abracadabra", None, "", "\u7684\u4e00\u662f\u4e0d", "\u4e0d\u662f\u4e00\u7684", "a\u4e00\U0010ffffb"]
     rows = [(i if i != 4 else None, t, ("en", None)[i % 2], "k", 1) for i, t in enumerate(texts)] * 2
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, key string, block int").repartition(3)
     got = kn_quality.perplexities(docs, model).collect()
@@ -410,8 +428,8 @@ def test_quality_equals_brute_force_kneser_ney(spark):
         if not t:
             assert r.perplexity is None and r.size == 0
             continue
-        full = "\0" * 4 + t.translate({0x1F600: kn_quality.TOP})
-        want = np.exp(-np.mean([np.log(p(full[i : i + 4], full[i + 4])) for i in range(len(t))]))
+        full = "\0" * 4 + coded(t)
+        want = np.exp(-sum(np.log(p(full[i : i + 4], full[i + 4])) for i in range(len(full) - 4)) / len(t))
         assert r.perplexity == pytest.approx(want, rel=1e-5) and r.size == len(t)
 
 
@@ -477,6 +495,33 @@ def test_secret_scan_wrapped_and_assigned_keys(spark):
     assert not any(got[i].n_confirmed for i in range(n, n + 5 + len(garbage)))
 
 
+@pytest.mark.parametrize("unit", ["MIL//wIBAAAA ", "MIL//wIBAAAA", "MIIEAAIBAAAA\n", "MIIEAgIAAgACAAIA", "AAAAB3NzaC1yc2EA//// ", "b3BlbnNzaC1rZXktdjEAAAAAAA", "eyJ", "eyJhbGciOiJub25lIn0.", "AAAA ", "MA", "a.", "eyJabcdef.e30.e30.", "token=", "AKIA", "3082ffff020100"])
+def test_secret_scan_is_linear_in_hostile_texts(unit):
+    import time
+
+    text = unit * (1_000_000 // len(unit))
+    began = time.process_time()
+    secret_scan.base_spans(text)
+    secret_scan.confirmed_spans(text)
+    assert time.process_time() - began < 8  # a second or two on an idle machine; minutes where it is quadratic
+
+
+def test_secret_scan_many_keys_in_one_text():
+    import base64
+
+    integer = lambda n: bytes([2, len(n)]) + n
+    body = integer(b"\0") + b"".join(integer(bytes([i + 1]) * 9) for i in range(8))
+    one = base64.b64encode(bytes([0x30, len(body)]) + body).decode()
+    text, want = "", []
+    for i in range(3000):
+        text += ("é\n\n", " - ", ": ")[i % 3]
+        want.append((len(text), len(text) + len(one), "der"))
+        text += one + ("", ";")[i % 2]
+    assert secret_scan.confirmed_spans(text) == want
+    eleven = integer(b"\0") + b"".join(integer(bytes([i + 1])) for i in range(10))
+    assert secret_scan.der_kind(bytes([0x30, len(eleven)]) + eleven) is None and secret_scan.der_kind(bytes([0x30, len(body)]) + body) == "der"
+
+
 def brute_base_spans(text):
     """The base patterns read character by character."""
     word = lambda c: c.isascii() and (c.isalnum() or c in "+/_.=-")
@@ -686,6 +731,25 @@ def test_mixing_equals_brute_force_systematic_sampling(spark, chunk, monkeypatch
     assert np.mean([abs(mean[i] - rate[i]) for i in rate]) < 0.3  # over the offsets every document gets what it expects
 
 
+def test_mixing_of_rows_that_nothing_tells_apart(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "CHUNK_ROWS", 50)
+    rows = [(None, "w w", "a")] * 930 + [(7, "w", "a")] * 51 + [(8, None, "b"), (9, "w " * 400, "b")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix_sources(df).collect()
+    assert len(got) == len(rows)
+    taken = Counter()
+    for x in got:
+        taken[x.doc_id] += x.copies
+    mixed = mixing.mixed_documents(df).collect()
+    assert Counter(x.doc_id for x in mixed) == {k: v for k, v in taken.items() if v}
+    own = sorted(x.copy for x in mixed if x.doc_id is None)
+    assert own == list(range(1, taken[None] + 1)) and taken[None] > 200
+    # however many rows there are, no array is longer than a chunk
+    one = spark.createDataFrame([(10**9, 1)], "times long, k int")
+    lengths = mixing._each(one)._jdf.queryExecution().optimizedPlan().toString()
+    assert lengths.count("Generate explode(sequence") == 3 and "50" in lengths
+
+
 def test_mixed_documents(spark, none):
     rows = [(i, f"w{i} " * (i % 5), f"s{i % 3}") for i in range(200)] + [(5, None, "web"), (None, "5", "web"), (None, None, "web"), (5, "web", None), (9, "w9 " * 4, "s0")]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")

@@ -17,7 +17,7 @@ def rows(df, cols):
 @pytest.mark.parametrize("name", list(queries.oracle_sql()))
 def test_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "conversations", "labels"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{D}/{t}.parquet'")
     their = con.execute(queries.oracle_sql()[name]).fetchdf()
     cols = sorted(their.columns)
