@@ -34,7 +34,7 @@ def from_parser(spark: SparkSession, path: str, parse: Callable[[str, bytes], It
                         rows.append({"doc_id": doc, **r})
                 except Exception as why:  # any parser's own
                     rows.append({"doc_id": doc, "error": f"{type(why).__name__}: {why}"})
-            yield pd.DataFrame(rows, columns=names, dtype=object)
+            yield pd.DataFrame({n: pd.Series([r.get(n) for r in rows], dtype=object) for n in names})
 
     files = spark.read.format("binaryFile").load(path).select("path", "content")
     got = written(files.mapInPandas(run, _PARSED), "parsed")
