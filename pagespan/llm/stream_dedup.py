@@ -2,21 +2,21 @@
 
 Documents arrive as a stream of Parquet files. Each task first combines what it
 reads: texts of one digest are compared by their full bytes with the first of them,
-and go on as one row with their number and the row that stays. These rows are
-keyed by digest into a disk-backed state (RocksDB) without expiry, which retains per
-digest the content locator (file and row), the number of documents and the one that
-stays so far, its stable identifier. A digest that is already there is a hit: the
-content is claimed to be that at the locator. Claims are written per batch, and then checked:
-the full texts at both locators are read again, by Spark, from the files that the
-locators name, and compared by bytes. Digests that two contents turn out to share
-are split by their full texts, exactly. Unique texts are never moved.
+and go on as one row, a content, with their number and the row that stays; contents
+are written with the locator of their bytes (file and row). A second stream reads
+them and keeps, keyed by digest, disk-backed state (RocksDB) without expiry: the
+locator of the first content, the number of documents and the one that stays so far,
+the stable identifier. A content whose digest has another's locator is a hit: the
+full texts at both locators are read again, by Spark, from the files that they name,
+and compared by bytes. Digests that unlike texts turn out to share are split by
+their full texts, exactly. Unique texts are never moved.
 
 Of equal texts the row with the largest doc_id stays; of several such rows the one
 at the least locator. A group of copies makes one row a task before anything is
-shuffled, so a third of all rows with one text is no skewed key; the state holds
-some 200 bytes per distinct text, on disk. A lost executor costs its tasks: state
-and offsets are in the checkpoint folder, and a batch that runs again replaces
-its claims.
+shuffled, and partial sums of these, so a third of all rows with one text is no
+skewed key; the state holds some 200 bytes per distinct text, on disk. A lost
+executor costs its tasks: state and offsets are in the checkpoint folder, and a
+batch that runs again replaces what it wrote.
 
 Defined results: null text counts as empty; a null doc_id is less than any other,
 and its row stays only where none has one; rows that repeat are separate documents
@@ -31,22 +31,25 @@ from collections import OrderedDict
 from collections.abc import Callable
 
 import pyarrow as pa
-import pyarrow.compute
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from pagespan.llm._store import _filter, _passing, pieces, shared_dir, written
 
 #: Bytes of texts that a task keeps to compare with; older ones go, and their next copy goes on as a row of its own.
 KEEP_BYTES = 64 << 20
-PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Settings of the stream's own session: state on disk, whose changes are what a batch saves, and no disk claimed in advance.
+STATE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 _AT = "path string, row long"
 #: none, neg: whether the doc_id that stays is null, and its bits turned over, so that the least rank stays; nothing else is ever null.
 _RANK = "none boolean, neg long, keep_path string, keep_row long"
 _CONTENT = f"digest binary, {_AT}, {_RANK}, n long"
-_CLAIM = f"digest binary, {_AT}, home_path string, home_row long, {_RANK}, n long"
-_STATE = f"{_AT}, {_RANK}, n long"
+_GROUP = f"digest binary, home struct<batch:int,path:string,row:bigint>, best struct<{_RANK.replace(' ', ':').replace(',:', ',')}>, n long"
 _names = lambda schema: [x.split()[0] for x in schema.split(", ")]
 
 
@@ -106,26 +109,6 @@ def _combine(digest: Callable[[bytes], bytes]):
     return run
 
 
-def _claim(key, batches, state: GroupState):
-    """Contents of one digest (a row a task) -> claims against the content that the state has, or the first of them. A claim
-    says how many documents there are so far and which of them stays; a text that only one document holds makes none."""
-    import pandas as pd
-
-    *home, none, neg, keep_path, keep_row, n = state.get if state.exists else (None, None, True, 0, None, 0, 0)
-    best = (none, neg, keep_path, keep_row) if state.exists else None
-    at = []
-    for b in batches:
-        for path, row, none, neg, keep_path, keep_row, more in zip(*(b[c].tolist() for c in _names(_CONTENT)[1:]), strict=True):
-            at.append((path, row))
-            rank, n = (none, neg, keep_path, keep_row), n + more
-            best = rank if best is None else min(best, rank)
-    home = tuple(home) if state.exists else min(at)
-    state.update((*home, *best, n))
-    if n > 1:
-        fixed = dict(zip(_names(_CLAIM)[3:], (*home, *best, n), strict=True))
-        yield pd.DataFrame({"digest": [key[0]] * len(at), "path": [p for p, _ in at], "row": [r for _, r in at]} | {k: [v] * len(at) for k, v in fixed.items()})
-
-
 def _located(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("_metadata.file_path").alias("path"), F.col("_metadata.row_index").alias("row"))
 
@@ -135,9 +118,9 @@ def _place(path: str, row: str) -> Column:
 
 
 class StreamDedup:
-    """The dedup state of a corpus that arrives as Parquet files at `source`. ingest() reads what is new and returns when all of it
-    is in; results() has every document so far. All that outlives a batch is below `home` in the shared folder (by default one
-    that goes when the driver ends): the stream's checkpoint with its state, and the claims; a new object with the same home goes on where the last one stopped.
+    """The dedup state of a corpus that arrives as Parquet files at `source`. ingest() reads what is new, and returns when all of it
+    is in and its hits are checked; results() has every document so far. All that outlives a batch is below `home` in the shared
+    folder (by default one that goes when the driver ends); a new object with the same home goes on where the last one stopped.
 
     digest: bytes of a text to its digest; any function gives right results, a weak one more work.
     """
@@ -148,46 +131,77 @@ class StreamDedup:
         self.schema = spark.read.parquet(source).select("doc_id", "text").schema
 
     def _session(self) -> SparkSession:
-        """The state's provider is a setting of the session: the stream gets one of its own, with the caller's other settings."""
+        """The state's provider is a setting of the session: the streams get one of their own, with the caller's other settings."""
         own = self.spark.newSession()
         for key, value in self.spark.conf.getAll.items():
             if key.startswith("spark.sql.") and self.spark.conf.isModifiable(key):
                 own.conf.set(key, value)
-        own.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
+        for key, value in STATE.items():
+            own.conf.set(key, value)
         return own
 
+    def _run(self, stream: DataFrame, name: str, mode: str) -> None:
+        def keep(batch: DataFrame, number: int) -> None:
+            batch.write.mode("overwrite").parquet(f"{self.home}/{name}/batch={number}")
+
+        query = stream.writeStream.foreachBatch(keep).outputMode(mode).option("checkpointLocation", f"{self.home}/checkpoints/{name}").trigger(availableNow=True).start()
+        query.awaitTermination()
+
+    def _table(self, name: str, schema: str, by: str = "batch") -> DataFrame:
+        fields = self.spark.createDataFrame([], f"{schema}, {by} int").schema
+        return self.spark.read.schema(fields).option("basePath", f"{self.home}/{name}").parquet(f"{self.home}/{name}/{by}=*")
+
     def ingest(self) -> StreamDedup:
-        claims = f"{self.home}/claims"
-        reader = self._session().readStream.schema(self.schema)
+        session = self._session()
+        reader = session.readStream.schema(self.schema)
         if self.per_batch:
             reader = reader.option("maxFilesPerTrigger", self.per_batch)
         # a stream takes a folder or a pattern: a name whose last character is a class of one matches a single file, too
         at = self.source.rstrip("/")
         at = at if set(at) & set("*?[{") else f"{at[:-1]}[{at[-1]}]"
-        contents = _located(reader.parquet(at)).mapInArrow(_combine(self.digest), _CONTENT)
-        claimed = contents.groupBy("digest").applyInPandasWithState(_claim, _CLAIM, _STATE, "append", GroupStateTimeout.NoTimeout)
-
-        def keep(batch: DataFrame, number: int) -> None:
-            batch.write.mode("overwrite").parquet(f"{claims}/batch={number}")
-
-        query = claimed.writeStream.foreachBatch(keep).outputMode("append").option("checkpointLocation", f"{self.home}/checkpoint").trigger(availableNow=True).start()
-        query.awaitTermination()
+        self._run(_located(reader.parquet(at)).mapInArrow(_combine(self.digest), _CONTENT), "contents", "append")
+        contents = self._table("contents", _CONTENT)
+        arriving = session.readStream.schema(contents.schema).parquet(f"{self.home}/contents")
+        best = F.min(F.struct(*_names(_RANK))).alias("best")
+        self._run(arriving.groupBy("digest").agg(F.min(F.struct("batch", "path", "row")).alias("home"), best, F.sum("n").alias("n")), "groups", "update")
+        self._check(contents)
         return self
 
-    def claims(self) -> DataFrame:
-        fields = self.spark.createDataFrame([], _CLAIM + ", batch int").schema
-        return self.spark.read.schema(fields).option("basePath", f"{self.home}/claims").parquet(f"{self.home}/claims/batch=*")
+    def contents(self) -> DataFrame:
+        return self._table("contents", _CONTENT)
+
+    def groups(self) -> DataFrame:
+        """digest, home, best, n: what the state says of each digest, as of its last batch."""
+        last = F.max_by(F.struct("home", "best", "n"), "n").alias("g")
+        return self._table("groups", _GROUP).groupBy("digest").agg(last).select("digest", "g.*")
+
+    def refuted(self) -> DataFrame:
+        """digest: those that unlike texts share."""
+        return self._table("refuted", "digest binary", "upto").select("digest").distinct()
+
+    def _check(self, contents: DataFrame) -> None:
+        """Compares the hits of batches that weren't checked before; what is found is kept up to the last of them."""
+        last = contents.agg(F.coalesce(F.max("batch"), F.lit(-1))).first()[0]
+        try:
+            done = self._table("refuted", "digest binary", "upto")
+            before = max(int(f.rsplit("upto=", 1)[1].split("/")[0]) for f in done.inputFiles())
+        except (AnalysisException, ValueError):  # nothing has been checked
+            before = -2
+        if last > before:
+            self._unlike(contents.where(F.col("batch") > before)).coalesce(1).write.mode("overwrite").parquet(f"{self.home}/refuted/upto={last}")
 
     def _documents(self) -> DataFrame:
         return _located(self.spark.read.schema(self.schema).parquet(self.source))
 
-    def refuted(self, claims: DataFrame) -> DataFrame:
-        """digest: those whose claims don't stand, as the texts at the locators differ in a byte."""
-        hits = claims.where("path <> home_path or row <> home_row").select("digest", "path", "row", "home_path", "home_row")
-        both = hits.select("digest", "path", "row", "home_path", "home_row").unionByName(hits.select("digest", F.col("home_path").alias("path"), F.col("home_row").alias("row"), "home_path", "home_row").distinct())
-        both = written(both.select("digest", F.col("path").alias("at_path"), F.col("row").alias("at_row"), _place("home_path", "home_row").alias("home")), "hits")
-        if not both.head(1):
-            return both.select("digest")
+    def _unlike(self, contents: DataFrame) -> DataFrame:
+        """digest: those of hits whose texts at the two locators differ in a byte."""
+        many = self.groups().select(F.col("digest").alias("of"), F.col("home.path").alias("home_path"), F.col("home.row").alias("home_row"))
+        hits = contents.join(many, F.col("digest") == F.col("of")).where("path <> home_path or row <> home_row").select("digest", "path", "row", "home_path", "home_row")
+        hits = written(hits, "hits")
+        both = hits.unionByName(hits.select("digest", F.col("home_path").alias("path"), F.col("home_row").alias("row"), "home_path", "home_row").distinct())
+        both = both.select("digest", F.col("path").alias("at_path"), F.col("row").alias("at_row"), _place("home_path", "home_row").alias("home"))
+        if not hits.head(1):
+            return hits.select("digest")
         # rows at no such place are dropped before any text is moved
         docs = self._documents().withColumn("doc_id", _place("path", "row"))
         near = _passing(docs, _filter(both.select(_place("at_path", "at_row").alias("doc_id")).distinct()), True)
@@ -197,12 +211,9 @@ class StreamDedup:
 
     def results(self) -> DataFrame:
         """doc_id, path, row (its locator), keep_id, group_size, kept, text_sha256 for every document that has been read."""
-        claims = self.claims()
-        bad = written(self.refuted(claims), "refuted")
-        # what a digest's last batch said
-        best = F.max_by(F.struct("none", "neg", "keep_path", "keep_row"), "n").alias("best")
-        group = claims.groupBy("digest").agg(best, F.max("n").alias("n"))
-        group = group.join(bad, "digest", "left_anti").select(F.col("digest").alias("of"), "n", _kept_id("best").alias("keep"), F.col("best.keep_path").alias("keep_path"), F.col("best.keep_row").alias("keep_row"))
+        bad = written(self.refuted(), "refuted")
+        group = self.groups().where("n > 1").join(bad, "digest", "left_anti")
+        group = group.select(F.col("digest").alias("of"), "n", _kept_id("best").alias("keep"), F.col("best.keep_path").alias("keep_path"), F.col("best.keep_row").alias("keep_row"))
         docs = self._documents()
         text = F.coalesce("text", F.lit(""))
         sha = F.sha2(text, 256)

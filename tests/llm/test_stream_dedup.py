@@ -52,7 +52,7 @@ def test_batches_and_restarts(spark, tmp_path):
     write(spark, ROWS[20:], at, 3)
     again = StreamDedup(spark, at, home, per_batch=2).ingest()  # another object: state and offsets are in its folder
     assert got(again.results()) == brute(ROWS)
-    assert again.claims().select("batch").distinct().count() >= 4
+    assert again.contents().select("batch").distinct().count() >= 4
     assert got(StreamDedup(spark, at, home).ingest().results()) == brute(ROWS)  # nothing new
 
 
@@ -63,7 +63,7 @@ def test_clashing_digests_are_split_by_full_bytes(spark, tmp_path, bits):
     weak = lambda raw: bytes([hashlib.md5(raw).digest()[0] & ((1 << bits) - 1)])
     d = StreamDedup(spark, at, f"file://{tmp_path}/home", digest=weak, per_batch=2).ingest()
     clash = [k for k in range(1 << bits) if sum(weak(t.encode())[0] == k for t in {t or "" for _, t in ROWS}) > 1]
-    assert clash and sorted(r.digest[0] for r in d.refuted(d.claims()).collect()) == clash
+    assert clash and sorted(r.digest[0] for r in d.refuted().collect()) == clash
     assert got(d.results()) == brute(ROWS)
 
 
@@ -78,4 +78,4 @@ def test_copies_make_one_row_a_task(spark, tmp_path):
     at = f"file://{tmp_path}/docs"
     write(spark, [(i, "one and the same") for i in range(3000)], at, 4)
     d = StreamDedup(spark, at).ingest()
-    assert d.claims().count() <= 4 and {r.group_size for r in d.results().collect()} == {3000}
+    assert d.contents().count() <= 4 and {r.group_size for r in d.results().collect()} == {3000}
