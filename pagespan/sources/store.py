@@ -11,37 +11,59 @@ import contextlib
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _folders: dict[str, SparkSession] = {}
+_temporary: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
     """spark.checkpoint.dir; where it is unset and the master is local (tests), a temporary folder of this session. On a cluster
     a machine's own folder would lose rows, so there it must be set."""
-    at = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("pagespan.checkpoint.dir", None)
+    at = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not at:
         if spark.sparkContext.master.split("[")[0] != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        at = "file://" + tempfile.mkdtemp(prefix="pagespan-")
-        spark.conf.set("pagespan.checkpoint.dir", at)
+        app = spark.sparkContext.applicationId
+        if app not in _temporary:
+            _temporary[app] = "file://" + tempfile.mkdtemp(prefix="pagespan-")
+        at = _temporary[app]
     return at.rstrip("/")
 
 
+def delete(spark: SparkSession, at: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def _sweep() -> None:
     for at, spark in _folders.items():
         with contextlib.suppress(Exception):  # the JVM may be gone already
-            path = spark._jvm.org.apache.hadoop.fs.Path(at)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+            delete(spark, at)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """df as a table in the shared folder, read back. The tables of an application go when its driver ends."""
     spark = df.sparkSession
-    top = f"{shared_dir(spark)}/pagespan-tables/{spark.sparkContext.applicationId}"
+    top = f"{shared_dir(spark)}/pagespan/{spark.sparkContext.applicationId}"
     if not _folders:
         atexit.register(_sweep)
     _folders.setdefault(top, spark)
     at = f"{top}/{uuid.uuid4().hex}/{name}"
-    df.write.parquet(at)
-    return spark.read.schema(df.schema).parquet(at)
+    df.write.option("compression", compression).parquet(at)
+    out = spark.read.schema(df.schema).parquet(at)
+    out._pagespan_at = at
+    return out
+
+
+def document_id(spark: SparkSession, file: Column, path: str) -> Column:
+    """The part of a file's path that lies below the fixed part of `path` (a file, a folder or a pattern): the same whatever else
+    is read with it, and different for files of one name in different folders. Of a single file its name."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at = at.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(at).toUri().getPath()
+    fixed = min([at.find(c) for c in "*?[{" if c in at], default=None)
+    depth = at.rstrip("/").count("/") + 1 if fixed is None else at[:fixed].count("/")
+    parts = F.split(F.regexp_replace(file, "^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", ""), "/")
+    below = F.array_join(F.slice(parts, depth + 1, F.greatest(F.size(parts) - depth, F.lit(0))), "/")
+    return F.when(below == "", F.element_at(parts, -1)).otherwise(below)
