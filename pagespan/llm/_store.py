@@ -7,69 +7,33 @@ tasks it was running.
 
 from __future__ import annotations
 
-import atexit
-import contextlib
-import tempfile
-import uuid
 import zlib
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pagespan.sources import store
+from pagespan.sources.store import shared_dir as shared_dir
+
 COUNTERS = 22
 BLOCKS = 64
 PIECE_BYTES = 8 << 20
-_folders: dict[str, SparkSession] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's spark.checkpoint.dir; where it is unset and the master is local (tests), a folder of our own becomes the
-    checkpoint folder. On a cluster a machine's own folder would lose rows, so there it must be set."""
-    at = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = spark.conf.get("pagespan.checkpoint.dir", None)
-        if not at:
-            if not spark.sparkContext.master.split("[")[0] == "local":
-                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-            at = "file://" + tempfile.mkdtemp(prefix="pagespan-")
-            spark.conf.set("pagespan.checkpoint.dir", at)
-    return at.rstrip("/")
-
-
-def _delete(spark: SparkSession, at: str) -> None:
-    path = spark._jvm.org.apache.hadoop.fs.Path(at)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def _sweep() -> None:
-    for at, spark in _folders.items():
-        with contextlib.suppress(Exception):  # the JVM may be gone already
-            _delete(spark, at)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a table in the shared folder, read back: cuts the lineage. The tables of an application go when its driver ends,
     or with release()."""
-    spark = df.sparkSession
-    top = f"{shared_dir(spark)}/pagespan/{spark.sparkContext.applicationId}"
-    if not _folders:
-        atexit.register(_sweep)
-    _folders.setdefault(top, spark)
-    at = f"{top}/{uuid.uuid4().hex}/{name}"
-    df.write.option("compression", "zstd").parquet(at)
-    out = spark.read.schema(df.schema).parquet(at)
-    out._pagespan_at = at
-    return out
+    return store.written(df, name, compression="zstd")
 
 
 def release(*tables: DataFrame | None) -> None:
     """Deletes written() tables that nothing will read again."""
     for t in tables:
         if t is not None and (at := getattr(t, "_pagespan_at", None)):
-            _delete(t.sparkSession, at)
+            store.delete(t.sparkSession, at)
 
 
 def fresh(name: str, columns) -> str:
@@ -137,57 +101,58 @@ def summed(parts: DataFrame, bits: int = COUNTERS) -> np.ndarray:
     return out
 
 
-FILTER_BITS = 23
+#: Sizes of a Bloom filter in bits, by the number of ids that it may hold: one hit in a thousand or so is false. Beyond the last
+#: (32 MB) more pass, which costs time and loses nothing.
+FILTER_SIZES = ((1 << 17, 23), (1 << 20, 26), (None, 28))
 
 
-def _id_hash(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _id_hash(ids: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     from pagespan.llm._text import mix
 
     x = ids.astype(np.int64).view(np.uint64)
-    shift = np.uint64(64 - FILTER_BITS)
+    shift = np.uint64(64 - bits)
     return (mix(x, 3) >> shift).astype(np.int64), (mix(x, 5) >> shift).astype(np.int64)
 
 
 def _filter(ids: DataFrame):
-    """A Bloom filter of 2**FILTER_BITS bits (1 MB, fixed) over the ids (bigint column doc_id), broadcast."""
-    bits = FILTER_BITS
+    """A Bloom filter over the ids (bigint column doc_id), broadcast. They are counted first; read a table, not a plan."""
+    n = ids.count()
+    bits = next(b for most, b in FILTER_SIZES if most is None or n <= most)
+    size = (1 << bits) // 8 // BLOCKS
 
     def fill(batches):
-        c = np.zeros(1 << bits, bool)
+        t = np.zeros(1 << bits >> 3, np.uint8)
         for b in batches:
             x = b.column(0).drop_null().to_numpy(zero_copy_only=False)
-            if len(x):
-                i, j = _id_hash(x)
-                c[i] = True
-                c[j] = True
-        parts = np.split(np.packbits(c), BLOCKS)
-        full = [i for i, x in enumerate(parts) if x.any()]
-        yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([parts[i].tobytes() for i in full], pa.binary())], ["block", "counts"])
+            for at in _id_hash(x, bits) if len(x) else ():
+                np.bitwise_or.at(t, at >> 3, (128 >> (at & 7)).astype(np.uint8))
+        full = [i for i, x in enumerate(np.split(t, BLOCKS)) if x.any()]
+        yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([zlib.compress(t[i * size : (i + 1) * size].tobytes(), 1) for i in full], pa.binary())], ["block", "counts"])
 
     def merge(batches):
         total: dict[int, np.ndarray] = {}
         for batch in batches:
             for b, raw in zip(batch.column("block").to_pylist(), batch.column("counts").to_pylist(), strict=True):
-                x = np.frombuffer(raw, np.uint8)
+                x = np.frombuffer(zlib.decompress(raw), np.uint8)
                 total[b] = total[b] | x if b in total else x
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], ["block", "counts"])
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([zlib.compress(x.tobytes(), 1) for x in total.values()], pa.binary())], ["block", "counts"])
 
     got = ids.select("doc_id").mapInArrow(fill, COUNTER_SCHEMA).repartition(BLOCKS, "block").mapInArrow(merge, COUNTER_SCHEMA).collect()
-    table = np.zeros((1 << bits) // 8, np.uint8)
-    size = len(table) // BLOCKS
+    table = np.zeros(1 << bits >> 3, np.uint8)
     for r in got:
-        table[r.block * size : (r.block + 1) * size] |= np.frombuffer(bytes(r.counts), np.uint8)
-    return ids.sparkSession.sparkContext.broadcast(table.tobytes())
+        table[r.block * size : (r.block + 1) * size] |= np.frombuffer(zlib.decompress(bytes(r.counts)), np.uint8)
+    return ids.sparkSession.sparkContext.broadcast((bits, table.tobytes()))
 
 
 def _passing(documents: DataFrame, shared, hits: bool) -> DataFrame:
     """The rows whose doc_id the filter has (or hasn't); null isn't in it."""
 
     def run(batches):
-        t = np.frombuffer(shared.value, np.uint8)
+        bits, raw = shared.value
+        t = np.frombuffer(raw, np.uint8)
         for b in batches:
             ids = b.column("doc_id").cast(pa.int64())
-            i, j = _id_hash(ids.fill_null(0).to_numpy(zero_copy_only=False))
+            i, j = _id_hash(ids.fill_null(0).to_numpy(zero_copy_only=False), bits)
             hit = ((t[i >> 3] >> (7 - (i & 7)) & 1) & (t[j >> 3] >> (7 - (j & 7)) & 1)).astype(bool)
             hit &= ids.is_valid().to_numpy(zero_copy_only=False)
             if (hit == hits).any():
@@ -196,6 +161,18 @@ def _passing(documents: DataFrame, shared, hits: bool) -> DataFrame:
     return documents.mapInArrow(run, documents.schema)
 
 
+def passing(documents: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of documents (bigint doc_id) whose doc_id is among the ids (one bigint column doc_id), and a few others. No row is
+    shuffled."""
+    return _passing(documents, _filter(written(ids.select("doc_id"), "ids")), True)
+
+
+def split(documents: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows of documents that may have one of the ids, rows that have none). No row is shuffled."""
+    shared = _filter(written(ids.select("doc_id"), "ids"))
+    return _passing(documents, shared, True), _passing(documents, shared, False)
+
+
 def texts_of(documents: DataFrame, ids: DataFrame) -> DataFrame:
     """(doc_id, text) of the ids (one bigint column doc_id, distinct), one row each; of rows that share a doc_id the smallest text.
 
@@ -203,8 +180,9 @@ def texts_of(documents: DataFrame, ids: DataFrame) -> DataFrame:
     text. If the ids fill the filter, more rows are shuffled, none is lost.
     """
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
+    ids = written(ids.select("doc_id"), "ids")
     kept = _passing(docs, _filter(ids), True)
-    return kept.join(ids.select("doc_id"), "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
+    return kept.join(ids, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
 
 
 def one_text(docs: DataFrame) -> DataFrame:

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagespan.llm._store import fresh, pieces, release, written
+from pagespan.llm._store import fresh, pieces, release, split, written
 from pagespan.llm._text import U64, mix
 
 SHARD_KEYS = 200_000
@@ -329,14 +329,17 @@ _OUT = "doc_id long, n_lines long, n_dropped long, kept_sha256 string, kept stri
 def dedup_lines(documents: DataFrame, min_chars: int = 20, min_docs: int = 3, texts: bool = True) -> DataFrame:
     """doc_id, n_lines, n_dropped, kept_sha256, kept (the remaining text; null without `texts`)."""
     spark = documents.sparkSession
-    lost = LineIndex(spark, min_chars, min_docs).insert(documents).drops()
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), _row(F.col("text")).alias("row"), F.col("text").cast("string").alias("text"))
-    return docs.join(lost.hint("shuffle_hash"), ["doc_id", "row"], "left").select("doc_id", "text", "keys").mapInArrow(_cut(texts), _OUT)
+    lost = written(LineIndex(spark, min_chars, min_docs).insert(documents).drops(), "lost")
+    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    # texts that lose nothing aren't shuffled
+    some, none = split(docs, lost.select("doc_id").distinct())
+    some = some.withColumn("row", _row(F.col("text"))).join(lost, ["doc_id", "row"], "left").select("doc_id", "text", "keys")
+    return some.unionByName(none.withColumn("keys", F.lit(None).cast(some.schema["keys"].dataType))).mapInArrow(_cut(texts), _OUT)
 
 
 def dedup_documents(documents: DataFrame, min_chars: int = 20, min_docs: int = 3) -> DataFrame:
     """documents with the repeated lines cut out of text, and n_chars set anew; the columns stay."""
-    lost = LineIndex(documents.sparkSession, min_chars, min_docs).insert(documents).drops()
+    lost = written(LineIndex(documents.sparkSession, min_chars, min_docs).insert(documents).drops(), "lost")
     cols = documents.columns
     own_id, own_row, own_keys = (fresh(c, cols) for c in ("drop_id", "drop_row", "drop_keys"))
 
@@ -355,6 +358,8 @@ def dedup_documents(documents: DataFrame, min_chars: int = 20, min_docs: int = 3
                 out = out.set_column(cols.index("n_chars"), "n_chars", pa.array(n, b.column("n_chars").type))
             yield out
 
-    lost = lost.toDF(own_id, own_row, own_keys).hint("shuffle_hash")
+    some, none = split(documents, lost.select("doc_id").distinct())
+    lost = lost.toDF(own_id, own_row, own_keys)
     same = (F.col("doc_id").cast("long") == F.col(own_id)) & (_row(F.col("text")) == F.col(own_row))
-    return documents.join(lost, same, "left").select(*cols, own_keys).mapInArrow(run, documents.schema)
+    some = some.join(lost, same, "left").select(*cols, own_keys)
+    return some.unionByName(none.withColumn(own_keys, F.lit(None).cast(some.schema[own_keys].dataType))).mapInArrow(run, documents.schema)

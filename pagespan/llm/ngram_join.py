@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagespan.llm._store import COUNTER_SCHEMA, COUNTERS, Counter, components, pieces, release, summed, texts_of, without, written
+from pagespan.llm._store import COUNTER_SCHEMA, COUNTERS, Counter, components, passing, pieces, release, summed, texts_of, without, written
 from pagespan.llm._text import U64, blocks, mix, shingles, slices
 
 ORDERS = 3
@@ -284,7 +284,8 @@ def ngram_jaccard_join(documents: DataFrame, k: int = 5, percent: int = 80) -> d
             pairs.join(reps.select(F.col("cid").alias("a"), F.col("class_id").alias("da")), "a").join(reps.select(F.col("cid").alias("b"), F.col("class_id").alias("db")), "b").select("da", "db"),
             "pairs",
         )
-        text = written(texts_of(docs, named.select(F.col("da").alias("doc_id")).union(named.select("db")).distinct()), "texts")
+        # docs has one row per doc_id; the few that only the filter lets through meet no pair below
+        text = written(passing(docs, named.select(F.col("da").alias("doc_id")).union(named.select("db")).distinct()).select("doc_id", F.coalesce("text", F.lit("")).alias("text")), "texts")
         orders = [f"p{o}" for o in range(1, ORDERS)]
         sign = written(text.mapInArrow(_signatures(k, percent), "doc_id long, " + ", ".join(f"{c} array<int>" for c in orders)), "prefixes")
         side = lambda e: sign.select(F.col("doc_id").alias(f"d{e}"), *[F.col(c).alias(f"{c}{e}") for c in orders])
@@ -304,7 +305,7 @@ def ngram_jaccard_join(documents: DataFrame, k: int = 5, percent: int = 80) -> d
         rows = own.unionByName(turned.select("hub", "salt", "other", F.col("other").alias("doc_id"))).join(text, "doc_id").drop("doc_id")
         return rows.repartition(parts, "hub", "salt").sortWithinPartitions("hub", "salt", F.col("other").asc_nulls_first()).mapInArrow(_verify(k, percent), "a long, b long")
 
-    links = None
+    links = checked = None
     for turn in range(ROUNDS + 1):
         tagged = coll.select("token", "cid", "n", "reach")
         if links is None:
@@ -315,9 +316,13 @@ def ngram_jaccard_join(documents: DataFrame, k: int = 5, percent: int = 80) -> d
             tagged = tagged.join(cls, "cid")
             mixed = tagged.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token")
             tagged = written(tagged.join(mixed, "token", "left_semi"), "tagged")
-        pairs = written(_neighbours(coll) if turn < ROUNDS else _meeting(tagged, percent), "pairs")
+        pairs = _neighbours(coll).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct() if turn < ROUNDS else _meeting(tagged, percent)
+        if checked is not None:
+            pairs = pairs.join(checked, ["a", "b"], "left_anti")  # compared before, and not linked
+        pairs = written(pairs, "pairs")
         if not pairs.head(1):
             continue
+        checked = pairs if checked is None else checked.unionByName(pairs)
         new = written(check(pairs), "links")
         links = new if links is None else links.unionByName(new)
     release(coll)

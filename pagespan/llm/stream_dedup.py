@@ -35,7 +35,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagespan.llm._store import _filter, _passing, pieces, shared_dir, written
+from pagespan.llm._store import passing, pieces, shared_dir, written
 
 #: Bytes of texts that a task keeps to compare with; older ones go, and their next copy goes on as a row of its own.
 KEEP_BYTES = 64 << 20
@@ -204,7 +204,7 @@ class StreamDedup:
             return hits.select("digest")
         # rows at no such place are dropped before any text is moved
         docs = self._documents().withColumn("doc_id", _place("path", "row"))
-        near = _passing(docs, _filter(both.select(_place("at_path", "at_row").alias("doc_id")).distinct()), True)
+        near = passing(docs, both.select(_place("at_path", "at_row").alias("doc_id")).distinct())
         met = both.join(near, (F.col("at_path") == F.col("path")) & (F.col("at_row") == F.col("row")))
         text = F.coalesce("text", F.lit(""))
         return met.groupBy("digest", "home").agg(F.min(text).alias("low"), F.max(text).alias("high")).where("low <> high").select("digest").distinct()
