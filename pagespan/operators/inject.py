@@ -22,17 +22,18 @@ def passthrough(cells: DataFrame, tables: DataFrame) -> DataFrame:
 def anchor_cells(cells: DataFrame, tables: DataFrame, rows: DataFrame) -> DataFrame:
     """doc_id, idx, row_pos, col_pos, text, row_span, col_span, column_header, row_header of every rebuilt anchor table.
 
-    cells: the original grid in the same columns. Leading rows with a column_header cell are used again as they are; without
-    any, the column names make one header row. Data cells are 1 x 1; column 0 is a row header if it was one before.
+    cells: the original grid in the same columns. Leading rows with a column_header cell are used again as they are, unless
+    the table has no rows; without any, the column names make one header row. Data cells are 1 x 1; column 0 is a row header if it was one before.
     """
-    t = touched(tables).where("place = 0").select("doc_id", "idx", "logical_index")
-    own = cells.join(t, ["doc_id", "idx"])
+    t = touched(tables).where("place = 0").select("doc_id", "idx", "logical_index").join(tables.select(*KEY, (F.col("n_rows") > 0).alias("some")), KEY)
+    own = cells.join(t.where("some").drop("some"), ["doc_id", "idx"])
     flags = own.groupBy("doc_id", "idx", "logical_index", "row_pos").agg(F.max("column_header").alias("is_head"))
     lead = Window.partitionBy("doc_id", "idx").orderBy("row_pos")
     flags = flags.withColumn("lead", F.min(F.coalesce("is_head", F.lit(False))).over(lead))
     heads = own.join(flags.where("lead").select("doc_id", "idx", "row_pos"), ["doc_id", "idx", "row_pos"]).select("doc_id", "idx", "row_pos", "col_pos", "text", "row_span", "col_span", F.lit(True).alias("column_header"), "row_header")
     depth = flags.where("lead").groupBy("doc_id", "idx").agg(F.count(F.lit(1)).cast("int").alias("depth"))
-    side = own.where("col_pos = 0 and not coalesce(column_header, false)").groupBy("doc_id", "idx").agg(F.max(F.coalesce("row_header", F.lit(False))).alias("side"))
+    below = own.where("col_pos = 0").join(depth, ["doc_id", "idx"], "left").where(F.col("row_pos") >= F.coalesce("depth", F.lit(1)))
+    side = below.groupBy("doc_id", "idx").agg(F.max(F.coalesce("row_header", F.lit(False))).alias("side"))
     t = t.join(depth, ["doc_id", "idx"], "left").join(side, ["doc_id", "idx"], "left")
     names = tables.select(*KEY, F.when(F.size("columns") > 0, F.col("columns")).otherwise(F.array(F.lit("Column_0"))).alias("columns"))
     flat = t.where("depth is null").join(names, KEY).select("doc_id", "idx", F.lit(0).alias("row_pos"), F.posexplode("columns").alias("col_pos", "text"))

@@ -99,3 +99,46 @@ def demo_grids(spark: SparkSession, sf_dir: str) -> DataFrame:
     prov = F.when(F.col("start_page").isNull(), F.array().cast("array<struct<page_no:int,bbox:struct<l:double,t:double,r:double,b:double,coord_origin:string>>>")).otherwise(F.array(F.struct(F.col("start_page").alias("page_no"), box.alias("bbox"))))
     blank = F.array(F.array(F.lit(" "), F.lit("")))
     return f.join(rows, ["doc_id", "idx"]).select("doc_id", "idx", F.concat(blank, head, "data").alias("grid"), prov.alias("prov"), F.create_map(F.lit(1), F.lit(800.0), F.lit(2), F.lit(800.0), F.lit(3), F.lit(0.0)).alias("heights"), "content_before")
+
+
+def demo_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, value: the demo tables as parser snapshots, with fields that the engine doesn't know. Table numbers that aren't there
+    hold a malformed table; odd tables stand in a group."""
+    g = demo_grids(spark, sf_dir)
+    cell = lambda text, i, j: F.struct(
+        text.alias("text"), F.lit(1).alias("row_span"), F.lit(1).alias("col_span"), i.alias("start_row_offset_idx"), j.alias("start_col_offset_idx"), (i <= 1).alias("column_header"), (j == 0).alias("row_header"), F.concat(F.lit("f"), j.cast("string")).alias("font")
+    )
+    g = g.withColumn("cells", F.transform("grid", lambda r, i: F.transform(r, lambda c, j: cell(c, i, j))))
+    place = lambda p: F.struct(p["page_no"].alias("page_no"), p["bbox"].alias("bbox"), F.array(F.lit(0), F.lit(7)).alias("charspan"))
+    data = F.struct(F.size("grid").alias("num_rows"), F.array_max(F.transform("grid", F.size)).alias("num_cols"), F.flatten("cells").alias("table_cells"), F.col("cells").alias("grid"))
+    pointer = lambda i: F.concat(F.lit("#/tables/"), i.cast("string"))
+    table = F.to_json(F.struct(pointer(F.col("idx")).alias("self_ref"), F.concat(F.lit("table "), F.col("idx").cast("string")).alias("label"), F.transform("prov", place).alias("prov"), data.alias("data")))
+    d = g.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("idx", table))).alias("t"), F.max("idx").alias("last"))
+    numbers = F.sequence(F.lit(0), F.col("last"))
+    gap = F.lit('{"label": "gap", "data": {"grid": 7}}')
+    all_ = F.array_join(F.transform(numbers, lambda i: F.coalesce(F.try_element_at("t", i), gap)), ",")
+    refs = lambda odd: F.array_join(F.transform(F.filter(numbers, lambda i: i % 2 == odd), lambda i: F.concat(F.lit('{"cref":"'), pointer(i), F.lit('"}'))), ",")
+    text = F.concat(
+        F.lit('{"schema_name":"own","origin":{"n":1.5,"list":[1,null,"x"]},"pages":{"1":{"page_no":1,"size":{"height":800}},"2":{"page_no":2,"size":{"height":800}}},"texts":[],"tables":['), all_,
+        F.lit('],"groups":[{"self_ref":"#/groups/0","name":"odd","children":['), refs(1), F.lit(']}],"body":{"label":"body","children":[{"cref":"#/groups/0"}'), F.when(F.col("last") >= 0, F.concat(F.lit(","), refs(0))), F.lit("]}}"),
+    )
+    return d.select("doc_id", text.alias("value"))
+
+
+def demo_span_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """RAW_TABLES with span_cells and no grid: two header rows with spanning names, a status that spans two rows (the last one beyond
+    the table), years that are missing, and a late cell over two columns that stand in its place already."""
+    _orders(spark, sf_dir)
+    r = spark.sql(f"SELECT concat('c', c) AS doc_id, c, p AS idx, i, CAST(k AS STRING) AS k, s, pr, CAST(y AS STRING) AS y, k % 3 = 0 AS no_year FROM ({ROWS_SQL}) r")
+    one = lambda t, row, col, down=1, right=1, head=False: F.struct(t.alias("text"), row.cast("int").alias("row"), F.lit(col).alias("col"), (row + down).cast("int").alias("end_row"), F.lit(col + right).alias("end_col"), F.lit(head).alias("header"))
+    at = F.col("i") + 2
+    row = F.filter(F.array(one(F.col("k"), at, 0), F.when(F.col("i") % 2 == 0, one(F.col("s"), at, 1, down=2)), one(F.col("pr"), at, 2), F.when(~F.col("no_year"), one(F.col("y"), at, 3))), lambda c: c.isNotNull())
+    t = r.groupBy("doc_id", "c", "idx").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("i", row.alias("row")))), lambda x: x["row"])).alias("cells"), F.count(F.lit(1)).cast("int").alias("n"))
+    zero, first = F.lit(0), F.lit(1)
+    head = F.array(one(F.lit("order"), zero, 0, right=2, head=True), one(F.lit("priority"), zero, 2, down=2, head=True), one(F.lit("key"), first, 0, head=True), one(F.lit("status"), first, 1, head=True), one(F.lit("year"), first, 3, head=True))
+    late = F.when(F.col("c") % 4 == 0, F.array(one(F.lit("over"), F.lit(2), 2, right=2))).otherwise(F.slice(head, 1, 0))
+    prov = F.array(F.struct((F.col("idx") + 1).alias("page_no"), F.lit(None).cast("struct<l:double,t:double,r:double,b:double,coord_origin:string>").alias("bbox")))
+    return t.select(
+        "doc_id", "idx", F.lit(None).cast("array<array<string>>").alias("grid"), prov.alias("prov"), F.lit(None).cast("map<int,double>").alias("heights"), F.lit(None).cast("boolean").alias("content_before"),
+        F.struct((F.col("n") + 2).alias("n_rows"), F.lit(4).alias("n_cols"), F.concat(head, "cells", late).alias("cells")).alias("span_cells"),
+    )

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagespan.config import StitchConfig
-from pagespan.operators import classify, decide, rebuild
+from pagespan.operators import classify, decide, rebuild, spans
 from pagespan.operators import inject as write_back
 from pagespan.sources.store import written
 
@@ -41,9 +41,14 @@ class Stitched:
 
 
 def extract_fragments(raw_tables: DataFrame, config: StitchConfig | None = None) -> tuple[DataFrame, DataFrame]:
-    """(fragments, fragment rows) of raw tables; the configuration isn't validated."""
+    """(fragments, fragment rows) of raw tables; the configuration isn't validated. raw_tables may have the column span_cells
+    (schema.SPAN_CELLS), which tells the table where there is no grid."""
     cfg = config or StitchConfig()
-    read = classify.read_grids(raw_tables)
+    if "span_cells" in raw_tables.columns:
+        gridless = F.col("grid").isNull() & F.col("span_cells").isNotNull()
+        read = classify.read_grids(raw_tables.where(~gridless).drop("span_cells")).unionByName(spans.read_spans(raw_tables))
+    else:
+        read = classify.read_grids(raw_tables)
     return classify.fragments_of(read, cfg), classify.rows_of(read)
 
 
@@ -140,11 +145,14 @@ def stitch_documents(raw_tables: DataFrame, config: StitchConfig | None = None,
 
 
 def stitch_snapshots(docs: DataFrame, config: StitchConfig | None = None) -> dict[str, DataFrame]:
-    """Snapshots in (sources.snapshot), their cells, provenance and reading order after stitching out, with errors (tables and
-    documents that couldn't be read) and coverage (how many of a document's tables were)."""
+    """Snapshots in (sources.snapshot); out the documents after stitching, their cells, provenance and reading order, errors
+    (tables and documents that couldn't be read) and coverage (how many of a document's tables were)."""
+    from pagespan.operators import document
     from pagespan.sources import snapshot
 
+    docs = written(docs, "documents")
     fragments, rows = extract_fragments(snapshot.raw_tables(docs), (config or StitchConfig()).validate())
     out = merge_fragments(fragments, rows, config)
     back = write_back.inject(snapshot.cells(docs), snapshot.provenance(docs), snapshot.body_order(docs), out.tables, out.rows)
-    return back | {"errors": snapshot.extract_errors(docs), "coverage": snapshot.coverage(docs)}
+    whole = {"documents": document.stitched_documents(docs, out.tables, out.rows)}
+    return whole | back | {"errors": snapshot.extract_errors(docs), "coverage": snapshot.coverage(docs)}

@@ -130,6 +130,18 @@ _ROWS = "SELECT concat('c', c) AS doc_id, li AS logical_index, CAST(pos AS INT)
 
 _DOC = "concat('c', c) AS doc_id"
 
+#: What the tables of the documents hold after stitching: anchors (rows of `out` under their old header rows) and tables of one member.
+_BACK = _cells("preserve_extra") + """, every AS (SELECT m.c, m.li, m.p, m.idx, m.page, m.w, m.headerless, m.n_rows, n_members FROM mem m JOIN hdr USING (c, li) WHERE m.rank = 0),
+one AS (SELECT * FROM every WHERE n_members = 1 OR (c, li) IN (SELECT c, li FROM out)),
+bare AS (SELECT a.c, a.idx, 0 AS row_pos, j, shown AS t, false AS side FROM every a JOIN named USING (c, li) WHERE n_members > 1 AND (c, li) NOT IN (SELECT c, li FROM out)),
+lead AS (SELECT c, idx, 0 AS row_pos, j, t FROM one, (SELECT 0 AS j, ' ' AS t UNION ALL SELECT 1, '') b
+  UNION ALL SELECT a.c, a.idx, 1, x.j, x.name FROM one a JOIN names x ON x.c = a.c AND x.p = a.p WHERE NOT a.headerless
+  UNION ALL SELECT a.c, a.idx, 1, x.j, x.cell FROM one a JOIN cells x ON x.c = a.c AND x.p = a.p AND x.i = 0 WHERE a.headerless),
+kept AS (SELECT a.c, a.idx, x.i + CASE WHEN headerless THEN 1 ELSE 2 END AS row_pos, x.j, x.cell AS t, true AS side FROM one a JOIN cells x ON x.c = a.c AND x.p = a.p WHERE n_members = 1 AND (x.i > 0 OR NOT headerless)),
+grown AS (SELECT a.c, a.idx, o.pos + 2 AS row_pos, o.j, o.v AS t, NOT a.headerless OR a.n_rows > 1 AS side FROM one a JOIN out o ON o.c = a.c AND o.li = a.li WHERE n_members > 1),
+page AS (SELECT c, idx, 0 AS row_pos, j, t, true AS side FROM lead WHERE row_pos = 0 UNION ALL SELECT c, idx, 1, j, t, true FROM lead WHERE row_pos = 1 UNION ALL SELECT * FROM kept UNION ALL SELECT * FROM grown UNION ALL SELECT * FROM bare)
+"""
+
 _TRIM = "regexp_replace(regexp_replace(cell, '^\\s+', ''), '\\s+$', '')"
 _PATTERNS = ("\\d+$", "\\d+\\.\\d+$", "\\d{1,2}/\\d{1,2}", "\\d{1,2}-\\d{1,2}", "https?://", "[A-Z]+-\\d+$", "\\$[\\d,]+", "[\\d,]+\\s*%$", "Row\\s*\\d+", "\\d+\\.\\d+\\.\\d+", "[\\d,]+\\.\\d+$", "[\\d,]+$", "\\d+\\.?\\d*\\s*\\([\\d,\\s.]+\\)", "\\d+\\.?\\d*\\s*[xX×]\\s*10")
 _DATA = " OR ".join(f"regexp_matches(s, '(?i)^{p}')" for p in _PATTERNS)
@@ -150,12 +162,26 @@ def oracle_sql() -> dict[str, str]:
         "logical_columns": _cells("preserve_extra") + f"SELECT {_DOC}, li AS logical_index, string_agg(shown, '|' ORDER BY j) AS columns FROM named GROUP BY c, li",
         "orphan_tables": _cells("preserve_extra") + f"""SELECT {_DOC}, li AS logical_index, CAST((SELECT count(*) FROM head h WHERE h.c = n.c AND h.li = n.li) AS INT) AS n_rows, string_agg(shown, '|' ORDER BY j) AS columns
             FROM named n JOIN hdr USING (c, li) WHERE hr IS NOT NULL GROUP BY c, li""",
-        "anchor_grid": _cells("preserve_extra") + f""", anchor AS (SELECT m.c, m.li, m.p, m.idx, m.w, m.headerless, m.n_rows FROM mem m JOIN hdr USING (c, li) WHERE n_members > 1 AND m.rank = 0),
-            grid AS (SELECT c, idx, 0 AS row_pos, j, t FROM anchor, (SELECT 0 AS j, ' ' AS t UNION ALL SELECT 1, '') b
-              UNION ALL SELECT a.c, a.idx, 1, x.j, x.name FROM anchor a JOIN names x ON x.c = a.c AND x.p = a.p WHERE NOT a.headerless
-              UNION ALL SELECT a.c, a.idx, 1, x.j, x.cell FROM anchor a JOIN cells x ON x.c = a.c AND x.p = a.p AND x.i = 0 WHERE a.headerless)
-            SELECT {_DOC}, idx, row_pos, CAST(j AS INT) AS col_pos, t AS text, true AS column_header, j = 0 AS row_header FROM grid
-            UNION ALL SELECT concat('c', a.c), a.idx, CAST(o.pos + 2 AS INT), CAST(o.j AS INT), o.v, false, o.j = 0 AND (NOT a.headerless OR a.n_rows > 1) FROM anchor a JOIN out o ON o.c = a.c AND o.li = a.li""",
+        "anchor_grid": _BACK + f"SELECT {_DOC}, idx, CAST(row_pos AS INT) AS row_pos, CAST(j AS INT) AS col_pos, t AS text, row_pos <= 1 AS column_header, j = 0 AND side AS row_header FROM page WHERE (c, idx) IN (SELECT c, idx FROM every WHERE n_members > 1)",
+        "stitched_documents": _BACK + f"SELECT {_DOC}, idx, CAST(row_pos AS INT) AS row_pos, CAST(j AS INT) AS col_pos, t AS text, row_pos <= 1 AS column_header, j = 0 AND side AS row_header FROM page",
+        "document_tables": _BACK + f"""SELECT {_DOC}, m.idx, CAST(CASE WHEN rank > 0 THEN 0 ELSE g.height END AS INT) AS num_rows, CAST(CASE WHEN rank > 0 THEN 0 WHEN n_members > 1 THEN wd.w ELSE greatest(m.w, 2) END AS INT) AS num_cols,
+            CAST(CASE WHEN rank > 0 THEN 0 ELSE g.n END AS INT) AS n_cells, CASE WHEN rank > 0 THEN '' ELSE coalesce((SELECT string_agg(CAST(x.page AS VARCHAR), ',' ORDER BY x.rank) FROM mem x WHERE x.c = m.c AND x.li = m.li), '') END AS pages,
+            CASE WHEN rank > 0 THEN 0 ELSE 1 END AS refs, 'table ' || m.idx AS label
+            FROM mem m JOIN hdr USING (c, li) JOIN wd USING (c, li) LEFT JOIN (SELECT c, idx, max(row_pos) + 1 AS height, count(*) AS n FROM page GROUP BY c, idx) g ON g.c = m.c AND g.idx = m.idx""",
+        "document_shells": BUILT + f"""SELECT {_DOC}, max(n_members) = 1 AS unchanged, CAST(max(idx) + 1 AS INT) AS n_tables, '{{"list":[1,null,"x"],"n":1.5}}' AS origin FROM mem JOIN hdr USING (c, li) GROUP BY c""",
+        "snapshot_errors": BASE + f"""SELECT {_DOC}, CAST(g AS INT) AS idx, 'data.grid holds no rows but is of type bigint' AS error, CAST(n AS INT) AS extracted
+            FROM (SELECT c, unnest(range(0, max(idx))) AS g, count(*) AS n FROM f GROUP BY c) z WHERE g NOT IN (SELECT idx FROM f x WHERE x.c = z.c)""",
+        "span_grids": BASE + f""", rw AS (SELECT r.*, i + 2 AS row_pos FROM r)
+            SELECT {_DOC}, p AS idx, CAST(row_pos AS INT) AS row_pos, CAST(j AS INT) AS col_pos, t AS text, h AS header FROM (
+              SELECT c, p, row_pos, 0 AS j, CAST(k AS VARCHAR) AS t, false AS h FROM rw
+              UNION ALL SELECT a.c, a.p, a.row_pos, 1, b.s, false FROM rw a JOIN rw b ON b.c = a.c AND b.p = a.p AND b.i = a.i - a.i % 2
+              UNION ALL SELECT c, p, row_pos, 2, CASE WHEN c % 4 = 0 AND i = 0 THEN 'over' ELSE pr END, false FROM rw
+              UNION ALL SELECT c, p, row_pos, 3, CASE WHEN c % 4 = 0 AND i = 0 THEN 'over' WHEN k % 3 = 0 THEN '' ELSE CAST(y AS VARCHAR) END, false FROM rw
+              UNION ALL SELECT c, p, n.row_pos, j, t, h FROM (SELECT DISTINCT c, p FROM r) z,
+                (VALUES (0, 0, 'order', true), (0, 1, 'order', true), (0, 2, 'priority', true), (0, 3, '', false), (1, 0, 'key', true), (1, 1, 'status', true), (1, 2, 'priority', true), (1, 3, 'year', true)) n(row_pos, j, t, h)) q""",
+        "span_tables": BASE + f"""SELECT {_DOC}, p AS idx, 'order.key|order.status|priority.priority|year' AS columns, false AS is_headerless, CAST(count(*) AS INT) AS row_count, CAST(p + 1 AS INT) AS start_page,
+              string_agg(concat(k, '|', b, '|', CASE WHEN c % 4 = 0 AND i = 0 THEN 'over|over' ELSE concat(pr, '|', CASE WHEN k % 3 = 0 THEN '' ELSE CAST(y AS VARCHAR) END) END), '/' ORDER BY i) AS cells
+            FROM (SELECT *, first_value(s) OVER (PARTITION BY c, p, i - i % 2 ORDER BY i) AS b FROM r) z GROUP BY c, p""",
         "spillover_pairs_by_content": BASE + f"""{pair} FROM js WHERE hb AND wb = 1 AND wa > 1 AND gb - ga = 1 AND (contains(lower({said}), 'http') OR regexp_matches({said}, '[A-Z]+-[0-9]+') OR (SELECT n_rows FROM f y WHERE y.c = js.c AND y.p = js.pb) <= 2)""",
         "logical_tables": BUILT + f"SELECT {_DOC}, li AS logical_index, members, coalesce(pages, '') AS pages, coalesce(merge_reason, '') AS merge_reason, {_N_ROWS} AS n_rows, n_columns FROM {_TABLES}",
         "run_metrics": BUILT + f"SELECT {_DOC}, CAST(sum(n) AS BIGINT) AS fragments, count(*) AS logical_tables, count(*) FILTER (WHERE n > 1) AS merged_tables, CAST(sum({_N_ROWS}) AS BIGINT) AS rows FROM {_TABLES} GROUP BY c",

@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 from pagespan.config import StitchConfig
 from pagespan.functions import shapes, text
-from pagespan.operators import decide, inject, order, rebuild
+from pagespan.operators import decide, document, inject, order, rebuild, spans
 from pagespan.plans import demo
 from pagespan.plans.engine import decide as decide_all
 from pagespan.plans.engine import extract_fragments, merge_fragments
+from pagespan.sources import snapshot
+from pagespan.sources.store import written
 
 CFG = StitchConfig()
 #: No separator character differs between engines in this one.
@@ -266,6 +268,58 @@ def pruned_refs(spark, sf_dir):
     return inject.pruned_order(o, _merged(spark, sf_dir).tables)
 
 
+def _documents(spark, sf_dir):
+    """The demo documents, and the same after stitching, read back from their JSON."""
+    docs = written(snapshot.from_json_text(demo.demo_documents(spark, sf_dir)), "documents")
+    m = _merged(spark, sf_dir)
+    back = document.stitched_documents(docs, m.tables, m.rows).select("doc_id", F.to_json("doc").alias("value"))
+    return docs, snapshot.from_json_text(written(back, "stitched"))
+
+
+def stitched_documents(spark, sf_dir):
+    """Every cell of every table of the documents that come back."""
+    _, back = _documents(spark, sf_dir)
+    return snapshot.cells(back).select("doc_id", "idx", "row_pos", "col_pos", "text", "column_header", "row_header")
+
+
+def document_tables(spark, sf_dir):
+    """The tables of the documents that come back: size, provenance, references to them, and a field that the engine doesn't know."""
+    _, back = _documents(spark, sf_dir)
+    t, v = snapshot.described(back).where("error is null"), F.col("t")
+    refs = snapshot.body_nodes(back).where("kind = 'tables'").groupBy("doc_id", F.col("item").alias("idx")).agg(F.count(F.lit(1)).cast("int").alias("refs"))
+    number = lambda n: snapshot.field(v, f"$.data.{n}", "int").alias(n)
+    t = t.join(refs, ["doc_id", "idx"], "left")
+    return t.select("doc_id", "idx", number("num_rows"), number("num_cols"), F.size(snapshot.field(v, "$.data.table_cells", "array<variant>")).alias("n_cells"), F.array_join(F.transform("prov", lambda p: p["page_no"].cast("string")), ",").alias("pages"), F.coalesce("refs", F.lit(0)).alias("refs"), snapshot.field(v, "$.label", "string").alias("label"))
+
+
+def document_shells(spark, sf_dir):
+    """Per document: whether it came back as it was, how many tables its list has, and what the engine doesn't know of it."""
+    docs, back = _documents(spark, sf_dir)
+    old = docs.select("doc_id", F.to_json("doc").alias("old"))
+    b = back.join(old, "doc_id").withColumn("new", F.to_json("doc"))
+    return b.select("doc_id", (F.col("old") == F.col("new")).alias("unchanged"), F.size(snapshot.field(F.col("doc"), "$.tables", "array<variant>")).alias("n_tables"), F.to_json(snapshot.field(F.col("doc"), "$.origin")).alias("origin"))
+
+
+def snapshot_errors(spark, sf_dir):
+    """The malformed tables of the demo documents, with their cause; the others of the same documents are read."""
+    docs = snapshot.from_json_text(demo.demo_documents(spark, sf_dir))
+    read = snapshot.described(docs).groupBy("doc_id").agg(F.count(F.when(F.col("error").isNull(), 1)).cast("int").alias("extracted"))
+    return snapshot.extract_errors(docs).join(read, "doc_id").select("doc_id", "idx", "error", "extracted")
+
+
+def span_grids(spark, sf_dir):
+    """Tables given by spanning cells, as the dense grid."""
+    r = spans.dense_rows(demo.demo_span_tables(spark, sf_dir))
+    return r.select("doc_id", "idx", "row_pos", F.posexplode("cells").alias("col_pos", "c")).select("doc_id", "idx", "row_pos", "col_pos", "c.text", "c.header")
+
+
+def span_tables(spark, sf_dir):
+    """Tables given by spanning cells, as fragments: dotted column names, all rows below the header."""
+    f, rows = extract_fragments(demo.demo_span_tables(spark, sf_dir), CFG)
+    said = rows.groupBy("doc_id", "idx").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("row_pos", F.array_join("cells", "|").alias("t")))), lambda x: x["t"]), "/").alias("cells"))
+    return f.join(said, ["doc_id", "idx"], "left").select("doc_id", "idx", F.array_join("columns", "|").alias("columns"), "is_headerless", "row_count", "start_page", "cells")
+
+
 def run_metrics(spark, sf_dir):
     return _merged(spark, sf_dir).metrics()
 
@@ -275,5 +329,6 @@ def queries() -> dict:
         logical_tables, tokens_documents, tokens_headers, jaccard_pairs, pair_signals, pair_decisions, pair_decisions_same_width, decision_counts, missing_index_guard, spillover_pairs, spillover_pairs_by_content, layout_pairs, unique_token_pairs, orphan_edges,
         components, logical_columns, merged_rows_preserve, merged_rows_warn_drop, merged_rows_merge_tail, overflow_warnings, trace_attachment, overflow_fail_check, orphan_tables, cell_shapes, clean_headers, numeric_colnames,
         headerless_flags, fragment_pages, header_orphans, header_contrast, content_before, running_furniture, reading_order, passthrough_cells, anchor_grid, prov_merge, satellite_clear, pruned_refs, run_metrics,
+        stitched_documents, document_tables, document_shells, snapshot_errors, span_grids, span_tables,
     )
     return {f.__name__: f for f in own}

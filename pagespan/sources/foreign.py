@@ -5,15 +5,16 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from pagespan.schema import RAW_TABLES
-from pagespan.sources.store import written
+from pagespan.sources.store import document_id, written
 
 _PARSED = RAW_TABLES + ", error string"
 
 
 def from_parser(spark: SparkSession, path: str, parse: Callable[[str, bytes], Iterable[dict]]) -> tuple[DataFrame, DataFrame]:
-    """(RAW_TABLES, errors) of the files at `path`. parse(name, content) yields dicts with idx, grid, prov, heights,
+    """(RAW_TABLES, errors) of the files at `path`, each named by its path below the fixed part of it. parse(name, content) yields dicts with idx, grid, prov, heights,
     content_before.
 
     A table for which it yields {"idx": i, "error": text} is missing and its number stays free, so nothing is merged across it.
@@ -27,8 +28,7 @@ def from_parser(spark: SparkSession, path: str, parse: Callable[[str, bytes], It
         names = ["doc_id", "idx", "grid", "prov", "heights", "content_before", "error"]
         for pdf in batches:
             rows = []
-            for name, data in zip(pdf["path"], pdf["content"], strict=True):
-                doc = name.rsplit("/", 1)[-1]
+            for doc, data in zip(pdf["doc_id"], pdf["content"], strict=True):
                 try:
                     for r in parse(doc, bytes(data)):
                         rows.append({"doc_id": doc, **r})
@@ -36,6 +36,6 @@ def from_parser(spark: SparkSession, path: str, parse: Callable[[str, bytes], It
                     rows.append({"doc_id": doc, "error": f"{type(why).__name__}: {why}"})
             yield pd.DataFrame({n: pd.Series([r.get(n) for r in rows], dtype=object) for n in names})
 
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    files = spark.read.format("binaryFile").load(path).select(document_id(spark, F.col("path"), path).alias("doc_id"), "content")
     got = written(files.mapInPandas(run, _PARSED), "parsed")
     return got.where("error is null").drop("error"), got.where("error is not null").select("doc_id", "idx", "error")
