@@ -47,10 +47,13 @@ def is_empty(x: Column) -> Column:
 
 
 def tokens(x: Column) -> Column:
-    """The distinct tokens: characters of separate scripts one by one, other letters as lower-cased words."""
-    sep = separate_class()
-    found = F.regexp_extract_all(F.coalesce(x, F.lit("")), F.lit(f"[{sep}]|[\\p{{L}}&&[^{sep}]]+"), F.lit(0))
-    return F.array_distinct(F.transform(found, lambda t: F.when(t.rlike(f"^[{sep}]"), t).otherwise(F.lower(t))))
+    """The distinct tokens: characters of separate scripts one by one, other letters as lower-cased words. Separate scripts begin
+    above U+0E00; texts without such characters need no class of them."""
+    sep, x = separate_class(), F.coalesce(x, F.lit(""))
+    plain = F.transform(F.regexp_extract_all(x, F.lit("\\p{L}+"), F.lit(0)), F.lower)
+    found = F.regexp_extract_all(x, F.lit(f"[{sep}]|[\\p{{L}}&&[^{sep}]]+"), F.lit(0))
+    mixed = F.transform(found, lambda t: F.when(t.rlike(f"^[{sep}]"), t).otherwise(F.lower(t)))
+    return F.array_distinct(F.when(x.rlike("[\\x{0E00}-\\x{10FFFF}]"), mixed).otherwise(plain))
 
 
 def jaccard(a: Column, b: Column) -> Column:

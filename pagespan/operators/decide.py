@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from pagespan.config import StitchConfig
 from pagespan.functions import text
+from pagespan.sources.store import written
 
+# The reason codes, which are part of the results.
 MERGING = (
     "spillover", "header_orphan_to_headerless", "headerless_width_match", "headerless_width_drift_layout", "row_similarity", "header_similarity_strict",
     "header_similarity_loose_layout",
@@ -53,10 +55,16 @@ def any_missing(a: Column, b: Column) -> Column:
 
 def missing_numbers(fragments: DataFrame, pairs: DataFrame) -> DataFrame:
     """pairs (doc_id, seq, left_idx, right_idx; left below right) -> doc_id, seq, missing: the numbers between that weren't
-    extracted, ascending. Each gap in a document's numbers is one row."""
-    gaps = fragments.select("doc_id", F.lag("idx").over(Window.partitionBy("doc_id").orderBy("idx")).alias("lo"), F.col("idx").alias("hi")).where("hi - lo > 1")
-    hit = pairs.join(gaps, "doc_id").where("lo >= left_idx and hi <= right_idx")
-    return hit.groupBy("doc_id", "seq").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("lo", "hi"))), lambda g: F.sequence(g["lo"] + 1, g["hi"] - 1))).alias("missing"))
+    extracted, ascending. A document's gaps are numbered in order; those between two fragments are a run of these numbers, so a
+    pair meets its own gaps only."""
+    order = Window.partitionBy("doc_id").orderBy("idx")
+    f = fragments.select("doc_id", "idx", F.lag("idx").over(order).alias("lo"))
+    f = f.withColumn("gap", F.sum(F.coalesce((F.col("idx") - F.col("lo") > 1).cast("int"), F.lit(0))).over(order))
+    end = lambda side: f.select("doc_id", F.col("idx").alias(f"{side}_idx"), F.col("gap").alias(f"{side}_gap"))
+    p = pairs.join(end("left"), ["doc_id", "left_idx"]).join(end("right"), ["doc_id", "right_idx"]).where("right_gap > left_gap")
+    p = p.select("doc_id", "seq", F.explode(F.sequence(F.col("left_gap") + 1, F.col("right_gap"))).alias("gap"))
+    hit = p.join(f.where("idx - lo > 1"), ["doc_id", "gap"])
+    return hit.groupBy("doc_id", "seq").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("lo", "idx"))), lambda g: F.sequence(g["lo"] + 1, g["idx"] - 1))).alias("missing"))
 
 
 def signals(a: Column, b: Column, cfg: StitchConfig) -> Column:
@@ -115,7 +123,7 @@ def decide_pairs(fragments: DataFrame, cfg: StitchConfig) -> DataFrame:
     p = neighbours(fragments).where("a is not null").withColumn("reason", reason(a, b, cfg))
     p = p.select("doc_id", "seq", a["idx"].alias("left_idx"), b["idx"].alias("right_idx"), "reason", signals(a, b, cfg).alias("signals"))
     listed = missing_numbers(fragments, p.where("reason = 'unextracted_table_between'").select("doc_id", "seq", "left_idx", "right_idx"))
-    said = F.concat(F.lit("unextracted table indices between pair: ["), F.array_join(F.col("missing").cast("array<string>"), ", "), F.lit("]"))
+    said = F.concat(F.lit("tables "), F.array_join(F.col("missing").cast("array<string>"), ", "), F.lit(" lie between the two and were not read"))
     warned = F.when(F.col("missing").isNotNull(), F.array(said)).otherwise(F.array().cast("array<string>"))
     return p.join(listed, ["doc_id", "seq"], "left").select("doc_id", F.lit(1).alias("pass_no"), "seq", "left_idx", "right_idx", F.col("reason").isin(*MERGING).alias("merged"), "reason", "signals", warned.alias("warnings"))
 
@@ -129,15 +137,16 @@ def islands(fragments: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def orphan_edges(fragments: DataFrame, member: DataFrame, cfg: StitchConfig) -> DataFrame:
-    """Candidate repairs: a header orphan and a data orphan up to max_page_gap pages later, in different islands. Both sides
-    are filtered to orphans before the join."""
+    """Candidate repairs: a header orphan and a data orphan up to max_page_gap pages later, in different islands. Both sides are
+    filtered to orphans, and meet by page: a header orphan is sent to each page that it reaches."""
     f = placed(fragments).join(member, ["doc_id", "idx"])
     pages = fragments.where("start_page is not null").groupBy("doc_id", F.col("start_page").alias("page")).agg(F.min("pos").alias("page_pos"))
     keep = ["doc_id", "idx", "place", "pos", "start_page", "width", "vert_bottom", "vert_top", "is_headerless", "is_header_orphan", "is_data_orphan", "header_tokens", "first_row_tokens", "content_before", "island"]
     side = lambda name, flag: f.where(f"{flag} and start_page is not null").select("doc_id", F.struct(*keep[1:]).alias(name))
     a, b = F.col("a"), F.col("b")
-    e = side("a", "is_header_orphan").join(side("b", "is_data_orphan"), "doc_id")
-    e = e.where((b["start_page"] - a["start_page"]).between(1, cfg.max_page_gap) & (F.abs(a["width"] - b["width"]) <= cfg.max_width_difference) & (a["island"] != b["island"]))
+    reached = side("a", "is_header_orphan").where(F.lit(cfg.max_page_gap >= 1)).withColumn("at", F.explode(F.sequence(a["start_page"] + 1, a["start_page"] + cfg.max_page_gap)))
+    e = reached.join(side("b", "is_data_orphan").withColumn("at", b["start_page"]), ["doc_id", "at"]).drop("at")
+    e = e.where((F.abs(a["width"] - b["width"]) <= cfg.max_width_difference) & (a["island"] != b["island"]))
     if cfg.block_on_intervening_content:
         e = e.where(~F.coalesce(b["content_before"], F.lit(False)))
     e = e.where(~any_missing(a, b))
@@ -146,33 +155,45 @@ def orphan_edges(fragments: DataFrame, member: DataFrame, cfg: StitchConfig) ->
     return e.select("doc_id", "page_pos", (b["start_page"] - a["start_page"]).alias("off"), a["pos"].alias("left_pos"), b["pos"].alias("right_pos"), a["idx"].alias("left_idx"), b["idx"].alias("right_idx"), a["island"].alias("left_island"), b["island"].alias("right_island"), why.alias("reason"), signals(a, b, cfg).alias("signals"))
 
 
+def _contracted(picks: DataFrame) -> DataFrame:
+    """picks (doc_id, node, seq, other: a node's least edge and its end) -> doc_id, node, root. Edges have distinct numbers, so the
+    picks form trees but for pairs that picked the same edge, whose smaller node is the root; paths are halved until all end there."""
+    back = picks.select("doc_id", F.col("node").alias("other"), F.col("seq").alias("seq_back"))
+    same = F.coalesce(F.col("seq") == F.col("seq_back"), F.lit(False)) & (F.col("node") < F.col("other"))
+    up = written(picks.join(back, ["doc_id", "other"], "left").select("doc_id", "node", F.when(same, F.col("node")).otherwise(F.col("other")).alias("root")), "parents")
+    while True:
+        above = up.select("doc_id", F.col("node").alias("root"), F.col("root").alias("top"))
+        moved = up.join(above, ["doc_id", "root"])
+        if not moved.where("root <> top").head(1):
+            return up
+        up = written(moved.select("doc_id", "node", F.col("top").alias("root")), "parents")
+
+
 def repair(edges: DataFrame) -> DataFrame:
     """Takes candidate edges in scan order, each only if its ends aren't joined yet. doc_id, seq, left_idx, right_idx, taken,
-    and the final root of both ends' islands. Runs on documents that have candidates, a document at a time."""
-
-    def run(pdf):
-        pdf = pdf.sort_values(["page_pos", "off", "left_pos", "right_pos"], kind="stable")
-        root: dict[int, int] = {}
-
-        def find(x):
-            while root.setdefault(x, x) != x:
-                root[x] = root[root[x]]
-                x = root[x]
-            return x
-
-        taken = []
-        for x, y in zip(pdf["left_island"], pdf["right_island"], strict=True):
-            x, y = find(int(x)), find(int(y))
-            taken.append(x != y)
-            root[max(x, y)] = min(x, y)
-        out = pdf[["doc_id", "left_idx", "right_idx", "left_island", "right_island"]].copy()
-        out["seq"] = range(len(out))
-        out["taken"] = taken
-        out["root"] = [find(int(x)) for x in pdf["left_island"]]
-        return out[["doc_id", "seq", "left_idx", "right_idx", "left_island", "right_island", "taken", "root"]]
-
-    cols = edges.select("doc_id", "page_pos", "off", "left_pos", "right_pos", "left_idx", "right_idx", "left_island", "right_island")
-    return cols.groupBy("doc_id").applyInPandas(run, "doc_id string, seq int, left_idx int, right_idx int, left_island int, right_island int, taken boolean, root int")
+    and the final root of both ends' islands, the least of those joined.
+
+    The edges taken are the one spanning forest of least edges by scan order, so it is found in rounds over all documents at once:
+    each component takes its least edge to another, and what these join becomes one. Every round at least halves the components
+    that have an edge left.
+    """
+    scan = Window.partitionBy("doc_id").orderBy("page_pos", "off", "left_pos", "right_pos")
+    e = written(edges.select("doc_id", (F.row_number().over(scan) - 1).alias("seq"), "left_idx", "right_idx", "left_island", "right_island"), "scan")
+    names = e.select("doc_id", F.explode(F.array("left_island", "right_island")).alias("island")).distinct().withColumn("comp", F.col("island"))
+    open_ = e.select("doc_id", "seq", F.col("left_island").alias("a"), F.col("right_island").alias("b")).where("a <> b")
+    taken = None
+    while open_.head(1):
+        ends = open_.select("doc_id", F.col("a").alias("node"), "seq", F.col("b").alias("other")).unionByName(open_.select("doc_id", F.col("b").alias("node"), "seq", F.col("a").alias("other")))
+        picks = written(ends.groupBy("doc_id", "node").agg(F.min(F.struct("seq", "other")).alias("p")).select("doc_id", "node", "p.*"), "picks")
+        new = picks.select("doc_id", "seq").distinct()
+        taken = new if taken is None else taken.unionByName(new)
+        root = _contracted(picks)
+        renamed = lambda df, c, root=root: df.join(root.select("doc_id", F.col("node").alias(c), "root"), ["doc_id", c], "left").withColumn(c, F.coalesce("root", c)).drop("root")
+        names = written(renamed(names, "comp"), "names")
+        open_ = written(renamed(renamed(open_, "a"), "b").where("a <> b").select("doc_id", "seq", "a", "b"), "open")
+    least = names.select("doc_id", F.col("island").alias("left_island"), F.min("island").over(Window.partitionBy("doc_id", "comp")).alias("root"))
+    marked = e.withColumn("taken", F.lit(False)) if taken is None else e.join(taken.withColumn("hit", F.lit(True)), ["doc_id", "seq"], "left").withColumn("taken", F.coalesce("hit", F.lit(False)))
+    return marked.join(least, ["doc_id", "left_island"]).select("doc_id", "seq", "left_idx", "right_idx", "left_island", "right_island", "taken", "root")
 
 
 def groups(fragments: DataFrame, member: DataFrame, repaired: DataFrame) -> DataFrame:

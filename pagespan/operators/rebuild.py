@@ -17,6 +17,10 @@ from pagespan.functions import text
 from pagespan.sources.store import written
 
 KEY = ["doc_id", "logical_index"]
+# Words of column names that take links; EXTRA and PLAIN begin the names of columns that a header lacks.
+LINK_WORDS = ("content", "ref", "desc", "link", "url")
+EXTRA = "_extra_"
+PLAIN = "col_"
 _STRINGS = "array<string>"
 
 
@@ -39,7 +43,7 @@ def widened(columns: Column) -> Column:
 
     def grow(acc, cols):
         extra = F.slice(cols, F.size(acc) + 1, F.greatest(F.size(cols) - F.size(acc), F.lit(0)))
-        base = F.transform(extra, lambda c, i: F.concat(F.lit("_extra_"), i.cast("string"), F.lit("_"), F.when(text.is_empty(c), "column").otherwise(text.strip(c))))
+        base = F.transform(extra, lambda c, i: F.concat(F.lit(EXTRA), i.cast("string"), F.lit("_"), F.when(text.is_empty(c), "column").otherwise(text.strip(c))))
         return F.aggregate(base, acc, lambda used, n: F.concat(used, F.array(_fresh(n, used))))
 
     return F.aggregate(F.slice(columns, 2, F.greatest(F.size(columns) - 1, F.lit(0))), F.get(columns, F.lit(0)), grow)
@@ -78,16 +82,15 @@ def headers(planned: DataFrame, rows: DataFrame, cfg: StitchConfig) -> DataFrame
     cols = F.transform("m", lambda x: x["columns"])
     label = F.col("label")
     full = F.greatest(F.size(label), F.array_max(F.transform("m", lambda x: x["width"])))
-    orphan = F.concat(F.transform(label, lambda c: F.coalesce(c, F.lit(""))), F.when(full > F.size(label), F.transform(F.sequence(F.size(label), full - 1), lambda k: F.concat(F.lit("col_"), k.cast("string")))).otherwise(_none()))
+    orphan = F.concat(F.transform(label, lambda c: F.coalesce(c, F.lit(""))), F.when(full > F.size(label), F.transform(F.sequence(F.size(label), full - 1), lambda k: F.concat(F.lit(PLAIN), k.cast("string")))).otherwise(_none()))
     generic = widened(cols) if cfg.width_overflow_policy == "preserve_extra" else F.get(cols, F.lit(0))
     warned = _none()
     if cfg.width_overflow_policy == "warn_drop":
         w = F.size(F.get(cols, F.lit(0)))
         wide = F.filter("m", lambda x: x["width"] > w)
         warned = F.transform(wide, lambda x: F.concat(
-            F.lit("Dropped "), (x["width"] - w).cast("string"), F.lit(" trailing column(s) from fragment idx="), x["idx"].cast("string"), F.lit(" page="), F.coalesce(x["start_page"].cast("string"), F.lit("None")),
-            F.lit(" to fit canonical width "), w.cast("string"), F.lit("; dropped columns: ["),
-            F.array_join(F.transform(F.slice(x["columns"], w + 1, x["width"] - w), lambda c: F.concat(F.lit("'"), c, F.lit("'"))), ", "), F.lit("]")))
+            F.lit("table "), x["idx"].cast("string"), F.lit(" (page "), F.coalesce(x["start_page"].cast("string"), F.lit("unknown")), F.lit(") has "), x["width"].cast("string"), F.lit(" columns where "), w.cast("string"),
+            F.lit(" fit; cut: "), F.array_join(F.slice(x["columns"], w + 1, x["width"] - w), ", ")))
         warned = F.when(F.col("build") == "generic", warned).otherwise(_none())
     return g.select(*KEY, "build", F.when(F.col("build") == "orphan", orphan).otherwise(generic).alias("columns"), warned.alias("warnings"), "pages")
 
@@ -150,7 +153,7 @@ def spill_text(member: DataFrame, rows: DataFrame, cfg: StitchConfig) -> DataFra
 
 def url_column(columns: Column) -> Column:
     """The last column whose name speaks of content or links; else the last."""
-    hits = F.filter(F.transform(columns, lambda c, i: F.when(F.lower(c).rlike("content|ref|desc|link|url"), i)), lambda i: i.isNotNull())
+    hits = F.filter(F.transform(columns, lambda c, i: F.when(F.lower(c).rlike("|".join(LINK_WORDS)), i)), lambda i: i.isNotNull())
     return F.coalesce(F.element_at(F.when(F.size(hits) > 0, hits), -1), F.size(columns) - 1)
 
 

@@ -76,7 +76,7 @@ def merge_fragments(fragments: DataFrame, rows: DataFrame, config: StitchConfig
         wide = rebuild.overflowing(rebuild.plan(rebuild.members(fragments, grouped, pairs), cfg)).select("doc_id", "idx", "start_page", "width", "base_width", "columns").head(1)
         if wide:
             w = wide[0]
-            raise ValueError(f"fragment idx={w.idx} page={w.start_page} of {w.doc_id} has {w.width} columns, wider than canonical width {w.base_width}; extra columns: {w.columns[w.base_width :]}")
+            raise ValueError(f"{w.doc_id}: table {w.idx} (page {w.start_page}) has {w.width} columns where {w.base_width} fit; too many: {', '.join(w.columns[w.base_width :])}")
     tables, out = rebuild.rebuild(fragments, rows, grouped, pairs, cfg)
     return Stitched(fragments, rows, pairs, grouped, written(rebuild.attach_traces(tables, grouped, pairs), "tables"), out)
 

@@ -187,10 +187,10 @@ def oracle_sql() -> dict[str, str]:
         "run_metrics": BUILT + f"SELECT {_DOC}, CAST(sum(n) AS BIGINT) AS fragments, count(*) AS logical_tables, count(*) FILTER (WHERE n > 1) AS merged_tables, CAST(sum({_N_ROWS}) AS BIGINT) AS rows FROM {_TABLES} GROUP BY c",
         "passthrough_cells": BUILT + f"SELECT {_DOC}, idx, CAST({whole} AS BIGINT) AS cells FROM mem JOIN hdr USING (c, li) WHERE n_members = 1",
         "prov_merge": BUILT + f"""SELECT {_DOC}, idx, CASE WHEN rank > 0 THEN '' ELSE coalesce((SELECT string_agg(CAST(x.page AS VARCHAR), ',' ORDER BY x.rank) FROM mem x WHERE x.c = mem.c AND x.li = mem.li), '') END AS pages, rank > 0 AS cleared FROM mem""",
-        "overflow_warnings": BUILT + f"""SELECT {_DOC}, li AS logical_index, concat('Dropped ', w - b, ' trailing column(s) from fragment idx=', idx, ' page=', coalesce(CAST(page AS VARCHAR), 'None'), ' to fit canonical width ', b, '; dropped columns: [',
-            (SELECT string_agg(concat(chr(39), name, chr(39)), ', ' ORDER BY j) FROM names n WHERE n.c = x.c AND n.p = x.p AND j >= b), ']') AS warning
+        "overflow_warnings": BUILT + f"""SELECT {_DOC}, li AS logical_index, concat('table ', idx, ' (page ', coalesce(CAST(page AS VARCHAR), 'unknown'), ') has ', w, ' columns where ', b, ' fit; cut: ',
+            (SELECT string_agg(name, ', ' ORDER BY j) FROM names n WHERE n.c = x.c AND n.p = x.p AND j >= b)) AS warning
             FROM (SELECT dat.*, first_value(w) OVER (PARTITION BY c, li ORDER BY rank) AS b FROM dat WHERE hr IS NULL) x WHERE w > b
-            UNION ALL SELECT concat('c', d.c), x.li, concat('unextracted table indices between pair: [', (SELECT string_agg(CAST(g AS VARCHAR), ', ' ORDER BY g) FROM (SELECT unnest(range(ia + 1, ib)) AS g) z WHERE g NOT IN (SELECT idx FROM f WHERE f.c = d.c)), ']')
+            UNION ALL SELECT concat('c', d.c), x.li, concat('tables ', (SELECT string_agg(CAST(g AS VARCHAR), ', ' ORDER BY g) FROM (SELECT unnest(range(ia + 1, ib)) AS g) z WHERE g NOT IN (SELECT idx FROM f WHERE f.c = d.c)), ' lie between the two and were not read')
             FROM dec d JOIN tab x ON x.c = d.c AND x.p = d.pa JOIN tab y ON y.c = d.c AND y.p = d.pb AND y.li = x.li WHERE reason = 'unextracted_table_between'""",
         "fragment_pages": BASE + f"SELECT {_DOC}, idx, page AS start_page, coalesce(CAST(page AS VARCHAR), '') AS pages, {at('top')} AS vert_top, {at('bottom')} AS vert_bottom FROM f",
         "headerless_flags": BASE + f"SELECT {_DOC}, idx, headerless AS is_headerless, CAST(w AS INT) AS width, n_rows AS row_count, 0 AS n_continuation FROM f",
@@ -203,7 +203,7 @@ def oracle_sql() -> dict[str, str]:
         "pair_decisions": decisions(1, False),
         "pair_decisions_same_width": decisions(3, True),
         "decision_counts": DECIDED + "SELECT reason, CAST(count(*) AS BIGINT) AS n FROM (SELECT reason FROM dec UNION ALL SELECT reason FROM edge) x GROUP BY reason",
-        "missing_index_guard": DECIDED + f"{pair}, concat('unextracted table indices between pair: [', (SELECT string_agg(CAST(g AS VARCHAR), ', ' ORDER BY g) FROM (SELECT unnest(range(ia + 1, ib)) AS g) z WHERE g NOT IN (SELECT idx FROM f WHERE f.c = dec.c)), ']') AS warning FROM dec WHERE reason = 'unextracted_table_between'",
+        "missing_index_guard": DECIDED + f"{pair}, concat('tables ', (SELECT string_agg(CAST(g AS VARCHAR), ', ' ORDER BY g) FROM (SELECT unnest(range(ia + 1, ib)) AS g) z WHERE g NOT IN (SELECT idx FROM f WHERE f.c = dec.c)), ' lie between the two and were not read') AS warning FROM dec WHERE reason = 'unextracted_table_between'",
         "spillover_pairs": BASE + f"{pair} FROM js WHERE hb AND wb = 1 AND wa > 1 AND gb - ga = 1",
         "layout_pairs": BASE + f"{pair} FROM js WHERE layout",
         "unique_token_pairs": BASE + f"{pair} FROM js WHERE both_own",

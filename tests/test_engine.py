@@ -77,7 +77,7 @@ def test_missing_numbers_when_pages_and_numbers_disagree(spark):
     docs = {"d": [fragment(i, A, [["a", "1", "x"]], page) for page, i in enumerate((0, 7, 3, 10, 11), 1)]}
     _, _, out = run(spark, docs)
     got = [(p.left_idx, p.right_idx, p.reason, p.warnings) for p in out.pairs.orderBy("seq").collect()]
-    say = lambda *n: [f"unextracted table indices between pair: {list(n)}"]
+    say = lambda *n: [f"tables {', '.join(map(str, n))} lie between the two and were not read"]
     assert got == [
         (0, 7, "unextracted_table_between", say(1, 2, 4, 5, 6)), (7, 3, "header_similarity_strict", []), (3, 10, "unextracted_table_between", say(4, 5, 6, 8, 9)), (10, 11, "header_similarity_strict", []),
     ]
@@ -108,9 +108,9 @@ def test_rows_fold_across_fragments_as_a_plain_loop_does(spark):
 def test_overflow_policies(spark):
     docs = {"d": [fragment(0, ["a", "b"], [["1", "x"]], 1, bottom=0.9), fragment(1, ["c0", "c1", "c2"], [["2", "y ", " z "], ["3", "", "w"]], 2, headerless=True, top=0.1)]}
     tables, rows, _ = run(spark, docs, width_overflow_policy="warn_drop")
-    assert rows["d", 0] == [["1", "x"], ["2", "y "], ["3", ""]] and tables["d"][0].warnings == ["Dropped 1 trailing column(s) from fragment idx=1 page=2 to fit canonical width 2; dropped columns: ['c2']"]
+    assert rows["d", 0] == [["1", "x"], ["2", "y "], ["3", ""]] and tables["d"][0].warnings == ["table 1 (page 2) has 3 columns where 2 fit; cut: c2"]
     assert run(spark, docs, width_overflow_policy="merge_tail")[1]["d", 0] == [["1", "x"], ["2", "y\nz"], ["3", "w"]]
-    with pytest.raises(ValueError, match="wider than canonical width 2"):
+    with pytest.raises(ValueError, match="has 3 columns where 2 fit; too many: c2"):
         run(spark, docs, width_overflow_policy="fail")
     with pytest.raises(ValueError, match="width_overflow_policy"):
         run(spark, docs, width_overflow_policy="no")
@@ -187,12 +187,18 @@ def test_stream_equals_batch(spark, tmp_path):
     assert [r.members for r in spark.read.parquet(f"{tmp_path}/out/tables").collect()] == [[0, 1]]
 
 
-def test_queries_match_their_sql(spark):
+def test_queries_match_their_sql(spark, monkeypatch):
+    from functools import cache
+
     import duckdb
     import pandas as pd
 
     from pagespan.plans import oracles, queries
 
+    for name in ("_merged", "decide_all", "_documents"):  # a merge of one configuration serves all queries here
+        monkeypatch.setattr(queries, name, cache(getattr(queries, name)))
+    fragments = cache(queries.demo.demo_fragments)
+    monkeypatch.setattr(queries.demo, "demo_fragments", fragments)
     d = "/root/testdata/sf0.001"
     con = duckdb.connect()
     for t in ("orders", "part", "documents", "conversations"):
@@ -204,3 +210,66 @@ def test_queries_match_their_sql(spark):
         assert sorted(own.columns) == cols, name
         key = lambda df: sorted(tuple("None" if pd.isna(v) else str(int(v) if isinstance(v, float) and v == int(v) else v) for v in row) for row in df[cols].astype(object).values.tolist())
         assert key(own) == key(their), name
+
+
+def plain_forest(edges):
+    """Edges (left, right) in scan order, each taken if its ends aren't joined yet; the least island of each group."""
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    taken = []
+    for a, b in edges:
+        a, b = find(a), find(b)
+        taken.append(a != b)
+        root[max(a, b)] = min(a, b)
+    return taken, {x: find(x) for x in list(root)}
+
+
+def test_forest_equals_a_plain_loop(spark):
+    import random
+
+    from pagespan.operators import decide
+
+    rnd = random.Random(5)
+    docs = {f"r{d}": [tuple(rnd.sample(range(n), 2)) for _ in range(m)] for d, (n, m) in enumerate([(2, 1), (3, 5), (12, 9), (40, 30), (40, 60), (300, 280), (60, 400)])}
+    docs["chain"] = [(i, i + 1) for i in range(200)]
+    docs["back"] = [(i, i + 1) for i in reversed(range(150))]
+    docs["star"] = [(0, i) for i in range(1, 400)]
+    docs["itself"] = [(4, 4), (4, 5), (5, 4)]
+    rows = [(d, 0, i, 0, 0, i, i, a, b) for d, es in docs.items() for i, (a, b) in enumerate(es)]
+    rnd.shuffle(rows)
+    edges = spark.createDataFrame(rows, "doc_id string, page_pos int, off int, left_pos int, right_pos int, left_idx int, right_idx int, left_island int, right_island int")
+    edges = edges.withColumn("page_pos", F.col("left_idx"))
+    out = decide.repair(edges)
+    got = {}
+    for r in out.orderBy("doc_id", "seq").collect():
+        got.setdefault(r.doc_id, []).append((r.left_island, r.right_island, r.taken, r.root))
+    for d, es in docs.items():
+        taken, root = plain_forest(es)
+        assert got[d] == [(a, b, t, root[a]) for (a, b), t in zip(es, taken, strict=True)], d
+    assert "Python" not in out._jdf.queryExecution().toString() and "FlatMapGroups" not in out._jdf.queryExecution().toString()
+    assert decide.repair(edges.limit(0)).count() == 0
+
+
+def test_many_orphans_in_one_document(spark):
+    """A header orphan and a data orphan on every page: as many candidates as pages, whatever their square."""
+    import time
+
+    from pagespan.operators import decide
+
+    n = 20_000
+    f = spark.range(2 * n).select(
+        F.lit("d").alias("doc_id"), F.col("id").cast("int").alias("idx"), F.col("id").cast("int").alias("pos"), (F.floor(F.col("id") / 2) + 1).cast("int").alias("start_page"), F.lit(2).alias("width"),
+        F.lit(None).cast("double").alias("vert_top"), F.lit(None).cast("double").alias("vert_bottom"), F.lit(False).alias("is_headerless"), (F.col("id") % 2 == 1).alias("is_header_orphan"), (F.col("id") % 2 == 0).alias("is_data_orphan"),
+        F.array(F.lit("x")).alias("header_tokens"), F.array(F.lit("y")).alias("first_row_tokens"), F.lit(None).cast("boolean").alias("content_before"),
+    )
+    began = time.time()
+    e = decide.orphan_edges(f, f.select("doc_id", "idx", F.col("idx").alias("island")), StitchConfig())
+    assert e.count() == n - 1 and time.time() - began < 60
+    gaps = f.where("idx % 3 <> 1")
+    pairs = gaps.select("doc_id", F.col("idx").alias("seq"), F.col("idx").alias("left_idx"), (F.col("idx") + 2).alias("right_idx")).where("idx % 3 = 0 and idx + 2 < 40000")
+    assert decide.missing_numbers(gaps, pairs).where("missing = array(seq + 1)").count() == pairs.count() and time.time() - began < 90

@@ -145,4 +145,4 @@ def test_foreign_parser(spark, tmp_path):
     out = merge_fragments(*extract_fragments(raw), StitchConfig(max_page_gap=3))
     # nothing is merged across the table that is missing
     assert sorted((t.doc_id, t.members) for t in out.tables.collect()) == [("w.txt", [0]), ("x.txt", [0, 1]), ("z.txt", [0]), ("z.txt", [2])]
-    assert [(p.reason, p.warnings) for p in out.pairs.where("doc_id = 'z.txt'").collect()] == [("unextracted_table_between", ["unextracted table indices between pair: [1]"])]
+    assert [(p.reason, p.warnings) for p in out.pairs.where("doc_id = 'z.txt'").collect()] == [("unextracted_table_between", ["tables 1 lie between the two and were not read"])]
