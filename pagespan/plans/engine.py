@@ -4,18 +4,18 @@ from __future__ import annotations
 
 import logging
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from typing import Any, Protocol, runtime_checkable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagespan.config import StitchConfig
 from pagespan.operators import classify, decide, rebuild, spans
 from pagespan.operators import inject as write_back
-from pagespan.sources.store import written
+from pagespan.sources.store import recorded, written
 
-log = logging.getLogger("pagespan")
+logger = logging.getLogger("pagespan")
 
 
 class StitchError(RuntimeError):
@@ -32,6 +32,12 @@ class Stitched:
     groups: DataFrame
     tables: DataFrame
     rows: DataFrame
+    log: list[dict] = field(default_factory=list)
+
+    def phases(self) -> DataFrame:
+        """step, phase, seconds, rows, extracted, skipped: what each stage wrote, observed while it was written; extracted and
+        skipped where a stage reads tables."""
+        return phase_table(self.tables.sparkSession, self.log)
 
     def metrics(self) -> DataFrame:
         """Per document: fragments, logical tables, merged ones, rows."""
@@ -40,6 +46,12 @@ class Stitched:
         return f.join(t, "doc_id")
 
 
+def phase_table(spark: SparkSession, log: list[dict]) -> DataFrame:
+    """The entries of sources.store.recorded() as a table."""
+    rows = [(i, x["phase"], x["seconds"], x["rows"], x.get("extracted"), x.get("skipped")) for i, x in enumerate(log)]
+    return spark.createDataFrame(rows, "step int, phase string, seconds double, rows long, extracted long, skipped long")
+
+
 def extract_fragments(raw_tables: DataFrame, config: StitchConfig | None = None) -> tuple[DataFrame, DataFrame]:
     """(fragments, fragment rows) of raw tables; the configuration isn't validated. raw_tables may have the column span_cells
     (schema.SPAN_CELLS), which tells the table where there is no grid."""
@@ -70,7 +82,16 @@ def merge_fragments(fragments: DataFrame, rows: DataFrame, config: StitchConfig
     cfg = config or StitchConfig()
     if found := cfg.policy_problems():
         raise ValueError("; ".join(found))
-    fragments, rows = written(fragments, "fragments"), written(rows, "rows")
+    with recorded() as log:
+        out = _merged(fragments, rows, cfg)
+    out.log = log
+    log_line = ", ".join(f"{x['phase']} {x['rows']} rows in {x['seconds']} s" for x in log)
+    logger.info("merged: %s", log_line)
+    return out
+
+
+def _merged(fragments: DataFrame, rows: DataFrame, cfg: StitchConfig) -> Stitched:
+    fragments, rows = written(fragments, "fragments"), written(rows, "fragment rows")
     pairs, grouped = decide(fragments, cfg)
     if cfg.width_overflow_policy == "fail":
         wide = rebuild.overflowing(rebuild.plan(rebuild.members(fragments, grouped, pairs), cfg)).select("doc_id", "idx", "start_page", "width", "base_width", "columns").head(1)
@@ -122,13 +143,13 @@ class Stitcher:
             if self.inject is None:
                 return out
             if not out.tables.where("size(pages) > 1").head(1):
-                log.info("no logical table spans more than one page")
+                logger.info("no logical table spans more than one page")
                 return documents
             return self.inject(documents, out)
         except Exception as e:
             if raise_on_error:
                 raise StitchError(str(e)) from e
-            log.warning("stitching failed, documents are left as they were: %s", e)
+            logger.warning("stitching failed, documents are left as they were: %s", e)
             return documents
 
 
@@ -139,20 +160,24 @@ def stitch_documents(raw_tables: DataFrame, config: StitchConfig | None = None,
     except ValueError:
         if raise_on_error:
             raise
-        log.warning("invalid configuration, documents are left as they were")
+        logger.warning("invalid configuration, documents are left as they were")
         return raw_tables
     return stitcher.stitch(raw_tables, raise_on_error)
 
 
 def stitch_snapshots(docs: DataFrame, config: StitchConfig | None = None) -> dict[str, DataFrame]:
     """Snapshots in (sources.snapshot); out the documents after stitching, their cells, provenance and reading order, errors
-    (tables and documents that couldn't be read) and coverage (how many of a document's tables were)."""
+    (tables and documents that couldn't be read), coverage (how many of a document's tables were) and phases (rows and seconds of
+    each stage, observed while they were written)."""
     from pagespan.operators import document
     from pagespan.sources import snapshot
 
-    docs = written(docs, "documents")
+    with recorded() as log:
+        docs = written(docs, "documents", extracted=F.col("readable"), skipped=~F.col("readable"))
+        read = written(snapshot.described(docs).select("doc_id", "idx", "error"), "tables read", extracted=F.col("error").isNull(), skipped=F.col("error").isNotNull())
     fragments, rows = extract_fragments(snapshot.raw_tables(docs), (config or StitchConfig()).validate())
     out = merge_fragments(fragments, rows, config)
     back = write_back.inject(snapshot.cells(docs), snapshot.provenance(docs), snapshot.body_order(docs), out.tables, out.rows)
     whole = {"documents": document.stitched_documents(docs, out.tables, out.rows)}
-    return whole | back | {"errors": snapshot.extract_errors(docs), "coverage": snapshot.coverage(docs)}
+    bad = snapshot.extract_errors(docs, read)
+    return whole | back | {"errors": bad, "coverage": snapshot.coverage(docs, bad), "phases": phase_table(docs.sparkSession, log + out.log)}

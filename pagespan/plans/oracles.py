@@ -185,6 +185,9 @@ def oracle_sql() -> dict[str, str]:
         "spillover_pairs_by_content": BASE + f"""{pair} FROM js WHERE hb AND wb = 1 AND wa > 1 AND gb - ga = 1 AND (contains(lower({said}), 'http') OR regexp_matches({said}, '[A-Z]+-[0-9]+') OR (SELECT n_rows FROM f y WHERE y.c = js.c AND y.p = js.pb) <= 2)""",
         "logical_tables": BUILT + f"SELECT {_DOC}, li AS logical_index, members, coalesce(pages, '') AS pages, coalesce(merge_reason, '') AS merge_reason, {_N_ROWS} AS n_rows, n_columns FROM {_TABLES}",
         "run_metrics": BUILT + f"SELECT {_DOC}, CAST(sum(n) AS BIGINT) AS fragments, count(*) AS logical_tables, count(*) FILTER (WHERE n > 1) AS merged_tables, CAST(sum({_N_ROWS}) AS BIGINT) AS rows FROM {_TABLES} GROUP BY c",
+        "phase_rows": BUILT + f"""SELECT phase, CAST(n AS BIGINT) AS rows FROM (
+            SELECT 'fragments' AS phase, count(*) AS n FROM f UNION ALL SELECT 'fragment rows', count(*) FROM r UNION ALL SELECT 'pairs', count(*) FROM dec UNION ALL SELECT 'islands', count(*) FROM isl
+            UNION ALL SELECT 'edges', count(*) FROM edge UNION ALL SELECT 'groups', count(*) FROM tab UNION ALL SELECT 'tables', count(*) FROM hdr UNION ALL SELECT 'rows', sum({_N_ROWS}) FROM {_TABLES}) z""",
         "passthrough_cells": BUILT + f"SELECT {_DOC}, idx, CAST({whole} AS BIGINT) AS cells FROM mem JOIN hdr USING (c, li) WHERE n_members = 1",
         "prov_merge": BUILT + f"""SELECT {_DOC}, idx, CASE WHEN rank > 0 THEN '' ELSE coalesce((SELECT string_agg(CAST(x.page AS VARCHAR), ',' ORDER BY x.rank) FROM mem x WHERE x.c = mem.c AND x.li = mem.li), '') END AS pages, rank > 0 AS cleared FROM mem""",
         "overflow_warnings": BUILT + f"""SELECT {_DOC}, li AS logical_index, concat('table ', idx, ' (page ', coalesce(CAST(page AS VARCHAR), 'unknown'), ') has ', w, ' columns where ', b, ' fit; cut: ',

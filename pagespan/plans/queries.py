@@ -324,11 +324,17 @@ def run_metrics(spark, sf_dir):
     return _merged(spark, sf_dir).metrics()
 
 
+def phase_rows(spark, sf_dir):
+    """What the phases of a run wrote, as observed while they wrote it (their seconds differ from run to run)."""
+    p = _merged(spark, sf_dir).phases()
+    return p.where(F.col("phase").isin("fragments", "fragment rows", "pairs", "islands", "edges", "groups", "tables", "rows")).select("phase", "rows")
+
+
 def queries() -> dict:
     own = (
         logical_tables, tokens_documents, tokens_headers, jaccard_pairs, pair_signals, pair_decisions, pair_decisions_same_width, decision_counts, missing_index_guard, spillover_pairs, spillover_pairs_by_content, layout_pairs, unique_token_pairs, orphan_edges,
         components, logical_columns, merged_rows_preserve, merged_rows_warn_drop, merged_rows_merge_tail, overflow_warnings, trace_attachment, overflow_fail_check, orphan_tables, cell_shapes, clean_headers, numeric_colnames,
         headerless_flags, fragment_pages, header_orphans, header_contrast, content_before, running_furniture, reading_order, passthrough_cells, anchor_grid, prov_merge, satellite_clear, pruned_refs, run_metrics,
-        stitched_documents, document_tables, document_shells, snapshot_errors, span_grids, span_tables,
+        stitched_documents, document_tables, document_shells, snapshot_errors, span_grids, span_tables, phase_rows,
     )
     return {f.__name__: f for f in own}

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagespan.schema import RAW_TABLES
+from pagespan.sources.snapshot import counted
 from pagespan.sources.store import document_id, written
 
 _PARSED = RAW_TABLES + ", error string"
@@ -37,5 +38,12 @@ def from_parser(spark: SparkSession, path: str, parse: Callable[[str, bytes], It
             yield pd.DataFrame({n: pd.Series([r.get(n) for r in rows], dtype=object) for n in names})
 
     files = spark.read.format("binaryFile").load(path).select(document_id(spark, F.col("path"), path).alias("doc_id"), "content")
-    got = written(files.mapInPandas(run, _PARSED), "parsed")
+    got = written(files.mapInPandas(run, _PARSED), "parsed", extracted=F.col("error").isNull(), skipped=F.col("error").isNotNull())
     return got.where("error is null").drop("error"), got.where("error is not null").select("doc_id", "idx", "error")
+
+
+def coverage(raw: DataFrame, errors: DataFrame) -> DataFrame:
+    """doc_id, extracted, found, skipped, message of what from_parser() gave; a document whose parse raised before its first table
+    has none."""
+    every = raw.select("doc_id", "idx").unionByName(errors.select("doc_id", "idx"))
+    return counted(every.groupBy("doc_id").agg(F.count("idx").cast("int").alias("found")), errors)

@@ -9,13 +9,31 @@ from __future__ import annotations
 import atexit
 import contextlib
 import tempfile
+import time
 import uuid
+from collections.abc import Iterator
+from contextvars import ContextVar
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 _folders: dict[str, SparkSession] = {}
 _temporary: dict[str, str] = {}
+_record: ContextVar[list[dict] | None] = ContextVar("record", default=None)
+
+
+@contextlib.contextmanager
+def recorded() -> Iterator[list[dict]]:
+    """What written() does inside goes into the list: phase, seconds, rows, and the other counts that a phase is given. They are
+    observed while the tables are written, so nothing is read again for them."""
+    log: list[dict] = []
+    outer, token = _record.get(), _record.set(log)
+    try:
+        yield log
+    finally:
+        _record.reset(token)
+        if outer is not None:
+            outer.extend(log)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -43,15 +61,20 @@ def _sweep() -> None:
             delete(spark, at)
 
 
-def written(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
-    """df as a table in the shared folder, read back. The tables of an application go when its driver ends."""
+def written(df: DataFrame, name: str, compression: str = "snappy", **counts: Column) -> DataFrame:
+    """df as a table in the shared folder, read back. The tables of an application go when its driver ends. counts: conditions
+    whose rows recorded() counts, too."""
     spark = df.sparkSession
     top = f"{shared_dir(spark)}/pagespan/{spark.sparkContext.applicationId}"
     if not _folders:
         atexit.register(_sweep)
     _folders.setdefault(top, spark)
     at = f"{top}/{uuid.uuid4().hex}/{name}"
-    df.write.option("compression", compression).parquet(at)
+    log, seen, began = _record.get(), Observation(), time.monotonic()
+    source = df if log is None else df.observe(seen, F.count(F.lit(1)).alias("rows"), *[F.count(F.when(c, 1)).alias(n) for n, c in counts.items()])
+    source.write.option("compression", compression).parquet(at)
+    if log is not None:
+        log.append({"phase": name, "seconds": round(time.monotonic() - began, 3)} | {k: int(v) for k, v in seen.get.items()})
     out = spark.read.schema(df.schema).parquet(at)
     out._pagespan_at = at
     return out

@@ -69,6 +69,8 @@ def test_documents_come_back(spark, tmp_path):
     assert one["body"] == ONE["body"] and one["groups"] == [ONE["groups"][0] | {"children": [{"cref": "#/texts/9"}, "odd"]}]
     # a malformed table costs itself: the others are read, nothing is merged across it, the cause is said
     assert [tuple(r) for r in out["errors"].where("idx is not null").collect()] == [("a/bad.json", 1, "data.grid holds no rows but is of type object")]
+    phases = {r.phase: (r.rows, r.extracted, r.skipped) for r in out["phases"].collect()}
+    assert phases["documents"] == (4, 3, 1) and phases["tables read"] == (8, 7, 1) and phases["fragments"] == (7, None, None) and phases["tables"] == (6, None, None)
     assert {(r.doc_id, r.extracted, r.found) for r in out["coverage"].collect()} == {("a/one.json", 3, 3), ("b/one.json", 2, 2), ("a/bad.json", 2, 3), ("b/no.json", 0, 0)}
 
 

@@ -8,7 +8,7 @@ from pagespan import Adapter, StitchConfig, StitchError, Stitcher, extract_fragm
 from pagespan.operators import order
 from pagespan.plans.engine import stitch_snapshots
 from pagespan.schema import RAW_TABLES
-from pagespan.sources import export, foreign, snapshot
+from pagespan.sources import export, foreign, snapshot, store
 
 
 def cell(text, head=False, side=False):
@@ -112,8 +112,6 @@ def test_public_names():
 
 
 def test_shared_folder(spark, monkeypatch):
-    from pagespan.sources import store
-
     class Cluster:
         class sparkContext:
             master = "spark://host:7077"
@@ -140,7 +138,10 @@ def test_foreign_parser(spark, tmp_path):
                 continue
             yield {"idx": i, "grid": [line.split(",") for line in part.split("\n")], "prov": [{"page_no": i + 1, "bbox": None}], "heights": None, "content_before": None}
 
-    raw, errors = foreign.from_parser(spark, f"file://{tmp_path}/*.txt", parse)
+    with store.recorded() as log:
+        raw, errors = foreign.from_parser(spark, f"file://{tmp_path}/*.txt", parse)
+    assert [(x["phase"], x["rows"], x["extracted"], x["skipped"]) for x in log] == [("parsed", 8, 5, 3)]
+    assert {(r.doc_id, r.extracted, r.found, r.skipped) for r in foreign.coverage(raw, errors).collect()} == {("x.txt", 2, 2, 0), ("y.txt", 0, 0, 0), ("z.txt", 2, 3, 1), ("w.txt", 1, 1, 0)}
     assert sorted(((r.doc_id, r.idx, r.error) for r in errors.collect()), key=str) == [("w.txt", None, "ValueError: w.txt"), ("y.txt", None, "ValueError: y.txt"), ("z.txt", 1, "no grid")]
     out = merge_fragments(*extract_fragments(raw), StitchConfig(max_page_gap=3))
     # nothing is merged across the table that is missing
