@@ -17,6 +17,11 @@ latest response before it within (URL, time bucket), then over one summary row p
 URL and bucket. A URL with any share of the rows has at most as many rows in a
 task as a bucket has seconds, or as the log has buckets.
 
+From files: read_warc() gives records, captures_of_records() their capture log, in which only server-not-modified revisits
+are `revisit`; a revisit of profile identical-payload-digest is a full answer whose body was seen before, and
+resolve_identical() finds the record that has it: the one that it names, else the latest earlier response with that digest,
+under any URL. Record ids of files are 64-bit hashes of their WARC-Record-ID.
+
 Defined results: null ts, or null or other url without canonical form: outcome
 'no-response'; null headers are empty; kinds other than the two are left out; a
 response without record_id can't be referred to and is left out, a revisit without
@@ -134,13 +139,18 @@ def header_text(headers: Column) -> Column:
 
 # -- files -------------------------------------------------------------------
 
-_RECORD = "record_type string, url string, date string, status int, headers map<string,string>, body binary"
+_RECORD = "record_type string, url string, date string, status int, headers map<string,string>, body binary, warc_id string, profile string, refers_to string, payload_digest string"
+#: The fields of a record's own header that read_records() adds, in this order.
+_OWN = ("warc-record-id", "warc-profile", "warc-refers-to", "warc-payload-digest")
+# How the profiles of revisits end.
+NOT_MODIFIED, SAME_PAYLOAD = "/revisit/server-not-modified", "/revisit/identical-payload-digest"
 
 
-def write_record(kind: str, url: str, date: str, status: int, headers: dict[str, str], body: bytes) -> bytes:
-    """One gzip member with one WARC/1.1 record."""
+def write_record(kind: str, url: str, date: str, status: int, headers: dict[str, str], body: bytes, **own: str) -> bytes:
+    """One gzip member with one WARC/1.1 record. own: further fields of its header, `record_id` for WARC-Record-ID and so on."""
     http = (f"HTTP/1.1 {status} -\r\n" + "".join(f"{k}: {v}\r\n" for k, v in headers.items()) + "\r\n").encode() + body
-    head = f"WARC/1.1\r\nWARC-Type: {kind}\r\nWARC-Target-URI: {url}\r\nWARC-Date: {date}\r\nContent-Type: application/http; msgtype=response\r\nContent-Length: {len(http)}\r\n\r\n"
+    more = "".join(f"WARC-{'-'.join(x.upper() if x == 'id' else x.capitalize() for x in k.split('_'))}: {v}\r\n" for k, v in own.items())
+    head = f"WARC/1.1\r\nWARC-Type: {kind}\r\nWARC-Target-URI: {url}\r\nWARC-Date: {date}\r\n{more}Content-Type: application/http; msgtype=response\r\nContent-Length: {len(http)}\r\n\r\n"
     return gzip.compress(head.encode() + http + b"\r\n\r\n", mtime=0)
 
 
@@ -179,7 +189,7 @@ def read_records(data: bytes):
                 parts = first.split()
                 status = int(parts[1]) if len(parts) > 1 and parts[1].isascii() and parts[1].isdigit() else None
                 headers = _fields(rest)
-            yield head.get("warc-type"), head.get("warc-target-uri"), head.get("warc-date"), status, headers, body
+            yield head.get("warc-type"), head.get("warc-target-uri"), head.get("warc-date"), status, headers, body, *(head.get(k) for k in _OWN)
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
@@ -204,6 +214,36 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
 
 def _records(rows: list) -> pa.RecordBatch:
     cols = list(zip(*rows, strict=True))
-    types = [pa.string(), pa.string(), pa.string(), pa.int32(), pa.map_(pa.string(), pa.string()), pa.binary()]
+    types = [pa.string(), pa.string(), pa.string(), pa.int32(), pa.map_(pa.string(), pa.string()), pa.binary(), *[pa.string()] * 4]
     data = [list(c) if i != 4 else [list(h.items()) for h in c] for i, c in enumerate(cols)]
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(data, types, strict=True)], ["record_type", "url", "date", "status", "headers", "body"])
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(data, types, strict=True)], [x.split()[0] for x in _RECORD.split(", ")])
+
+
+def captures_of_records(records: DataFrame) -> DataFrame:
+    """read_warc() -> a capture log: record_id, url, kind, ts, headers, and warc_id, refers_to, payload_digest. kind: 'response' for
+    full answers, 'revisit' for not-modified ones (by profile, or without one by status 304), 'identical' for those whose body is
+    another record's; other records are left out. A date that can't be read is null."""
+    ends = lambda what: F.coalesce(F.col("profile").endswith(what), F.lit(False))
+    not_modified = F.coalesce(F.col("status") == 304, F.lit(False))
+    kind = F.when(F.col("record_type") == "response", F.when(not_modified, "revisit").otherwise("response"))
+    kind = kind.when(F.col("record_type") == "revisit", F.when(ends(SAME_PAYLOAD), "identical").when(ends(NOT_MODIFIED) | not_modified, "revisit"))
+    ts = F.unix_timestamp(F.try_to_timestamp("date"))
+    own = F.when(F.col("warc_id").isNotNull(), F.xxhash64("warc_id"))
+    return records.select(own.alias("record_id"), "url", kind.alias("kind"), ts.alias("ts"), "headers", "warc_id", "refers_to", "payload_digest").where("kind is not null")
+
+
+def resolve_identical(captures: DataFrame, bucket_seconds: int = 86_400) -> DataFrame:
+    """captures_of_records() -> record_id, canonical, response_id, outcome for every 'identical' record: 'identical' with the response
+    that has its payload, 'digest-mismatch' where the response that it names has another digest, 'no-response' without any. Its own
+    headers stand; only the body is the response's."""
+    c = captures.where("kind in ('response', 'identical')").withColumn("key", canonical_url(F.col("url")))
+    full = c.where("kind = 'response' and record_id is not null")
+    named = full.where("warc_id is not null").groupBy(F.col("warc_id").alias("name")).agg(F.max("record_id").alias("named_id"), F.max("payload_digest").alias("named_digest"))
+    by_digest = c.where("payload_digest is not null and ts is not null").select(F.col("payload_digest").alias("key"), "ts", "record_id", (F.col("kind") == "response").alias("full"))
+    found = latest_before(by_digest, bucket_seconds).where("found is not null").select(F.col("key").alias("digest"), F.col("ts").alias("at"), F.col("found.record_id").alias("found_id"))
+    got = c.where("kind = 'identical'").join(named, F.col("refers_to") == F.col("name"), "left")
+    got = got.join(found, (F.col("payload_digest") == F.col("digest")) & (F.col("ts") == F.col("at")), "left")
+    unlike = F.coalesce(F.col("named_digest") != F.col("payload_digest"), F.lit(False))
+    response = F.when(F.col("named_id").isNotNull(), F.col("named_id")).otherwise(F.col("found_id"))
+    outcome = F.when(F.col("named_id").isNotNull() & unlike, "digest-mismatch").when(response.isNull(), "no-response").otherwise("identical")
+    return got.select("record_id", F.col("key").alias("canonical"), F.when(outcome == "identical", response).alias("response_id"), outcome.alias("outcome"))

@@ -836,3 +836,37 @@ def test_warc_files(spark, tmp_path):
     (tmp_path / "empty.warc").write_bytes(b"")
     got = sorted(warc_revisits.read_warc(spark, f"file://{tmp_path}").collect(), key=lambda r: r.url)
     assert [(r.url, r.status, r.headers, bytes(r.body)) for r in got] == [(f"http://h/{i}", 200, {"etag": f'"{i}"'}, bytes([i]) * i) for i in range(5)]
+
+
+def test_warc_files_to_answers(spark, tmp_path):
+    day = lambda d, s=0: f"2024-01-{d:02}T00:00:{s:02}Z"
+    not_modified, same = ("http://netpreserve.org/warc/1.1" + x for x in (warc_revisits.NOT_MODIFIED, warc_revisits.SAME_PAYLOAD))
+    w = warc_revisits.write_record
+    tag = {"ETag": '"1"', "Content-Type": "text/html"}
+    records = [
+        w("response", "http://h/a", day(1), 200, tag, b"one", record_id="<r1>", payload_digest="sha1:A"),
+        w("response", "http://h/a?utm_source=x", day(5), 200, {"ETag": '"2"', "Server": "s"}, b"two", record_id="<r2>", payload_digest="sha1:B"),
+        w("revisit", "http://H/a", day(3), 304, {"ETag": 'W/"1"', "Cache-Control": "max-age=9"}, b"", record_id="<v1>", profile=not_modified),
+        w("revisit", "http://h/a", day(9), 304, {"ETag": '"1"'}, b"", record_id="<v2>"),
+        w("response", "http://h/a", day(10), 304, {"ETag": '"2"'}, b"", record_id="<v3>"),
+        w("revisit", "http://other/b", day(6), 200, {"ETag": '"9"'}, b"", record_id="<i1>", profile=same, payload_digest="sha1:B"),
+        w("revisit", "http://other/c", day(2), 200, {}, b"", record_id="<i2>", profile=same, payload_digest="sha1:B"),
+        w("revisit", "http://other/d", day(2), 200, {}, b"", record_id="<i3>", profile=same, payload_digest="sha1:A", refers_to="<r1>"),
+        w("revisit", "http://other/e", day(7), 200, {}, b"", record_id="<i4>", profile=same, payload_digest="sha1:A", refers_to="<r2>"),
+        w("revisit", "http://other/f", "no date", 200, {}, b"", record_id="<i5>", profile=same, payload_digest="sha1:A"),
+        w("request", "http://h/a", day(1), 200, {}, b"", record_id="<q>"), w("revisit", "http://h/z", day(1), 200, {}, b"", profile="http://x/other"),
+    ]
+    for i, name in enumerate(("a.warc.gz", "b.warc.gz")):
+        (tmp_path / name).write_bytes(b"".join(records[i::2]))
+    log = warc_revisits.captures_of_records(warc_revisits.read_warc(spark, f"file://{tmp_path}/*"))
+    name = {r.record_id: r.warc_id for r in log.collect()} | {None: None}
+    assert len(name) == 11 and {r.kind for r in log.collect()} == {"response", "revisit", "identical"} and log.where("warc_id = '<r1>'").first().ts == 1704067200
+    got = {name[r.record_id]: (name[r.response_id], r.outcome, r.headers) for r in warc_revisits.resolve_revisits(log).collect()}
+    assert got == {
+        "<v1>": ("<r1>", "resolved", {"etag": 'W/"1"', "content-type": "text/html", "cache-control": "max-age=9"}), "<v2>": ("<r2>", "etag-mismatch", None), "<v3>": ("<r2>", "resolved", {"etag": '"2"', "server": "s"}),
+    }
+    same_body = {name[r.record_id]: (r.canonical, name[r.response_id], r.outcome) for r in warc_revisits.resolve_identical(log).collect()}
+    assert same_body == {
+        "<i1>": ("other/b", "<r2>", "identical"), "<i2>": ("other/c", None, "no-response"), "<i3>": ("other/d", "<r1>", "identical"), "<i4>": ("other/e", None, "digest-mismatch"), "<i5>": ("other/f", None, "no-response"),
+    }
+    assert warc_revisits.resolve_identical(log.limit(0)).count() == 0
