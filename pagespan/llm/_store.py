@@ -144,33 +144,36 @@ def _filter(ids: DataFrame):
     return ids.sparkSession.sparkContext.broadcast((bits, table.tobytes()))
 
 
-def _passing(documents: DataFrame, shared, hits: bool) -> DataFrame:
-    """The rows whose doc_id the filter has (or hasn't); null isn't in it."""
+class Sieve:
+    """A filter over ids, as tasks use it: the rows of a batch whose doc_id it has (or hasn't); null isn't in it."""
 
-    def run(batches):
-        bits, raw = shared.value
+    def __init__(self, ids: DataFrame):
+        self.shared = _filter(written(ids.select("doc_id"), "ids"))
+
+    def rows(self, b: pa.RecordBatch, hits: bool) -> pa.RecordBatch:
+        bits, raw = self.shared.value
         t = np.frombuffer(raw, np.uint8)
-        for b in batches:
-            ids = b.column("doc_id").cast(pa.int64())
-            i, j = _id_hash(ids.fill_null(0).to_numpy(zero_copy_only=False), bits)
-            hit = ((t[i >> 3] >> (7 - (i & 7)) & 1) & (t[j >> 3] >> (7 - (j & 7)) & 1)).astype(bool)
-            hit &= ids.is_valid().to_numpy(zero_copy_only=False)
-            if (hit == hits).any():
-                yield b.filter(pa.array(hit == hits))
+        ids = b.column("doc_id").cast(pa.int64())
+        i, j = _id_hash(ids.fill_null(0).to_numpy(zero_copy_only=False), bits)
+        hit = ((t[i >> 3] >> (7 - (i & 7)) & 1) & (t[j >> 3] >> (7 - (j & 7)) & 1)).astype(bool)
+        hit &= ids.is_valid().to_numpy(zero_copy_only=False)
+        return b.filter(pa.array(hit == hits))
+
+    def of(self, documents: DataFrame, hits: bool, then=None, schema=None) -> DataFrame:
+        """The rows of documents that pass (or don't). then, with its schema: what the same worker makes of them."""
+        rows = self.rows
 
-    return documents.mapInArrow(run, documents.schema)
+        def run(batches):
+            own = (x for b in batches if (x := rows(b, hits)).num_rows)
+            yield from then(own) if then else own
+
+        return documents.mapInArrow(run, schema or documents.schema)
 
 
 def passing(documents: DataFrame, ids: DataFrame) -> DataFrame:
     """The rows of documents (bigint doc_id) whose doc_id is among the ids (one bigint column doc_id), and a few others. No row is
     shuffled."""
-    return _passing(documents, _filter(written(ids.select("doc_id"), "ids")), True)
-
-
-def split(documents: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(rows of documents that may have one of the ids, rows that have none). No row is shuffled."""
-    shared = _filter(written(ids.select("doc_id"), "ids"))
-    return _passing(documents, shared, True), _passing(documents, shared, False)
+    return Sieve(ids).of(documents, True)
 
 
 def texts_of(documents: DataFrame, ids: DataFrame) -> DataFrame:
@@ -181,8 +184,7 @@ def texts_of(documents: DataFrame, ids: DataFrame) -> DataFrame:
     """
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
     ids = written(ids.select("doc_id"), "ids")
-    kept = _passing(docs, _filter(ids), True)
-    return kept.join(ids, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
+    return passing(docs, ids).join(ids, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
 
 
 def one_text(docs: DataFrame) -> DataFrame:
@@ -199,9 +201,9 @@ def without(documents: DataFrame, ids: DataFrame) -> DataFrame:
     the others meet the ids in an exact join. Columns of any name pass through."""
     gone = fresh("gone", documents.columns)
     ids = written(ids.select(F.col("doc_id").alias(gone)).distinct(), "gone")
-    shared = _filter(ids.withColumnRenamed(gone, "doc_id"))
-    maybe = _passing(documents, shared, True)
-    return _passing(documents, shared, False).unionByName(maybe.join(ids, F.col("doc_id").cast("long") == F.col(gone), "left_anti"))
+    sieve = Sieve(ids.withColumnRenamed(gone, "doc_id"))
+    maybe = sieve.of(documents, True)
+    return sieve.of(documents, False).unionByName(maybe.join(ids, F.col("doc_id").cast("long") == F.col(gone), "left_anti"))
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagespan.llm._store import fresh, pieces, release, split, written
+from pagespan.llm._store import Sieve, fresh, pieces, release, written
 from pagespan.llm._text import U64, mix
 
 SHARD_KEYS = 200_000
@@ -303,7 +303,8 @@ def _cut(texts: bool):
         for b in pieces(batches):
             ids = b.column("doc_id").to_pylist()
             n_lines, n_dropped, sha, kept_text = [], [], [], []
-            for text, keys in zip(b.column("text").to_pylist(), b.column("keys").to_pylist(), strict=True):
+            keyed = b.column("keys").to_pylist() if "keys" in b.schema.names else [None] * b.num_rows
+            for text, keys in zip(b.column("text").to_pylist(), keyed, strict=True):
                 raw = (text or "").encode("utf-8", "surrogatepass")
                 lines = raw.split(b"\n")
                 kept = lines
@@ -332,9 +333,9 @@ def dedup_lines(documents: DataFrame, min_chars: int = 20, min_docs: int = 3, te
     lost = written(LineIndex(spark, min_chars, min_docs).insert(documents).drops(), "lost")
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     # texts that lose nothing aren't shuffled
-    some, none = split(docs, lost.select("doc_id").distinct())
-    some = some.withColumn("row", _row(F.col("text"))).join(lost, ["doc_id", "row"], "left").select("doc_id", "text", "keys")
-    return some.unionByName(none.withColumn("keys", F.lit(None).cast(some.schema["keys"].dataType))).mapInArrow(_cut(texts), _OUT)
+    sieve = Sieve(lost.select("doc_id").distinct())
+    some = sieve.of(docs, True).withColumn("row", _row(F.col("text"))).join(lost, ["doc_id", "row"], "left").select("doc_id", "text", "keys")
+    return some.mapInArrow(_cut(texts), _OUT).unionByName(sieve.of(docs, False, _cut(texts), _OUT))
 
 
 def dedup_documents(documents: DataFrame, min_chars: int = 20, min_docs: int = 3) -> DataFrame:
@@ -346,7 +347,8 @@ def dedup_documents(documents: DataFrame, min_chars: int = 20, min_docs: int = 3
     def run(batches):
         for b in pieces(batches):
             text, n = [], []
-            for t, keys in zip(b.column("text").to_pylist(), b.column(own_keys).to_pylist(), strict=True):
+            keyed = b.column(own_keys).to_pylist() if own_keys in b.schema.names else [None] * b.num_rows
+            for t, keys in zip(b.column("text").to_pylist(), keyed, strict=True):
                 if keys:
                     bad = {np.array([k["k1"], k["k2"]], np.int64).tobytes() for k in keys}
                     t = b"\n".join(x for x in t.encode("utf-8", "surrogatepass").split(b"\n") if key_hash(line_key(x)) not in bad).decode("utf-8", "surrogatepass")
@@ -358,8 +360,8 @@ def dedup_documents(documents: DataFrame, min_chars: int = 20, min_docs: int = 3
                 out = out.set_column(cols.index("n_chars"), "n_chars", pa.array(n, b.column("n_chars").type))
             yield out
 
-    some, none = split(documents, lost.select("doc_id").distinct())
+    sieve = Sieve(lost.select("doc_id").distinct())
     lost = lost.toDF(own_id, own_row, own_keys)
     same = (F.col("doc_id").cast("long") == F.col(own_id)) & (_row(F.col("text")) == F.col(own_row))
-    some = some.join(lost, same, "left").select(*cols, own_keys)
-    return some.unionByName(none.withColumn(own_keys, F.lit(None).cast(some.schema[own_keys].dataType))).mapInArrow(run, documents.schema)
+    some = sieve.of(documents, True).join(lost, same, "left").select(*cols, own_keys)
+    return some.mapInArrow(run, documents.schema).unionByName(sieve.of(documents, False, run, documents.schema))
