@@ -79,13 +79,9 @@ def signals(a: Column, b: Column, cfg: StitchConfig) -> Column:
     return F.struct(*[cols[n].alias(n) for n in names])
 
 
-def reason(a: Column, b: Column, cfg: StitchConfig) -> Column:
-    """The first rule that applies; later ones aren't evaluated."""
-    gap = b["start_page"] - a["start_page"]
-    wd = F.abs(a["width"] - b["width"])
-    layout = layout_continues(a, b, cfg)
-    header = text.jaccard(a["header_tokens"], b["header_tokens"])
-    rows = text.jaccard(a["first_row_tokens"], b["first_row_tokens"])
+def reason(a: Column, b: Column, said: Column, cfg: StitchConfig) -> Column:
+    """The first rule that applies, from the fragments and their signals."""
+    gap, wd, layout, header, rows = (said[c] for c in ("page_gap", "width_diff", "layout_continuation", "header_similarity", "row_similarity"))
     yes = lambda c: F.coalesce(c, F.lit(False))
     headerless, strict = yes(b["is_headerless"]), header >= F.lit(float(cfg.header_sim_strict))
     case = F.when((b["idx"] > a["idx"]) & any_missing(a, b), "unextracted_table_between").when(gap.isNull(), "missing_page")
@@ -120,8 +116,8 @@ def neighbours(fragments: DataFrame) -> DataFrame:
 def decide_pairs(fragments: DataFrame, cfg: StitchConfig) -> DataFrame:
     """doc_id, pass_no 1, seq, left_idx, right_idx, merged, reason, signals, warnings: a row per neighbouring pair."""
     a, b = F.col("a"), F.col("b")
-    p = neighbours(fragments).where("a is not null").withColumn("reason", reason(a, b, cfg))
-    p = p.select("doc_id", "seq", a["idx"].alias("left_idx"), b["idx"].alias("right_idx"), "reason", signals(a, b, cfg).alias("signals"))
+    p = neighbours(fragments).where("a is not null").withColumn("signals", signals(a, b, cfg))
+    p = p.select("doc_id", "seq", a["idx"].alias("left_idx"), b["idx"].alias("right_idx"), reason(a, b, F.col("signals"), cfg).alias("reason"), "signals")
     listed = missing_numbers(fragments, p.where("reason = 'unextracted_table_between'").select("doc_id", "seq", "left_idx", "right_idx"))
     said = F.concat(F.lit("tables "), F.array_join(F.col("missing").cast("array<string>"), ", "), F.lit(" lie between the two and were not read"))
     warned = F.when(F.col("missing").isNotNull(), F.array(said)).otherwise(F.array().cast("array<string>"))

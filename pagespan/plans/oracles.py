@@ -169,6 +169,9 @@ def oracle_sql() -> dict[str, str]:
             CASE WHEN rank > 0 THEN 0 ELSE 1 END AS refs, 'table ' || m.idx AS label
             FROM mem m JOIN hdr USING (c, li) JOIN wd USING (c, li) LEFT JOIN (SELECT c, idx, max(row_pos) + 1 AS height, count(*) AS n FROM page GROUP BY c, idx) g ON g.c = m.c AND g.idx = m.idx""",
         "document_shells": BUILT + f"""SELECT {_DOC}, max(n_members) = 1 AS unchanged, CAST(max(idx) + 1 AS INT) AS n_tables, '{{"list":[1,null,"x"],"n":1.5}}' AS origin FROM mem JOIN hdr USING (c, li) GROUP BY c""",
+        "document_html": _BACK + f""", tr AS (SELECT c, idx, row_pos, string_agg(CASE WHEN row_pos <= 1 OR (j = 0 AND side) THEN '<th>' || t || '</th>' ELSE '<td>' || t || '</td>' END, '' ORDER BY j) AS h FROM page GROUP BY c, idx, row_pos),
+            tb AS (SELECT c, idx, '<table>' || string_agg('<tr>' || h || '</tr>', '' ORDER BY row_pos) || '</table>' AS h FROM tr GROUP BY c, idx)
+            SELECT {_DOC}, '<html><body>' || string_agg(h, '' ORDER BY idx % 2 DESC, idx) || '</body></html>' AS html FROM tb GROUP BY c""",
         "snapshot_errors": BASE + f"""SELECT {_DOC}, CAST(g AS INT) AS idx, 'data.grid holds no rows but is of type bigint' AS error, CAST(n AS INT) AS extracted
             FROM (SELECT c, unnest(range(0, max(idx))) AS g, count(*) AS n FROM f GROUP BY c) z WHERE g NOT IN (SELECT idx FROM f x WHERE x.c = z.c)""",
         "span_grids": BASE + f""", rw AS (SELECT r.*, i + 2 AS row_pos FROM r)

@@ -11,7 +11,7 @@ from pagespan.operators import decide, document, inject, order, rebuild, spans
 from pagespan.plans import demo
 from pagespan.plans.engine import decide as decide_all
 from pagespan.plans.engine import extract_fragments, merge_fragments
-from pagespan.sources import snapshot
+from pagespan.sources import export, snapshot
 from pagespan.sources.store import written
 
 CFG = StitchConfig()
@@ -300,6 +300,11 @@ def document_shells(spark, sf_dir):
     return b.select("doc_id", (F.col("old") == F.col("new")).alias("unchanged"), F.size(snapshot.field(F.col("doc"), "$.tables", "array<variant>")).alias("n_tables"), F.to_json(snapshot.field(F.col("doc"), "$.origin")).alias("origin"))
 
 
+def document_html(spark, sf_dir):
+    """The documents that come back, whole, as HTML."""
+    return export.documents_html(_documents(spark, sf_dir)[1])
+
+
 def snapshot_errors(spark, sf_dir):
     """The malformed tables of the demo documents, with their cause; the others of the same documents are read."""
     docs = snapshot.from_json_text(demo.demo_documents(spark, sf_dir))
@@ -335,6 +340,6 @@ def queries() -> dict:
         logical_tables, tokens_documents, tokens_headers, jaccard_pairs, pair_signals, pair_decisions, pair_decisions_same_width, decision_counts, missing_index_guard, spillover_pairs, spillover_pairs_by_content, layout_pairs, unique_token_pairs, orphan_edges,
         components, logical_columns, merged_rows_preserve, merged_rows_warn_drop, merged_rows_merge_tail, overflow_warnings, trace_attachment, overflow_fail_check, orphan_tables, cell_shapes, clean_headers, numeric_colnames,
         headerless_flags, fragment_pages, header_orphans, header_contrast, content_before, running_furniture, reading_order, passthrough_cells, anchor_grid, prov_merge, satellite_clear, pruned_refs, run_metrics,
-        stitched_documents, document_tables, document_shells, snapshot_errors, span_grids, span_tables, phase_rows,
+        stitched_documents, document_tables, document_shells, document_html, snapshot_errors, span_grids, span_tables, phase_rows,
     )
     return {f.__name__: f for f in own}

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pagespan import Stitcher, extract_fragments, merge_fragments
 from pagespan.operators import document, spans
 from pagespan.plans.engine import stitch_snapshots
-from pagespan.sources import foreign, sink, snapshot
+from pagespan.sources import export, foreign, sink, snapshot
 from pagespan.sources.snapshot import SnapshotAdapter
 
 
@@ -186,3 +186,12 @@ def test_sink_has_no_doubles_of_retried_tasks(tmp_path):
     """
     out = subprocess.run([sys.executable, "-c", textwrap.dedent(code)], capture_output=True, text=True, timeout=300)
     assert "ROWS 1000 1000" in out.stdout, out.stderr[-2000:]
+
+
+def test_html_of_whole_documents(spark):
+    grid = [[cell("A & B", True, col_span=2, start_row_offset_idx=0, start_col_offset_idx=0), cell("A & B", True, col_span=2, start_row_offset_idx=0, start_col_offset_idx=0)], [cell("<x>", side=True), None]]
+    d = {"tables": [{"data": {"grid": grid}}, {"data": {"grid": []}}, 5], "texts": [{"label": "Title", "text": "T"}, {"label": "section_header", "text": 'q "r"'}, {"label": "text"}], "groups": [{"children": [{"cref": "#/tables/0"}]}], "body": {"children": [{"cref": f"#/{x}"} for x in ("texts/0", "groups/0", "texts/2", "tables/2", "texts/1")]}}
+    docs = snapshot.from_json_text(spark.createDataFrame([("d", json.dumps(d)), ("e", "{"), ("f", None)], "doc_id string, value string"))
+    table = '<table><tr><th colspan="2">A &amp; B</th></tr><tr><th>&lt;x&gt;</th><td></td></tr></table>'
+    assert dict(map(tuple, export.documents_html(docs).collect())) == {"d": f"<html><body><h1>T</h1>{table}<p></p><h2>q &quot;r&quot;</h2></body></html>", "e": "<html><body></body></html>", "f": "<html><body></body></html>"}
+    assert json.loads(dict(map(tuple, export.documents_json(docs).collect()))["d"]) == d
