@@ -195,3 +195,10 @@ def test_html_of_whole_documents(spark):
     table = '<table><tr><th colspan="2">A &amp; B</th></tr><tr><th>&lt;x&gt;</th><td></td></tr></table>'
     assert dict(map(tuple, export.documents_html(docs).collect())) == {"d": f"<html><body><h1>T</h1>{table}<p></p><h2>q &quot;r&quot;</h2></body></html>", "e": "<html><body></body></html>", "f": "<html><body></body></html>"}
     assert json.loads(dict(map(tuple, export.documents_json(docs).collect()))["d"]) == d
+
+
+def test_sink_of_whole_documents(spark, tmp_path):
+    docs = read(spark, tmp_path, {"a/none.json": NONE})
+    sink.publish({"documents": docs, "errors": snapshot.extract_errors(docs)}, f"file://{tmp_path}/out")
+    got = sink.published(spark, f"file://{tmp_path}/out")
+    assert back(got["documents"]) == {"a/none.json": NONE} and got["errors"].count() == 0
