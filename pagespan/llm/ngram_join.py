@@ -20,7 +20,11 @@ candidate's shared token must also stand early enough in both texts for enough
 tokens to follow it (positional filter): in the text with the smaller set it
 must leave room for a set as large as its own, so a token that stands late
 everywhere (a passage that many documents close with) makes no pair at all, and
-sets meet only within their size bands. A class with very many candidates is
+sets meet only within their size bands. Each class also carries 512 bits, each the
+parity of how many of its tokens fall on it. Every bit in which two classes
+differ is a token that only one of them has, so pairs that differ in too many
+bits can't link and are never made: members of a large group of texts that are
+alike, but not enough, part here, inside the join. A class with very many candidates is
 compared by several tasks, its set being sent once to each.
 
 Defined results: null or empty text, or text of white space: no shingles, linked
@@ -46,7 +50,9 @@ ROUNDS = 1
 PARTNERS = 3
 #: Candidates of a class that one task compares.
 HUB_PAIRS = 200
-_SUMMARY = "doc_id long, n int, cid long, text_hash long, " + COUNTER_SCHEMA
+#: Columns of 64 parity bits each.
+BITS = [f"bits{i}" for i in range(8)]
+_SUMMARY = "doc_id long, n int, cid long, " + ", ".join(f"{c} long" for c in BITS) + ", " + COUNTER_SCHEMA
 
 
 def _class_id(s: np.ndarray) -> int:
@@ -59,6 +65,22 @@ def _class_id(s: np.ndarray) -> int:
     return int(mix(np.array([x ^ U64(len(s))], U64), 17).view(np.int64)[0])
 
 
+def parities(s: np.ndarray) -> np.ndarray:
+    """One bit per place: whether an odd number of the set's tokens falls there."""
+    m = 64 * len(BITS)
+    count = np.zeros(m, np.int64)
+    for part in slices(len(s)):
+        count += np.bincount((s[part] & U64(m - 1)).astype(np.int64), minlength=m)
+    return np.packbits((count & 1).astype(np.uint8)).view(np.int64)
+
+
+def _may_link(a: str, b: str, percent: int):
+    """Whether the parities leave room for a link: sets of n and m tokens that link differ in (100 - percent) / (100 + percent)
+    * (n + m) tokens at most, and parities in no more places than sets."""
+    apart = sum((F.bit_count(F.col(c + a).bitwiseXOR(F.col(c + b))) for c in BITS[1:]), start=F.bit_count(F.col(BITS[0] + a).bitwiseXOR(F.col(BITS[0] + b))))
+    return apart * (100 + percent) <= (F.col("n" + a) + F.col("n" + b)) * (100 - percent)
+
+
 def prefix_length(n: int, percent: int) -> int:
     return n - (percent * n + 99) // 100 + 1
 
@@ -85,6 +107,8 @@ def reach(n: np.ndarray, pos: np.ndarray, percent: int) -> np.ndarray:
 
 
 def _summaries(k: int):
+    names = [x.split()[0] for x in _SUMMARY.split(", ")]
+
     def run(batches):
         counter = Counter()
         for b in batches:
@@ -94,23 +118,23 @@ def _summaries(k: int):
                 del w
                 for s in sets:
                     counter.add(s)
+                bits = np.stack([parities(s) for s in sets], axis=1)
+                m = hi - lo
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(ids[lo:hi], pa.int64()),
                         pa.array([len(s) for s in sets], pa.int32()),
                         pa.array([_class_id(s) for s in sets], pa.int64()),
-                        pa.nulls(hi - lo, pa.int64()),
-                        pa.nulls(hi - lo, pa.int32()),
-                        pa.nulls(hi - lo, pa.binary()),
+                        *(pa.array(x) for x in bits),
+                        pa.nulls(m, pa.int32()),
+                        pa.nulls(m, pa.binary()),
                     ],
-                    ["doc_id", "n", "cid", "text_hash", "block", "counts"],
+                    names,
                 )
         rows = counter.rows()
         m = len(rows)
-        yield pa.RecordBatch.from_arrays(
-            [pa.nulls(m, pa.int64()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())],
-            ["doc_id", "n", "cid", "text_hash", "block", "counts"],
-        )
+        none = [pa.nulls(m, pa.int64()), pa.nulls(m, pa.int32()), *(pa.nulls(m, pa.int64()) for _ in ["cid", *BITS])]
+        yield pa.RecordBatch.from_arrays([*none, pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names)
 
     return run
 
@@ -242,11 +266,12 @@ def _meeting(tagged: DataFrame, percent: int) -> DataFrame:
     """All candidate pairs (a, b) of classes of different components. The smaller set's token must leave room for a set of its
     own size (n <= reach), which few tokens of a hot group do; the larger one's is then sought in the bands up to its reach."""
     wide = F.floor(F.log(F.lit(100.0 / percent)) / F.log(F.lit(1.25))).cast("int") + 2
-    small = tagged.where("n <= reach").select("token", F.col("comp").alias("ca"), F.col("cid").alias("a"), F.col("n").alias("na"), F.col("reach").alias("ra"), F.explode(F.sequence(_band(F.col("n")), _band(F.col("n")) + wide)).alias("band"))
-    large = tagged.select("token", F.col("comp").alias("cb"), F.col("cid").alias("b"), F.col("n").alias("nb"), F.col("reach").alias("rb"), _band(F.col("n")).alias("band"))
-    small = small.where(F.col("band") <= _band(F.col("ra")))
-    met = small.join(large, ["token", "band"]).where("ca <> cb and na <= nb and nb <= ra and na <= rb")
-    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    side = lambda e: [F.col(c).alias(c + e) for c in ("comp", "cid", "n", "reach", *BITS)]
+    small = tagged.where("n <= reach").select("token", *side("a"), F.explode(F.sequence(_band(F.col("n")), _band(F.col("n")) + wide)).alias("band"))
+    large = tagged.select("token", *side("b"), _band(F.col("n")).alias("band"))
+    small = small.where(F.col("band") <= _band(F.col("reacha")))
+    met = small.join(large, ["token", "band"]).where("compa <> compb and na <= nb and nb <= reacha and na <= reachb").where(_may_link("a", "b", percent))
+    return met.select(F.least("cida", "cidb").alias("a"), F.greatest("cida", "cidb").alias("b")).distinct()
 
 
 def ngram_jaccard_join(documents: DataFrame, k: int = 5, percent: int = 80) -> dict[str, DataFrame]:
@@ -264,15 +289,15 @@ def ngram_jaccard_join(documents: DataFrame, k: int = 5, percent: int = 80) -> d
     rank = np.minimum(np.ceil(np.log2(counts + 1)), 63).astype(np.uint8)
     ranks = spark.sparkContext.broadcast(rank.tobytes())  # 4 MB, fixed
 
-    rows = first.where("doc_id is not null").groupBy("doc_id").agg(F.min(F.struct("n", "cid")).alias("m"), F.count(F.lit(1)).alias("c"))
+    rows = first.where("doc_id is not null").groupBy("doc_id").agg(F.min(F.struct("n", "cid", *BITS)).alias("m"), F.count(F.lit(1)).alias("c"))
     repeated = rows.where("c > 1").select("doc_id")
     if repeated.head(1):
         # the smallest text of a repeated doc_id counts, as in texts_of
-        again = texts_of(docs, repeated).mapInArrow(_summaries(k), _SUMMARY).where("doc_id is not null").select("doc_id", F.struct("n", "cid").alias("m2"))
+        again = texts_of(docs, repeated).mapInArrow(_summaries(k), _SUMMARY).where("doc_id is not null").select("doc_id", F.struct("n", "cid", *BITS).alias("m2"))
         rows = rows.join(again, "doc_id", "left").select("doc_id", F.coalesce("m2", "m").alias("m"))
         docs = texts_of(docs, rows.select("doc_id"))
-    member = written(rows.select("doc_id", F.col("m.n").alias("n"), F.col("m.cid").alias("cid")), "members")
-    reps = written(member.where("n > 0").groupBy("cid").agg(F.min("doc_id").alias("class_id")), "classes")
+    member = written(rows.select("doc_id", F.col("m.n").alias("n"), F.col("m.cid").alias("cid"), *[F.col(f"m.{c}").alias(c) for c in BITS]), "members")
+    reps = written(member.where("n > 0").groupBy("cid").agg(F.min("doc_id").alias("class_id"), *[F.min(c).alias(c) for c in ["n", *BITS]]), "classes")
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     sorted_ = docs.mapInArrow(_postings(k, percent, ranks), "token long, cid long, n int, reach int").repartition(parts, "token").sortWithinPartitions("token", (-F.col("reach") / F.col("n")), "cid")
@@ -280,10 +305,8 @@ def ngram_jaccard_join(documents: DataFrame, k: int = 5, percent: int = 80) -> d
 
     def check(pairs: DataFrame) -> DataFrame:
         """pairs (a, b) of classes -> (a, b) of class ids that link."""
-        named = written(
-            pairs.join(reps.select(F.col("cid").alias("a"), F.col("class_id").alias("da")), "a").join(reps.select(F.col("cid").alias("b"), F.col("class_id").alias("db")), "b").select("da", "db"),
-            "pairs",
-        )
+        end = lambda e: reps.select(F.col("cid").alias(e), F.col("class_id").alias(f"d{e}"), *[F.col(c).alias(c + e) for c in ("n", *BITS)])
+        named = written(pairs.join(end("a"), "a").join(end("b"), "b").where(_may_link("a", "b", percent)).select("da", "db"), "pairs")
         # docs has one row per doc_id; the few that only the filter lets through meet no pair below
         text = written(passing(docs, named.select(F.col("da").alias("doc_id")).union(named.select("db")).distinct()).select("doc_id", F.coalesce("text", F.lit("")).alias("text")), "texts")
         orders = [f"p{o}" for o in range(1, ORDERS)]
@@ -307,16 +330,17 @@ def ngram_jaccard_join(documents: DataFrame, k: int = 5, percent: int = 80) -> d
 
     links = checked = None
     for turn in range(ROUNDS + 1):
-        tagged = coll.select("token", "cid", "n", "reach")
-        if links is None:
-            tagged = tagged.withColumn("comp", F.col("cid"))
+        if turn < ROUNDS:
+            pairs = _neighbours(coll).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         else:
-            found = written(components(links), "groups")
-            cls = reps.join(found, reps.class_id == found.id, "left").select("cid", F.coalesce("root", "class_id").alias("comp"))
-            tagged = tagged.join(cls, "cid")
+            cls = reps.select("cid", F.col("class_id").alias("comp"), *BITS)
+            if links is not None:
+                found = written(components(links), "groups")
+                cls = reps.join(found, reps.class_id == found.id, "left").select("cid", F.coalesce("root", "class_id").alias("comp"), *BITS)
+            tagged = coll.select("token", "cid", "n", "reach").join(cls, "cid")
             mixed = tagged.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token")
             tagged = written(tagged.join(mixed, "token", "left_semi"), "tagged")
-        pairs = _neighbours(coll).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct() if turn < ROUNDS else _meeting(tagged, percent)
+            pairs = _meeting(tagged, percent)
         if checked is not None:
             pairs = pairs.join(checked, ["a", "b"], "left_anti")  # compared before, and not linked
         pairs = written(pairs, "pairs")

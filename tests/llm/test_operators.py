@@ -124,6 +124,47 @@ def test_ngram_join_large_group_of_near_copies(spark, rounds, hub_pairs, monkeyp
     assert {i: x.component_id for i, x in got.items()} == root
 
 
+def test_ngram_join_parities_pass_every_link(spark):
+    r = np.random.default_rng(5)
+    rows, apart = [], []
+    for i in range(300):
+        n = int(r.choice([1, 2, 9, 10, 50, 146, 400, 3000]))
+        x = np.unique(r.integers(0, 2**63, n).astype(np.uint64))
+        y = np.unique(np.concatenate([x[r.random(len(x)) > 0.3 * r.random()], r.integers(0, 2**63, int(r.integers(0, n // 8 + 2))).astype(np.uint64)]))
+        both = len(np.intersect1d(x, y))
+        apart.append(100 * both >= 80 * (len(x) + len(y) - both))
+        rows.append((i, len(x), len(y), *ngram_join.parities(x).tolist(), *ngram_join.parities(y).tolist()))
+    names = ["i long", "na int", "nb int"] + [f"{c}{e} long" for e in "ab" for c in ngram_join.BITS]
+    passed = {x.i for x in spark.createDataFrame(rows, ", ".join(names)).where(ngram_join._may_link("a", "b", 80)).collect()}
+    assert 30 < sum(apart) < 270
+    assert {i for i, linked in enumerate(apart) if linked} <= passed
+
+
+def test_ngram_join_of_texts_that_are_not_alike_enough_makes_few_pairs(spark, monkeypatch):
+    base = prose(150, 3).split(" ")
+    r = np.random.default_rng(4)
+    t = []
+    for i in range(120):
+        w = list(base)
+        for at in r.choice(150, 6, replace=False):
+            w[at] = f"x{i}y{at}"
+        t.append((i, " ".join(w)))
+    made = []
+    meeting = ngram_join._meeting
+    monkeypatch.setattr(ngram_join, "_meeting", lambda *x: made.append(meeting(*x)) or made[-1])
+    sets = [shingle_set(x) for _, x in t]
+    links = sum(100 * len(a & b) >= 80 * len(a | b) for i, a in enumerate(sets) for b in sets[:i])
+    got = ngram_join.near_duplicate_components(spark.createDataFrame(t, "doc_id long, text string"))
+    root = list(range(len(t)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if 100 * len(a & sets[j]) >= 80 * len(a | sets[j]):
+                x, y = sorted((root[i], root[j]))
+                root = [x if v == y else v for v in root]
+    assert {x.doc_id: x.component_id for x in got.collect()} == dict(enumerate(root))
+    assert made[-1].count() <= links + 120 * 119 // 2 // 20  # of all pairs, which share prefix tokens, few are made
+
+
 def dedup_brute(texts):
     hold = defaultdict(set)
     key = lambda x: line_dedup.line_key(x.encode()).decode()
