@@ -114,14 +114,21 @@ def neighbours(fragments: DataFrame) -> DataFrame:
 
 
 def decide_pairs(fragments: DataFrame, cfg: StitchConfig) -> DataFrame:
-    """doc_id, pass_no 1, seq, left_idx, right_idx, merged, reason, signals, warnings: a row per neighbouring pair."""
+    """doc_id, pass_no 1, seq, left_idx, right_idx, merged, reason, signals, warnings: a row per neighbouring pair. All numbers
+    between two that are next to each other by place are missing; only other pairs with gaps, found by numbers and pages alone,
+    meet the document's, so pairs are decided once and don't move for their warnings."""
     a, b = F.col("a"), F.col("b")
+    behind = (b["idx"] > a["idx"]) & any_missing(a, b)
+    bare = neighbours(fragments.select("doc_id", "idx", "start_page")).where("a is not null").where(behind & (b["place"] - a["place"] != 1))
+    far = written(bare.select("doc_id", "seq", a["idx"].alias("left_idx"), b["idx"].alias("right_idx")), "far")
     p = neighbours(fragments).where("a is not null").withColumn("signals", signals(a, b, cfg))
-    p = p.select("doc_id", "seq", a["idx"].alias("left_idx"), b["idx"].alias("right_idx"), reason(a, b, F.col("signals"), cfg).alias("reason"), "signals")
-    listed = missing_numbers(fragments, p.where("reason = 'unextracted_table_between'").select("doc_id", "seq", "left_idx", "right_idx"))
-    said = F.concat(F.lit("tables "), F.array_join(F.col("missing").cast("array<string>"), ", "), F.lit(" lie between the two and were not read"))
-    warned = F.when(F.col("missing").isNotNull(), F.array(said)).otherwise(F.array().cast("array<string>"))
-    return p.join(listed, ["doc_id", "seq"], "left").select("doc_id", F.lit(1).alias("pass_no"), "seq", "left_idx", "right_idx", F.col("reason").isin(*MERGING).alias("merged"), "reason", "signals", warned.alias("warnings"))
+    near = F.when(behind & (b["place"] - a["place"] == 1), F.sequence(a["idx"] + 1, b["idx"] - 1))
+    p = p.select("doc_id", "seq", a["idx"].alias("left_idx"), b["idx"].alias("right_idx"), reason(a, b, F.col("signals"), cfg).alias("reason"), "signals", near.alias("near"))
+    if far.head(1):
+        p = p.join(written(missing_numbers(fragments, far), "gaps"), ["doc_id", "seq"], "left").withColumn("near", F.coalesce("near", "missing"))
+    said = F.concat(F.lit("tables "), F.array_join(F.col("near").cast("array<string>"), ", "), F.lit(" lie between the two and were not read"))
+    warned = F.when(F.col("near").isNotNull(), F.array(said)).otherwise(F.array().cast("array<string>"))
+    return p.select("doc_id", F.lit(1).alias("pass_no"), "seq", "left_idx", "right_idx", F.col("reason").isin(*MERGING).alias("merged"), "reason", "signals", warned.alias("warnings"))
 
 
 def islands(fragments: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -135,10 +142,11 @@ def islands(fragments: DataFrame, pairs: DataFrame) -> DataFrame:
 def orphan_edges(fragments: DataFrame, member: DataFrame, cfg: StitchConfig) -> DataFrame:
     """Candidate repairs: a header orphan and a data orphan up to max_page_gap pages later, in different islands. Both sides are
     filtered to orphans, and meet by page: a header orphan is sent to each page that it reaches."""
-    f = placed(fragments).join(member, ["doc_id", "idx"])
-    pages = fragments.where("start_page is not null").groupBy("doc_id", F.col("start_page").alias("page")).agg(F.min("pos").alias("page_pos"))
     keep = ["doc_id", "idx", "place", "pos", "start_page", "width", "vert_bottom", "vert_top", "is_headerless", "is_header_orphan", "is_data_orphan", "header_tokens", "first_row_tokens", "content_before", "island"]
-    side = lambda name, flag: f.where(f"{flag} and start_page is not null").select("doc_id", F.struct(*keep[1:]).alias(name))
+    some = fragments.where("(is_header_orphan or is_data_orphan) and start_page is not null").select([c for c in keep if c not in ("place", "island")])
+    f = written(some.join(placed(fragments.select("doc_id", "idx")), ["doc_id", "idx"]).join(member, ["doc_id", "idx"]).select(keep), "orphans")
+    pages = fragments.where("start_page is not null").groupBy("doc_id", F.col("start_page").alias("page")).agg(F.min("pos").alias("page_pos"))
+    side = lambda name, flag: f.where(flag).select("doc_id", F.struct(*keep[1:]).alias(name))
     a, b = F.col("a"), F.col("b")
     reached = side("a", "is_header_orphan").where(F.lit(cfg.max_page_gap >= 1)).withColumn("at", F.explode(F.sequence(a["start_page"] + 1, a["start_page"] + cfg.max_page_gap)))
     e = reached.join(side("b", "is_data_orphan").withColumn("at", b["start_page"]), ["doc_id", "at"]).drop("at")

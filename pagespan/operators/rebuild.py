@@ -50,7 +50,8 @@ def widened(columns: Column) -> Column:
 
 
 def members(fragments: DataFrame, grouped: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Fragments with logical_index, rank and is_spill."""
+    """What the rebuild needs of the fragments, with logical_index, rank and is_spill."""
+    fragments = fragments.select("doc_id", "idx", "start_page", "pages", "width", "columns", "row_count", "is_header_orphan", "continuation_content")
     spill = pairs.where("reason = 'spillover'").select("doc_id", F.col("right_idx").alias("idx"), F.lit(True).alias("is_spill"))
     return fragments.join(grouped, ["doc_id", "idx"]).join(spill, ["doc_id", "idx"], "left").withColumn("is_spill", F.coalesce("is_spill", F.lit(False)))
 
@@ -73,7 +74,9 @@ def plan(member: DataFrame, cfg: StitchConfig) -> DataFrame:
 def headers(planned: DataFrame, rows: DataFrame, cfg: StitchConfig) -> DataFrame:
     """doc_id, logical_index, build, columns (before cleaning), warnings, normal_pages."""
     first = rows.where("row_pos = 0").select("doc_id", "idx", F.col("cells").alias("first_row"))
-    p = planned.join(first, ["doc_id", "idx"], "left")
+    # only header members take their first row; the others move no rows
+    lead = planned.where("role = 'header'").join(first, ["doc_id", "idx"], "left")
+    p = planned.where("role <> 'header'").withColumn("first_row", F.lit(None).cast(_STRINGS)).unionByName(lead)
     one = F.struct("rank", "idx", "start_page", "width", "columns")
     g = p.groupBy(*KEY).agg(
         F.first("build").alias("build"), F.sort_array(F.collect_list(one)).alias("m"), F.max("width").alias("w"), F.flatten(F.collect_list("pages")).alias("pages"),

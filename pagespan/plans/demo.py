@@ -79,16 +79,18 @@ def demo_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _fragments(spark: SparkSession, sf_dir: str, more: str) -> DataFrame:
-    """FRAGMENTS_SQL with column names and `more`, an aggregate of the fragment's rows: one pass over the orders, which are dealt by
-    customer once."""
+    """FRAGMENTS_SQL with column names and `more` of the fragment's first row: one pass over the orders, which are dealt by customer
+    and sorted once. A page's rows follow each other, so its first row stands for the group and windows tell the rest."""
     _orders(spark, sf_dir)
     names = ", ".join(name_sql(j) for j in range(10))
-    own = FRAGMENTS_SQL.replace("AS n_rows,", f"AS n_rows, {more},", 1)
+    first = f"FROM (SELECT *, CAST(least(4, count(*) OVER (PARTITION BY c) - 4 * p) AS INT) AS n_rows, {more} FROM ({ROWS_SQL}) r) r WHERE i = 0"
+    kept = more.rsplit(" ", 1)[1]
+    own = FRAGMENTS_SQL.replace(f"FROM ({ROWS_SQL}) r GROUP BY c, p, w", first, 1).replace("CAST(count(*) AS INT) AS n_rows,", f"n_rows, {kept},", 1)
     return spark.sql(f"SELECT f.*, slice(array({names}), 1, w) AS columns FROM ({own}) f").withColumn("doc_id", F.concat(F.lit("c"), "c"))
 
 
 def demo_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = _fragments(spark, sf_dir, f"max(CASE WHEN i = 0 THEN {_cells_sql()} END) AS cells")
+    f = _fragments(spark, sf_dir, f"{_cells_sql()} AS cells")
     item = lambda i, v: F.struct(F.lit(i).alias("col_idx"), F.lit(v).alias("value"))
     return f.select(
         "doc_id", "idx", F.col("p").alias("pos"), F.col("page").alias("start_page"), F.when(F.col("page").isNull(), F.array().cast("array<int>")).otherwise(F.array("page")).alias("pages"), F.col("w").alias("width"), "columns",
@@ -101,7 +103,8 @@ def demo_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def demo_grids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw tables: the header row (if any) and the rows, with blank rows and boxes from the fragments."""
-    f = _fragments(spark, sf_dir, f"sort_array(collect_list(struct(i, {_cells_sql()} AS cells))).cells AS data")
+    after = "".join(f", lead({_cells_sql()}, {n}) OVER (PARTITION BY c ORDER BY k)" for n in (1, 2, 3))
+    f = _fragments(spark, sf_dir, f"array({_cells_sql()}{after}) AS data").withColumn("data", F.slice("data", 1, F.col("n_rows")))
     head = F.when(F.col("headerless"), F.array().cast("array<array<string>>")).otherwise(F.array("columns"))
     box = F.struct(F.lit(0.0).alias("l"), ((1 - F.col("top")) * 800).alias("t"), F.lit(1.0).alias("r"), ((1 - F.col("bottom")) * 800).alias("b"), F.lit("BOTTOMLEFT").alias("coord_origin"))
     prov = F.when(F.col("page").isNull(), F.array().cast("array<struct<page_no:int,bbox:struct<l:double,t:double,r:double,b:double,coord_origin:string>>>")).otherwise(F.array(F.struct(F.col("page").alias("page_no"), box.alias("bbox"))))
