@@ -29,8 +29,9 @@ def separate_class() -> str:
 
 
 def strip(x: Column) -> Column:
-    """Without white space of any kind at both ends."""
-    return F.regexp_replace(x, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
+    """Without white space of any kind at both ends. A text that begins and ends with a printed ASCII character needs no pattern."""
+    plain = F.ascii(x).between(33, 126) & F.ascii(F.right(x, F.lit(1))).between(33, 126)
+    return F.when(plain, x).otherwise(F.regexp_replace(x, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", ""))
 
 
 def rstrip(x: Column) -> Column:
@@ -87,7 +88,7 @@ def clean_header(x: Column) -> Column:
     s = strip(x)
     p = F.split(s, r"\.")
     twice = (F.size(p) == 2) & (normal_name(F.get(p, F.lit(0))) == normal_name(F.get(p, F.lit(1))))
-    return F.when(twice, strip(F.get(p, F.lit(0)))).otherwise(s)
+    return F.when(s.contains("."), F.when(twice, strip(F.get(p, F.lit(0)))).otherwise(s)).otherwise(s)
 
 
 def clean_grid_header(x: Column, position: Column) -> Column:

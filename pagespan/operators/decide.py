@@ -21,6 +21,13 @@ REFUSING = (
 REPAIRS = ("orphans", "orphans+layout")
 
 
+# What decisions read of a fragment.
+_COMPARED = (
+    "idx", "place", "start_page", "width", "row_count", "is_headerless", "is_header_orphan", "is_data_orphan", "header_tokens", "first_row_tokens", "vert_top", "vert_bottom",
+    "content_before", "first_cell",
+)
+
+
 def document_order() -> list[Column]:
     return [F.coalesce("start_page", F.lit(0)), F.col("idx")]
 
@@ -58,6 +65,7 @@ def missing_numbers(fragments: DataFrame, pairs: DataFrame) -> DataFrame:
     extracted, ascending. A document's gaps are numbered in order; those between two fragments are a run of these numbers, so a
     pair meets its own gaps only."""
     order = Window.partitionBy("doc_id").orderBy("idx")
+    fragments = fragments.join(pairs.select("doc_id").distinct(), "doc_id", "left_semi")
     f = fragments.select("doc_id", "idx", F.lag("idx").over(order).alias("lo"))
     f = f.withColumn("gap", F.sum(F.coalesce((F.col("idx") - F.col("lo") > 1).cast("int"), F.lit(0))).over(order))
     end = lambda side: f.select("doc_id", F.col("idx").alias(f"{side}_idx"), F.col("gap").alias(f"{side}_gap"))
@@ -105,12 +113,58 @@ def reason(a: Column, b: Column, said: Column, cfg: StitchConfig) -> Column:
     )
 
 
+def _neighbours(fragments: DataFrame, keep: list[str]) -> DataFrame:
+    """doc_id, page0, idx, keep, seq, a, b: each fragment (b) with its predecessor in document order (a), both placed. Only what
+    decisions read is in a and b. page0 and idx are the order, so later windows over it need no sort."""
+    order = Window.partitionBy("doc_id").orderBy("page0", "idx")
+    f = placed(fragments).withColumn("page0", F.coalesce("start_page", F.lit(0)))
+    f = f.select("doc_id", "page0", "idx", *keep, F.struct(*[c for c in f.columns if c in _COMPARED]).alias("b"))
+    return f.withColumns({"a": F.lag("b").over(order), "seq": F.row_number().over(order) - 1})
+
+
 def neighbours(fragments: DataFrame) -> DataFrame:
     """Each fragment (b) with its predecessor in document order (a), both placed."""
-    order = Window.partitionBy("doc_id").orderBy(*document_order())
-    f = placed(fragments)
-    f = f.select("doc_id", F.struct(*[c for c in f.columns if c != "doc_id"]).alias("b"), "start_page", "idx")
-    return f.withColumn("a", F.lag("b").over(order)).withColumn("seq", F.row_number().over(order) - 1).select("doc_id", "seq", "a", "b")
+    return _neighbours(fragments, []).select("doc_id", "seq", "a", "b")
+
+
+def _decided(fragments: DataFrame, cfg: StitchConfig, keep: list[str]) -> DataFrame:
+    """_neighbours() with left_idx, signals, reason, merged, near (the numbers missing between two that are next to each other by
+    place) and far (whether numbers are missing between others); a document's first fragment has no left_idx and no reason."""
+    a, b = F.col("a"), F.col("b")
+    missing, next_to = (b["idx"] > a["idx"]) & any_missing(a, b), b["place"] - a["place"] == 1
+    d = _neighbours(fragments, keep).withColumn("signals", F.when(a.isNotNull(), signals(a, b, cfg)))
+    d = d.withColumn("left_idx", a["idx"]).withColumn("reason", F.when(a.isNotNull(), reason(a, b, F.col("signals"), cfg)))
+    d = d.withColumn("merged", F.coalesce(F.col("reason").isin(*MERGING), F.lit(False)))
+    return d.withColumn("near", F.when(missing & next_to, F.sequence(a["idx"] + 1, b["idx"] - 1))).withColumn("far", F.coalesce(missing & ~next_to, F.lit(False)))
+
+
+def decisions(fragments: DataFrame, cfg: StitchConfig) -> DataFrame:
+    """A row per fragment: the decision on it and its predecessor, its island (runs of fragments that first-pass decisions join) and
+    what later steps need of the fragment, so that they don't meet the fragments again. Tokens stay with orphans only."""
+    orphan = F.col("is_header_orphan") | F.col("is_data_orphan")
+    d = _decided(fragments, cfg, ["pos", "start_page", "pages", "width", "columns", "row_count", "is_header_orphan", "is_data_orphan", "continuation_content"])
+    d = d.withColumn("island", F.sum(F.when(F.col("merged"), 0).otherwise(1)).over(Window.partitionBy("doc_id").orderBy("page0", "idx")).cast("int"))
+    own = [F.col(f"b.{c}").alias(c) for c in ("place", "is_headerless", "vert_top", "vert_bottom", "content_before")]
+    return d.select("*", *own, *[F.when(orphan, F.col(f"b.{c}")).alias(c) for c in ("header_tokens", "first_row_tokens")]).drop("a", "b")
+
+
+def missing_between(decided: DataFrame) -> DataFrame | None:
+    """doc_id, seq, missing of the pairs whose missing numbers stand elsewhere in the document; None where there are none."""
+    far = decided.where("far").select("doc_id", "seq", "left_idx", F.col("idx").alias("right_idx"))
+    return written(missing_numbers(decided.select("doc_id", "idx"), far), "gaps") if far.head(1) else None
+
+
+def told(decided: DataFrame, gaps: DataFrame | None) -> DataFrame:
+    """decided with its warnings."""
+    if gaps is not None:
+        decided = decided.join(gaps, ["doc_id", "seq"], "left").withColumn("near", F.coalesce("near", "missing")).drop("missing")
+    said = F.concat(F.lit("tables "), F.array_join(F.col("near").cast("array<string>"), ", "), F.lit(" lie between the two and were not read"))
+    return decided.withColumn("warnings", F.when(F.col("near").isNotNull(), F.array(said)).otherwise(F.array().cast("array<string>"))).drop("near")
+
+
+def pairs_of(told_: DataFrame) -> DataFrame:
+    p = told_.where("left_idx is not null")
+    return p.select("doc_id", F.lit(1).alias("pass_no"), "seq", "left_idx", F.col("idx").alias("right_idx"), "merged", "reason", "signals", "warnings")
 
 
 def decide_pairs(fragments: DataFrame, cfg: StitchConfig) -> DataFrame:
@@ -118,17 +172,11 @@ def decide_pairs(fragments: DataFrame, cfg: StitchConfig) -> DataFrame:
     between two that are next to each other by place are missing; only other pairs with gaps, found by numbers and pages alone,
     meet the document's, so pairs are decided once and don't move for their warnings."""
     a, b = F.col("a"), F.col("b")
-    behind = (b["idx"] > a["idx"]) & any_missing(a, b)
-    bare = neighbours(fragments.select("doc_id", "idx", "start_page")).where("a is not null").where(behind & (b["place"] - a["place"] != 1))
-    far = written(bare.select("doc_id", "seq", a["idx"].alias("left_idx"), b["idx"].alias("right_idx")), "far")
-    p = neighbours(fragments).where("a is not null").withColumn("signals", signals(a, b, cfg))
-    near = F.when(behind & (b["place"] - a["place"] == 1), F.sequence(a["idx"] + 1, b["idx"] - 1))
-    p = p.select("doc_id", "seq", a["idx"].alias("left_idx"), b["idx"].alias("right_idx"), reason(a, b, F.col("signals"), cfg).alias("reason"), "signals", near.alias("near"))
-    if far.head(1):
-        p = p.join(written(missing_numbers(fragments, far), "gaps"), ["doc_id", "seq"], "left").withColumn("near", F.coalesce("near", "missing"))
-    said = F.concat(F.lit("tables "), F.array_join(F.col("near").cast("array<string>"), ", "), F.lit(" lie between the two and were not read"))
-    warned = F.when(F.col("near").isNotNull(), F.array(said)).otherwise(F.array().cast("array<string>"))
-    return p.select("doc_id", F.lit(1).alias("pass_no"), "seq", "left_idx", "right_idx", F.col("reason").isin(*MERGING).alias("merged"), "reason", "signals", warned.alias("warnings"))
+    far = (b["idx"] > a["idx"]) & any_missing(a, b) & (b["place"] - a["place"] != 1)
+    bare = neighbours(fragments.select("doc_id", "idx", "start_page")).where("a is not null")
+    bare = written(bare.select("doc_id", "seq", a["idx"].alias("left_idx"), b["idx"].alias("idx"), far.alias("far")).where("far"), "far")
+    gaps = written(missing_numbers(fragments, bare.withColumnRenamed("idx", "right_idx")), "gaps") if bare.head(1) else None
+    return pairs_of(told(_decided(fragments, cfg, []), gaps))
 
 
 def islands(fragments: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -139,14 +187,26 @@ def islands(fragments: DataFrame, pairs: DataFrame) -> DataFrame:
     return f.select("doc_id", "idx", F.sum(F.when(F.col("joins"), 0).otherwise(1)).over(order).cast("int").alias("island"))
 
 
+_ORPHAN = ["doc_id", "idx", "place", "pos", "start_page", "width", "vert_bottom", "vert_top", "is_headerless", "is_header_orphan", "is_data_orphan", "header_tokens", "first_row_tokens", "content_before", "island"]
+
+
 def orphan_edges(fragments: DataFrame, member: DataFrame, cfg: StitchConfig) -> DataFrame:
     """Candidate repairs: a header orphan and a data orphan up to max_page_gap pages later, in different islands. Both sides are
     filtered to orphans, and meet by page: a header orphan is sent to each page that it reaches."""
-    keep = ["doc_id", "idx", "place", "pos", "start_page", "width", "vert_bottom", "vert_top", "is_headerless", "is_header_orphan", "is_data_orphan", "header_tokens", "first_row_tokens", "content_before", "island"]
-    some = fragments.where("(is_header_orphan or is_data_orphan) and start_page is not null").select([c for c in keep if c not in ("place", "island")])
-    f = written(some.join(placed(fragments.select("doc_id", "idx")), ["doc_id", "idx"]).join(member, ["doc_id", "idx"]).select(keep), "orphans")
+    orphan = "(is_header_orphan or is_data_orphan) and start_page is not null"
+    f = fragments.where(orphan).join(placed(fragments.select("doc_id", "idx")), ["doc_id", "idx"]).join(member, ["doc_id", "idx"])
+    return orphan_pairs(fragments, written(f.select(_ORPHAN), "orphans"), cfg)
+
+
+def orphan_edges_of(decided: DataFrame, cfg: StitchConfig) -> DataFrame:
+    """orphan_edges() of decisions()."""
+    return orphan_pairs(decided, decided.where("(is_header_orphan or is_data_orphan) and start_page is not null").select(_ORPHAN), cfg)
+
+
+def orphan_pairs(fragments: DataFrame, f: DataFrame, cfg: StitchConfig) -> DataFrame:
+    """The candidates among the orphans f, which are placed and know their island."""
     pages = fragments.where("start_page is not null").groupBy("doc_id", F.col("start_page").alias("page")).agg(F.min("pos").alias("page_pos"))
-    side = lambda name, flag: f.where(flag).select("doc_id", F.struct(*keep[1:]).alias(name))
+    side = lambda name, flag: f.where(flag).select("doc_id", F.struct(*_ORPHAN[1:]).alias(name))
     a, b = F.col("a"), F.col("b")
     reached = side("a", "is_header_orphan").where(F.lit(cfg.max_page_gap >= 1)).withColumn("at", F.explode(F.sequence(a["start_page"] + 1, a["start_page"] + cfg.max_page_gap)))
     e = reached.join(side("b", "is_data_orphan").withColumn("at", b["start_page"]), ["doc_id", "at"]).drop("at")
@@ -200,12 +260,30 @@ def repair(edges: DataFrame) -> DataFrame:
     return marked.join(least, ["doc_id", "left_island"]).select("doc_id", "seq", "left_idx", "right_idx", "left_island", "right_island", "taken", "root")
 
 
-def groups(fragments: DataFrame, member: DataFrame, repaired: DataFrame) -> DataFrame:
-    """doc_id, idx, logical_index, rank (place among the members, 0-based)."""
+def groups(told_: DataFrame, repaired: DataFrame, second: DataFrame, sizes: DataFrame | None = None, more_windows=None) -> DataFrame:
+    """told() with comp (the fragments of one comp are one table), rank (place among its members, 0-based), logical_index, trace (the
+    decision on the fragment and its predecessor, if both lie in one table) and more (second-pass decisions that attach it).
+
+    Documents are dealt once, and all windows are over documents or tables of theirs: order by page first, then by table. sizes
+    (doc_id, idx, ...) join by the way; more_windows gives columns over the order within a table, which share its pass."""
     ends = repaired.select("doc_id", F.col("left_island").alias("island"), "root").unionByName(repaired.select("doc_id", F.col("right_island").alias("island"), "root"))
     moved = ends.groupBy("doc_id", "island").agg(F.min("root").alias("root"))
-    f = fragments.select("doc_id", "idx", "pos", "start_page").join(member, ["doc_id", "idx"]).join(moved, ["doc_id", "island"], "left")
-    f = f.withColumn("comp", F.coalesce("root", "island")).withColumn("first", F.min("pos").over(Window.partitionBy("doc_id", "comp")))
+    one = F.struct("pass_no", "seq", "left_idx", "right_idx", "merged", "reason", "signals", "warnings")
+    more = second.groupBy("doc_id", F.col("right_idx").alias("idx")).agg(F.collect_list(one).alias("more"))
+    f = told_.repartition("doc_id").join(moved.repartition("doc_id"), ["doc_id", "island"], "left").join(more.repartition("doc_id"), ["doc_id", "idx"], "left")
+    if sizes is not None:
+        f = f.join(sizes.repartition("doc_id"), ["doc_id", "idx"], "left")
+    f = f.withColumn("comp", F.coalesce("root", "island")).withColumn("pass_no", F.lit(1)).withColumn("right_idx", F.col("idx"))
+    before = F.lag("comp").over(Window.partitionBy("doc_id").orderBy("page0", "idx"))
+    f = f.withColumn("trace", F.when(before == F.col("comp"), one))
+    order = Window.partitionBy("doc_id", "comp").orderBy("page0", "idx")
+    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    f = f.withColumn("is_spill", F.coalesce(F.col("reason") == "spillover", F.lit(False)))
+    f = f.withColumns({"rank": (F.row_number().over(order) - 1).cast("int"), "first": F.min("pos").over(whole)} | (more_windows(order) if more_windows else {}))
+    return f.drop("root", "pass_no", "right_idx", "signals", "warnings", "left_idx", "seq", "merged", "reason", "far", "island")
+
+
+def numbered(grouped: DataFrame) -> DataFrame:
+    """groups() with logical_index: tables by the place of their first member. Last, as it needs another order."""
     number = F.dense_rank().over(Window.partitionBy("doc_id").orderBy("first")) - 1
-    rank = F.row_number().over(Window.partitionBy("doc_id", "comp").orderBy(*document_order())) - 1
-    return f.select("doc_id", "idx", number.cast("int").alias("logical_index"), rank.cast("int").alias("rank"))
+    return grouped.withColumn("logical_index", number.cast("int")).drop("first")

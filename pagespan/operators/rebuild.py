@@ -3,8 +3,9 @@
 Fragments carry the decisions: where a fragment's rows begin in its table, what is
 appended to its last row, whether rows may fold. The rows join them once, by
 (doc_id, idx), and are numbered from there, so no window runs over the rows of a
-whole logical table, only over those of one fragment. Cells stay positional arrays;
-row_pos counts a fragment's rows from 0.
+whole logical table, only over those of one fragment, and over those only where a
+row can fold: a table whose rows all begin with a filled cell is numbered by sizes
+alone. Cells stay positional arrays; row_pos counts a fragment's rows from 0.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 
 from pagespan.config import StitchConfig
 from pagespan.functions import text
-from pagespan.sources.store import written
+from pagespan.sources.store import noted, written
 
 KEY = ["doc_id", "logical_index"]
 # Words of column names that take links; EXTRA and PLAIN begin the names of columns that a header lacks.
@@ -49,82 +50,99 @@ def widened(columns: Column) -> Column:
     return F.aggregate(F.slice(columns, 2, F.greatest(F.size(columns) - 1, F.lit(0))), F.get(columns, F.lit(0)), grow)
 
 
-def members(fragments: DataFrame, grouped: DataFrame, pairs: DataFrame) -> DataFrame:
-    """What the rebuild needs of the fragments, with logical_index, rank and is_spill."""
-    fragments = fragments.select("doc_id", "idx", "start_page", "pages", "width", "columns", "row_count", "is_header_orphan", "continuation_content")
-    spill = pairs.where("reason = 'spillover'").select("doc_id", F.col("right_idx").alias("idx"), F.lit(True).alias("is_spill"))
-    return fragments.join(grouped, ["doc_id", "idx"]).join(spill, ["doc_id", "idx"], "left").withColumn("is_spill", F.coalesce("is_spill", F.lit(False)))
-
-
-def plan(member: DataFrame, cfg: StitchConfig) -> DataFrame:
-    """Per normal member what its rows need: build ('orphan' or 'generic'), role ('header' or 'data'), width_then, and the
-    table's header_idx."""
-    m = member.where("not is_spill")
-    table = Window.partitionBy(*KEY)
-    upto = Window.partitionBy(*KEY).orderBy("rank")
-    m = m.withColumn("header_rank", F.min(F.when(F.col("is_header_orphan"), F.col("rank"))).over(table))
-    m = m.withColumn("build", F.when(F.col("header_rank").isNotNull(), "orphan").otherwise("generic"))
-    m = m.withColumn("role", F.when(F.col("rank") == F.col("header_rank"), "header").otherwise("data"))
-    m = m.withColumn("base_width", F.first("width").over(upto))
-    if cfg.width_overflow_policy == "preserve_extra":
-        return m.withColumn("width_then", F.max("width").over(upto))
-    return m.withColumn("width_then", F.col("base_width"))
-
-
-def headers(planned: DataFrame, rows: DataFrame, cfg: StitchConfig) -> DataFrame:
-    """doc_id, logical_index, build, columns (before cleaning), warnings, normal_pages."""
-    first = rows.where("row_pos = 0").select("doc_id", "idx", F.col("cells").alias("first_row"))
-    # only header members take their first row; the others move no rows
-    lead = planned.where("role = 'header'").join(first, ["doc_id", "idx"], "left")
-    p = planned.where("role <> 'header'").withColumn("first_row", F.lit(None).cast(_STRINGS)).unionByName(lead)
-    one = F.struct("rank", "idx", "start_page", "width", "columns")
-    g = p.groupBy(*KEY).agg(
-        F.first("build").alias("build"), F.sort_array(F.collect_list(one)).alias("m"), F.max("width").alias("w"), F.flatten(F.collect_list("pages")).alias("pages"),
-        F.max(F.when(F.col("role") == "header", F.coalesce("first_row", "columns"))).alias("label"), F.first("base_width").alias("base_width"),
-    )
+def sizes(rows: DataFrame) -> DataFrame:
+    """Per fragment: n_rows, last_pos, and whether a row begins with an empty cell (only such rows can fold)."""
+    blank = text.is_empty(F.get("cells", F.lit(0)))
+    return rows.groupBy("doc_id", "idx").agg(F.count(F.lit(1)).alias("n_rows"), F.max("row_pos").alias("last_pos"), F.max(blank).alias("blank"))
+
+
+def _normal() -> Column:
+    return ~F.col("is_spill")
+
+
+def _frames(order) -> tuple:
+    """(all of a table, up to a member, before it): frames of one order, so that Spark makes one pass for them."""
+    return order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing), order.rowsBetween(Window.unboundedPreceding, Window.currentRow), order.rowsBetween(Window.unboundedPreceding, -1)
+
+
+def beside_rank(order) -> dict[str, Column]:
+    """What plan() needs of a table's members, for decide.groups() to find with their ranks."""
+    whole, upto, before = _frames(order)
+    head = _normal() & F.col("is_header_orphan")
+    width = F.when(_normal(), F.col("width"))
+    return {"has_header": F.max(head).over(whole), "after_header": F.max(head).over(before), "base_width": F.first(width, ignorenulls=True).over(upto), "width_before": F.max(width).over(before)}
+
+
+def plan(grouped: DataFrame, cfg: StitchConfig) -> DataFrame:
+    """decide.groups() with what rows need per member: build ('orphan' or 'generic'), role ('header' or 'data'; spilling members have
+    none), base_width, items (overflow of cells that stood before its rows, for the last row of the member target_rank) and labels
+    (the same for the header of an orphan table). Of groups with sizes() also base (where a member's rows begin), and per table total
+    (rows), last_rank (last member with rows), blank (whether a row can fold) and odd (whether the rows of a member aren't numbered
+    0, 1, ...). All windows have the order of the groups, so nothing is sorted again."""
+    whole, _, before = _frames(Window.partitionBy("doc_id", "comp").orderBy("page0", "idx"))
+    header = _normal() & F.col("is_header_orphan") & ~F.coalesce("after_header", F.lit(False))
+    m = grouped.withColumn("build", F.when(F.coalesce("has_header", F.lit(False)), "orphan").otherwise("generic"))
+    m = m.withColumn("role", F.when(_normal(), F.when(F.coalesce(header, F.lit(False)), "header").otherwise("data")))
+    data = F.coalesce(F.col("role") == "data", F.lit(False))
+    # width before the member itself was added
+    w = F.coalesce("width_before", "base_width") if cfg.width_overflow_policy == "preserve_extra" else F.col("base_width")
+    over = {"target_rank": F.last(F.when(data & (F.col("row_count") > 0), F.col("rank")), ignorenulls=True).over(before), "prev": F.last(F.when(data, F.struct("pages", "is_header_orphan")), ignorenulls=True).over(before)}
+    if "n_rows" in grouped.columns:
+        here = data & F.col("n_rows").isNotNull()
+        over |= {"base": F.coalesce(F.sum(F.when(here, F.col("last_pos") + 1)).over(before), F.lit(0)), "total": F.sum(F.when(here, F.col("n_rows"))).over(whole), "last_rank": F.max(F.when(here, F.col("rank"))).over(whole)}
+        over |= {"odd": F.max(F.when(here, F.col("last_pos") + 1 != F.col("n_rows"))).over(whole), "blank": F.max(F.when(here, F.col("blank"))).over(whole)}
+    m = m.withColumns(over)
+    lo, hi = F.coalesce(F.array_min("pages"), F.lit(0)), F.coalesce(F.array_max("prev.pages"), F.lit(0))
+    has, orphan = data & (F.size("continuation_content") > 0), F.col("build") == "orphan"
+    near = orphan | (F.col("prev").isNotNull() & (lo - hi <= cfg.max_page_gap))
+    items = F.when(orphan, F.col("continuation_content")).otherwise(F.filter("continuation_content", lambda x: x["col_idx"] < w))
+    from_header = F.when(F.col("prev").isNull(), F.lit(True)).otherwise(F.col("prev.is_header_orphan"))
+    m = m.withColumns({
+        "items": F.when(has & near & F.col("target_rank").isNotNull(), items),
+        "labels": F.when(has & orphan & F.col("target_rank").isNull() & from_header, F.col("continuation_content")),
+    })
+    return m.drop("prev", "width_before", "has_header", "after_header", "continuation_content")
+
+
+def overflowing(planned: DataFrame) -> DataFrame:
+    """Members that policy 'fail' refuses: wider than their table."""
+    return planned.where("role is not null and build = 'generic' and width > base_width")
+
+
+def headers(member: DataFrame, lead: DataFrame, spill: DataFrame, cfg: StitchConfig) -> DataFrame:
+    """A row per logical table, all of its members met once: members, pages, columns (before cleaning), traces, build_warnings, and
+    what its rows need: w (its width), url_col, spills, may_fold, plain (no row folds, and sizes number the rows)."""
+    normal = _normal()
+    g = member.groupBy(*KEY).agg(
+        F.first("build").alias("build"), F.sort_array(F.collect_list(F.when(normal, F.struct("rank", "idx", "start_page", "width", "columns")))).alias("m"), F.sort_array(F.collect_list(F.struct("rank", "idx"))).alias("who"),
+        F.flatten(F.collect_list(F.when(normal, F.col("pages")))).alias("pages"), F.max(F.when(F.col("role") == "header", F.col("columns"))).alias("label"),
+        F.sort_array(F.collect_list(F.when(F.col("labels").isNotNull(), F.struct("rank", F.col("labels").alias("items"))))).alias("labels"), F.sort_array(F.concat(F.collect_list("trace"), F.flatten(F.collect_list("more")))).alias("traces"),
+        F.first("total").alias("total"), F.max("blank").alias("blank"), F.max("odd").alias("odd"),
+    ).join(lead, KEY, "left").join(spill, KEY, "left")
+    g = g.withColumn("label", F.coalesce("first_row", "label"))
     cols = F.transform("m", lambda x: x["columns"])
-    label = F.col("label")
+    label, alone = F.col("label"), F.size("m") == 1
     full = F.greatest(F.size(label), F.array_max(F.transform("m", lambda x: x["width"])))
     orphan = F.concat(F.transform(label, lambda c: F.coalesce(c, F.lit(""))), F.when(full > F.size(label), F.transform(F.sequence(F.size(label), full - 1), lambda k: F.concat(F.lit(PLAIN), k.cast("string")))).otherwise(_none()))
-    generic = widened(cols) if cfg.width_overflow_policy == "preserve_extra" else F.get(cols, F.lit(0))
+    own = F.get("m", F.lit(0))["columns"]
+    generic = F.when(alone, own).otherwise(widened(cols)) if cfg.width_overflow_policy == "preserve_extra" else own
     warned = _none()
     if cfg.width_overflow_policy == "warn_drop":
-        w = F.size(F.get(cols, F.lit(0)))
+        w = F.size(own)
         wide = F.filter("m", lambda x: x["width"] > w)
         warned = F.transform(wide, lambda x: F.concat(
             F.lit("table "), x["idx"].cast("string"), F.lit(" (page "), F.coalesce(x["start_page"].cast("string"), F.lit("unknown")), F.lit(") has "), x["width"].cast("string"), F.lit(" columns where "), w.cast("string"),
             F.lit(" fit; cut: "), F.array_join(F.slice(x["columns"], w + 1, x["width"] - w), ", ")))
         warned = F.when(F.col("build") == "generic", warned).otherwise(_none())
-    return g.select(*KEY, "build", F.when(F.col("build") == "orphan", orphan).otherwise(generic).alias("columns"), warned.alias("warnings"), "pages")
-
-
-def overflowing(planned: DataFrame) -> DataFrame:
-    """Members that policy 'fail' refuses: wider than their table."""
-    return planned.where("build = 'generic' and width > base_width")
-
-
-def continuations(planned: DataFrame, cfg: StitchConfig) -> tuple[DataFrame, DataFrame]:
-    """Overflow of cells that stood before a member's rows: (to the last row of target_rank: key, target_rank, items) and
-    (to the header of an orphan table: key, labels)."""
-    order = Window.partitionBy(*KEY).orderBy("rank")
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    d = planned.withColumn("data_rank", F.when((F.col("role") == "data") & (F.col("row_count") > 0), F.col("rank")))
-    d = d.withColumn("target_rank", F.last("data_rank", ignorenulls=True).over(before))
-    d = d.where("role = 'data'").withColumn("prev", F.lag(F.struct("pages", "is_header_orphan")).over(order))
-    has = d.where("size(continuation_content) > 0")
-    lo = F.coalesce(F.array_min("pages"), F.lit(0))
-    hi = F.coalesce(F.array_max("prev.pages"), F.lit(0))
-    near = (F.col("build") == "orphan") | (F.col("prev").isNotNull() & (lo - hi <= cfg.max_page_gap))
-    # width before the member itself was added
-    w = F.coalesce(F.col("width_before"), F.col("base_width"))
-    has = has.join(planned.select(*KEY, "rank", F.max("width_then").over(before).alias("width_before")), [*KEY, "rank"])
-    items = F.filter("continuation_content", lambda x: (F.col("build") == "orphan") | (x["col_idx"] < w))
-    rows = has.where(near & F.col("target_rank").isNotNull()).select(*KEY, "target_rank", F.struct("rank", items.alias("items")).alias("c"))
-    rows = rows.groupBy(*KEY, "target_rank").agg(F.flatten(F.transform(F.sort_array(F.collect_list("c")), lambda c: c["items"])).alias("items"))
-    from_header = F.when(F.col("prev").isNull(), F.lit(True)).otherwise(F.col("prev.is_header_orphan"))
-    labels = has.where((F.col("build") == "orphan") & F.col("target_rank").isNull() & from_header).select(*KEY, F.struct("rank", F.col("continuation_content").alias("items")).alias("c"))
-    labels = labels.groupBy(*KEY).agg(F.flatten(F.transform(F.sort_array(F.collect_list("c")), lambda c: c["items"])).alias("labels"))
-    return rows, labels
+    g = g.withColumn("columns", F.when(F.col("build") == "orphan", orphan).otherwise(generic))
+    named = _fold(F.col("columns"), F.flatten(F.transform("labels", lambda c: c["items"])), lambda acc, v: F.concat(acc, F.lit(" "), v))
+    g = g.withColumn("columns", F.when(F.size("labels") > 0, named).otherwise(F.col("columns")))
+    on_pages = F.size(F.array_distinct(F.concat("pages", F.coalesce("spill_pages", F.array().cast("array<int>"))))) > 1
+    folds = F.coalesce(on_pages & (F.col("total") > 1), F.lit(False))
+    plain = ~(folds & F.coalesce("blank", F.lit(False))) & ~F.coalesce("odd", F.lit(False))
+    traces = F.when(F.size("traces") > 0, F.col("traces"))
+    g = g.select(*KEY, F.transform("who", lambda x: x["idx"]).alias("members"), "pages", "spill_pages", "build", "columns", "total", traces.alias("traces"), warned.alias("build_warnings"), "spills", folds.alias("may_fold"), plain.alias("plain"))
+    return g.withColumn("w", F.size("columns")).withColumn("url_col", F.when(~F.col("plain"), url_column(F.col("columns"))))
 
 
 def _fold(cells: Column, items: Column, join) -> Column:
@@ -146,10 +164,9 @@ def aligned(cfg: StitchConfig) -> Column:
     return F.when((F.col("build") == "generic") & (F.size(tail) > 0) & (F.col("w") > 0), F.transform(cut, lambda c, i: F.when(i == F.col("w") - 1, merged).otherwise(c))).otherwise(cut)
 
 
-def spill_text(member: DataFrame, rows: DataFrame, cfg: StitchConfig) -> DataFrame:
+def spill_text(edge: DataFrame, cfg: StitchConfig) -> DataFrame:
     """key, spills (texts in member order), spill_pages: first-column cells of spillover members that hold something."""
-    s = member.where("is_spill").select(*KEY, "idx", "rank", "pages").join(rows, ["doc_id", "idx"])
-    s = s.withColumn("cell", F.coalesce(F.get("cells", F.lit(0)), F.lit(""))).where(~text.is_empty(F.col("cell")))
+    s = edge.where("is_spill").withColumn("cell", F.coalesce(F.get("cells", F.lit(0)), F.lit(""))).where(~text.is_empty(F.col("cell")))
     per = s.groupBy(*KEY, "rank").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("row_pos", "cell"))), lambda x: x["cell"]), cfg.stitch_separator).alias("t"), F.first("pages").alias("p"))
     return per.groupBy(*KEY).agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "t"))), lambda x: x["t"]).alias("spills"), F.flatten(F.collect_list("p")).alias("spill_pages"))
 
@@ -187,30 +204,22 @@ def fold_split_cells(rows: DataFrame, cfg: StitchConfig) -> DataFrame:
     return r.where("item is null").join(items, [*KEY, "row_pos"], "left").select(*KEY, "row_pos", F.when(F.col("items").isNotNull(), folded).otherwise(cells).alias("cells"))
 
 
-def rebuild(fragments: DataFrame, rows: DataFrame, grouped: DataFrame, pairs: DataFrame, cfg: StitchConfig) -> tuple[DataFrame, DataFrame]:
-    """(tables, rows): tables has key, members, pages, build, columns, n_rows, build_warnings."""
-    member = written(members(fragments, grouped, pairs), "members")
-    planned = written(plan(member, cfg), "planned")
-    head = headers(planned, rows, cfg)
-    conts, labels = continuations(planned, cfg)
+def rebuild(member: DataFrame, rows: DataFrame, cfg: StitchConfig) -> tuple[DataFrame, DataFrame]:
+    """(tables, rows) of plan() of groups with sizes: tables has key, members, pages, build, columns, n_rows, traces (decisions whose ends both
+    lie in the table, first pass first), merge_reason, warnings, is_single."""
     sep = F.lit(cfg.stitch_separator)
-    head = head.join(labels, KEY, "left")
-    named = _fold(F.col("columns"), F.col("labels"), lambda acc, v: F.concat(acc, F.lit(" "), v))
-    head = head.withColumn("columns", F.when(F.col("labels").isNotNull(), named).otherwise(F.col("columns"))).drop("labels")
-
-    head = written(head, "named")
+    # only spilling and header members need their rows before the table is known
+    some = written(member.where("is_spill or role = 'header'").select(*KEY, "idx", "rank", "pages", "is_spill"), "leading")
+    edge = written(some.join(rows, ["doc_id", "idx"]).where("is_spill or row_pos = 0"), "leading rows")
+    spill = written(spill_text(edge, cfg), "spills")
+    head = written(headers(member, edge.where("not is_spill").select(*KEY, F.col("cells").alias("first_row")), spill, cfg), "named")
 
-    spill = written(spill_text(member, rows, cfg), "spills")
     # fragments: where their rows begin, and what is appended to their last row
-    table, before = Window.partitionBy(*KEY), Window.partitionBy(*KEY).orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = rows.groupBy("doc_id", "idx").agg(F.count(F.lit(1)).alias("n_rows"), F.max("row_pos").alias("last_pos"))
-    frag = planned.where("role = 'data'").select(*KEY, "idx", "rank", "build").join(sizes, ["doc_id", "idx"])
-    frag = frag.withColumn("base", F.coalesce(F.sum(F.col("last_pos") + 1).over(before), F.lit(0))).withColumn("total", F.sum("n_rows").over(table)).withColumn("last_rank", F.max("rank").over(table))
-    frag = frag.join(conts.withColumnRenamed("target_rank", "rank"), [*KEY, "rank"], "left")
-    pages = F.array_distinct(F.concat("pages", F.coalesce("spill_pages", F.array().cast("array<int>"))))
-    whole = head.join(spill, KEY, "left").select(*KEY, F.size("columns").alias("w"), url_column(F.col("columns")).alias("url_col"), (F.size(pages) > 1).alias("on_pages"), "spills")
-    frag = frag.join(whole, KEY).withColumn("spills", F.when(F.col("rank") == F.col("last_rank"), F.col("spills"))).withColumn("may_fold", F.col("on_pages") & (F.col("total") > 1))
-    frag = written(frag.select(*KEY, "idx", "rank", "build", "last_pos", "base", "items", "w", "url_col", "spills", "may_fold"), "placed")
+    m = member.where("role = 'data' and n_rows is not null").select(*KEY, "idx", "rank", "build", "last_pos", "last_rank", "base").repartition(*KEY)
+    conts = member.where("items is not null").select(*KEY, "target_rank", F.struct("rank", "items").alias("c")).repartition(*KEY)
+    conts = conts.groupBy(*KEY, F.col("target_rank").alias("rank")).agg(F.flatten(F.transform(F.sort_array(F.collect_list("c")), lambda c: c["items"])).alias("items"))
+    frag = m.join(conts, [*KEY, "rank"], "left").join(head.select(*KEY, "w", "url_col", "spills", "may_fold", "plain").repartition(*KEY), KEY)
+    frag = frag.withColumn("spills", F.when(F.col("rank") == F.col("last_rank"), F.col("spills"))).drop("last_rank")
 
     r = rows.join(frag, ["doc_id", "idx"]).withColumn("cells", aligned(cfg))
     is_last = F.col("row_pos") == F.col("last_pos")
@@ -220,27 +229,17 @@ def rebuild(fragments: DataFrame, rows: DataFrame, grouped: DataFrame, pairs: Da
     joined = lambda c: F.aggregate("spills", c, lambda acc, t: F.when(text.strip(acc) != "", F.concat(text.strip(acc), sep, t)).otherwise(t))
     spilled = F.transform("cells", lambda c, i: F.when(i == F.size("cells") - 1, joined(c)).otherwise(c))
     r = r.withColumn("cells", F.when(is_last & F.col("spills").isNotNull(), spilled).otherwise(F.col("cells"))).withColumn("n", F.col("base") + F.col("row_pos"))
-    out = written(fold_split_cells(r.select(*KEY, "idx", "rank", "n", "cells", "url_col", "may_fold"), cfg), "rows")
+    r = written(r.select(*KEY, "idx", "rank", "n", "cells", "url_col", "may_fold", "plain"), "placed", plain=F.col("plain"))
+    folded = written(fold_split_cells(r.where("not plain").drop("plain"), cfg), "folded")
+    noted("rows", ("placed", "plain"), ("folded", "rows"))
+    out = r.where("plain").select(*KEY, F.col("n").cast("int").alias("row_pos"), "cells").unionByName(folded)
 
-    counts = out.groupBy(*KEY).agg(F.count(F.lit(1)).cast("int").alias("n_rows"))
-    who = member.groupBy(*KEY).agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "idx"))), lambda x: x["idx"]).alias("members"))
-    t = head.join(who, KEY).join(counts, KEY, "left").join(spill, KEY, "left").withColumn("n_rows", F.coalesce("n_rows", F.lit(0)))
+    counts = folded.groupBy(*KEY).agg(F.count(F.lit(1)).alias("counted"))
+    t = head.join(counts, KEY, "left").withColumn("n_rows", F.coalesce(F.when(F.col("plain"), F.col("total")).otherwise(F.col("counted")), F.lit(0)).cast("int"))
     spilled_pages = F.when(F.col("n_rows") > 0, F.col("spill_pages"))
     all_pages = F.array_sort(F.array_distinct(F.concat("pages", F.coalesce(spilled_pages, F.array().cast("array<int>")))))
-    return t.select(*KEY, "members", all_pages.alias("pages"), "build", F.transform("columns", text.clean_header).alias("columns"), "n_rows", F.col("warnings").alias("build_warnings")), out
-
-
-def attach_traces(tables: DataFrame, grouped: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Adds traces (decisions whose ends both lie in the table, first pass first), merge_reason, warnings and is_single."""
-    g = grouped.select("doc_id", "idx", "logical_index")
-    left = g.select("doc_id", F.col("idx").alias("left_idx"), F.col("logical_index").alias("l"))
-    right = g.select("doc_id", F.col("idx").alias("right_idx"), F.col("logical_index").alias("r"))
-    p = pairs.join(left, ["doc_id", "left_idx"]).join(right, ["doc_id", "right_idx"]).where("l = r")
-    one = F.struct("pass_no", "seq", "left_idx", "right_idx", "merged", "reason", "signals", "warnings")
-    tr = p.groupBy("doc_id", F.col("l").alias("logical_index")).agg(F.sort_array(F.collect_list(one)).alias("traces"))
-    t = tables.join(tr, KEY, "left")
     reasons = F.transform(F.filter("traces", lambda x: x["merged"]), lambda x: x["reason"])
     said = F.flatten(F.transform("traces", lambda x: x["warnings"]))
-    return t.select(
-        *tables.columns, "traces", F.coalesce(F.array_join(reasons, "+"), F.lit("")).alias("merge_reason"), F.concat("build_warnings", F.coalesce(said, _none())).alias("warnings"), (F.size("members") == 1).alias("is_single")
-    ).drop("build_warnings")
+    return written(t.select(
+        *KEY, "members", all_pages.alias("pages"), "build", F.transform("columns", text.clean_header).alias("columns"), "n_rows", "traces", F.coalesce(F.array_join(reasons, "+"), F.lit("")).alias("merge_reason"),
+        F.concat("build_warnings", F.coalesce(said, _none())).alias("warnings"), (F.size("members") == 1).alias("is_single")), "tables"), out

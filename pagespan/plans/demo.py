@@ -3,6 +3,8 @@ orders are a page. The same SELECTs run in Spark and DuckDB; the list constructo
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -80,10 +82,15 @@ def demo_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _fragments(spark: SparkSession, sf_dir: str, more: str) -> DataFrame:
     """FRAGMENTS_SQL with column names and `more` of the fragment's first row: one pass over the orders, which are dealt by customer
-    and sorted once. A page's rows follow each other, so its first row stands for the group and windows tell the rest."""
+    and sorted once. A page's rows follow each other, so its first row stands for the group and windows tell the rest. The windows
+    are over the customer under one name: Spark deals anew by another name for it."""
     _orders(spark, sf_dir)
+    count = "count(*) OVER (PARTITION BY c ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS n_orders"
+    after = [f"lead(named_struct('k', k, 's', o_orderstatus, 'pr', o_orderpriority, 'y', CAST(year(o_orderdate) AS INT)), {n}) OVER (PARTITION BY c ORDER BY k) AS next{n}" for n in (1, 2, 3)]
+    rows = ROWS_SQL.replace("PARTITION BY o_custkey ORDER BY o_orderkey", "PARTITION BY c ORDER BY k").replace("SELECT o_custkey AS c, o_orderkey AS k,", "SELECT c, k,")
+    rows = rows.replace("FROM orders", f", {', '.join([count, *after])} FROM (SELECT *, o_custkey AS c, o_orderkey AS k FROM orders) orders").replace("  CASE WHEN c % 10 = 3", "  n_orders, next1, next2, next3, CASE WHEN c % 10 = 3")
     names = ", ".join(name_sql(j) for j in range(10))
-    first = f"FROM (SELECT *, CAST(least(4, count(*) OVER (PARTITION BY c) - 4 * p) AS INT) AS n_rows, {more} FROM ({ROWS_SQL}) r) r WHERE i = 0"
+    first = f"FROM (SELECT *, CAST(least(4, n_orders - 4 * p) AS INT) AS n_rows, {more} FROM ({rows}) r) r WHERE i = 0"
     kept = more.rsplit(" ", 1)[1]
     own = FRAGMENTS_SQL.replace(f"FROM ({ROWS_SQL}) r GROUP BY c, p, w", first, 1).replace("CAST(count(*) AS INT) AS n_rows,", f"n_rows, {kept},", 1)
     return spark.sql(f"SELECT f.*, slice(array({names}), 1, w) AS columns FROM ({own}) f").withColumn("doc_id", F.concat(F.lit("c"), "c"))
@@ -103,8 +110,8 @@ def demo_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def demo_grids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw tables: the header row (if any) and the rows, with blank rows and boxes from the fragments."""
-    after = "".join(f", lead({_cells_sql()}, {n}) OVER (PARTITION BY c ORDER BY k)" for n in (1, 2, 3))
-    f = _fragments(spark, sf_dir, f"array({_cells_sql()}{after}) AS data").withColumn("data", F.slice("data", 1, F.col("n_rows")))
+    after = [re.sub(r"\bi\b", str(n), re.sub(r"\b(k|s|pr|y)\b", rf"next{n}.\1", _cells_sql())) for n in (1, 2, 3)]
+    f = _fragments(spark, sf_dir, f"array({', '.join([_cells_sql(), *after])}) AS data").withColumn("data", F.slice("data", 1, F.col("n_rows")))
     head = F.when(F.col("headerless"), F.array().cast("array<array<string>>")).otherwise(F.array("columns"))
     box = F.struct(F.lit(0.0).alias("l"), ((1 - F.col("top")) * 800).alias("t"), F.lit(1.0).alias("r"), ((1 - F.col("bottom")) * 800).alias("b"), F.lit("BOTTOMLEFT").alias("coord_origin"))
     prov = F.when(F.col("page").isNull(), F.array().cast("array<struct<page_no:int,bbox:struct<l:double,t:double,r:double,b:double,coord_origin:string>>>")).otherwise(F.array(F.struct(F.col("page").alias("page_no"), box.alias("bbox"))))

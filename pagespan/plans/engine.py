@@ -11,9 +11,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagespan.config import StitchConfig
-from pagespan.operators import classify, decide, rebuild, spans
+from pagespan.operators import classify, rebuild, spans
+from pagespan.operators import decide as d
 from pagespan.operators import inject as write_back
-from pagespan.sources.store import recorded, written
+from pagespan.sources.store import noted, recorded, written
 
 logger = logging.getLogger("pagespan")
 
@@ -64,17 +65,35 @@ def extract_fragments(raw_tables: DataFrame, config: StitchConfig | None = None)
     return classify.fragments_of(read, cfg), classify.rows_of(read)
 
 
-def decide(fragments: DataFrame, cfg: StitchConfig) -> tuple[DataFrame, DataFrame]:
-    """(pairs of both passes, groups)."""
-    from pagespan.operators import decide as d
+@dataclass
+class Decisions:
+    """of: a row per fragment with its decision and warnings. pairs: those of both passes. repaired, second: repairs looked at, taken."""
+
+    of: DataFrame
+    pairs: DataFrame
+    repaired: DataFrame
+    second: DataFrame
+
+    def groups(self, rows: DataFrame | None = None) -> DataFrame:
+        return d.groups(self.of, self.repaired, self.second, None if rows is None else rebuild.sizes(rows), rebuild.beside_rank)
 
-    first = written(d.decide_pairs(fragments, cfg), "pairs")
-    member = written(d.islands(fragments, first), "islands")
-    edges = written(d.orphan_edges(fragments, member, cfg), "edges")
+
+def decisions(fragments: DataFrame, cfg: StitchConfig) -> Decisions:
+    made = written(d.decisions(fragments, cfg), "islands", pairs=F.col("left_idx").isNotNull())
+    noted("pairs", ("islands", "pairs"))
+    told = d.told(made, d.missing_between(made))
+    edges = written(d.orphan_edges_of(made, cfg), "edges")
     repaired = written(d.repair(edges), "repaired")
     taken = repaired.where("taken").select("doc_id", "seq", "left_idx", "right_idx")
     second = edges.join(taken, ["doc_id", "left_idx", "right_idx"]).select("doc_id", F.lit(2).alias("pass_no"), "seq", "left_idx", "right_idx", F.lit(True).alias("merged"), "reason", "signals", F.array().cast("array<string>").alias("warnings"))
-    return first.unionByName(second), written(d.groups(fragments, member, repaired), "groups")
+    second = written(second, "second")
+    return Decisions(told, d.pairs_of(told).unionByName(second), repaired, second)
+
+
+def decide(fragments: DataFrame, cfg: StitchConfig) -> tuple[DataFrame, DataFrame]:
+    """(pairs of both passes, groups)."""
+    made = decisions(fragments, cfg)
+    return made.pairs, d.numbered(made.groups()).select("doc_id", "idx", "logical_index", "rank")
 
 
 def merge_fragments(fragments: DataFrame, rows: DataFrame, config: StitchConfig | None = None) -> Stitched:
@@ -92,14 +111,15 @@ def merge_fragments(fragments: DataFrame, rows: DataFrame, config: StitchConfig
 
 def _merged(fragments: DataFrame, rows: DataFrame, cfg: StitchConfig) -> Stitched:
     fragments, rows = written(fragments, "fragments"), written(rows, "fragment rows")
-    pairs, grouped = decide(fragments, cfg)
+    made = decisions(fragments, cfg)
+    member = written(d.numbered(rebuild.plan(made.groups(rows), cfg)), "groups")
     if cfg.width_overflow_policy == "fail":
-        wide = rebuild.overflowing(rebuild.plan(rebuild.members(fragments, grouped, pairs), cfg)).select("doc_id", "idx", "start_page", "width", "base_width", "columns").head(1)
+        wide = rebuild.overflowing(member).select("doc_id", "idx", "start_page", "width", "base_width", "columns").head(1)
         if wide:
             w = wide[0]
             raise ValueError(f"{w.doc_id}: table {w.idx} (page {w.start_page}) has {w.width} columns where {w.base_width} fit; too many: {', '.join(w.columns[w.base_width :])}")
-    tables, out = rebuild.rebuild(fragments, rows, grouped, pairs, cfg)
-    return Stitched(fragments, rows, pairs, grouped, written(rebuild.attach_traces(tables, grouped, pairs), "tables"), out)
+    tables, out = rebuild.rebuild(member, rows, cfg)
+    return Stitched(fragments, rows, made.pairs, member.select("doc_id", "idx", "logical_index", "rank"), tables, out)
 
 
 @runtime_checkable

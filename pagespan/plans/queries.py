@@ -10,7 +10,7 @@ from pagespan.functions import shapes, text
 from pagespan.operators import decide, document, inject, order, rebuild, spans
 from pagespan.plans import demo
 from pagespan.plans.engine import decide as decide_all
-from pagespan.plans.engine import extract_fragments, merge_fragments
+from pagespan.plans.engine import decisions, extract_fragments, merge_fragments
 from pagespan.sources import export, snapshot
 from pagespan.sources.store import written
 
@@ -94,8 +94,7 @@ def unique_token_pairs(spark, sf_dir):
 
 
 def orphan_edges(spark, sf_dir):
-    f = written(demo.demo_fragments(spark, sf_dir), "fragments")
-    e = decide.orphan_edges(f, decide.islands(f, decide.decide_pairs(f, CFG)), CFG)
+    e = decide.orphan_edges_of(written(decide.decisions(demo.demo_fragments(spark, sf_dir), CFG), "islands"), CFG)
     return e.select("doc_id", "left_idx", "right_idx", "reason")
 
 
@@ -141,10 +140,8 @@ def trace_attachment(spark, sf_dir):
 
 
 def overflow_fail_check(spark, sf_dir):
-    f = written(demo.demo_fragments(spark, sf_dir), "fragments")
-    pairs, g = decide_all(f, CFG)
-    p = rebuild.plan(rebuild.members(f, g, pairs), StitchConfig(width_overflow_policy="fail"))
-    return rebuild.overflowing(p).select("doc_id", "idx", "width", "base_width")
+    made = decisions(written(demo.demo_fragments(spark, sf_dir), "fragments"), CFG)
+    return rebuild.overflowing(rebuild.plan(made.groups(), StitchConfig(width_overflow_policy="fail"))).select("doc_id", "idx", "width", "base_width")
 
 
 def orphan_tables(spark, sf_dir):
