@@ -252,23 +252,32 @@ def groups(told_: DataFrame, repaired: DataFrame, second: DataFrame, sizes: Data
     """told() with comp (the fragments of one comp are one table), rank (place among its members, 0-based), logical_index, trace (the
     decision on the fragment and its predecessor, if both lie in one table) and more (second-pass decisions that attach it).
 
-    Documents are dealt once, and all windows are over documents or tables of theirs: order by page first, then by table. sizes
-    (doc_id, idx, ...) join by the way; more_windows gives columns over the order within a table, which share its pass."""
+    Fragments move once, dealt by document, and all windows are over documents or tables of theirs. What repairs say of few islands
+    and fragments joins before that; sizes (doc_id, idx, n_rows, last_pos, blank) are dealt with the fragments and meet them in a
+    window, as a join on both keys would deal all fragments anew. more_windows gives columns over the order within a table, which
+    share its pass."""
     ends = repaired.select("doc_id", F.col("left_island").alias("island"), "root").unionByName(repaired.select("doc_id", F.col("right_island").alias("island"), "root"))
     moved = ends.groupBy("doc_id", "island").agg(F.min("root").alias("root"))
+    # whether an island's first fragment is in one table with the fragment before it, which ends the island before
+    order = Window.partitionBy("doc_id").orderBy("island")
+    before = F.when(F.lag("island").over(order) == F.col("island") - 1, F.lag("root").over(order)).otherwise(F.col("island") - 1)
+    moved = moved.withColumn("rejoined", F.col("root") == before)
     one = F.struct("pass_no", "seq", "left_idx", "right_idx", "merged", "reason", "signals", "warnings")
     more = second.groupBy("doc_id", F.col("right_idx").alias("idx")).agg(F.collect_list(one).alias("more"))
-    f = told_.repartition("doc_id").join(moved.repartition("doc_id"), ["doc_id", "island"], "left").join(more.repartition("doc_id"), ["doc_id", "idx"], "left")
-    if sizes is not None:
-        f = f.join(sizes.repartition("doc_id"), ["doc_id", "idx"], "left")
+    f = told_.join(moved, ["doc_id", "island"], "left").join(more, ["doc_id", "idx"], "left")
     f = f.withColumn("comp", F.coalesce("root", "island")).withColumn("pass_no", F.lit(1)).withColumn("right_idx", F.col("idx"))
-    before = F.lag("comp").over(Window.partitionBy("doc_id").orderBy("page0", "idx"))
-    f = f.withColumn("trace", F.when(before == F.col("comp"), one))
+    f = f.withColumn("trace", F.when(F.col("merged") | F.coalesce("rejoined", F.lit(False)), one))
+    f = f.withColumn("is_spill", F.coalesce(F.col("reason") == "spillover", F.lit(False)))
+    f = f.drop("root", "rejoined", "pass_no", "right_idx", "signals", "warnings", "left_idx", "seq", "merged", "reason", "far", "island")
+    if sizes is None:
+        f = f.repartition("doc_id")
+    else:
+        own = Window.partitionBy("doc_id", "idx")
+        f = f.unionByName(sizes.where("doc_id is not null and idx is not null"), allowMissingColumns=True).repartition("doc_id")
+        f = f.withColumns({c: F.max(c).over(own) for c in sizes.columns if c not in ("doc_id", "idx")}).where("place is not null")
     order = Window.partitionBy("doc_id", "comp").orderBy("page0", "idx")
     whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    f = f.withColumn("is_spill", F.coalesce(F.col("reason") == "spillover", F.lit(False)))
-    f = f.withColumns({"rank": (F.row_number().over(order) - 1).cast("int"), "first": F.min("pos").over(whole)} | (more_windows(order) if more_windows else {}))
-    return f.drop("root", "pass_no", "right_idx", "signals", "warnings", "left_idx", "seq", "merged", "reason", "far", "island")
+    return f.withColumns({"rank": (F.row_number().over(order) - 1).cast("int"), "first": F.min("pos").over(whole)} | (more_windows(order) if more_windows else {}))
 
 
 def numbered(grouped: DataFrame) -> DataFrame:

@@ -83,17 +83,17 @@ def demo_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _fragments(spark: SparkSession, sf_dir: str, more: str) -> DataFrame:
     """FRAGMENTS_SQL with column names and `more` of the fragment's first row: one pass over the orders, which are dealt by customer
     and sorted once. A page's rows follow each other, so its first row stands for the group and windows tell the rest. The windows
-    are over the customer under one name: Spark deals anew by another name for it."""
+    are over the document: Spark deals anew by another name for it, and what follows by document needn't be dealt again."""
     _orders(spark, sf_dir)
-    count = "count(*) OVER (PARTITION BY c ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS n_orders"
-    after = [f"lead(named_struct('k', k, 's', o_orderstatus, 'pr', o_orderpriority, 'y', CAST(year(o_orderdate) AS INT)), {n}) OVER (PARTITION BY c ORDER BY k) AS next{n}" for n in (1, 2, 3)]
-    rows = ROWS_SQL.replace("PARTITION BY o_custkey ORDER BY o_orderkey", "PARTITION BY c ORDER BY k").replace("SELECT o_custkey AS c, o_orderkey AS k,", "SELECT c, k,")
-    rows = rows.replace("FROM orders", f", {', '.join([count, *after])} FROM (SELECT *, o_custkey AS c, o_orderkey AS k FROM orders) orders").replace("  CASE WHEN c % 10 = 3", "  n_orders, next1, next2, next3, CASE WHEN c % 10 = 3")
+    count = "count(*) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS n_orders"
+    after = [f"lead(named_struct('k', k, 's', o_orderstatus, 'pr', o_orderpriority, 'y', CAST(year(o_orderdate) AS INT)), {n}) OVER (PARTITION BY doc_id ORDER BY k) AS next{n}" for n in (1, 2, 3)]
+    rows = ROWS_SQL.replace("PARTITION BY o_custkey ORDER BY o_orderkey", "PARTITION BY doc_id ORDER BY k").replace("SELECT o_custkey AS c, o_orderkey AS k,", "SELECT doc_id, c, k,")
+    rows = rows.replace("FROM orders", f", {', '.join([count, *after])} FROM (SELECT *, concat('c', o_custkey) AS doc_id, o_custkey AS c, o_orderkey AS k FROM orders) orders").replace("  CASE WHEN c % 10 = 3", "  doc_id, n_orders, next1, next2, next3, CASE WHEN c % 10 = 3")
     names = ", ".join(name_sql(j) for j in range(10))
     first = f"FROM (SELECT *, CAST(least(4, n_orders - 4 * p) AS INT) AS n_rows, {more} FROM ({rows}) r) r WHERE i = 0"
     kept = more.rsplit(" ", 1)[1]
-    own = FRAGMENTS_SQL.replace(f"FROM ({ROWS_SQL}) r GROUP BY c, p, w", first, 1).replace("CAST(count(*) AS INT) AS n_rows,", f"n_rows, {kept},", 1)
-    return spark.sql(f"SELECT f.*, slice(array({names}), 1, w) AS columns FROM ({own}) f").withColumn("doc_id", F.concat(F.lit("c"), "c"))
+    own = FRAGMENTS_SQL.replace(f"FROM ({ROWS_SQL}) r GROUP BY c, p, w", first, 1).replace("CAST(count(*) AS INT) AS n_rows,", f"doc_id, n_rows, {kept},", 1)
+    return spark.sql(f"SELECT f.*, slice(array({names}), 1, w) AS columns FROM ({own}) f")
 
 
 def demo_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:

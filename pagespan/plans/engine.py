@@ -25,26 +25,42 @@ class StitchError(RuntimeError):
 
 @dataclass
 class Stitched:
-    """pairs: every decision. groups: fragment to logical table. tables, rows: the result."""
+    """pairs: every decision. groups: fragment to logical table. tables, rows: the result. Tables know how many rows they have
+    without those in which nothing folds; such rows are made when `rows` is first read, and kept."""
 
     fragments: DataFrame
     fragment_rows: DataFrame
     pairs: DataFrame
     groups: DataFrame
     tables: DataFrame
-    rows: DataFrame
+    plain: DataFrame
+    folded: DataFrame
     log: list[dict] = field(default_factory=list)
+    kept: DataFrame | None = None
+
+    @property
+    def rows(self) -> DataFrame:
+        if self.kept is None:
+            with recorded() as log:
+                self.kept = written(self.plain, "plain").unionByName(self.folded)
+            self.log.extend(log)
+            noted("placed", ("plain", "rows"), ("aligned", "rows"), log=self.log)
+            noted("rows", ("plain", "rows"), ("folded", "rows"), log=self.log)
+        return self.kept
+
+    def rows_once(self) -> DataFrame:
+        """rows, for who reads them once: not kept unless they are already."""
+        return self.plain.unionByName(self.folded) if self.kept is None else self.kept
 
     def phases(self) -> DataFrame:
         """step, phase, seconds, rows, extracted, skipped: what each stage wrote, observed while it was written; extracted and
-        skipped where a stage reads tables."""
-        return phase_table(self.tables.sparkSession, self.log)
+        skipped where a stage reads tables. The rows are a stage, so they are made here if they weren't yet."""
+        return phase_table(self.rows.sparkSession, self.log)
 
     def metrics(self) -> DataFrame:
         """Per document: fragments, logical tables, merged ones, rows."""
-        f = self.fragments.groupBy("doc_id").agg(F.count(F.lit(1)).alias("fragments"))
-        t = self.tables.groupBy("doc_id").agg(F.count(F.lit(1)).alias("logical_tables"), F.count(F.when(F.size("members") > 1, 1)).alias("merged_tables"), F.sum("n_rows").alias("rows"))
-        return f.join(t, "doc_id")
+        n = F.size("members")
+        return self.tables.groupBy("doc_id").agg(F.sum(n).alias("fragments"), F.count(F.lit(1)).alias("logical_tables"), F.count(F.when(n > 1, 1)).alias("merged_tables"), F.sum("n_rows").alias("rows"))
 
 
 def phase_table(spark: SparkSession, log: list[dict]) -> DataFrame:
@@ -110,16 +126,17 @@ def merge_fragments(fragments: DataFrame, rows: DataFrame, config: StitchConfig
 
 
 def _merged(fragments: DataFrame, rows: DataFrame, cfg: StitchConfig) -> Stitched:
-    fragments, rows = written(fragments, "fragments"), written(rows, "fragment rows")
-    made = decisions(fragments, cfg)
+    rows = written(rows, "fragment rows")
+    made = decisions(fragments, cfg)  # reads the fragments once and keeps all that is needed of them
+    noted("fragments", ("islands", "rows"))
     member = written(d.numbered(rebuild.plan(made.groups(rows), cfg)), "groups")
     if cfg.width_overflow_policy == "fail":
         wide = rebuild.overflowing(member).select("doc_id", "idx", "start_page", "width", "base_width", "columns").head(1)
         if wide:
             w = wide[0]
             raise ValueError(f"{w.doc_id}: table {w.idx} (page {w.start_page}) has {w.width} columns where {w.base_width} fit; too many: {', '.join(w.columns[w.base_width :])}")
-    tables, out = rebuild.rebuild(member, rows, cfg)
-    return Stitched(fragments, rows, made.pairs, member.select("doc_id", "idx", "logical_index", "rank"), tables, out)
+    tables, plain, folded = rebuild.rebuild(member, rows, cfg)
+    return Stitched(fragments, rows, made.pairs, member.select("doc_id", "idx", "logical_index", "rank"), tables, plain, folded)
 
 
 @runtime_checkable
@@ -161,6 +178,7 @@ class Stitcher:
             fragments, rows = got if isinstance(got, tuple) else extract_fragments(got, self.config)
             out = merge_fragments(fragments, rows, self.config)
             if self.inject is None:
+                out.rows  # noqa: B018  a failure of theirs is one of the stitching
                 return out
             if not out.tables.where("size(pages) > 1").head(1):
                 logger.info("no logical table spans more than one page")

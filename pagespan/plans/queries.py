@@ -118,15 +118,15 @@ def _cells(rows: DataFrame) -> DataFrame:
 
 
 def merged_rows_preserve(spark, sf_dir):
-    return _cells(_merged(spark, sf_dir).rows)
+    return _cells(_merged(spark, sf_dir).rows_once())
 
 
 def merged_rows_warn_drop(spark, sf_dir):
-    return _cells(_merged(spark, sf_dir, StitchConfig(width_overflow_policy="warn_drop", stitch_separator=" ")).rows)
+    return _cells(_merged(spark, sf_dir, StitchConfig(width_overflow_policy="warn_drop", stitch_separator=" ")).rows_once())
 
 
 def merged_rows_merge_tail(spark, sf_dir):
-    return _cells(_merged(spark, sf_dir, StitchConfig(width_overflow_policy="merge_tail", stitch_separator=" ")).rows)
+    return _cells(_merged(spark, sf_dir, StitchConfig(width_overflow_policy="merge_tail", stitch_separator=" ")).rows_once())
 
 
 def overflow_warnings(spark, sf_dir):
