@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagespan.operators.rebuild import KEY
+from pagespan.sources.store import written
 
 
 def touched(tables: DataFrame) -> DataFrame:
@@ -24,21 +25,25 @@ def anchor_cells(cells: DataFrame, tables: DataFrame, rows: DataFrame) -> DataFr
 
     cells: the original grid in the same columns. Leading rows with a column_header cell are used again as they are, unless
     the table has no rows; without any, the column names make one header row. Data cells are 1 x 1; column 0 is a row header if it was one before.
+
+    The grid moves once: windows of one order tell its header rows, and those are kept. All sides meet sorted: cells are many times
+    what Spark guesses of the arrays that they come of, and a side that it broadcast by that guess was more than the driver holds.
     """
-    t = touched(tables).where("place = 0").select("doc_id", "idx", "logical_index").join(tables.select(*KEY, (F.col("n_rows") > 0).alias("some")), KEY)
-    own = cells.join(t.where("some").drop("some"), ["doc_id", "idx"])
-    flags = own.groupBy("doc_id", "idx", "logical_index", "row_pos").agg(F.max("column_header").alias("is_head"))
-    lead = Window.partitionBy("doc_id", "idx").orderBy("row_pos")
-    flags = flags.withColumn("lead", F.min(F.coalesce("is_head", F.lit(False))).over(lead))
-    heads = own.join(flags.where("lead").select("doc_id", "idx", "row_pos"), ["doc_id", "idx", "row_pos"]).select("doc_id", "idx", "row_pos", "col_pos", "text", "row_span", "col_span", F.lit(True).alias("column_header"), "row_header")
-    depth = flags.where("lead").groupBy("doc_id", "idx").agg(F.count(F.lit(1)).cast("int").alias("depth"))
-    below = own.where("col_pos = 0").join(depth, ["doc_id", "idx"], "left").where(F.col("row_pos") >= F.coalesce("depth", F.lit(1)))
-    side = below.groupBy("doc_id", "idx").agg(F.max(F.coalesce("row_header", F.lit(False))).alias("side"))
-    t = t.join(depth, ["doc_id", "idx"], "left").join(side, ["doc_id", "idx"], "left")
+    t = tables.where("size(members) > 1").select("doc_id", F.col("members")[0].alias("idx"), "logical_index", (F.col("n_rows") > 0).alias("some"))
+    own = cells.join(t.where("some").select("doc_id", "idx").hint("merge"), ["doc_id", "idx"])
+    by = Window.partitionBy("doc_id", "idx").orderBy("row_pos")
+    whole = by.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    own = own.withColumns({"is_head": F.max(F.coalesce("column_header", F.lit(False))).over(by.rangeBetween(0, 0)), "nth": F.dense_rank().over(by), "first": F.row_number().over(by) == 1})
+    own = own.withColumn("lead", F.min("is_head").over(by))
+    own = own.withColumns({"depth": F.max(F.when(F.col("lead"), F.col("nth"))).over(whole), "last_side": F.max(F.when((F.col("col_pos") == 0) & F.col("row_header"), F.col("row_pos"))).over(whole)})
+    own = written(own.where("lead or first").drop("is_head", "nth"), "old heads")
+    heads = own.where("lead").select("doc_id", "idx", "row_pos", "col_pos", "text", "row_span", "col_span", F.lit(True).alias("column_header"), "row_header")
+    side = F.coalesce(F.col("last_side") >= F.coalesce("depth", F.lit(1)), F.lit(False))
+    t = t.drop("some").join(own.where("first").select("doc_id", "idx", "depth", side.alias("side")).hint("merge"), ["doc_id", "idx"], "left")
     names = tables.select(*KEY, F.when(F.size("columns") > 0, F.col("columns")).otherwise(F.array(F.lit("Column_0"))).alias("columns"))
-    flat = t.where("depth is null").join(names, KEY).select("doc_id", "idx", F.lit(0).alias("row_pos"), F.posexplode("columns").alias("col_pos", "text"))
+    flat = t.where("depth is null").join(names.hint("merge"), KEY).select("doc_id", "idx", F.lit(0).alias("row_pos"), F.posexplode("columns").alias("col_pos", "text"))
     flat = flat.select("*", F.lit(1).alias("row_span"), F.lit(1).alias("col_span"), F.lit(True).alias("column_header"), F.lit(False).alias("row_header"))
-    data = t.join(rows, KEY).select("doc_id", "idx", (F.coalesce("depth", F.lit(1)) + F.col("row_pos")).alias("row_pos"), F.coalesce("side", F.lit(False)).alias("side"), F.posexplode("cells").alias("col_pos", "text"))
+    data = t.hint("merge").join(rows, KEY).select("doc_id", "idx", (F.coalesce("depth", F.lit(1)) + F.col("row_pos")).alias("row_pos"), F.coalesce("side", F.lit(False)).alias("side"), F.posexplode("cells").alias("col_pos", "text"))
     data = data.select("doc_id", "idx", "row_pos", "col_pos", F.coalesce("text", F.lit("")).alias("text"), F.lit(1).alias("row_span"), F.lit(1).alias("col_span"), F.lit(False).alias("column_header"), ((F.col("col_pos") == 0) & F.col("side")).alias("row_header"))
     return heads.unionByName(flat).unionByName(data)
 

@@ -247,7 +247,7 @@ def passthrough_cells(spark, sf_dir):
 
 def anchor_grid(spark, sf_dir):
     m = _merged(spark, sf_dir)
-    return inject.anchor_cells(_grid_cells(spark, sf_dir), m.tables, m.rows).select("doc_id", "idx", "row_pos", "col_pos", "text", "column_header", "row_header")
+    return inject.anchor_cells(_grid_cells(spark, sf_dir), m.tables, m.rows_once()).select("doc_id", "idx", "row_pos", "col_pos", "text", "column_header", "row_header")
 
 
 def prov_merge(spark, sf_dir):
